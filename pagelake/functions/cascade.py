@@ -30,7 +30,7 @@ def cascade(candidates: list[tuple[str, Column]], threshold: int,
     fb = F.struct((strip(fallback) if fallback is not None else F.lit("")).alias("text"),
                   F.lit(fallback_name).alias("strategy"))
     return F.when(F.size(hit) > 0,
-                  F.struct(hit[0]["text"].alias("text"), hit[0]["name"].alias("strategy"))
+                  F.struct(F.get(hit, 0)["text"].alias("text"), F.get(hit, 0)["name"].alias("strategy"))
                   ).otherwise(fb)
 
 
@@ -43,6 +43,6 @@ def cascade_or_longest(candidates: list[tuple[str, Column]], threshold: int) ->
         F.length(x["text"]).alias("len"), (-x["ord"]).alias("neg_ord"),
         x["text"].alias("text"), x["name"].alias("name"))))
     return (F.when(F.size(hit) > 0,
-                   F.struct(hit[0]["text"].alias("text"), hit[0]["name"].alias("strategy")))
+                   F.struct(F.get(hit, 0)["text"].alias("text"), F.get(hit, 0)["name"].alias("strategy")))
             .when(best["len"] > 0, F.struct(best["text"].alias("text"), best["name"].alias("strategy")))
             .otherwise(F.struct(F.lit("").alias("text"), F.lit("none").alias("strategy"))))

@@ -156,7 +156,7 @@ def embedded_json_text(html) -> Column:
     jsons = F.filter(F.transform(scripts, _clean_script),
                      lambda j: (j != "") & F.try_parse_json(j).isNotNull())
     texts = F.filter(F.transform(jsons, _topic_text), lambda t: t != "")
-    return F.coalesce(texts[0], F.lit(""))
+    return F.coalesce(F.get(texts, 0), F.lit(""))
 
 
 # ---- B14: script/data/comment mining ----
@@ -209,7 +209,8 @@ def iframe_text(pages: DataFrame, targets: DataFrame | None = None) -> DataFrame
     """
     from ..functions.urls import resolve
     targets = pages if targets is None else targets
-    frames = (pages.select("page_id", "url", F.posexplode(iframe_sources("html")).alias("ipos", "src"))
+    frames = (pages.select("page_id", "url", F.posexplode_outer(iframe_sources("html")).alias("ipos", "src"))
+              .where(F.col("src").isNotNull())
               .select("page_id", "ipos", resolve(F.col("url"), strip(decode_entities(F.col("src")))).alias("target")))
     texts = (targets.select(F.col("url").alias("target"), body_text("html").alias("ttext"))
              .where(F.length("ttext") > 50))

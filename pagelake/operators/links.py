@@ -81,16 +81,24 @@ def extract_links(html, base_url) -> Column:
     return typed
 
 
-def dedupe_links(links) -> Column:
-    """Keep the first link per URL (order preserved)."""
-    urls = F.transform(col(links), lambda x: x["url"])
-    return F.filter(col(links), lambda x, i: F.array_position(urls, x["url"]) == i + 1)
+def _dedupe_sorted(sorted_links) -> Column:
+    """Keep the first element of each URL run of an array sorted by (url, pos),
+    then restore position order. ``sorted_links`` must be a column: it is
+    referenced twice, so Catalyst keeps it materialised instead of
+    re-evaluating it inside the lambda."""
+    s = col(sorted_links)
+    firsts = F.filter(s, lambda y, j: (j == 0) | (F.get(s, j - 1)["u"] != y["u"]))
+    return F.transform(F.array_sort(F.transform(firsts, lambda y: F.struct(y["p"], y["l"]))),
+                       lambda z: z["l"])
 
 
 def with_links(pages: DataFrame, html: str = "html", url: str = "url", out: str = "links") -> DataFrame:
-    """Add ``links`` (D1-D4, G8) to each page row; narrow, no shuffle."""
-    return (pages.withColumn("_raw_links", extract_links(html, url))
-            .withColumn(out, dedupe_links("_raw_links")).drop("_raw_links"))
+    """Add ``links`` (D1-D4, G8: first link per URL kept) to each page row.
+    Narrow, no shuffle: de-duplication sorts inside the row, O(n log n)."""
+    keyed = F.transform(extract_links(html, url),
+                        lambda x, i: F.struct(x["url"].alias("u"), i.alias("p"), x.alias("l")))
+    return (pages.withColumn("_sorted_links", F.array_sort(keyed))
+            .withColumn(out, _dedupe_sorted("_sorted_links")).drop("_sorted_links"))
 
 
 def _prio(t: Column) -> Column:
@@ -123,6 +131,10 @@ def link_stats(links) -> Column:
 
 
 def explode_links(df: DataFrame, links: str = "links", keep=("page_id",)) -> DataFrame:
-    """Long form: one row per link with its 1-based position."""
-    return df.select(*keep, F.posexplode(links).alias("pos", "l")).select(
+    """Long form: one row per link with its 1-based position.
+
+    ``posexplode_outer`` + a null filter: plain ``posexplode`` makes Catalyst
+    infer ``size(links) > 0`` below the generator, which evaluates the whole
+    link expression a second time."""
+    return df.select(*keep, F.posexplode_outer(links).alias("pos", "l")).where(F.col("pos").isNotNull()).select(
         *keep, (F.col("pos") + 1).cast("bigint").alias("link_pos"), "l.url", "l.text", "l.is_internal", "l.link_type")

@@ -28,16 +28,18 @@ def keyword_count(lower_text: Column, keywords) -> Column:
 
 
 def quality_metrics(text, lexicons=None) -> Column:
-    """``struct<character_length, content_category, confidence,
-    matched_keywords struct<error_page, educational_content, educational_metadata>>``."""
+    """C3 counts: ``struct<character_length, e, c, m>`` (see :func:`classify`).
+    Use :func:`with_quality` on DataFrames: it materialises the stripped,
+    lower-cased text once instead of once per keyword test."""
     lex = lexicons or L.LEXICONS
     s = strip(F.coalesce(col(text), F.lit("")))
-    low = F.lower(s)
-    n = F.length(s).cast("bigint")
-    err = keyword_count(low, lex["error_page"])
-    edu = keyword_count(low, lex["educational_content"])
-    meta = keyword_count(low, lex["educational_metadata"])
-    return F.struct(n.alias("character_length"), err.alias("e"), edu.alias("c"), meta.alias("m"))
+    return _counts(F.length(s).cast("bigint"), F.lower(s), lex)
+
+
+def _counts(n: Column, low: Column, lex) -> Column:
+    return F.struct(n.alias("character_length"), keyword_count(low, lex["error_page"]).alias("e"),
+                    keyword_count(low, lex["educational_content"]).alias("c"),
+                    keyword_count(low, lex["educational_metadata"]).alias("m"))
 
 
 def classify(q: Column) -> Column:
@@ -61,8 +63,10 @@ def classify(q: Column) -> Column:
 
 def with_quality(df: DataFrame, text: str = "text", out: str = "quality_metrics") -> DataFrame:
     """Add the C3 struct; counts are computed once, then classified."""
-    return (df.withColumn("_qc", quality_metrics(text))
-            .withColumn(out, classify(F.col("_qc"))).drop("_qc"))
+    s = strip(F.coalesce(F.col(text), F.lit("")))
+    return (df.withColumn("_qs", s)
+            .withColumn("_qc", _counts(F.length("_qs").cast("bigint"), F.lower("_qs"), L.LEXICONS))
+            .withColumn(out, classify(F.col("_qc"))).drop("_qc", "_qs"))
 
 
 def lexicon_frame(spark, lexicons=None) -> DataFrame:
@@ -81,7 +85,7 @@ def keyword_hits_joined(docs: DataFrame, lexicon: DataFrame, key: str = "doc_id"
     lex = lexicons or L.LEXICONS
     low = docs.select(key, F.lower(strip(F.coalesce(F.col(text), F.lit("")))).alias("t"))
     words = F.broadcast(lexicon.where(~F.col("is_phrase")).select("category", "keyword"))
-    tok = low.select(key, F.explode(tokens("t")).alias("keyword"))
+    tok = low.select(key, F.explode_outer(tokens("t")).alias("keyword")).where(F.col("keyword").isNotNull())
     w = tok.join(words, "keyword").groupBy(key, "category").agg(F.count("*").alias("hits"))
     phrase_cols = [F.struct(F.lit(cat).alias("category"), count_substr("t", k).alias("hits"))
                    for cat, ks in lex.items() for k in ks if len(k.split()) > 1]

@@ -74,7 +74,7 @@ SELECT page_id, CAST(rnk AS BIGINT) AS rank, url, link_type, is_internal FROM r
 def q_link_rank(spark, sf):
     """Internal first, then type priority, stable; top 100 per page."""
     p = _pages_with_links(spark, sf).select("page_id", LK.rank_links("links").alias("ranked"))
-    return p.select("page_id", F.posexplode("ranked").alias("rank", "l")).select(
+    return p.select("page_id", F.posexplode_outer("ranked").alias("rank", "l")).where("rank IS NOT NULL").select(
         "page_id", (F.col("rank") + 1).cast("bigint").alias("rank"), "l.url", "l.link_type", "l.is_internal")
 
 

@@ -55,7 +55,33 @@ SELECT page_id, concat(url, CASE page_id % 9 WHEN 0 THEN '.pdf' WHEN 1 THEN '.do
 FROM pages""",
 }
 
-_BASE = {"seeded_pages": ("pages",), "seeded_documents": ("documents",),
+# Our own derived views (same rule: deterministic, from the driver tables,
+# valid in Spark and DuckDB).
+SEEDED_SQL.update({
+    "video_urls": """
+SELECT page_id, CASE page_id % 6
+  WHEN 0 THEN concat('https://www.youtube.com/watch?v=', CAST(page_id AS STRING))
+  WHEN 1 THEN concat('https://youtu.be/v', CAST(page_id AS STRING))
+  WHEN 2 THEN concat('HTTPS://M.YOUTUBE.COM/watch?v=', CAST(page_id AS STRING), '&t=1')
+  WHEN 3 THEN concat('https://music.youtube.de/embed/', CAST(page_id AS STRING))
+  WHEN 4 THEN concat('https://notyoutube.com/watch?v=', CAST(page_id AS STRING))
+  ELSE url END AS url
+FROM pages""",
+    "requests": """
+SELECT page_id AS request_id,
+  CASE WHEN page_id % 11 = 0 THEN concat(url, '/missing') ELSE url END AS url,
+  CASE WHEN page_id % 2 = 0 THEN 'simple' ELSE 'browser' END AS method,
+  CASE page_id % 7 WHEN 0 THEN 404 WHEN 1 THEN 503 WHEN 2 THEN 302 ELSE 200 END AS status,
+  CAST(page_id % 130 AS INT) AS max_file_size_mb,
+  CAST(5 + page_id % 400 AS INT) AS conversion_timeout,
+  CAST(page_id % 150 AS INT) AS timeout,
+  CASE page_id % 8 WHEN 0 THEN NULL WHEN 1 THEN split('none, ', ',') WHEN 2 THEN split(' 10.0.0.1:8080 ,NULL', ',')
+    WHEN 3 THEN split('proxy.example.org:3128,false,h2:81', ',') WHEN 4 THEN split('bad-proxy', ',')
+    WHEN 5 THEN split('h:port', ',') WHEN 6 THEN split(':80', ',') ELSE split('string,0', ',') END AS proxies
+FROM pages""",
+})
+
+_BASE = {"video_urls": ("pages",), "requests": ("pages",),"seeded_pages": ("pages",), "seeded_documents": ("documents",),
          "fetch_log": ("events",), "snapshots": ("events",), "file_urls": ("pages",)}
 
 
@@ -65,6 +91,15 @@ def seeded(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(SEEDED_SQL[name])
 
 
+def seeded_with(spark: SparkSession, sf_dir: str, *names: str) -> dict:
+    """Several seeded views, also registered as temp views by name."""
+    out = {}
+    for n in names:
+        out[n] = seeded(spark, sf_dir, n)
+        out[n].createOrReplaceTempView(n)
+    return out
+
+
 def with_clause(*names: str) -> str:
     """``WITH`` prefix that defines the named seeded views for a SQL oracle."""
     parts = [f"{n} AS ({SEEDED_SQL[n].strip()})" for n in names]
