@@ -231,7 +231,7 @@ def best_snapshot(polls: DataFrame, key: str, poll: str, text: str,
     from pyspark.sql import Window as W
     ok = ~F.lit(False)
     for p in L.SNAPSHOT_PLACEHOLDERS:
-        ok = ok & ~F.col(text).contains(p)
+        ok = ok & ~F.col("t").contains(p)
     w = W.partitionBy(key).orderBy(poll).rowsBetween(W.unboundedPreceding, W.currentRow)
     p = (polls.select(key, poll, F.coalesce(F.col(text), F.lit("")).alias("t"))
          .withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(poll)))

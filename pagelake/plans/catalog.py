@@ -28,4 +28,4 @@ def register(name: str, oracle: str | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from . import q_classify, q_files, q_html, q_links, q_quality  # noqa: F401
+    from . import q_classify, q_files, q_html, q_html2, q_links, q_quality  # noqa: F401
