@@ -28,4 +28,4 @@ def register(name: str, oracle: str | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from . import q_classify, q_corpus, q_dom, q_files, q_html, q_html2, q_links, q_quality, q_timeline  # noqa: F401
+    from . import q_classify, q_corpus, q_dom, q_files, q_html, q_html2, q_links, q_quality, q_stream, q_timeline  # noqa: F401
