@@ -8,9 +8,32 @@ logic can be checked by value against DuckDB.
 
 from __future__ import annotations
 
+import functools
+
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+
+def expr_cache(fn):
+    """Memoise a Column builder per SparkContext when its arguments are
+    hashable (column names, literals). Unresolved Column expressions can be
+    reused by many DataFrames; building large trees costs many Python-to-JVM
+    calls, so queries that share an expression build it once."""
+    cache = {}
+
+    @functools.wraps(fn)
+    def wrap(*args, **kw):
+        try:
+            key = (id(SparkContext._active_spark_context), args, tuple(sorted(kw.items())))
+            hash(key)
+        except TypeError:
+            return fn(*args, **kw)
+        if key not in cache:
+            cache[key] = fn(*args, **kw)
+        return cache[key]
+    return wrap
+
 # Entity replacements applied in this order, '&amp;' last so
 # that '&amp;lt;' decodes to the text '&lt;' and not to '<'.
 ENTITIES = (

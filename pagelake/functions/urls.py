@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import col
+from .text import col, expr_cache
 
 SCHEME = r"^([a-zA-Z][a-zA-Z0-9+.-]*):"
 ABS = r"^[a-zA-Z][a-zA-Z0-9+.-]*:"
@@ -18,11 +18,13 @@ ORIGIN = r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)"
 PATH = r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)"
 
 
+@expr_cache
 def netloc(u) -> Column:
     """``urlparse(u).netloc.lower()`` (keeps port and user-info)."""
     return F.lower(F.regexp_extract(col(u), NETLOC, 1))
 
 
+@expr_cache
 def hostname(u) -> Column:
     """``urlparse(u).hostname or ''``: no user-info, no port, lower-cased."""
     n = netloc(u)
@@ -41,6 +43,7 @@ def remove_dot_segments(p) -> Column:
     return F.regexp_replace(F.regexp_replace(p, r"/\.$", "/"), r"/[^/?#]+/\.\.$", "/")
 
 
+@expr_cache
 def resolve(base, href) -> Column:
     """``urllib.parse.urljoin(base, href)`` for absolute, ``//host``, ``/path``,
     ``?query``, ``#frag`` and relative paths with dot segments."""

@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
-from ..functions.text import (attr_selector, body_html, class_selector, col,
+from ..functions.text import (expr_cache, attr_selector, body_html, class_selector, col,
                               id_selector, strip, text_content, title_text)
 from ..functions.urls import hostname
 
@@ -30,6 +30,7 @@ def _labelled(c: Column, pairs) -> Column:
     return out
 
 
+@expr_cache
 def error_page(html, content) -> Column:
     """C4: ``struct<is_error_page, error_type>``; title -> content phrases ->
     security phrases -> short content -> DOM selectors, first match wins."""
@@ -51,6 +52,7 @@ def error_page(html, content) -> Column:
     return F.struct(etype.isNotNull().alias("is_error_page"), etype.alias("error_type"))
 
 
+@expr_cache
 def spa_indicators(html) -> Column:
     """``struct<frameworks array, score, is_spa, characteristics array>``
     from substring tests on the lower-cased HTML."""
@@ -78,6 +80,7 @@ def _present(html: Column, pattern: str) -> Column:
     return html.rlike("(?s)" + pattern)
 
 
+@expr_cache
 def spa_score(html, window_react=None, window_vue=None, window_angular=None,
               window_ember=None, window_svelte=None, history_api=None) -> Column:
     """C6 (static DOM form): framework markers +2 each, History API +1,
@@ -96,6 +99,7 @@ def spa_score(html, window_react=None, window_vue=None, window_angular=None,
     return F.struct(score.alias("score"), (score >= 2).alias("is_spa"))
 
 
+@expr_cache
 def ultra_complex_score(html, url, react_devtools=None, window_react=None, vue_router=None,
                         state_manager=None) -> Column:
     """Placeholder text +3, complex React +2, Vue router +2, service
@@ -119,6 +123,7 @@ def ultra_complex_score(html, url, react_devtools=None, window_react=None, vue_r
     return F.struct(score.alias("score"), (score >= 4).alias("is_ultra_complex"))
 
 
+@expr_cache
 def educational_present(html) -> Column:
     """At least 2 of 5 keywords in the lower-cased body text, or at least 5 svg."""
     low = F.lower(text_content(body_html(html)))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import col, strip, tokens
+from ..functions.text import expr_cache, col, strip, tokens
 
 VOWELS = "[aeiouyäöüàâéèêëîïôûùœæáíóú]+"
 
@@ -36,6 +36,7 @@ def duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return h.join(g, "content_hash")
 
 
+@expr_cache
 def readability(text) -> Column:
     """Words, sentences, paragraphs, average sentence length, German
     Flesch (Amstad) and first Wiener Sachtextformel; in-row, no shuffle."""
@@ -75,6 +76,7 @@ def lexical_stats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
                     F.bround(F.log2("tokens") - F.col("_cl") / F.col("tokens"), 6).alias("entropy_bits"))
 
 
+@expr_cache
 def structure(text) -> Column:
     """Markdown headings, paragraphs, caps ratio, special-character
     ratio and repeated-line ratio."""

@@ -13,18 +13,20 @@ from pyspark.sql import types as T
 
 from ..functions import lexicons as L
 from ..functions.cascade import cascade, cascade_or_longest
-from ..functions.text import (COMMENT, RAW_OR_TAG, TAG, body_html, class_selector, col,
+from ..functions.text import (expr_cache, COMMENT, RAW_OR_TAG, TAG, body_html, class_selector, col,
                               collapse_ws, decode_entities, drop_blocks, drop_comments,
                               element_html, has_element, id_selector, strip, text_content)
 
 SEP = "\u0001"
 
 
+@expr_cache
 def body_text(html) -> Column:
     """``document.body.textContent`` (includes script/style text)."""
     return text_content(body_html(html))
 
 
+@expr_cache
 def visible_text(html) -> Column:
     """Body text after removing ``script`` and ``style`` elements."""
     return text_content(drop_blocks(body_html(html), "script", "style"))
@@ -38,6 +40,7 @@ def _selector_inner(body: Column, sel: str) -> tuple[Column, Column]:
     return has_element(body, sel), element_html(body, sel)
 
 
+@expr_cache
 def selector_text(html) -> Column:
     """Text of the first existing of main, article, .content, #content,
     .main, #main, .post, .entry; else the body text. Stripped."""
@@ -60,6 +63,7 @@ def text_nodes(fragment) -> Column:
 _SKIP_CLASSES = "|".join(s[1:] for s in L.READABLE_SKIP if s.startswith("."))
 
 
+@expr_cache
 def readable_text(html) -> Column:
     """B4 (native form): trimmed text nodes of at least 10 chars outside
     nav/header/footer/aside and div blocks with a skip class, joined by one
@@ -71,6 +75,7 @@ def readable_text(html) -> Column:
     return strip(F.array_join(F.filter(nodes, lambda x: F.length(x) >= L.READABLE_MIN), " "))
 
 
+@expr_cache
 def cascade_500(html, main_text: Column | None = None) -> Column:
     """First of (main text), selector, readable, full text with more than
     500 stripped chars; else full text. ``struct<text, strategy>``."""
@@ -82,6 +87,7 @@ def cascade_500(html, main_text: Column | None = None) -> Column:
     return cascade(cands, 500, fallback=full, fallback_name="full_content")
 
 
+@expr_cache
 def cascade_50(html) -> Column:
     """Fallback strategies; the four static body reads are all
     ``textContent``, so the first one decides. Threshold 50."""
@@ -95,6 +101,7 @@ def cascade_50(html) -> Column:
 _SVG_TEXT = r"(?is)<(?:text|tspan|title|desc)\b[^>]*>(.*?)</(?:text|tspan|title|desc)\s*>"
 
 
+@expr_cache
 def svg_text(html) -> Column:
     """B12 (SVG part): text of svg text/tspan/title/desc elements longer than
     2 chars after trimming, joined by a space."""
@@ -148,6 +155,7 @@ def _topic_text(j: Column) -> Column:
                F.concat(F.lit("Anhänge und Ressourcen:\n"), att_lines, F.lit("\n")))))
 
 
+@expr_cache
 def embedded_json_text(html) -> Column:
     """Labelled text from the first embedded topic script (by pattern
     order, then document order) that parses as a JSON object and yields text."""
@@ -167,6 +175,7 @@ def _quoted_strings(j: Column) -> Column:
     return F.array_join(F.regexp_extract_all(j, F.lit(r'"([^"]*)"'), 1), " ")
 
 
+@expr_cache
 def mined_text(html) -> Column:
     """Quoted strings of small JSON objects in scripts, ``data-*``
     values over 10 chars, body comments over 20 chars; each piece followed
@@ -187,6 +196,7 @@ def mined_text(html) -> Column:
 _STATE = r"window\.(?:__REDUX_STORE__|appState|applicationState|state|store|data)\s*=\s*(\{[^;]*\})"
 
 
+@expr_cache
 def state_text(html) -> Column:
     """B15 (static form): quoted strings of ``window.<state> = {...}`` objects
     in scripts, joined by a space, each object followed by a space."""
@@ -248,6 +258,7 @@ def best_snapshot(polls: DataFrame, key: str, poll: str, text: str,
 
 
 # ---- B18: markdown -> plain text ----
+@expr_cache
 def markdown_to_text(md) -> Column:
     """Headers, bold/italic, links (keep text), code fences, inline code,
     list markers, blank-line runs; in this order, then strip."""

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
-from ..functions.text import COMMENT, TAG, col, decode_entities, strip
+from ..functions.text import expr_cache, COMMENT, TAG, col, decode_entities, strip
 from ..functions.urls import is_internal, resolve
 
 ANCHOR = r"(?is)<a\b[^>]*>.*?</a\s*>"
@@ -55,6 +55,7 @@ def anchor_text(inner: Column) -> Column:
     return F.array_join(F.transform(nodes, lambda x: strip(decode_entities(x))), "")
 
 
+@expr_cache
 def extract_links(html, base_url) -> Column:
     """D1-D4 as ``array<struct<url, text, is_internal, link_type>>``: every
     ``<a href>`` except empty, ``#...`` and ``javascript:...``; text falls back
@@ -108,6 +109,7 @@ def _prio(t: Column) -> Column:
     return out
 
 
+@expr_cache
 def rank_links(links, max_links: int = L.MAX_LINKS) -> Column:
     """Internal first, then type priority, stable by position; keep ``max_links``."""
     keyed = F.transform(col(links), lambda x, i: F.struct(
@@ -116,6 +118,7 @@ def rank_links(links, max_links: int = L.MAX_LINKS) -> Column:
     return F.slice(ranked, 1, max_links)
 
 
+@expr_cache
 def link_stats(links) -> Column:
     """Totals, per-type counts and internal ratio (rounded half-even)."""
     ls = col(links)

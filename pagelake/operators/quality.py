@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
-from ..functions.text import col, count_substr, strip, tokens
+from ..functions.text import col, count_substr, expr_cache, strip, tokens
 
 
 def keyword_count(lower_text: Column, keywords) -> Column:
@@ -63,10 +63,24 @@ def classify(q: Column) -> Column:
 
 def with_quality(df: DataFrame, text: str = "text", out: str = "quality_metrics") -> DataFrame:
     """Add the C3 struct; counts are computed once, then classified."""
-    s = strip(F.coalesce(F.col(text), F.lit("")))
-    return (df.withColumn("_qs", s)
-            .withColumn("_qc", _counts(F.length("_qs").cast("bigint"), F.lower("_qs"), L.LEXICONS))
-            .withColumn(out, classify(F.col("_qc"))).drop("_qc", "_qs"))
+    return (df.withColumn("_qs", _stripped(text))
+            .withColumn("_qc", _named_counts("_qs"))
+            .withColumn(out, _classified("_qc")).drop("_qc", "_qs"))
+
+
+@expr_cache
+def _stripped(text: str) -> Column:
+    return strip(F.coalesce(F.col(text), F.lit("")))
+
+
+@expr_cache
+def _named_counts(name: str) -> Column:
+    return _counts(F.length(name).cast("bigint"), F.lower(name), L.LEXICONS)
+
+
+@expr_cache
+def _classified(name: str) -> Column:
+    return classify(F.col(name))
 
 
 def lexicon_frame(spark, lexicons=None) -> DataFrame:
