@@ -24,25 +24,44 @@ def cascade(candidates: list[tuple[str, Column]], threshold: int,
             fallback: Column | None = None, fallback_name: str = "fallback") -> Column:
     """First candidate whose stripped text is longer than ``threshold``,
     returned stripped, as ``struct<text, strategy>``; else ``fallback``
-    (stripped) named ``fallback_name``."""
+    (stripped; default the last candidate) named ``fallback_name``.
+
+    One ``aggregate`` fold: every candidate is evaluated once per row (a
+    filtered array referenced several times would be re-evaluated each time).
+    """
     arr = F.transform(_cands(candidates), lambda x: x.withField("text", strip(x["text"])))
-    hit = F.filter(arr, lambda x: F.length(x["text"]) > threshold)
-    fb = F.struct((strip(fallback) if fallback is not None else F.lit("")).alias("text"),
-                  F.lit(fallback_name).alias("strategy"))
-    return F.when(F.size(hit) > 0,
-                  F.struct(F.get(hit, 0)["text"].alias("text"), F.get(hit, 0)["name"].alias("strategy"))
-                  ).otherwise(fb)
+    zero = F.struct(F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("strategy"),
+                    F.lit("").alias("last"))
+
+    def merge(acc, x):
+        take = acc["text"].isNull() & (F.length(x["text"]) > threshold)
+        return F.struct(F.when(take, x["text"]).otherwise(acc["text"]).alias("text"),
+                        F.when(take, x["name"]).otherwise(acc["strategy"]).alias("strategy"),
+                        x["text"].alias("last"))
+
+    def finish(acc):
+        fb = strip(fallback) if fallback is not None else acc["last"]
+        return F.when(acc["text"].isNull(), F.struct(fb.alias("text"), F.lit(fallback_name).alias("strategy"))
+                      ).otherwise(F.struct(acc["text"].alias("text"), acc["strategy"].alias("strategy")))
+    return F.aggregate(arr, zero, merge, finish)
 
 
 def cascade_or_longest(candidates: list[tuple[str, Column]], threshold: int) -> Column:
     """First candidate longer than ``threshold`` (unstripped length), else the
-    longest one; ties keep the earlier. ``strategy`` is 'none' when all are empty."""
-    arr = _cands(candidates)
-    hit = F.filter(arr, lambda x: F.length(x["text"]) > threshold)
-    best = F.array_max(F.transform(arr, lambda x: F.struct(
-        F.length(x["text"]).alias("len"), (-x["ord"]).alias("neg_ord"),
-        x["text"].alias("text"), x["name"].alias("name"))))
-    return (F.when(F.size(hit) > 0,
-                   F.struct(F.get(hit, 0)["text"].alias("text"), F.get(hit, 0)["name"].alias("strategy")))
-            .when(best["len"] > 0, F.struct(best["text"].alias("text"), best["name"].alias("strategy")))
-            .otherwise(F.struct(F.lit("").alias("text"), F.lit("none").alias("strategy"))))
+    longest one; ties keep the earlier. ``strategy`` is 'none' when all are
+    empty. One ``aggregate`` fold over the candidates."""
+    zero = F.struct(F.lit(None).cast("string").alias("hit"), F.lit(None).cast("string").alias("hit_name"),
+                    F.lit("").alias("best"), F.lit("none").alias("best_name"))
+
+    def merge(acc, x):
+        take = acc["hit"].isNull() & (F.length(x["text"]) > threshold)
+        longer = F.length(x["text"]) > F.length(acc["best"])
+        return F.struct(F.when(take, x["text"]).otherwise(acc["hit"]).alias("hit"),
+                        F.when(take, x["name"]).otherwise(acc["hit_name"]).alias("hit_name"),
+                        F.when(longer, x["text"]).otherwise(acc["best"]).alias("best"),
+                        F.when(longer, x["name"]).otherwise(acc["best_name"]).alias("best_name"))
+
+    def finish(acc):
+        return F.when(acc["hit"].isNotNull(), F.struct(acc["hit"].alias("text"), acc["hit_name"].alias("strategy"))
+                      ).otherwise(F.struct(acc["best"].alias("text"), acc["best_name"].alias("strategy")))
+    return F.aggregate(_cands(candidates), zero, merge, finish)

@@ -84,7 +84,7 @@ def cascade_500(html, main_text: Column | None = None) -> Column:
         ("text_content", selector_text(html)),
         ("readable_content", readable_text(html)),
         ("full_content", full)]
-    return cascade(cands, 500, fallback=full, fallback_name="full_content")
+    return cascade(cands, 500, fallback_name="full_content")
 
 
 @expr_cache
@@ -92,9 +92,7 @@ def cascade_50(html) -> Column:
     """Fallback strategies; the four static body reads are all
     ``textContent``, so the first one decides. Threshold 50."""
     full = body_text(html)
-    return cascade([("networkidle_wait", full), ("content_indicators", full),
-                    ("progressive_wait", full), ("basic_extraction", full)], 50,
-                   fallback=F.lit(""), fallback_name="fallback_failed")
+    return cascade([("networkidle_wait", full)], 50, fallback=F.lit(""), fallback_name="fallback_failed")
 
 
 # ---- B12: SVG text ----
