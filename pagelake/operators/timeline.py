@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import lexicons as L
 from ..functions.urls import hostname
@@ -25,8 +26,12 @@ HOUR_US = 60 * MINUTE_US
 DAY_US = 24 * HOUR_US
 
 
-def ts_us(ts) -> Column:
-    """Event time as epoch microseconds (``timestamp_ntz`` read as UTC)."""
+def ts_us(ts, df: DataFrame | None = None) -> Column:
+    """Event time as epoch microseconds. A ``timestamp_ntz`` column (given by
+    name with its DataFrame) is read as UTC wall-clock time independent of
+    the session time zone; instants use ``unix_micros``."""
+    if df is not None and isinstance(ts, str) and isinstance(df.schema[ts].dataType, T.TimestampNTZType):
+        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{ts}`)")
     c = F.col(ts) if isinstance(ts, str) else ts
     return F.unix_micros(c.cast("timestamp"))
 
@@ -52,7 +57,7 @@ def window_weight(log: DataFrame, key: str, ts: str, weight: str, interval_us: i
     """Total weight per key within ``(t - interval, t]`` for every row
     (RANGE frame, ties on ``t`` included), computed per (key, time chunk)."""
     chunk = max(chunk_us or DAY_US, interval_us)
-    t = log.withColumn("_t", ts_us(ts)).withColumn("_c", F.floor(F.col("_t") / chunk))
+    t = log.withColumn("_t", ts_us(ts, log)).withColumn("_c", F.floor(F.col("_t") / chunk))
     ctx = (t.where(F.col("_t") >= (F.col("_c") + 1) * chunk - interval_us + 1)
            .withColumn("_c", F.col("_c") + 1).withColumn("_own", F.lit(False)))
     both = t.withColumn("_own", F.lit(True)).unionByName(ctx)
@@ -106,7 +111,7 @@ def admission(log: DataFrame, key: str, ts: str, id_col: str, weight: str, rates
     items still inside a window. Ties on ``ts`` are ordered by ``id_col``.
     """
     longest = max(i for _, i in rates)
-    t = log.select(key, id_col, weight, ts_us(ts).alias("_t"))
+    t = log.select(key, id_col, weight, ts_us(ts, log).alias("_t"))
     w = W.partitionBy(key).orderBy("_t", id_col)
     seg = (t.withColumn("_gap", (F.col("_t") - F.lag("_t").over(w)) >= longest)
            .withColumn("_segno", F.sum(F.coalesce(F.col("_gap").cast("int"), F.lit(0))).over(
@@ -161,7 +166,7 @@ def quiet_period(mutations: DataFrame, key: str, ts: str, gap_us: int = L.QUIET_
     """Per key, the first time ``gap_us`` passes without a mutation after
     the first one; NULL (timed out) when that is later than ``cap_us`` after
     the first mutation."""
-    t = mutations.select(key, ts_us(ts).alias("_t"))
+    t = mutations.select(key, ts_us(ts, mutations).alias("_t"))
     w = W.partitionBy(key).orderBy("_t")
     q = t.withColumn("_next", F.lead("_t").over(w))
     q = q.withColumn("_quiet", F.when(F.col("_next").isNull() | (F.col("_next") - F.col("_t") >= gap_us),
@@ -177,7 +182,7 @@ def quiet_or_significant(mutations: DataFrame, key: str, ts: str, added: str,
     """Resolve at the ``needed``-th significant addition (over
     ``min_chars`` chars), or after ``gap_us`` of quiet, or at ``cap_us``,
     whichever comes first; ``resolved_by`` names the rule."""
-    t = mutations.select(key, ts_us(ts).alias("_t"), F.col(added).alias("_a"))
+    t = mutations.select(key, ts_us(ts, mutations).alias("_t"), F.col(added).alias("_a"))
     w = W.partitionBy(key).orderBy("_t")
     t = (t.withColumn("_sig", F.sum(F.when(F.col("_a") > min_chars, 1).otherwise(0)).over(
         w.rowsBetween(W.unboundedPreceding, W.currentRow)))
