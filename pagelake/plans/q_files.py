@@ -90,3 +90,21 @@ def q_size_guard(spark, sf):
     g = FI.size_guard("size_bytes", 50)
     return f.select("page_id", "size_bytes", g["file_size_mb"].alias("file_size_mb"),
                     g["limit_mb"].alias("limit_mb"), g["too_large"].alias("too_large"))
+
+
+@register("body_decode")
+def q_body_decode(spark, sf):
+    """Raw bodies derived from every page (UTF-8, UTF-16LE with
+    NUL bytes, ISO-8859-1), the native binary test, decoding, and the
+    magic-byte format guess. Python runs only in Arrow-batched UDFs."""
+    from ..sources import bodies as B
+    from ..sources.tables import read_table
+    p = read_table(spark, sf, "pages")
+    enc = (F.when(F.col("page_id") % 3 == 0, F.encode("html", "UTF-8"))
+           .when(F.col("page_id") % 3 == 1, F.encode("html", "UTF-16LE"))
+           .otherwise(F.encode("html", "ISO-8859-1")))
+    b = p.select("page_id", enc.alias("body"))
+    return b.select("page_id", B.is_binary("body").alias("is_binary"),
+                    F.length(B.decode_body("body")).cast("bigint").alias("text_length"),
+                    FI.guess_format("body").alias("format_guess"),
+                    F.length(FI.decode_text_file("body")).cast("bigint").alias("text_file_length"))
