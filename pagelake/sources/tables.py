@@ -29,8 +29,12 @@ def spread(df: DataFrame) -> DataFrame:
     one core. Large inputs already arrive in many splits, and then this is a
     no-op, so no shuffle is added at scale.
     """
-    want = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+    try:
+        want = df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001  e.g. a Spark Connect session: leave the scan as is
+        return df
+    return df.repartition(want) if have < want else df
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
