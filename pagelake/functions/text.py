@@ -24,8 +24,10 @@ def expr_cache(fn):
 
     @functools.wraps(fn)
     def wrap(*args, **kw):
+        sc = SparkContext._active_spark_context
         try:
-            key = (id(SparkContext._active_spark_context), args, tuple(sorted(kw.items())))
+            key = ((sc.applicationId, sc.startTime) if sc is not None else None, args,
+                   tuple(sorted(kw.items())))
             hash(key)
         except TypeError:
             return fn(*args, **kw)

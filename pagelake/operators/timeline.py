@@ -75,17 +75,57 @@ def violations(log: DataFrame, key: str, ts: str, weight: str, rates, **kw) -> D
     return out.withColumn("violates", cond)
 
 
+# ---- Two-level (key, time chunk) helpers ----
+# A per-key window sorts all rows of a key in one task; a key holding a third
+# of all rows makes that task the whole job. These helpers compute the same
+# values exactly per (key, chunk) and fix the chunk borders with chunk-level
+# aggregates, which are tiny (one row per key and chunk).
+def _chunked(df: DataFrame, chunk_us: int) -> DataFrame:
+    return df.withColumn("_c", F.floor(F.col("_t") / F.lit(chunk_us)))
+
+
+def with_prev_next(df: DataFrame, key: str, order: list[str], chunk_us: int = DAY_US) -> DataFrame:
+    """Add ``_prev``/``_next``: the previous and next ``_t`` of the same key in
+    ``order`` (which starts with ``_t``)."""
+    d = _chunked(df, chunk_us)
+    w = W.partitionBy(key, "_c").orderBy(*order)
+    d = d.withColumn("_p0", F.lag("_t").over(w)).withColumn("_n0", F.lead("_t").over(w))
+    ch = d.groupBy(key, "_c").agg(F.min("_t").alias("_cmin"), F.max("_t").alias("_cmax"))
+    wc = W.partitionBy(key).orderBy("_c")
+    ch = ch.select(key, "_c", F.lag("_cmax").over(wc).alias("_pmax"), F.lead("_cmin").over(wc).alias("_nmin"))
+    return (d.join(ch, [key, "_c"])
+            .withColumn("_prev", F.coalesce("_p0", "_pmax")).withColumn("_next", F.coalesce("_n0", "_nmin"))
+            .drop("_p0", "_n0", "_pmax", "_nmin"))
+
+
+def with_running_sum(df: DataFrame, key: str, order: list[str], value: str, out: str,
+                     chunk_us: int = DAY_US) -> DataFrame:
+    """Add ``out``: running sum of ``value`` per key in ``order`` (from ``_t``)."""
+    d = df if "_c" in df.columns else _chunked(df, chunk_us)
+    w = W.partitionBy(key, "_c").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    d = d.withColumn("_rs0", F.sum(value).over(w))
+    ch = d.groupBy(key, "_c").agg(F.sum(value).alias("_ctot"))
+    wc = W.partitionBy(key).orderBy("_c").rowsBetween(W.unboundedPreceding, -1)
+    ch = ch.select(key, "_c", F.coalesce(F.sum("_ctot").over(wc), F.lit(0)).alias("_off"))
+    return d.join(ch, [key, "_c"]).withColumn(out, F.col("_rs0") + F.col("_off")).drop("_rs0", "_off")
+
+
 # ---- W5: admission decision (sequential per key) ----
+def _rates_for(rates, host):
+    return rates(host) if callable(rates) else rates
+
+
 def _admit_partition(rates, key, ts_col, id_col, weight):
     def run(batches):
-        state_key, buckets = None, None
+        state_key, buckets, host_rates = None, None, None
         for pdf in batches:
             admitted = []
-            for k, t, w in zip(pdf["_seg"].values, pdf["_t"].values, pdf[weight].values):
+            for k, h, t, w in zip(pdf["_seg"].values, pdf[key].values, pdf["_t"].values, pdf[weight].values):
                 if k != state_key:
-                    state_key, buckets = k, [deque() for _ in rates]
+                    host_rates = _rates_for(rates, h)
+                    state_key, buckets = k, [deque() for _ in host_rates]
                 ok = True
-                for (limit, interval), q in zip(rates, buckets):
+                for (limit, interval), q in zip(host_rates, buckets):
                     while q and q[0][0] <= t - interval:
                         q.popleft()
                     if sum(x[1] for x in q) + w > limit:
@@ -99,24 +139,34 @@ def _admit_partition(rates, key, ts_col, id_col, weight):
 
 
 def admission(log: DataFrame, key: str, ts: str, id_col: str, weight: str, rates,
-              partitions: int | None = None) -> DataFrame:
+              partitions: int | None = None, max_interval_us: int | None = None,
+              chunk_us: int = DAY_US) -> DataFrame:
     """One bucket per key; an item that would push any rate's window
     total over its limit is refused and takes no room.
 
+    ``rates`` is a list of ``(limit, interval_us)`` or, like the reference's
+    rate strategy, a function from the key (host) to such a list, called
+    when a bucket is created; then ``max_interval_us`` must bound every
+    interval it returns.
+
     The decision is a fold over time, so it runs sequentially per key. A
     key's timeline is cut into independent segments wherever the gap
-    between items reaches the longest interval (the bucket is empty then);
-    segments are hash-partitioned, sorted in Spark (external sort) and
-    streamed through ``mapInPandas`` in Arrow batches, holding only the
-    items still inside a window. Ties on ``ts`` are ordered by ``id_col``.
+    between items reaches the longest interval (the bucket is empty then).
+    The gaps and segment numbers come from the two-level (key, time chunk)
+    helpers, so even a hot key is sorted in parallel chunks; segments are
+    hash-partitioned, sorted by Spark (external sort) and streamed through
+    ``mapInPandas`` in Arrow batches, holding only the items still inside a
+    window. Ties on ``ts`` are ordered by ``id_col``.
     """
-    longest = max(i for _, i in rates)
+    longest = max_interval_us if callable(rates) else max(i for _, i in rates)
+    if longest is None:
+        raise ValueError("max_interval_us is required when rates is a function")
     t = log.select(key, id_col, weight, ts_us(ts, log).alias("_t"))
-    w = W.partitionBy(key).orderBy("_t", id_col)
-    seg = (t.withColumn("_gap", (F.col("_t") - F.lag("_t").over(w)) >= longest)
-           .withColumn("_segno", F.sum(F.coalesce(F.col("_gap").cast("int"), F.lit(0))).over(
-               w.rowsBetween(W.unboundedPreceding, W.currentRow)))
-           .withColumn("_seg", F.concat_ws("\u0001", F.col(key), F.col("_segno").cast("string"))))
+    order = ["_t", id_col]
+    t = with_prev_next(t, key, order, chunk_us)
+    t = t.withColumn("_gap", F.coalesce(((F.col("_t") - F.col("_prev")) >= longest).cast("int"), F.lit(0)))
+    seg = with_running_sum(t, key, order, "_gap", "_segno", chunk_us)
+    seg = seg.withColumn("_seg", F.concat_ws("\u0001", F.col(key), F.col("_segno").cast("string")))
     n = partitions or log.sparkSession.sparkContext.defaultParallelism
     ordered = seg.repartition(n, "_seg").sortWithinPartitions("_seg", "_t", id_col)
     schema = f"{id_col} long, {key} string, admitted boolean"
@@ -162,13 +212,13 @@ def length_stability(polls: DataFrame, key: str, poll: str, length: str,
 
 # ---- W8/W9: quiet periods ----
 def quiet_period(mutations: DataFrame, key: str, ts: str, gap_us: int = L.QUIET_MS * 1000,
-                 cap_us: int = L.QUIET_CAP_MS * 1000) -> DataFrame:
+                 cap_us: int = L.QUIET_CAP_MS * 1000, chunk_us: int = DAY_US) -> DataFrame:
     """Per key, the first time ``gap_us`` passes without a mutation after
     the first one; NULL (timed out) when that is later than ``cap_us`` after
-    the first mutation."""
+    the first mutation. Next-event times come from the two-level helper;
+    the final step is a partial aggregate."""
     t = mutations.select(key, ts_us(ts, mutations).alias("_t"))
-    w = W.partitionBy(key).orderBy("_t")
-    q = t.withColumn("_next", F.lead("_t").over(w))
+    q = with_prev_next(t, key, ["_t"], chunk_us)
     q = q.withColumn("_quiet", F.when(F.col("_next").isNull() | (F.col("_next") - F.col("_t") >= gap_us),
                                       F.col("_t") + gap_us))
     g = q.groupBy(key).agg(F.min("_t").alias("start_us"), F.min("_quiet").alias("_q"))
@@ -178,15 +228,15 @@ def quiet_period(mutations: DataFrame, key: str, ts: str, gap_us: int = L.QUIET_
 
 def quiet_or_significant(mutations: DataFrame, key: str, ts: str, added: str,
                          min_chars: int = 50, needed: int = 3, gap_us: int = 3 * SECOND_US,
-                         cap_us: int = 15 * SECOND_US) -> DataFrame:
+                         cap_us: int = 15 * SECOND_US, chunk_us: int = DAY_US) -> DataFrame:
     """Resolve at the ``needed``-th significant addition (over
     ``min_chars`` chars), or after ``gap_us`` of quiet, or at ``cap_us``,
-    whichever comes first; ``resolved_by`` names the rule."""
-    t = mutations.select(key, ts_us(ts, mutations).alias("_t"), F.col(added).alias("_a"))
-    w = W.partitionBy(key).orderBy("_t")
-    t = (t.withColumn("_sig", F.sum(F.when(F.col("_a") > min_chars, 1).otherwise(0)).over(
-        w.rowsBetween(W.unboundedPreceding, W.currentRow)))
-         .withColumn("_next", F.lead("_t").over(w)))
+    whichever comes first; ``resolved_by`` names the rule. Running counts
+    and next-event times come from the two-level helpers."""
+    t = mutations.select(key, ts_us(ts, mutations).alias("_t"),
+                         F.when(F.col(added) > min_chars, 1).otherwise(0).alias("_s"))
+    t = with_prev_next(t, key, ["_t"], chunk_us)
+    t = with_running_sum(t, key, ["_t"], "_s", "_sig", chunk_us)
     g = t.groupBy(key).agg(
         F.min("_t").alias("start_us"),
         F.min(F.when(F.col("_sig") >= needed, F.col("_t"))).alias("sig_us"),

@@ -69,8 +69,14 @@ def _admission_state_fn(rates):
     longest = max(i for _, i in rates)
 
     def fn(key, pdfs, state):
+        if state.hasTimedOut:
+            # Every admitted item is older than the longest interval: the
+            # bucket is empty, so its state can go.
+            state.remove()
+            yield pd.DataFrame({"event_id": [], "host": [], "admitted": []})
+            return
         items = deque(tuple(x) for x in (state.get[0] if state.exists else []))
-        out_ids, out_ok = [], []
+        out_ids, out_ok, last = [], [], None
         for pdf in pdfs:
             pdf = pdf.sort_values(["_t", "event_id"])
             for eid, t, w in zip(pdf["event_id"].values, pdf["_t"].values, pdf["weight"].values):
@@ -81,18 +87,31 @@ def _admission_state_fn(rates):
                     items.append((int(t), int(w)))
                 out_ids.append(int(eid))
                 out_ok.append(bool(ok))
+                last = int(t) if last is None else max(last, int(t))
         state.update(([list(x) for x in items],))
+        if items:
+            expire_ms = (items[-1][0] + longest) // 1000
+            if expire_ms > (state.getCurrentWatermarkMs() or 0):
+                state.setTimeoutTimestamp(expire_ms)
+            else:
+                state.remove()
+        else:
+            state.remove()
         yield pd.DataFrame({"event_id": out_ids, "host": [key[0]] * len(out_ids), "admitted": out_ok})
     return fn
 
 
-def admission_stream(log: DataFrame, rates) -> DataFrame:
+def admission_stream(log: DataFrame, rates, watermark: str = "1 hour") -> DataFrame:
     """Per-host admission over a stream of ``(event_id, host, ts, weight)``.
-    Equal to the batch W5 result for input that arrives in time order."""
-    t = log.select("event_id", "host", "weight", F.unix_micros(F.col("ts").cast("timestamp")).alias("_t"))
+    State per host holds only admitted items inside the longest interval
+    and is dropped by an event-time timeout once they have all expired, so
+    state stays bounded by the active hosts. Equal to the batch W5 result
+    for input that arrives in time order."""
+    t = (log.withColumn("_ts", F.col("ts").cast("timestamp")).withWatermark("_ts", watermark)
+         .select("event_id", "host", "weight", "_ts", F.unix_micros("_ts").alias("_t")))
     return t.groupBy("host").applyInPandasWithState(
         _admission_state_fn(rates), "event_id long, host string, admitted boolean",
-        "items array<array<long>>", "append", GroupStateTimeout.NoTimeout)
+        "items array<array<long>>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # ---- S3 ----

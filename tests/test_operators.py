@@ -197,3 +197,33 @@ def test_link_pipeline_is_narrow(spark):
     plan = p._jdf.queryExecution().executedPlan().toString()
     # only the scan-spreading round-robin exchange, no hash shuffle for links
     assert "hashpartitioning" not in plan.lower()
+
+
+def test_two_level_helpers_equal_plain_windows(spark):
+    from pyspark.sql import Window as W
+    from pagelake.sources.tables import read_table
+    e = read_table(spark, SF_SMALL, "events").select("user_id", "event_id", TL.ts_us("ts").alias("_t"),
+                                                      (F.col("value") > 50).cast("int").alias("_s"))
+    small = TL.with_running_sum(TL.with_prev_next(e, "user_id", ["_t", "event_id"], TL.HOUR_US),
+                                "user_id", ["_t", "event_id"], "_s", "rs", TL.HOUR_US)
+    w = W.partitionBy("user_id").orderBy("_t", "event_id")
+    plain = e.select("event_id", F.lag("_t").over(w).alias("_prev"), F.lead("_t").over(w).alias("_next"),
+                     F.sum("_s").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("rs"))
+    a = sorted(tuple(r) for r in small.select("event_id", "_prev", "_next", "rs").collect())
+    b = sorted(tuple(r) for r in plain.collect())
+    assert a == b
+
+
+def test_admission_with_rate_function(spark):
+    f = seeded(spark, SF_SMALL, "fetch_log").select("event_id", "host", "ts", "weight")
+
+    def rates(host):
+        return [(5, TL.HOUR_US)] if host.startswith("h1") else [(10, 2 * TL.HOUR_US)]
+    got = {r.event_id: r.admitted for r in
+           TL.admission(f, "host", "ts", "event_id", "weight", rates, max_interval_us=2 * TL.HOUR_US).collect()}
+    rows = [(r.event_id, r.host, r.t, r.weight) for r in
+            f.select("event_id", "host", TL.ts_us("ts").alias("t"), "weight").collect()]
+    exp = {}
+    for host in {r[1] for r in rows}:
+        exp.update(_brute_admission([r for r in rows if r[1] == host], rates(host)))
+    assert got == exp
