@@ -207,20 +207,32 @@ def iframe_sources(html) -> Column:
     return F.regexp_extract_all(col(html), F.lit(r'(?is)<iframe\b[^>]*?\ssrc\s*=\s*"([^"]*)"'), 1)
 
 
-def iframe_text(pages: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+def iframe_text(pages: DataFrame, targets: DataFrame | None = None,
+                max_broadcast_targets: int = 1_000_000) -> DataFrame:
     """For each page, the body text (over 50 chars) of every iframe
     target, in iframe order, each followed by a space.
 
     ``pages(page_id, url, html)``; ``targets`` (default: ``pages``) supplies
-    ``(url, html)`` of the framed documents. Target text is computed and
-    filtered before the join, so only short rows are shuffled.
+    ``(url, html)`` of the framed documents. The iframe rows are small; they
+    are checkpointed (shared folder) and their distinct targets counted. When
+    that count is under ``max_broadcast_targets`` the target table is
+    filtered by a broadcast semi join, so only framed pages are parsed and no
+    page row is shuffled; otherwise text is computed before a shuffle join,
+    so HTML still never moves.
     """
     from ..functions.urls import resolve
+    from ..session import ensure_checkpoint_dir
     targets = pages if targets is None else targets
     frames = (pages.select("page_id", "url", F.posexplode_outer(iframe_sources("html")).alias("ipos", "src"))
               .where(F.col("src").isNotNull())
               .select("page_id", "ipos", resolve(F.col("url"), strip(decode_entities(F.col("src")))).alias("target")))
-    texts = (targets.select(F.col("url").alias("target"), body_text("html").alias("ttext"))
+    ensure_checkpoint_dir(pages.sparkSession)
+    frames = frames.checkpoint(eager=True)
+    wanted = frames.select("target").distinct()
+    src = targets.select("url", "html")
+    if wanted.count() <= max_broadcast_targets:
+        src = src.join(F.broadcast(wanted), src["url"] == wanted["target"], "left_semi")
+    texts = (src.select(F.col("url").alias("target"), body_text("html").alias("ttext"))
              .where(F.length("ttext") > 50))
     joined = frames.join(texts, "target", "left")
     agg = (joined.groupBy("page_id")

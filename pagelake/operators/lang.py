@@ -51,8 +51,13 @@ def train(labelled: DataFrame, text: str = "text", label: str = "lang") -> DataF
 
 
 def _maybe_broadcast(model: DataFrame, max_rows: int) -> DataFrame:
-    n = model.count()
-    return F.broadcast(model) if n <= max_rows else model
+    """Checkpoint the model to the shared folder (it is reused and survives
+    executor loss without retraining), then broadcast it only when its row
+    count is under ``max_rows``."""
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(model.sparkSession)
+    model = model.checkpoint(eager=True)
+    return F.broadcast(model) if model.count() <= max_rows else model
 
 
 def detect(docs: DataFrame, model: DataFrame, key: str = "doc_id", text: str = "text",
@@ -63,7 +68,7 @@ def detect(docs: DataFrame, model: DataFrame, key: str = "doc_id", text: str = "
     words = _words(docs, key, text, prefix)
     ntok = words.groupBy(key).agg(F.sum("n").alias("ntok"))
     m = _maybe_broadcast(model, max_broadcast_rows)
-    langs = model.select("lang", "unseen", "prior").distinct()
+    langs = m.select("lang", "unseen", "prior").distinct()
     s = (words.join(m, "word").groupBy(key, "lang")
          .agg(F.sum(F.col("n") * (F.col("logp") - F.col("unseen"))).alias("delta")))
     s = (s.join(F.broadcast(langs), "lang").join(ntok, key)

@@ -95,7 +95,7 @@ pred AS (SELECT doc_id, lang, round_even(1.0 / zz, 4) AS confidence, CAST(score
 
 def _language(spark, sf):
     docs = read_table(spark, sf, "documents")
-    model = LG.train(docs.select("text", "lang")).cache()
+    model = LG.train(docs.select("text", "lang"))
     return LG.detect(docs.select("doc_id", "text"), model, "doc_id", "text")
 
 
