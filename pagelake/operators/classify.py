@@ -31,28 +31,42 @@ def _labelled(c: Column, pairs) -> Column:
 
 
 @expr_cache
-def error_page(html, content) -> Column:
-    """C4: ``struct<is_error_page, error_type>``; title -> content phrases ->
-    security phrases -> short content -> DOM selectors, first match wins."""
-    title = F.lower(title_text(html))
-    c = F.lower(F.coalesce(col(content), F.lit("")))
-    has = F.coalesce(col(content), F.lit("")) != ""
-    short = has & (F.length(strip(F.coalesce(col(content), F.lit("")))) < L.SHORT_CONTENT_MAX)
+def error_dom_label(html) -> Column:
+    """C4 DOM stage alone: ``dom_error_x`` for the first error selector present."""
     dom = None
     for sel in reversed(L.ERROR_SELECTORS):
         lab = F.lit("dom_error_" + sel.replace(".", "").replace("#", ""))
         cond = col(html).rlike("(?s)" + _sel_pattern(sel))
         dom = F.when(cond, lab) if dom is None else F.when(cond, lab).otherwise(dom)
+    return dom
+
+
+def error_page_parts(title, content, dom_label) -> Column:
+    """C4 from its parts (document title, extracted content, DOM label), so
+    it can run after HTML has been dropped: ``struct<is_error_page, error_type>``;
+    title -> content phrases -> security phrases -> short content -> DOM,
+    first match wins."""
+    t = F.lower(F.coalesce(col(title), F.lit("")))
+    raw = F.coalesce(col(content), F.lit(""))
+    c = F.lower(raw)
+    has = raw != ""
+    short = has & (F.length(strip(raw)) < L.SHORT_CONTENT_MAX)
     etype = F.coalesce(
-        _labelled(title, [(n, f"error_title_{n}") for n in L.ERROR_TITLES]),
+        _labelled(t, [(n, f"error_title_{n}") for n in L.ERROR_TITLES]),
         F.when(has, _labelled(c, [(n, "http_error_" + n.replace(" ", "_")) for n in L.HTTP_ERRORS])),
         F.when(has, _labelled(c, [(n, "security_challenge_" + n.replace(" ", "_")) for n in L.SECURITY_INDICATORS])),
         F.when(short, _labelled(c, [(n, f"short_error_{n}") for n in L.SHORT_CONTENT_ERRORS])),
-        dom)
+        col(dom_label))
     return F.struct(etype.isNotNull().alias("is_error_page"), etype.alias("error_type"))
 
 
 @expr_cache
+def error_page(html, content) -> Column:
+    """C4: ``struct<is_error_page, error_type>`` from the page HTML and its
+    extracted content."""
+    return error_page_parts(title_text(html), content, error_dom_label(html))
+
+
 def spa_indicators(html) -> Column:
     """``struct<frameworks array, score, is_spa, characteristics array>``
     from substring tests on the lower-cased HTML."""

@@ -363,9 +363,9 @@ def _dom_batches(output_format: str, preference: str, keep=()):
 def dom_pass(pages: DataFrame, output_format: str = "text", preference: str = "none",
              keep: tuple[str, ...] = ()) -> DataFrame:
     """Parse each page once; returns ``DOM_SCHEMA`` rows keyed by page_id.
-    ``keep`` names string columns passed through unchanged (native columns
-    computed before the pass), so no join is needed to combine them."""
-    schema = T.StructType(DOM_SCHEMA.fields + [T.StructField(k, T.StringType()) for k in keep])
+    ``keep`` names columns passed through unchanged (native columns computed
+    before the pass, e.g. links), so no join is needed to combine them."""
+    schema = T.StructType(DOM_SCHEMA.fields + [pages.schema[k] for k in keep])
     return pages.select("page_id", "html", *keep).mapInPandas(_dom_batches(output_format, preference, keep), schema)
 
 

@@ -36,18 +36,23 @@ def proxy_error(proxies) -> Column:
     return F.get(F.filter(F.transform(col(proxies), err), lambda e: e.isNotNull()), 0)
 
 
-def _bound(name: str, lo_hi) -> Column:
+def _bound(df: DataFrame, name: str, lo_hi) -> Column:
     lo, hi = lo_hi
+    if name not in df.columns:
+        return F.lit(None).cast("string")
     c = F.col(name)
     return F.when(c.isNotNull() & ((c < lo) | (c > hi)), F.lit(f"{name} must be between {lo} and {hi}"))
 
 
 def normalise_requests(requests: DataFrame) -> DataFrame:
     """A3: defaults, bounds and proxy list; adds ``proxies_norm`` and ``reject_reason``."""
-    df = requests.withColumn("proxies_norm", normalise_proxies("proxies"))
-    reason = F.coalesce(_bound("max_file_size_mb", L.MAX_FILE_MB),
-                        _bound("conversion_timeout", L.CONVERSION_TIMEOUT_S),
-                        _bound("timeout", L.REQUEST_TIMEOUT_S),
+    df = requests
+    if "proxies" not in df.columns:
+        df = df.withColumn("proxies", F.lit(None).cast("array<string>"))
+    df = df.withColumn("proxies_norm", normalise_proxies("proxies"))
+    reason = F.coalesce(_bound(df, "max_file_size_mb", L.MAX_FILE_MB),
+                        _bound(df, "conversion_timeout", L.CONVERSION_TIMEOUT_S),
+                        _bound(df, "timeout", L.REQUEST_TIMEOUT_S),
                         proxy_error("proxies_norm"))
     return df.withColumn("reject_reason", reason)
 
