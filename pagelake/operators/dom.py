@@ -369,24 +369,33 @@ def dom_pass(pages: DataFrame, output_format: str = "text", preference: str = "n
     return pages.select("page_id", "html", *keep).mapInPandas(_dom_batches(output_format, preference, keep), schema)
 
 
-def main_text_dedup(pages: DataFrame, dom: DataFrame, min_pages: int = 3,
+def main_text_dedup(pages: DataFrame, dom: DataFrame | None = None, min_pages: int = 3,
                     preference: str = "none") -> DataFrame:
     """B1 with cross-page boilerplate removal: a block whose text hash shows
     up on at least ``min_pages`` distinct pages of the same host is dropped
-    (left anti join), the rest re-assembled in page order. The count per
-    (host, hash) is a partial aggregate, so a host holding a third of all
-    pages still shuffles one row per task and key."""
+    (left anti join), the rest re-assembled in page order.
+
+    The block table feeds both the count and the anti join, so it is
+    checkpointed to the shared folder once instead of parsing HTML twice.
+    The count per (host, hash) is a partial aggregate over distinct
+    (host, hash, page) rows, so a host holding a third of all pages still
+    shuffles a bounded number of rows per task and key; the anti join on a
+    hot (host, hash) is split by AQE's skew handling.
+    """
     from ..functions.urls import hostname
+    from ..session import ensure_checkpoint_dir
     mn = PREFERENCE_MIN.get(preference, 25)
-    b = (dom.select("page_id", F.explode_outer("blocks").alias("b")).where(F.col("b").isNotNull())
-         .join(pages.select("page_id", hostname("url").alias("host")), "page_id")
-         .select("page_id", "host", "b.pos", "b.tag", "b.text", "b.link_chars",
-                 F.xxhash64("b.text").alias("h")))
-    rep = (b.groupBy("host", "h").agg(F.count_distinct("page_id").alias("n"))
+    d = dom if dom is not None else dom_pass(pages, "text", preference, keep=("url",))
+    b = (d.select("page_id", hostname("url").alias("host"), F.posexplode_outer("blocks").alias("_i", "b"))
+         .select("page_id", "host", "b.pos", "b.tag", "b.text", F.xxhash64("b.text").alias("h")))
+    ensure_checkpoint_dir(pages.sparkSession)
+    b = b.checkpoint(eager=True)
+    rep = (b.where(F.col("pos").isNotNull()).select("host", "h", "page_id").distinct()
+           .groupBy("host", "h").agg(F.count("*").alias("n"))
            .where(F.col("n") >= min_pages).select("host", "h"))
-    kept = (b.join(rep, ["host", "h"], "left_anti")
-            .where(((F.length("text") >= mn) | F.col("tag").startswith("h"))))
+    kept = b.join(rep, ["host", "h"], "left_anti")
+    keep_block = F.col("pos").isNotNull() & ((F.length("text") >= mn) | F.col("tag").startswith("h"))
     agg = kept.groupBy("page_id").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda s: s["text"]), "\n").alias("main_text"))
-    return pages.select("page_id").join(agg, "page_id", "left").select(
-        "page_id", F.coalesce("main_text", F.lit("")).alias("main_text"))
+        F.array_sort(F.collect_list(F.when(keep_block, F.struct("pos", "text")))), lambda s: s["text"]), "\n")
+        .alias("main_text"))
+    return agg.select("page_id", F.coalesce("main_text", F.lit("")).alias("main_text"))

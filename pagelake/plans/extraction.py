@@ -61,6 +61,14 @@ def _record(df: DataFrame, mode: str, include_links: bool, calculate_quality: bo
         *extra)
 
 
+def _materialise(df: DataFrame) -> DataFrame:
+    """Checkpoint the per-page results (shared folder): downstream steps read
+    them more than once, and the DOM pass must not run twice."""
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def _join_requests(reqs: DataFrame, page_rows: DataFrame) -> DataFrame:
     """Requests ⟕ page results on URL; invalid, unmatched or empty -> error rows."""
     r = normalise_requests(reqs).withColumn("_rid", F.monotonically_increasing_id())
@@ -87,6 +95,7 @@ def simple_mode(requests: DataFrame, pages: DataFrame, lang_model: DataFrame | N
     d = DM.dom_pass(p, output_format, preference, keep=("url",) + (("links",) if include_links else ()))
     rows = d.select(F.col("url").alias("_purl"), F.col("main_text").alias("text"),
                     *(["links"] if include_links else []))
+    rows = _materialise(rows)
     j = _join_requests(requests.where(F.col("method") == "simple") if "method" in requests.columns else requests, rows)
     j = _lang(j, "text", lang_model, target_language, None, 0, "unknown", 0.5)
     if calculate_quality:
@@ -143,6 +152,7 @@ def browser_mode(requests: DataFrame, pages: DataFrame, lang_model: DataFrame |
     rows = (d.select(F.col("url").alias("_purl"), text.alias("text"), method.alias("extraction_method"),
                      "is_spa", "is_ultra_complex", "title", "dom_error", *(["links"] if include_links else []))
             .withColumn("_e", C.error_page_parts("title", "text", "dom_error")).drop("title", "dom_error"))
+    rows = _materialise(rows)
     j = _join_requests(requests.where(F.col("method") == "browser") if "method" in requests.columns else requests, rows)
     j = _lang(j, "text", lang_model, "auto", 1000, 10, "en", None)
     if calculate_quality:

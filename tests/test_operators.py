@@ -227,3 +227,16 @@ def test_admission_with_rate_function(spark):
     for host in {r[1] for r in rows}:
         exp.update(_brute_admission([r for r in rows if r[1] == host], rates(host)))
     assert got == exp
+
+
+def test_main_text_dedup_keeps_article_paragraphs(spark):
+    from pagelake.sources.tables import read_table
+    pages = read_table(spark, SF_SMALL, "pages")
+    mt = {r.page_id: r.main_text for r in DM.main_text_dedup(pages).collect()}
+    art = {r.page_id: r.a for r in pages.select("page_id", H.selector_text("html").alias("a")).collect()}
+    assert set(mt) == set(art)
+    for pid, text in mt.items():
+        assert text, pid
+        # every kept line comes from the article, none from nav/ads/footer
+        first = text.split("\n")[0]
+        assert first.split()[0] in art[pid]
