@@ -383,13 +383,12 @@ def main_text_dedup(pages: DataFrame, dom: DataFrame | None = None, min_pages: i
     hot (host, hash) is split by AQE's skew handling.
     """
     from ..functions.urls import hostname
-    from ..session import ensure_checkpoint_dir
+    from ..session import materialise
     mn = PREFERENCE_MIN.get(preference, 25)
     d = dom if dom is not None else dom_pass(pages, "text", preference, keep=("url",))
     b = (d.select("page_id", hostname("url").alias("host"), F.posexplode_outer("blocks").alias("_i", "b"))
          .select("page_id", "host", "b.pos", "b.tag", "b.text", F.xxhash64("b.text").alias("h")))
-    ensure_checkpoint_dir(pages.sparkSession)
-    b = b.checkpoint(eager=True)
+    b = materialise(b, "dom_blocks")
     rep = (b.where(F.col("pos").isNotNull()).select("host", "h", "page_id").distinct()
            .groupBy("host", "h").agg(F.count("*").alias("n"))
            .where(F.col("n") >= min_pages).select("host", "h"))

@@ -221,13 +221,12 @@ def iframe_text(pages: DataFrame, targets: DataFrame | None = None,
     so HTML still never moves.
     """
     from ..functions.urls import resolve
-    from ..session import ensure_checkpoint_dir
+    from ..session import materialise
     targets = pages if targets is None else targets
     frames = (pages.select("page_id", "url", F.posexplode_outer(iframe_sources("html")).alias("ipos", "src"))
               .where(F.col("src").isNotNull())
               .select("page_id", "ipos", resolve(F.col("url"), strip(decode_entities(F.col("src")))).alias("target")))
-    ensure_checkpoint_dir(pages.sparkSession)
-    frames = frames.checkpoint(eager=True)
+    frames = materialise(frames, "iframes")
     wanted = frames.select("target").distinct()
     src = targets.select("url", "html")
     if wanted.count() <= max_broadcast_targets:

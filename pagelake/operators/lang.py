@@ -35,6 +35,10 @@ def train(labelled: DataFrame, text: str = "text", label: str = "lang") -> DataF
     t = F.lower(strip(F.coalesce(F.col(text), F.lit(""))))
     counts = (docs.select(label, F.explode_outer(tokens(t)).alias("word")).where(F.col("word").isNotNull())
               .groupBy(label, "word").agg(F.count("*").alias("c")))
+    # Counts feed the vocabulary size, the per-language totals and the model:
+    # checkpoint them once (shared folder) instead of tokenising three times.
+    from ..session import materialise
+    counts = materialise(counts, "lang_counts")
     vocab = counts.select(F.countDistinct("word")).scalar()
     ndocs = docs.select(F.count("*")).scalar()
     totals = counts.groupBy(label).agg(F.sum("c").alias("N"))
@@ -54,9 +58,8 @@ def _maybe_broadcast(model: DataFrame, max_rows: int) -> DataFrame:
     """Checkpoint the model to the shared folder (it is reused and survives
     executor loss without retraining), then broadcast it only when its row
     count is under ``max_rows``."""
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(model.sparkSession)
-    model = model.checkpoint(eager=True)
+    from ..session import materialise
+    model = materialise(model, "lang_model")
     return F.broadcast(model) if model.count() <= max_rows else model
 
 
@@ -64,21 +67,29 @@ def detect(docs: DataFrame, model: DataFrame, key: str = "doc_id", text: str = "
            prefix: int | None = None, max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """``(key, lang, confidence, score)``; confidence is the softmax
     posterior of the best language among languages that share a word with
-    the document; ties go to the smaller language code."""
-    words = _words(docs, key, text, prefix)
-    ntok = words.groupBy(key).agg(F.sum("n").alias("ntok"))
+    the document; ties go to the smaller language code.
+
+    Three shuffles: (doc, word) counts with the document's token total
+    carried along, (doc, lang) sums after the model join, and one row per
+    document whose per-language array (bounded by the label set) yields
+    the arg-max and the softmax in-row.
+    """
+    t = F.lower(strip(F.coalesce(F.col(text), F.lit(""))))
+    if prefix:
+        t = F.left(t, F.lit(prefix))
+    toks = docs.select(key, tokens(t).alias("_toks"))
+    words = (toks.select(key, F.size("_toks").alias("ntok"), F.explode_outer("_toks").alias("word"))
+             .where(F.col("word").isNotNull())
+             .groupBy(key, "word", "ntok").agg(F.count("*").alias("n")))
     m = _maybe_broadcast(model, max_broadcast_rows)
-    langs = m.select("lang", "unseen", "prior").distinct()
     s = (words.join(m, "word").groupBy(key, "lang")
-         .agg(F.sum(F.col("n") * (F.col("logp") - F.col("unseen"))).alias("delta")))
-    s = (s.join(F.broadcast(langs), "lang").join(ntok, key)
-         .withColumn("score", F.col("delta") + F.col("ntok") * F.col("unseen") + F.col("prior")))
-    w = W.partitionBy(key)
-    best = F.max("score").over(w)
-    s = s.withColumn("_z", F.sum(F.exp((F.col("score") - best) / 1000.0)).over(w)).withColumn("_best", best)
-    top = s.groupBy(key).agg(F.min_by("lang", F.struct(-F.col("score"), F.col("lang"))).alias("lang"),
-                             F.max("score").alias("score"), F.first("_z").alias("_z"))
-    return top.select(key, "lang", F.bround(1.0 / F.col("_z"), 4).alias("confidence"), "score")
+         .agg((F.sum(F.col("n") * (F.col("logp") - F.col("unseen")))
+               + F.first("ntok") * F.first("unseen") + F.first("prior")).alias("score")))
+    per = s.groupBy(key).agg(F.collect_list(F.struct((-F.col("score")).alias("neg"), "lang", "score")).alias("_c"))
+    best = F.array_min("_c")
+    z = F.aggregate("_c", F.lit(0.0), lambda acc, x: acc + F.exp((x["score"] - best["score"]) / 1000.0))
+    return per.select(key, best["lang"].alias("lang"), F.bround(1.0 / z, 4).alias("confidence"),
+                      best["score"].alias("score"))
 
 
 def label_with_threshold(lang: Column, confidence: Column, min_confidence: float = 0.5,

@@ -64,9 +64,8 @@ def _record(df: DataFrame, mode: str, include_links: bool, calculate_quality: bo
 def _materialise(df: DataFrame) -> DataFrame:
     """Checkpoint the per-page results (shared folder): downstream steps read
     them more than once, and the DOM pass must not run twice."""
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    from ..session import materialise
+    return materialise(df, "page_results")
 
 
 def _join_requests(reqs: DataFrame, page_rows: DataFrame) -> DataFrame:

@@ -7,13 +7,34 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..streaming import jobs as S
+from . import duck as D
 from .catalog import register
+from .q_html import BODY_CTE, _d_selector
+from .q_links import LINKS_CTE
+from .q_quality import D_CATEGORY, d_quality_cols
 from .q_timeline import RATE
 
-_S1_SQL = None  # S1 equals the batch host roll-up inputs; checked in tests.
-
-
-@register("stream_extraction")
+# S1 reads the raw pages table; the shared CTEs name it seeded_pages.
+_S1_SQL = f"""WITH seeded_pages AS (SELECT page_id, url, html FROM pages), {BODY_CTE}, {LINKS_CTE},
+t AS (SELECT page_id, {D.hostname('url')} AS host, {_d_selector('body')} AS text FROM b),
+q AS (SELECT page_id, host, {d_quality_cols('text')} FROM t),
+ls AS (SELECT page_id, count(*) AS tl, count_if(is_internal) AS il FROM lk GROUP BY page_id)
+SELECT q.page_id, host, n AS character_length, {D_CATEGORY} AS content_category,
+  CAST(coalesce(tl, 0) AS BIGINT) AS total_links, CAST(coalesce(il, 0) AS BIGINT) AS internal_links
+FROM q LEFT JOIN ls ON q.page_id = ls.page_id"""
+
+# S3 in append mode emits a session once the final watermark (max event
+# time - 1 hour) has passed its end (last mutation + 2 hours).
+_S3_SQL = """WITH t AS (SELECT user_id, epoch_us(ts) AS t FROM events),
+g AS (SELECT *, CASE WHEN lag(t) OVER (PARTITION BY user_id ORDER BY t) IS NULL
+                      OR t - lag(t) OVER (PARTITION BY user_id ORDER BY t) >= 7200000000 THEN 1 ELSE 0 END AS nw FROM t),
+s AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sid FROM g),
+ss AS (SELECT user_id, min(t) AS start_us, max(t) + 7200000000 AS quiet_at_us, count(*) AS mutations FROM s GROUP BY user_id, sid)
+SELECT user_id, start_us, quiet_at_us, mutations FROM ss
+WHERE quiet_at_us <= (SELECT max(epoch_us(ts)) - 3600000000 FROM events)"""
+
+
+@register("stream_extraction", _S1_SQL)
 def q_stream_extraction(spark, sf):
     """Page arrivals -> extraction rows (append mode)."""
     pages = S.stream_table(spark, sf, "pages", S.PAGES_SCHEMA)
@@ -27,7 +48,7 @@ def q_stream_admission(spark, sf):
     return S.run_once(S.admission_stream(ev, [RATE]), "admission")
 
 
-@register("stream_quiet_sessions")
+@register("stream_quiet_sessions", _S3_SQL)
 def q_stream_quiet_sessions(spark, sf):
     """S3: quiet periods per user as 2-hour-gap sessions (watermark 1 hour)."""
     ev = S.stream_table(spark, sf, "events", S.EVENTS_SCHEMA).select("user_id", "ts")

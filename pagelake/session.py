@@ -50,3 +50,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def materialise(df, name: str = "table"):
+    """Cut lineage by writing ``df`` as a parquet table in the shared folder
+    named by ``spark.checkpoint.dir`` and reading it back.
+
+    Used for intermediate results that are read more than once (a model,
+    parsed blocks, per-page results): they are computed once, survive the
+    loss of the executors that computed them, and the read-back carries
+    file-size statistics for later broadcast decisions. Columnar parquet is
+    much cheaper to write than a row-serialised RDD checkpoint.
+    """
+    import uuid
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
