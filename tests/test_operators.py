@@ -240,3 +240,40 @@ def test_main_text_dedup_keeps_article_paragraphs(spark):
         # every kept line comes from the article, none from nav/ads/footer
         first = text.split("\n")[0]
         assert first.split()[0] in art[pid]
+
+
+def test_simple_mode_records(spark):
+    from pagelake.plans.extraction import simple_mode
+    reqs = seeded(spark, SF_SMALL, "requests")
+    recs = simple_mode(reqs, seeded(spark, SF_SMALL, "seeded_pages")).collect()
+    n_simple = reqs.where("method = 'simple'").count()
+    assert len(recs) == n_simple
+    fields = ["url", "text", "status", "reason", "message", "lang", "mode", "final_url", "version", "converted",
+              "original_format", "file_size_mb", "proxy_used", "links", "quality_metrics", "extraction_time",
+              "extraction_timestamp", "extraction_origin"]
+    assert list(recs[0].asDict()) == fields
+    req = {r.url: r for r in reqs.collect()}
+    for r in recs:
+        q = req[r.url]
+        if r.reason == "success":
+            assert r.text and r.quality_metrics is not None and r.links is not None
+            assert r.extraction_origin == "realtime_crawl" and r.status == q.status
+            if q.status == 200:
+                assert r.message == "Text extracted successfully"
+            elif q.status == 404:
+                assert r.message.startswith("HTTP 404 detected, but ")
+        else:
+            assert r.status == 500 and r.text == "" and r.extraction_origin == "realtime_crawl_error"
+            assert r.message.startswith("Extraction failed: ")
+    assert any(r.reason == "extraction_error" and "proxy" in r.message for r in recs)
+
+
+def test_browser_mode_records(spark):
+    from pagelake.plans.extraction import browser_mode
+    reqs = seeded(spark, SF_SMALL, "requests")
+    recs = browser_mode(reqs, seeded(spark, SF_SMALL, "seeded_pages")).collect()
+    assert len(recs) == reqs.where("method = 'browser'").count()
+    ok = [r for r in recs if r.reason == "success"]
+    assert ok and all(r.mode == "browser" and r.lang == "en" for r in ok)
+    assert {r.extraction_method for r in ok} <= {"standard_optimized", "spa_optimized", "ultra_complex_spa",
+                                                  "embedded_json_extraction"}
