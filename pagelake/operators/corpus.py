@@ -36,13 +36,7 @@ def duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return h.join(g, "content_hash")
 
 
-@expr_cache
-def readability(text) -> Column:
-    """Words, sentences, paragraphs, average sentence length, German
-    Flesch (Amstad) and first Wiener Sachtextformel; in-row, no shuffle."""
-    t = F.coalesce(col(text), F.lit(""))
-    words = tokens(t)
-    syl = F.transform(words, lambda w: F.greatest(F.size(F.regexp_extract_all(F.lower(w), F.lit(VOWELS), 0)), F.lit(1)))
+def _readability_struct(words: Column, syl: Column, t: Column) -> Column:
     n = F.size(words)
     sents = F.greatest(F.size(F.regexp_extract_all(t, F.lit(r"[.!?]+"), 0)), F.lit(1))
     paras = F.size(F.filter(F.split(t, r"\n\s*\n"), lambda x: strip(x) != ""))
@@ -63,6 +57,33 @@ def readability(text) -> Column:
                     F.when(ok, round_half_up(wstf, 4)).alias("wiener_sachtext"))
 
 
+def _syllables(t: Column) -> Column:
+    # One regex pass over the whole text: every vowel group becomes the
+    # marker 'Q' (absent from lower-cased text). Token boundaries do not
+    # move, so the i-th marked token is the i-th word and its syllable
+    # count is a plain character count, with no regex per word.
+    marked = tokens(F.regexp_replace(F.lower(t), VOWELS, "Q"))
+    return F.transform(marked, lambda w: F.greatest(F.length(w) - F.length(F.replace(w, F.lit("Q"), F.lit(""))), F.lit(1)))
+
+
+@expr_cache
+def readability(text) -> Column:
+    """Words, sentences, paragraphs, average sentence length, German
+    Flesch (Amstad) and first Wiener Sachtextformel; in-row, no shuffle.
+    On DataFrames prefer :func:`with_readability`, which tokenises once."""
+    t = F.coalesce(col(text), F.lit(""))
+    return _readability_struct(tokens(t), _syllables(t), t)
+
+
+def with_readability(df: DataFrame, text: str = "text", out: str = "readability") -> DataFrame:
+    """X2 with the word and syllable arrays materialised as columns (each is
+    read by several lambdas, which would otherwise re-tokenise the text)."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    return (df.withColumn("_rt", t).withColumn("_rw", tokens(F.col("_rt"))).withColumn("_rs", _syllables(F.col("_rt")))
+            .withColumn(out, _readability_struct(F.col("_rw"), F.col("_rs"), F.col("_rt")))
+            .drop("_rt", "_rw", "_rs"))
+
+
 def lexical_stats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Type-token ratio, Guiraud's R and Shannon entropy (bits) per
     document, by a two-level aggregate over exploded lower-cased tokens."""

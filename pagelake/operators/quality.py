@@ -16,11 +16,14 @@ from ..functions import lexicons as L
 from ..functions.text import col, count_substr, expr_cache, strip, tokens
 
 
-def keyword_count(lower_text: Column, keywords) -> Column:
-    """Hits of one lexicon in lower-cased, stripped text."""
+def keyword_count(lower_text: Column, keywords, toks: Column | None = None) -> Column:
+    """Hits of one lexicon in lower-cased, stripped text. Pass ``toks``
+    (a materialised token column) when several lexicons share one text:
+    a lambda re-evaluates its array argument, so an inline tokenisation
+    would run once per lexicon."""
     words = [k for k in keywords if len(k.split()) == 1]
     phrases = [k for k in keywords if len(k.split()) > 1]
-    toks = tokens(lower_text)
+    toks = tokens(lower_text) if toks is None else toks
     n = F.size(F.filter(toks, lambda x: x.isin(words))).cast("bigint")
     for p in phrases:
         n = n + count_substr(lower_text, p)
@@ -36,10 +39,10 @@ def quality_metrics(text, lexicons=None) -> Column:
     return _counts(F.length(s).cast("bigint"), F.lower(s), lex)
 
 
-def _counts(n: Column, low: Column, lex) -> Column:
-    return F.struct(n.alias("character_length"), keyword_count(low, lex["error_page"]).alias("e"),
-                    keyword_count(low, lex["educational_content"]).alias("c"),
-                    keyword_count(low, lex["educational_metadata"]).alias("m"))
+def _counts(n: Column, low: Column, lex, toks: Column | None = None) -> Column:
+    return F.struct(n.alias("character_length"), keyword_count(low, lex["error_page"], toks).alias("e"),
+                    keyword_count(low, lex["educational_content"], toks).alias("c"),
+                    keyword_count(low, lex["educational_metadata"], toks).alias("m"))
 
 
 def classify(q: Column) -> Column:
@@ -64,8 +67,9 @@ def classify(q: Column) -> Column:
 def with_quality(df: DataFrame, text: str = "text", out: str = "quality_metrics") -> DataFrame:
     """Add the C3 struct; counts are computed once, then classified."""
     return (df.withColumn("_qs", _stripped(text))
-            .withColumn("_qc", _named_counts("_qs"))
-            .withColumn(out, _classified("_qc")).drop("_qc", "_qs"))
+            .withColumn("_ql", F.lower("_qs")).withColumn("_qt", tokens(F.col("_ql")))
+            .withColumn("_qc", _named_counts("_qs", "_ql", "_qt"))
+            .withColumn(out, _classified("_qc")).drop("_qc", "_qs", "_ql", "_qt"))
 
 
 @expr_cache
@@ -74,8 +78,8 @@ def _stripped(text: str) -> Column:
 
 
 @expr_cache
-def _named_counts(name: str) -> Column:
-    return _counts(F.length(name).cast("bigint"), F.lower(name), L.LEXICONS)
+def _named_counts(name: str, low: str, toks: str) -> Column:
+    return _counts(F.length(name).cast("bigint"), F.col(low), L.LEXICONS, F.col(toks))
 
 
 @expr_cache

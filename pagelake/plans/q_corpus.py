@@ -140,7 +140,7 @@ SELECT doc_id, CAST(n AS BIGINT) AS words, CAST(CASE WHEN n > 0 THEN se ELSE 0 E
 FROM b""")
 def q_readability(spark, sf):
     """Counts and readability formulas per document."""
-    d = read_table(spark, sf, "documents").select("doc_id", X.readability("text").alias("r"))
+    d = X.with_readability(read_table(spark, sf, "documents").select("doc_id", "text"), "text", "r")
     return d.select("doc_id", "r.*")
 
 
