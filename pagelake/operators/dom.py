@@ -201,6 +201,13 @@ def content_blocks(root: Node, fmt: str = "text"):
     def walk(n: Node):
         if _boiler(n):
             return
+        if n.tag == "tr":
+            cells = [render(c) for c in n.children if isinstance(c, Node) and c.tag in ("td", "th")]
+            cells = [c for c in cells if c]
+            if cells:
+                t = ("| " + " | ".join(cells) + " |") if fmt in ("markdown", "raw_markdown") else " ".join(cells)
+                out.append((len(out), "tr", t, 0))
+            return
         if n.tag in BLOCKS:
             t = render(n)
             if t:
@@ -226,7 +233,7 @@ def main_text(blocks, preference: str = "none") -> str:
     mn = PREFERENCE_MIN.get(preference, 25)
     max_ld = 0.3 if preference == "precision" else 0.6 if preference == "none" else 0.9
     keep = [t for _, tag, t, lc in blocks
-            if (len(t) >= mn or tag[0] == "h") and (lc / max(len(t), 1)) <= max_ld]
+            if (len(t) >= mn or tag[0] == "h" or tag == "tr") and (lc / max(len(t), 1)) <= max_ld]
     return "\n".join(keep).strip()
 
 

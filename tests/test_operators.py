@@ -277,3 +277,38 @@ def test_browser_mode_records(spark):
     assert ok and all(r.mode == "browser" and r.lang == "en" for r in ok)
     assert {r.extraction_method for r in ok} <= {"standard_optimized", "spa_optimized", "ultra_complex_spa",
                                                   "embedded_json_extraction"}
+
+
+def test_dom_markdown_tables_and_preference():
+    html = ('<body><article><h2>Title here</h2><p>Plain <b>bold words</b> and <i>italic</i> text of some length here.</p>'
+            '<ul><li>First item with enough text</li></ul><table><tr><th>Name</th><th>Value</th></tr>'
+            '<tr><td>ECTS</td><td>5</td></tr></table><p>Short one.</p>'
+            '<p>See <a href="/a">link one</a> <a href="/b">link two</a> <a href="/c">link three x</a></p></article></body>')
+    root, _ = DM.parse(html)
+    md = DM.main_text(DM.content_blocks(root, "markdown"), "none")
+    assert "## Title here" in md and "**bold words**" in md and "*italic*" in md
+    assert "- First item with enough text" in md
+    assert "| Name | Value |" in md and "| ECTS | 5 |" in md
+    txt = DM.content_blocks(root, "text")
+    recall = DM.main_text(txt, "recall")
+    precision = DM.main_text(txt, "precision")
+    assert "Short one." in recall and "Short one." not in precision
+    assert "link one" in recall and "link one" not in precision
+
+
+def test_file_source_reads_binary_files(spark, tmp_path):
+    import io
+    import zipfile
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w") as z:
+        z.writestr("word/document.xml", "<w/>")
+    files = {"a.pdf": b"%PDF-1.4 x", "b.docx": buf.getvalue(), "c.txt": "hällo".encode("latin-1"),
+             "d.bin": bytes(range(256)) * 10}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    df = FI.read_files(spark, str(tmp_path), glob="*.*", max_bytes=1000)
+    got = {r.name: r for r in df.select("name", "extension", FI.guess_format("content").alias("g"),
+                                        FI.decode_text_file("content").alias("t")).collect()}
+    assert set(got) == {"a.pdf", "b.docx", "c.txt"}          # d.bin is over the size limit
+    assert got["a.pdf"].g == "pdf" and got["b.docx"].g == "docx" and got["b.docx"].extension == "docx"
+    assert got["c.txt"].g is None and got["c.txt"].t == "hällo"   # latin-1 fallback
