@@ -40,7 +40,8 @@ def remove_dot_segments(p) -> Column:
     for _ in range(3):
         p = F.regexp_replace(p, r"/[^/?#]+/\.\./", "/")
     p = F.regexp_replace(p, r"^/(?:\.\./)+", "/")
-    return F.regexp_replace(F.regexp_replace(p, r"/\.$", "/"), r"/[^/?#]+/\.\.$", "/")
+    p = F.regexp_replace(F.regexp_replace(p, r"/\.$", "/"), r"/[^/?#]+/\.\.$", "/")
+    return F.regexp_replace(p, r"^/\.\.$", "/")
 
 
 @expr_cache

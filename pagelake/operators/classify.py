@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
-from ..functions.text import (expr_cache, attr_selector, body_html, class_selector, col,
+from ..functions.text import (attr_selector, body_html, class_selector, col, expr_cache,
                               id_selector, strip, text_content, title_text)
 from ..functions.urls import hostname
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import expr_cache, col, strip, tokens
+from ..functions.text import col, expr_cache, strip, tokens
 
 VOWELS = "[aeiouyäöüàâéèêëîïôûùœæáíóú]+"
 

@@ -10,7 +10,6 @@ marketing text) -- is then a Spark ``groupBy`` + left anti join.
 
 from __future__ import annotations
 
-import html as htmllib
 import re
 from html.parser import HTMLParser
 

@@ -18,7 +18,6 @@ from pyspark.sql import types as T
 
 from ..functions import lexicons as L
 from ..functions.text import col
-from ..functions.urls import hostname
 
 
 def youtube_by_host(url) -> Column:

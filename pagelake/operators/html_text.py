@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import lexicons as L
-from ..functions.cascade import cascade, cascade_or_longest
-from ..functions.text import (expr_cache, COMMENT, RAW_OR_TAG, TAG, body_html, class_selector, col,
-                              collapse_ws, decode_entities, drop_blocks, drop_comments,
-                              element_html, has_element, id_selector, strip, text_content)
+from ..functions.cascade import cascade
+from ..functions.text import (COMMENT, RAW_OR_TAG, body_html, class_selector, col, collapse_ws,
+                              decode_entities, drop_blocks, element_html, expr_cache, has_element,
+                              id_selector, strip, text_content)
 
 SEP = "\u0001"
 

@@ -12,7 +12,6 @@ shuffles (pre-aggregated word counts keep that shuffle small).
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import strip, tokens

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
-from ..functions.text import expr_cache, COMMENT, TAG, col, decode_entities, strip
+from ..functions.text import COMMENT, TAG, col, decode_entities, expr_cache, strip
 from ..functions.urls import is_internal, resolve
 
 ANCHOR = r"(?is)<a\b[^>]*>.*?</a\s*>"

@@ -105,7 +105,8 @@ def remove_dot_segments(p: str) -> str:
     for _ in range(3):
         p = f"regexp_replace({p}, {lit(r'/[^/?#]+/\.\./')}, '/', 'g')"
     p = f"regexp_replace({p}, {lit(r'^/(?:\.\./)+')}, '/')"
-    return f"regexp_replace(regexp_replace({p}, {lit(r'/\.$')}, '/'), {lit(r'/[^/?#]+/\.\.$')}, '/')"
+    p = f"regexp_replace(regexp_replace({p}, {lit(r'/\.$')}, '/'), {lit(r'/[^/?#]+/\.\.$')}, '/')"
+    return f"regexp_replace({p}, {lit(r'^/\.\.$')}, '/')"
 
 
 def resolve(b: str, h: str) -> str:

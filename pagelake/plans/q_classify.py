@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
-from ..functions.text import strip
 from ..operators import classify as C
 from ..operators import html_text as H
 from ..sources import requests as R

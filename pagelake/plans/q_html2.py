@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..functions import lexicons as L
-from ..functions.text import decode_entities, strip
-from ..functions.urls import resolve
 from ..operators import html_text as H
 from ..sources.seeded import seeded, with_clause
 from ..sources.tables import read_table

@@ -4,8 +4,6 @@ sink and returns the sink table."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..streaming import jobs as S
 from . import duck as D
 from .catalog import register

@@ -4,12 +4,10 @@ import gzip
 import re
 import urllib.parse
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from pagelake.functions import lexicons as L
-from pagelake.functions.text import strip, tokens
 from pagelake.functions.urls import resolve
 from pagelake.operators import dom as DM
 from pagelake.operators import files as FI
@@ -56,7 +54,7 @@ def test_quality_boundaries(spark):
 def test_resolve_matches_urljoin(spark):
     pairs = [("https://h.example.org/a/b?x=1#f", h) for h in
              ["/x", "//other.org/y", "?q=2", "c", "../c", "./c", "https://abs.org/z", "mailto:a@b.c",
-              "#frag", "../../up", "/p/./q/../r"]]
+              "#frag", "../../up", "/p/./q/../r"]] + [("https://h.example.org/", h) for h in ["..", "../x", ".", "./"]]
     df = spark.createDataFrame(pairs, "base string, href string")
     got = [r[0] for r in df.select(resolve("base", "href")).collect()]
     assert got == [urllib.parse.urljoin(b, h) for b, h in pairs]
