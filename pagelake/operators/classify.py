@@ -81,11 +81,15 @@ def spa_indicators(html) -> Column:
     structure, loading = anyc(L.SPA_STRUCTURE), anyc(L.SPA_LOADING)
     score = sum((F.when(c, 2).otherwise(0) for _, c in fw), F.lit(0)) \
         + F.when(structure, 1).otherwise(0) + F.when(loading, 1).otherwise(0)
-    frameworks = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in fw]), lambda x: x.isNotNull())
-    chars = F.filter(F.array(*[F.when(c, F.lit(f"{n} framework detected")) for n, c in fw],
-                             F.when(structure, F.lit("SPA structure indicators found")),
-                             F.when(loading, F.lit("Dynamic loading indicators found"))),
-                     lambda x: x.isNotNull())
+    # concat_ws skips NULLs and stays in generated code (a lambda would be
+    # interpreted and re-lower-case the whole page for every test).
+    def listed(items):
+        joined = F.concat_ws("\u0001", *items)
+        return F.when(joined == "", F.array().cast("array<string>")).otherwise(F.split(joined, "\u0001"))
+    frameworks = listed([F.when(c, F.lit(n)) for n, c in fw])
+    chars = listed([F.when(c, F.lit(f"{n} framework detected")) for n, c in fw]
+                   + [F.when(structure, F.lit("SPA structure indicators found")),
+                      F.when(loading, F.lit("Dynamic loading indicators found"))])
     return F.struct(frameworks.alias("frameworks"), score.cast("bigint").alias("score"),
                     (score >= 2).alias("is_spa"), chars.alias("characteristics"))
 
