@@ -10,7 +10,7 @@ from .catalog import register
 from .q_html import BODY_CTE, _d_selector
 from .q_links import LINKS_CTE
 from .q_quality import D_CATEGORY, d_quality_cols
-from .q_timeline import RATE
+from .q_timeline import ADMISSION_SQL, RATE
 
 # S1 reads the raw pages table; the shared CTEs name it seeded_pages.
 _S1_SQL = f"""WITH seeded_pages AS (SELECT page_id, url, html FROM pages), {BODY_CTE}, {LINKS_CTE},
@@ -39,7 +39,7 @@ def q_stream_extraction(spark, sf):
     return S.run_once(S.extraction_rows(pages), "extraction")
 
 
-@register("stream_admission")
+@register("stream_admission", ADMISSION_SQL)
 def q_stream_admission(spark, sf):
     """Per-host admission with state (10 per 2 h)."""
     ev = S.stream_table(spark, sf, "events", S.EVENTS_SCHEMA).select(*S.fetch_log_cols())

@@ -41,10 +41,29 @@ def q_rate_window(spark, sf):
     return v.select("event_id", "host", F.col("window_weight_0").cast("bigint").alias("window_weight"), "violates")
 
 
-@register("admission")
+# The fold as a recursive CTE: per host, row by row in (ts, event_id) order,
+# carrying the admitted items still inside the interval as a list.
+ADMISSION_SQL = FL.replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+o AS (SELECT host, event_id, epoch_us(ts) AS t, weight AS w,
+             row_number() OVER (PARTITION BY host ORDER BY ts, event_id) AS rn FROM fetch_log),
+r AS (
+  SELECT host, rn, event_id, w <= {RATE[0]} AS admitted,
+         CASE WHEN w <= {RATE[0]} THEN [{{'t': t, 'w': w}}] ELSE [] END AS items
+  FROM o WHERE rn = 1
+  UNION ALL
+  SELECT o.host, o.rn, o.event_id,
+         coalesce(list_sum(list_transform(list_filter(r.items, lambda x: x.t > o.t - {RATE[1]}), lambda x: x.w)), 0) + o.w <= {RATE[0]},
+         CASE WHEN coalesce(list_sum(list_transform(list_filter(r.items, lambda x: x.t > o.t - {RATE[1]}), lambda x: x.w)), 0) + o.w <= {RATE[0]}
+              THEN list_append(list_filter(r.items, lambda x: x.t > o.t - {RATE[1]}), {{'t': o.t, 'w': o.w}})
+              ELSE list_filter(r.items, lambda x: x.t > o.t - {RATE[1]}) END
+  FROM r JOIN o ON o.host = r.host AND o.rn = r.rn + 1)
+SELECT event_id, host, admitted FROM r"""
+
+
+@register("admission", ADMISSION_SQL)
 def q_admission(spark, sf):
     """Sequential admission per host (10 per 2 h); refused items take no
-    room. No SQL form (a fold); unit-tested against a Python loop."""
+    room. The oracle states the same fold as a recursive CTE."""
     f = seeded(spark, sf, "fetch_log").select("event_id", "host", "ts", "weight")
     return TL.admission(f, "host", "ts", "event_id", "weight", [RATE])
 
