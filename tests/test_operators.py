@@ -310,3 +310,20 @@ def test_file_source_reads_binary_files(spark, tmp_path):
     assert set(got) == {"a.pdf", "b.docx", "c.txt"}          # d.bin is over the size limit
     assert got["a.pdf"].g == "pdf" and got["b.docx"].g == "docx" and got["b.docx"].extension == "docx"
     assert got["c.txt"].g is None and got["c.txt"].t == "hällo"   # latin-1 fallback
+
+
+def test_main_text_precision_recall_against_article(spark):
+    """SURVEY §7.5: B1 has no byte-level target; on the fixture pages its
+    tokens are scored against the <article> text."""
+    from collections import Counter
+    from pagelake.sources.tables import read_table
+    pages = read_table(spark, SF_SMALL, "pages")
+    mt = {r.page_id: r.main_text for r in DM.main_text_dedup(pages).collect()}
+    art = {r.page_id: r.a for r in pages.select("page_id", H.selector_text("html").alias("a")).collect()}
+    ps, rs = [], []
+    for pid, text in mt.items():
+        a, m = Counter(re.findall(r"\w+", art[pid].lower())), Counter(re.findall(r"\w+", text.lower()))
+        inter = sum((a & m).values())
+        ps.append(inter / max(sum(m.values()), 1))
+        rs.append(inter / max(sum(a.values()), 1))
+    assert sum(ps) / len(ps) >= 0.95 and sum(rs) / len(rs) >= 0.95
