@@ -35,10 +35,10 @@ def _lang(df: DataFrame, text: str, model: DataFrame | None, target_language: st
         return df.withColumn("lang", F.lit(target_language))
     if model is None:
         return df.withColumn("lang", F.lit(default))
-    det = LG.detect(df.select(F.col("_rid"), F.col(text)).where(F.length(strip(text)) > min_chars),
-                    model, "_rid", text, prefix=prefix)
+    det = LG.detect(df.select(F.col("page_id"), F.col(text)).where(F.length(strip(text)) > min_chars),
+                    model, "page_id", text, prefix=prefix)
     lang = F.col("d.lang") if threshold is None else LG.label_with_threshold(F.col("d.lang"), F.col("d.confidence"))
-    return (df.join(det.alias("d"), "_rid", "left")
+    return (df.join(det.alias("d"), "page_id", "left")
             .withColumn("lang", F.coalesce(lang, F.lit(default))).drop("score", "confidence"))
 
 
@@ -70,7 +70,7 @@ def _materialise(df: DataFrame) -> DataFrame:
 
 def _join_requests(reqs: DataFrame, page_rows: DataFrame) -> DataFrame:
     """Requests ⟕ page results on URL; invalid, unmatched or empty -> error rows."""
-    r = normalise_requests(reqs).withColumn("_rid", F.monotonically_increasing_id())
+    r = normalise_requests(reqs)
     j = r.join(page_rows, r["url"] == page_rows["_purl"], "left")
     has = F.col("_purl").isNotNull() & (F.coalesce(F.col("text"), F.lit("")) != "")
     reason = F.when(F.col("reject_reason").isNull() & has, "success").otherwise("extraction_error")
@@ -92,11 +92,13 @@ def simple_mode(requests: DataFrame, pages: DataFrame, lang_model: DataFrame | N
     if include_links:
         p = LK.with_links(p)
     d = DM.dom_pass(p, output_format, preference, keep=("url",) + (("links",) if include_links else ()))
-    rows = d.select(F.col("url").alias("_purl"), F.col("main_text").alias("text"),
+    rows = d.select("page_id", F.col("url").alias("_purl"), F.col("main_text").alias("text"),
                     *(["links"] if include_links else []))
     rows = _materialise(rows)
+    # Language depends only on the page text: detect it per page (on the
+    # materialised page rows) before the request join.
+    rows = _lang(rows, "text", lang_model, target_language, None, 0, "unknown", 0.5)
     j = _join_requests(requests.where(F.col("method") == "simple") if "method" in requests.columns else requests, rows)
-    j = _lang(j, "text", lang_model, target_language, None, 0, "unknown", 0.5)
     if calculate_quality:
         j = Q.with_quality(j, "text", "quality_metrics")
     return _record(j, "simple", include_links, calculate_quality)
@@ -148,12 +150,11 @@ def browser_mode(requests: DataFrame, pages: DataFrame, lang_model: DataFrame |
             .when(kmap | F.col("is_ultra_complex"), ultra["text"]).otherwise(F.col("standard.text")))
     method = (F.when(kmap & json_ok, "embedded_json_extraction").when(F.col("is_ultra_complex"), "ultra_complex_spa")
               .when(F.col("is_spa"), "spa_optimized").otherwise("standard_optimized"))
-    rows = (d.select(F.col("url").alias("_purl"), text.alias("text"), method.alias("extraction_method"),
+    rows = (d.select("page_id", F.col("url").alias("_purl"), text.alias("text"), method.alias("extraction_method"),
                      "is_spa", "is_ultra_complex", "title", "dom_error", *(["links"] if include_links else []))
             .withColumn("_e", C.error_page_parts("title", "text", "dom_error")).drop("title", "dom_error"))
-    rows = _materialise(rows)
+    rows = _lang(_materialise(rows), "text", lang_model, "auto", 1000, 10, "en", None)
     j = _join_requests(requests.where(F.col("method") == "browser") if "method" in requests.columns else requests, rows)
-    j = _lang(j, "text", lang_model, "auto", 1000, 10, "en", None)
     if calculate_quality:
         j = Q.with_quality(j, "text", "quality_metrics")
     return _record(j, "browser", include_links, calculate_quality,
