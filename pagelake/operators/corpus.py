@@ -1,6 +1,7 @@
 """Corpus-level text statistics described by the reference's documents
-(X1-X4, X6). Formulas follow the published literature; X5 (coherence
-weights) is not published and is not built.
+(X1-X6). Formulas follow the published literature; for X5 the reference
+publishes no weights, so its score is our stated choice (see
+:func:`with_coherence`).
 """
 
 from __future__ import annotations
@@ -116,6 +117,34 @@ def structure(text) -> Column:
         .otherwise(F.lit(0.0)).alias("repetition_ratio"))
 
 
+SENTENCE_SPLIT = r"[.!?]+\s*"
+
+
+def with_coherence(df: DataFrame, text: str = "text", out: str = "coherence") -> DataFrame:
+    """X5 (our choice of weights): sentence-overlap coherence = mean Jaccard
+    overlap of the lower-cased word sets of adjacent sentences (pairs whose
+    union is empty count 0), rounded half-up to 4 places; NULL below two
+    sentences. ``likert`` maps it to 1..5 as ``min(5, 1 + floor(5 * c))``.
+    In-row: the sentence word sets are a materialised column read by the
+    pair lambda."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    sents = F.filter(F.split(t, SENTENCE_SPLIT), lambda x: strip(x) != "")
+    d = df.withColumn("_sets", F.transform(sents, lambda x: F.array_distinct(tokens(F.lower(x)))))
+    n = F.size("_sets")
+
+    def jac(i):
+        a, b = F.element_at("_sets", i), F.element_at("_sets", i + 1)
+        u = F.size(F.array_union(a, b))
+        return F.when(u > 0, F.size(F.array_intersect(a, b)) / u).otherwise(F.lit(0.0))
+    pairs = F.transform(F.sequence(F.lit(1), n - 1), jac)
+    mean = F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + x) / (n - 1)
+    c = F.when(n >= 2, round_half_up(mean, 4))
+    return (d.withColumn(out, F.struct(n.cast("bigint").alias("sentences"), c.alias("score"),
+                                       F.when(c.isNotNull(), F.least(F.lit(5), F.lit(1) + F.floor(c * 5)))
+                                       .cast("bigint").alias("likert")))
+            .drop("_sets"))
+
+
 def link_graph(links_long: DataFrame, src_host: str = "src_host", dst_host: str = "dst_host") -> DataFrame:
     """Host graph from exploded links: per host, outgoing and incoming
     link counts and distinct neighbour hosts (self-links excluded)."""

@@ -185,3 +185,20 @@ def q_link_graph(spark, sf):
     p = LK.with_links(seeded(spark, sf, "seeded_pages").select("page_id", "url", "html"))
     long = LK.explode_links(p.select("page_id", hostname("url").alias("src_host"), "links"), keep=("page_id", "src_host"))
     return X.link_graph(long.select("src_host", hostname("url").alias("dst_host")))
+
+
+_SETS = f"list_transform(list_filter(regexp_split_to_array(coalesce(text, ''), {D.lit(X.SENTENCE_SPLIT)}), lambda x: {D.strip('x')} <> ''), lambda x: list_distinct({D.tokens('lower(x)')}))"
+
+
+@register("coherence", f"""
+WITH a AS (SELECT doc_id, {_SETS} AS sets FROM documents),
+p AS (SELECT doc_id, len(sets) AS n,
+             list_transform(range(1, len(sets)), lambda i: CASE WHEN len(list_distinct(list_concat(sets[i], sets[i + 1]))) > 0
+                 THEN len(list_intersect(sets[i], sets[i + 1])) / len(list_distinct(list_concat(sets[i], sets[i + 1]))) ELSE 0.0 END) AS js
+      FROM a),
+c AS (SELECT doc_id, n, CASE WHEN n >= 2 THEN floor(list_reduce(list_prepend(0.0, js), lambda acc, x: acc + x) / (n - 1) * 10000.0 + 0.5) / 10000.0 END AS score FROM p)
+SELECT doc_id, CAST(n AS BIGINT) AS sentences, score, CAST(CASE WHEN score IS NOT NULL THEN least(5, 1 + floor(score * 5)) END AS BIGINT) AS likert FROM c""")
+def q_coherence(spark, sf):
+    """Adjacent-sentence overlap coherence and a 1-5 scale per document."""
+    d = X.with_coherence(read_table(spark, sf, "documents").select("doc_id", "text"), "text", "c")
+    return d.select("doc_id", "c.*")

@@ -327,3 +327,13 @@ def test_main_text_precision_recall_against_article(spark):
         ps.append(inter / max(sum(m.values()), 1))
         rs.append(inter / max(sum(a.values()), 1))
     assert sum(ps) / len(ps) >= 0.95 and sum(rs) / len(rs) >= 0.95
+
+
+def test_coherence_literal(spark):
+    from pagelake.operators import corpus as X
+    rows = [(1, "The cat sat. The cat ran! Dogs bark?"), (2, "One sentence only."), (3, "")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    got = {r.id: r for r in X.with_coherence(df, "text", "c").select("id", "c.*").collect()}
+    # {the,cat,sat} vs {the,cat,ran}: 2/4; {the,cat,ran} vs {dogs,bark}: 0/5 -> mean 0.25
+    assert got[1].sentences == 3 and got[1].score == 0.25 and got[1].likert == 2
+    assert got[2].score is None and got[2].likert is None and got[3].sentences == 0
