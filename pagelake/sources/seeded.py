@@ -9,9 +9,11 @@ oracle. They derive from the given tables, so their size grows with them.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
-from .tables import register_tables
+from .tables import read_table, register_tables
 
 # Fixed fixture definitions (shared with the SQL oracles).
 SEEDED_SQL = {
@@ -86,9 +88,15 @@ _BASE = {"video_urls": ("pages",), "requests": ("pages",),"seeded_pages": ("page
 
 
 def seeded(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A seeded view as a DataFrame, derived from the driver tables in ``sf_dir``."""
-    register_tables(spark, sf_dir, _BASE[name])
-    return spark.sql(SEEDED_SQL[name])
+    """A seeded view as a DataFrame, derived from the driver tables in ``sf_dir``.
+
+    The tables are passed to ``spark.sql`` as DataFrame parameters, so no
+    session-wide temp view named ``pages``/``events``/``documents`` is
+    created or replaced.
+    """
+    sql = SEEDED_SQL[name].replace("{", "{{").replace("}", "}}")
+    sql = re.sub(r"\b(FROM|JOIN)\s+(pages|events|documents)\b", lambda m: f"{m.group(1)} {{{m.group(2)}}}", sql)
+    return spark.sql(sql, **{t: read_table(spark, sf_dir, t) for t in _BASE[name]})
 
 
 def seeded_with(spark: SparkSession, sf_dir: str, *names: str) -> dict:

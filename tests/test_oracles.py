@@ -44,3 +44,10 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() > 0
     assert "host" in df.columns and "internal_ratio" in df.columns
+
+
+def test_queries_create_no_session_views(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    for name in ["body_text", "quality", "rate_window", "hash_stability", "host_rollup"]:
+        E.queries()[name](spark, SF_SMALL).count()
+    assert {t.name for t in spark.catalog.listTables()} == before
