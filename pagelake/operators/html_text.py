@@ -263,7 +263,8 @@ def best_snapshot(polls: DataFrame, key: str, poll: str, text: str,
                     F.struct(F.col("cand"), -F.col("rank")))
     return (q.groupBy(key).agg(best.alias("b"), F.max("rank").alias("polls_used"))
             .select(key, F.when(F.col("b.len") >= 0, F.col("b.t")).otherwise(F.lit("")).alias("best_text"),
-                    F.when(F.col("b.len") >= 0, -F.col("b.neg_rank")).alias("best_poll"), "polls_used"))
+                    F.when(F.col("b.len") >= 0, -F.col("b.neg_rank")).cast("bigint").alias("best_poll"),
+                    F.col("polls_used").cast("bigint").alias("polls_used")))
 
 
 # ---- B18: markdown -> plain text ----

@@ -55,7 +55,7 @@ def q_mode_parity(spark, sf):
 
 
 @register("parity_summary", RUNS_WITH + f""", {RUNS_CTE}
-SELECT count(*) AS total, count_if(parity_achieved) AS parity,
+SELECT count(*) AS total, CAST(count_if(parity_achieved) AS BIGINT) AS parity,
   round_even(count_if(parity_achieved) * 100.0 / count(*), 1) AS parity_pct FROM parity""")
 def q_parity_summary(spark, sf):
     """Total URLs, parity count and percentage."""
@@ -64,7 +64,7 @@ def q_parity_summary(spark, sf):
 
 @register("success_rate", RUNS_WITH + f""", {RUNS_CTE},
 u AS (SELECT 'simple' AS mode, success FROM simple UNION ALL SELECT 'browser' AS mode, success FROM browser)
-SELECT mode, count(*) AS runs, count_if(success) AS successes, round_even(count_if(success) / count(*), 4) AS success_rate
+SELECT mode, count(*) AS runs, CAST(count_if(success) AS BIGINT) AS successes, round_even(count_if(success) / count(*), 4) AS success_rate
 FROM u GROUP BY mode""")
 def q_success_rate(spark, sf):
     """Success rate per mode."""

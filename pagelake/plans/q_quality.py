@@ -94,6 +94,7 @@ g AS (SELECT host, count(*) AS pages, sum(n) AS chars, sum(tl) AS total_links, s
 SELECT host, pages, round_even(CAST(chars AS DOUBLE) / pages, 2) AS avg_text_chars,
   CAST(total_links AS BIGINT) AS total_links, CAST(internal_links AS BIGINT) AS internal_links,
   CASE WHEN total_links > 0 THEN round_even(CAST(internal_links AS DOUBLE) / total_links, 4) ELSE 0.0 END AS internal_ratio,
-  n_error_page, n_educational_content, n_educational_metadata, n_other FROM g""")
+  CAST(n_error_page AS BIGINT) AS n_error_page, CAST(n_educational_content AS BIGINT) AS n_educational_content,
+  CAST(n_educational_metadata AS BIGINT) AS n_educational_metadata, CAST(n_other AS BIGINT) AS n_other FROM g""")
 def q_host_rollup(spark, sf):
     return host_rollup(seeded(spark, sf, "seeded_pages"))

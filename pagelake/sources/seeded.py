@@ -13,7 +13,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .tables import read_table, register_tables
+from .tables import read_table
 
 # Fixed fixture definitions (shared with the SQL oracles).
 SEEDED_SQL = {

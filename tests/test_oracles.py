@@ -26,11 +26,17 @@ def _rows(df):
     return cols, sorted((tuple(_norm(x) for x in r) for r in df[cols].itertuples(index=False)), key=repr)
 
 
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_oracle(spark, duck, name):
-    s = E.queries()[name](spark, SF_SMALL).toPandas()
+    sdf = E.queries()[name](spark, SF_SMALL)
+    s = sdf.toPandas()
     d = duck.execute(ORACLES[name]).df()
     assert _rows(s) == _rows(d)
+    dtypes = {r[0]: r[1] for r in duck.execute(f"DESCRIBE {ORACLES[name]}").fetchall()}
+    assert {f.name: TYPES.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in sdf.schema.fields} == dtypes
 
 
 def test_every_query_runs(spark):
