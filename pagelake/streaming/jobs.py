@@ -40,11 +40,13 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str, schema: T.StructTy
     return spark.readStream.schema(schema).parquet(f"{sf_dir.rstrip('/')}/{name}*.parquet")
 
 
-def run_once(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def run_once(df: DataFrame, name: str, mode: str = "append", base: str | None = None) -> DataFrame:
     """Run a streaming DataFrame over all available input (``availableNow``)
-    into a parquet table under the shared checkpoint folder; return it."""
+    into a parquet table under the shared checkpoint folder; return it.
+    Passing the same ``base`` again resumes from the checkpoint: only new
+    input files are processed and the sink is appended exactly once."""
     spark = df.sparkSession
-    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex[:8]}"
+    base = base or f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex[:8]}"
     q = (df.writeStream.format("parquet").outputMode(mode)
          .option("checkpointLocation", f"{base}/_checkpoint").option("path", f"{base}/data")
          .trigger(availableNow=True).start())
