@@ -111,18 +111,22 @@ def with_running_sum(df: DataFrame, key: str, order: list[str], value: str, out:
 
 
 # ---- W5: admission decision (sequential per key) ----
-def _rates_for(rates, host):
+def _rates_for(rates, host, row_rates=None):
+    if row_rates is not None:
+        return [(int(r["limit"]), int(r["interval_us"])) for r in row_rates]
     return rates(host) if callable(rates) else rates
 
 
-def _admit_partition(rates, key, ts_col, id_col, weight):
+def _admit_partition(rates, key, ts_col, id_col, weight, per_row: bool):
     def run(batches):
         state_key, buckets, host_rates = None, None, None
         for pdf in batches:
             admitted = []
-            for k, h, t, w in zip(pdf["_seg"].values, pdf[key].values, pdf["_t"].values, pdf[weight].values):
+            row_rates = pdf["_rates"].values if per_row else [None] * len(pdf)
+            for k, h, t, w, rr in zip(pdf["_seg"].values, pdf[key].values, pdf["_t"].values, pdf[weight].values,
+                                      row_rates):
                 if k != state_key:
-                    host_rates = _rates_for(rates, h)
+                    host_rates = _rates_for(rates, h, rr)
                     state_key, buckets = k, [deque() for _ in host_rates]
                 ok = True
                 for (limit, interval), q in zip(host_rates, buckets):
@@ -138,30 +142,57 @@ def _admit_partition(rates, key, ts_col, id_col, weight):
     return run
 
 
+def rates_table(rules: DataFrame, key: str = "host", limit: str = "limit",
+                interval_us: str = "interval_us") -> DataFrame:
+    """W2 as data: rules ``(key, limit, interval_us)``, several rows per key
+    allowed, folded to one row per key with its rate list and longest
+    interval (a per-key list, bounded by the number of rates per key)."""
+    return rules.groupBy(key).agg(
+        F.collect_list(F.struct(F.col(limit).cast("long").alias("limit"),
+                                F.col(interval_us).cast("long").alias("interval_us"))).alias("_rates"),
+        F.max(F.col(interval_us).cast("long")).alias("_longest"))
+
+
 def admission(log: DataFrame, key: str, ts: str, id_col: str, weight: str, rates,
               partitions: int | None = None, max_interval_us: int | None = None,
-              chunk_us: int = DAY_US) -> DataFrame:
+              chunk_us: int = DAY_US, default_rates=None, max_broadcast_rules: int = 1_000_000) -> DataFrame:
     """One bucket per key; an item that would push any rate's window
     total over its limit is refused and takes no room.
 
-    ``rates`` is a list of ``(limit, interval_us)`` or, like the reference's
+    ``rates`` is a list of ``(limit, interval_us)``; or, like the reference's
     rate strategy, a function from the key (host) to such a list, called
-    when a bucket is created; then ``max_interval_us`` must bound every
-    interval it returns.
+    when a bucket is created (then ``max_interval_us`` must bound every
+    interval it returns); or a rules DataFrame ``(key, limit, interval_us)``
+    (:func:`rates_table`), joined to the log -- broadcast when a row count
+    proves it small -- with ``default_rates`` for keys without rules.
 
     The decision is a fold over time, so it runs sequentially per key. A
     key's timeline is cut into independent segments wherever the gap
-    between items reaches the longest interval (the bucket is empty then).
-    The gaps and segment numbers come from the two-level (key, time chunk)
-    helpers, so even a hot key is sorted in parallel chunks; segments are
-    hash-partitioned, sorted by Spark (external sort) and streamed through
-    ``mapInPandas`` in Arrow batches, holding only the items still inside a
-    window. Ties on ``ts`` are ordered by ``id_col``.
+    between items reaches the key's longest interval (the bucket is empty
+    then). The gaps and segment numbers come from the two-level (key, time
+    chunk) helpers, so even a hot key is sorted in parallel chunks;
+    segments are hash-partitioned, sorted by Spark (external sort) and
+    streamed through ``mapInPandas`` in Arrow batches, holding only the
+    items still inside a window. Ties on ``ts`` are ordered by ``id_col``.
     """
-    longest = max_interval_us if callable(rates) else max(i for _, i in rates)
-    if longest is None:
-        raise ValueError("max_interval_us is required when rates is a function")
     t = log.select(key, id_col, weight, ts_us(ts, log).alias("_t"))
+    per_row = isinstance(rates, DataFrame)
+    if per_row:
+        if default_rates is None:
+            raise ValueError("default_rates is required with a rules DataFrame")
+        rules = rates_table(rates, key)
+        rules = F.broadcast(rules) if rules.count() <= max_broadcast_rules else rules
+        dflt = F.array(*[F.struct(F.lit(lim).cast("long").alias("limit"), F.lit(iv).cast("long").alias("interval_us"))
+                         for lim, iv in default_rates])
+        t = (t.join(rules, key, "left")
+             .withColumn("_rates", F.coalesce("_rates", dflt))
+             .withColumn("_longest", F.coalesce("_longest", F.lit(max(i for _, i in default_rates)).cast("long"))))
+        longest = F.col("_longest")
+    else:
+        lg = max_interval_us if callable(rates) else max(i for _, i in rates)
+        if lg is None:
+            raise ValueError("max_interval_us is required when rates is a function")
+        longest = F.lit(lg)
     order = ["_t", id_col]
     t = with_prev_next(t, key, order, chunk_us)
     t = t.withColumn("_gap", F.coalesce(((F.col("_t") - F.col("_prev")) >= longest).cast("int"), F.lit(0)))
@@ -170,8 +201,9 @@ def admission(log: DataFrame, key: str, ts: str, id_col: str, weight: str, rates
     n = partitions or log.sparkSession.sparkContext.defaultParallelism
     ordered = seg.repartition(n, "_seg").sortWithinPartitions("_seg", "_t", id_col)
     schema = f"{id_col} long, {key} string, admitted boolean"
-    return ordered.select("_seg", "_t", id_col, key, weight).mapInPandas(
-        _admit_partition(rates, key, "_t", id_col, weight), schema)
+    cols = ["_seg", "_t", id_col, key, weight] + (["_rates"] if per_row else [])
+    return ordered.select(*cols).mapInPandas(
+        _admit_partition(None if per_row else rates, key, "_t", id_col, weight, per_row), schema)
 
 
 # ---- W6/W7: stability by repeats (gaps and islands) ----

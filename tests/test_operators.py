@@ -337,3 +337,19 @@ def test_coherence_literal(spark):
     # {the,cat,sat} vs {the,cat,ran}: 2/4; {the,cat,ran} vs {dogs,bark}: 0/5 -> mean 0.25
     assert got[1].sentences == 3 and got[1].score == 0.25 and got[1].likert == 2
     assert got[2].score is None and got[2].likert is None and got[3].sentences == 0
+
+
+def test_admission_with_rules_table(spark):
+    f = seeded(spark, SF_SMALL, "fetch_log").select("event_id", "host", "ts", "weight")
+    rules = spark.createDataFrame([("h1.example.org", 5, TL.HOUR_US), ("h1.example.org", 8, 3 * TL.HOUR_US),
+                                   ("h2.example.org", 4, TL.HOUR_US)], "host string, limit long, interval_us long")
+    default = [(10, 2 * TL.HOUR_US)]
+    got = {r.event_id: r.admitted for r in
+           TL.admission(f, "host", "ts", "event_id", "weight", rules, default_rates=default).collect()}
+    table = {"h1.example.org": [(5, TL.HOUR_US), (8, 3 * TL.HOUR_US)], "h2.example.org": [(4, TL.HOUR_US)]}
+    rows = [(r.event_id, r.host, r.t, r.weight) for r in
+            f.select("event_id", "host", TL.ts_us("ts").alias("t"), "weight").collect()]
+    exp = {}
+    for host in {r[1] for r in rows}:
+        exp.update(_brute_admission([r for r in rows if r[1] == host], table.get(host, default)))
+    assert got == exp
