@@ -65,6 +65,29 @@ def window_weight(log: DataFrame, key: str, ts: str, weight: str, interval_us: i
     return (both.withColumn(out, F.sum(weight).over(w)).where("_own").drop("_t", "_c", "_own"))
 
 
+def violations_by_rules(log: DataFrame, key: str, ts: str, weight: str, rules: DataFrame,
+                        max_intervals: int = 32, **kw) -> DataFrame:
+    """W4 with per-key rules ``(key, limit, interval_us)``: a RANGE frame
+    needs a constant interval, so one sliding-window sum is computed per
+    distinct interval in the rules (a small set: it is counted first and
+    must stay under ``max_intervals`` before it is collected), then each
+    row is compared with its key's limit for that interval; ``violates`` is
+    their OR. Keys without rules never violate."""
+    iv = rules.select(F.col("interval_us").cast("long").alias("iv")).distinct()
+    if iv.count() > max_intervals:
+        raise ValueError(f"more than {max_intervals} distinct intervals in the rules")
+    intervals = sorted(r.iv for r in iv.collect())
+    out = log
+    cond = F.lit(False)
+    for i, interval in enumerate(intervals):
+        lim = (rules.where(F.col("interval_us") == interval).groupBy(key)
+               .agg(F.min(F.col("limit").cast("long")).alias(f"_lim_{i}")))
+        out = window_weight(out, key, ts, weight, interval, out=f"window_weight_{i}", **kw)
+        out = out.join(F.broadcast(lim) if lim.count() <= 1_000_000 else lim, key, "left")
+        cond = cond | F.coalesce(F.col(f"window_weight_{i}") > F.col(f"_lim_{i}"), F.lit(False))
+    return out.withColumn("violates", cond).drop(*[f"_lim_{i}" for i in range(len(intervals))])
+
+
 def violations(log: DataFrame, key: str, ts: str, weight: str, rates, **kw) -> DataFrame:
     """W4 for a rate table: one ``window_weight_i``/``violates`` set per rate."""
     out = log

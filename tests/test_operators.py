@@ -353,3 +353,14 @@ def test_admission_with_rules_table(spark):
     for host in {r[1] for r in rows}:
         exp.update(_brute_admission([r for r in rows if r[1] == host], table.get(host, default)))
     assert got == exp
+
+
+def test_violations_by_rules_match_fixed_rates(spark):
+    f = seeded(spark, SF_SMALL, "fetch_log").select("event_id", "host", "ts", "weight")
+    hosts = [r.host for r in f.select("host").distinct().collect()]
+    rules = spark.createDataFrame([(h, 3, 2 * TL.HOUR_US) for h in hosts] + [(h, 6, TL.DAY_US) for h in hosts],
+                                  "host string, limit long, interval_us long")
+    a = {r.event_id: r.violates for r in TL.violations_by_rules(f, "host", "ts", "weight", rules).collect()}
+    b = {r.event_id: r.violates for r in
+         TL.violations(f, "host", "ts", "weight", [(3, 2 * TL.HOUR_US), (6, TL.DAY_US)]).collect()}
+    assert a == b and any(a.values())
