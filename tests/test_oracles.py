@@ -57,3 +57,28 @@ def test_queries_create_no_session_views(spark):
     for name in ["body_text", "quality", "rate_window", "hash_stability", "host_rollup"]:
         E.queries()[name](spark, SF_SMALL).count()
     assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def _hash_exchange_inputs(df):
+    """Input columns of every hash-partitioned exchange in the formatted plan."""
+    import io
+    import contextlib
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain("formatted")
+    text = buf.getvalue()
+    out = []
+    for block in text.split("\n\n"):
+        if "Exchange" in block and "hashpartitioning" in block:
+            for line in block.splitlines():
+                if line.startswith("Input"):
+                    out.append(line)
+    return out
+
+
+@pytest.mark.parametrize("name", ["request_results", "iframe_text", "mode_parity", "host_rollup", "link_graph",
+                                  "link_type_counts", "main_text"])
+def test_html_never_crosses_a_hash_shuffle(spark, name):
+    inputs = _hash_exchange_inputs(E.queries()[name](spark, SF_SMALL))
+    assert inputs, name
+    assert not any("html#" in line for line in inputs), (name, inputs)
