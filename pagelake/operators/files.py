@@ -199,3 +199,15 @@ def read_files(spark, path: str, glob: str | None = None, max_bytes: int | None
         df = df.where(F.col("length") <= max_bytes)
     name = F.element_at(F.split("path", "/"), -1)
     return df.select("path", name.alias("name"), url_extension(name).alias("extension"), "length", "content")
+
+
+def format_lookup(files: DataFrame, formats: DataFrame, ext: str = "ext") -> tuple[DataFrame, DataFrame]:
+    """``files`` left-joined to the format table (a fixed, 42-row table,
+    broadcast); returns ``(described, unsupported)`` where ``unsupported``
+    is the left anti join."""
+    f = F.broadcast(formats.withColumnRenamed("format", "_fmt"))
+    key = F.regexp_replace(F.lower(F.col(ext)), r"^\.", "")
+    keyed = files.withColumn("_key", key)
+    described = keyed.join(f, keyed["_key"] == f["_fmt"], "left").drop("_key", "_fmt")
+    unsupported = keyed.join(f, keyed["_key"] == f["_fmt"], "left_anti").drop("_key")
+    return described, unsupported

@@ -108,3 +108,19 @@ def q_body_decode(spark, sf):
                     F.length(B.decode_body("body")).cast("bigint").alias("text_length"),
                     FI.guess_format("body").alias("format_guess"),
                     F.length(FI.decode_text_file("body")).cast("bigint").alias("text_file_length"))
+
+
+_FORMATS_VALUES = "(VALUES " + ", ".join(f"({D.lit(k)}, {D.lit(v)})" for k, v in L.CONVERTIBLE_FORMATS.items()) + ") AS t(format, description)"
+
+
+@register("format_lookup", with_clause("file_urls") + f""",
+fmt AS (SELECT * FROM {_FORMATS_VALUES}),
+x AS (SELECT page_id, {_EXT} AS ext FROM file_urls)
+SELECT x.page_id, x.ext, fmt.description, fmt.description IS NOT NULL AS supported
+FROM x LEFT JOIN fmt ON regexp_replace(lower(x.ext), '^[.]', '') = fmt.format""")
+def q_format_lookup(spark, sf):
+    """File extensions left-joined to the supported-format table
+    (broadcast); ``supported`` false where the anti join keeps the row."""
+    f = seeded(spark, sf, "file_urls").select("page_id", FI.url_extension("url").alias("ext"))
+    described, _ = FI.format_lookup(f, FI.supported_formats(spark))
+    return described.select("page_id", "ext", "description", F.col("description").isNotNull().alias("supported"))

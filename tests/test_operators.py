@@ -364,3 +364,11 @@ def test_violations_by_rules_match_fixed_rates(spark):
     b = {r.event_id: r.violates for r in
          TL.violations(f, "host", "ts", "weight", [(3, 2 * TL.HOUR_US), (6, TL.DAY_US)]).collect()}
     assert a == b and any(a.values())
+
+
+def test_format_lookup_anti_join(spark):
+    files = spark.createDataFrame([(1, "pdf"), (2, ".DOCX"), (3, "exe"), (4, "unknown")], "id long, ext string")
+    described, unsupported = FI.format_lookup(files, FI.supported_formats(spark))
+    d = {r.id: r.description for r in described.collect()}
+    assert d[1] == "PDF Document" and d[2] == "Microsoft Word Document" and d[3] is None
+    assert sorted(r.id for r in unsupported.collect()) == [3, 4]
