@@ -371,6 +371,8 @@ def dom_pass(pages: DataFrame, output_format: str = "text", preference: str = "n
     """Parse each page once; returns ``DOM_SCHEMA`` rows keyed by page_id.
     ``keep`` names columns passed through unchanged (native columns computed
     before the pass, e.g. links), so no join is needed to combine them."""
+    from ..session import ensure_shipped
+    ensure_shipped(pages.sparkSession)
     schema = T.StructType(DOM_SCHEMA.fields + [pages.schema[k] for k in keep])
     return pages.select("page_id", "html", *keep).mapInPandas(_dom_batches(output_format, preference, keep), schema)
 

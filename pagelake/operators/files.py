@@ -164,10 +164,16 @@ def _guess_one(b) -> str | None:
 
 
 @F.pandas_udf(T.StringType())
-def guess_format(content: pd.Series) -> pd.Series:
+def _guess_format_udf(content: pd.Series) -> pd.Series:
+    return content.map(_guess_one)
+
+
+def guess_format(content) -> Column:
     """Magic bytes, zip member prefixes, else UTF-8 text of the first
     1024 bytes -> 'txt', else NULL. Arrow-batched."""
-    return content.map(_guess_one)
+    from ..session import ensure_shipped
+    ensure_shipped()
+    return _guess_format_udf(col(content))
 
 
 def _decode_text(b) -> str | None:
@@ -182,11 +188,17 @@ def _decode_text(b) -> str | None:
 
 
 @F.pandas_udf(T.StringType())
-def decode_text_file(content: pd.Series) -> pd.Series:
-    """txt/csv bytes decoded utf-8 -> latin1 -> cp1252, stripped."""
+def _decode_text_udf(content: pd.Series) -> pd.Series:
     return content.map(_decode_text)
 
 
+def decode_text_file(content) -> Column:
+    """txt/csv bytes decoded utf-8 -> latin1 -> cp1252, stripped."""
+    from ..session import ensure_shipped
+    ensure_shipped()
+    return _decode_text_udf(col(content))
+
+
 def read_files(spark, path: str, glob: str | None = None, max_bytes: int | None = None) -> DataFrame:
     """A2: file source ``(path, name, extension, length, content)``. The size
     filter runs on ``length`` before ``content`` is used, so oversized files

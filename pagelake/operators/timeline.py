@@ -198,6 +198,8 @@ def admission(log: DataFrame, key: str, ts: str, id_col: str, weight: str, rates
     streamed through ``mapInPandas`` in Arrow batches, holding only the
     items still inside a window. Ties on ``ts`` are ordered by ``id_col``.
     """
+    from ..session import ensure_shipped
+    ensure_shipped(log.sparkSession)
     t = log.select(key, id_col, weight, ts_us(ts, log).alias("_t"))
     per_row = isinstance(rates, DataFrame)
     if per_row:

@@ -67,3 +67,38 @@ def materialise(df, name: str = "table"):
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex[:12]}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+_SHIPPED: set = set()
+
+
+def ensure_shipped(spark=None) -> None:
+    """Make ``pagelake`` importable in Python workers (once per application).
+
+    Python operators (the DOM pass, the admission fold, decoding UDFs) are
+    pickled by module reference, so executors must import this package. It
+    is zipped from the driver's copy and added with ``addPyFile``, which
+    distributes it like ``--py-files``.
+    """
+    import os
+    import zipfile
+
+    from pyspark.sql import SparkSession
+    spark = spark or SparkSession.getActiveSession()
+    if spark is None:
+        return
+    sc = spark.sparkContext
+    key = (sc.applicationId, sc.startTime)
+    if key in _SHIPPED:
+        return
+    import pagelake
+    root = os.path.dirname(os.path.abspath(pagelake.__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="pagelake-pyfiles-"), "pagelake.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(root):
+            for fn in files:
+                if fn.endswith(".py"):
+                    full = os.path.join(dirpath, fn)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(out)
+    _SHIPPED.add(key)

@@ -45,10 +45,16 @@ def _decode(b):
 
 
 @F.pandas_udf(T.StringType())
-def decode_body(body: pd.Series) -> pd.Series:
+def _decode_body_udf(body: pd.Series) -> pd.Series:
+    return body.map(_decode)
+
+
+def decode_body(body) -> Column:
     """A4: bytes -> text; binary bodies are gunzipped and decoded utf-8,
     then latin-1; others utf-8 with replacement characters."""
-    return body.map(_decode)
+    from ..session import ensure_shipped
+    ensure_shipped()
+    return _decode_body_udf(col(body))
 
 
 def write_results(df: DataFrame, path: str, partition_by: str | None = "host_bucket",

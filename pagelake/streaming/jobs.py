@@ -109,6 +109,8 @@ def admission_stream(log: DataFrame, rates, watermark: str = "1 hour") -> DataFr
     and is dropped by an event-time timeout once they have all expired, so
     state stays bounded by the active hosts. Equal to the batch W5 result
     for input that arrives in time order."""
+    from ..session import ensure_shipped
+    ensure_shipped(log.sparkSession)
     t = (log.withColumn("_ts", F.col("ts").cast("timestamp")).withWatermark("_ts", watermark)
          .select("event_id", "host", "weight", "_ts", F.unix_micros("_ts").alias("_t")))
     return t.groupBy("host").applyInPandasWithState(
