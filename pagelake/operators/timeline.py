@@ -36,6 +36,12 @@ def ts_us(ts, df: DataFrame | None = None) -> Column:
     return F.unix_micros(c.cast("timestamp"))
 
 
+def as_instant(ts: str, df: DataFrame) -> Column:
+    """``ts`` as a TIMESTAMP instant; a ``timestamp_ntz`` column is read as
+    UTC wall-clock time, independent of the session time zone."""
+    return F.timestamp_micros(ts_us(ts, df))
+
+
 def host_key(url) -> Column:
     """``(hostname or '', weight 1)``."""
     return F.struct(F.coalesce(hostname(url), F.lit("")).alias("host"), F.lit(1).alias("weight"))

@@ -111,7 +111,8 @@ def admission_stream(log: DataFrame, rates, watermark: str = "1 hour") -> DataFr
     for input that arrives in time order."""
     from ..session import ensure_shipped
     ensure_shipped(log.sparkSession)
-    t = (log.withColumn("_ts", F.col("ts").cast("timestamp")).withWatermark("_ts", watermark)
+    from ..operators.timeline import as_instant
+    t = (log.withColumn("_ts", as_instant("ts", log)).withWatermark("_ts", watermark)
          .select("event_id", "host", "weight", "_ts", F.unix_micros("_ts").alias("_t")))
     return t.groupBy("host").applyInPandasWithState(
         _admission_state_fn(rates), "event_id long, host string, admitted boolean",
@@ -122,7 +123,8 @@ def admission_stream(log: DataFrame, rates, watermark: str = "1 hour") -> DataFr
 def quiet_sessions(mutations: DataFrame, key: str, ts: str, gap: str, watermark: str) -> DataFrame:
     """S3: sessions of mutations per key; ``quiet_at`` is the session end
     (last mutation + gap). Rows later than the watermark are dropped."""
-    t = mutations.select(key, F.col(ts).cast("timestamp").alias("_ts")).withWatermark("_ts", watermark)
+    from ..operators.timeline import as_instant
+    t = mutations.select(key, as_instant(ts, mutations).alias("_ts")).withWatermark("_ts", watermark)
     s = t.groupBy(key, F.session_window("_ts", gap).alias("s")).agg(F.count("*").alias("mutations"))
     return s.select(key, F.unix_micros(F.col("s.start")).alias("start_us"),
                     F.unix_micros(F.col("s.end")).alias("quiet_at_us"), "mutations")

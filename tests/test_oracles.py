@@ -82,3 +82,14 @@ def test_html_never_crosses_a_hash_shuffle(spark, name):
     inputs = _hash_exchange_inputs(E.queries()[name](spark, SF_SMALL))
     assert inputs, name
     assert not any("html#" in line for line in inputs), (name, inputs)
+
+
+@pytest.mark.parametrize("name", ["rate_window", "quiet_period", "stream_quiet_sessions", "stream_admission"])
+def test_time_queries_ignore_session_time_zone(spark, duck, name):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        s = E.queries()[name](spark, SF_SMALL).toPandas()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert _rows(s) == _rows(duck.execute(ORACLES[name]).df())
