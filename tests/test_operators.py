@@ -372,3 +372,29 @@ def test_format_lookup_anti_join(spark):
     d = {r.id: r.description for r in described.collect()}
     assert d[1] == "PDF Document" and d[2] == "Microsoft Word Document" and d[3] is None
     assert sorted(r.id for r in unsupported.collect()) == [3, 4]
+
+
+def test_hot_host_is_split_and_results_stay_exact(spark):
+    """One host holds a third of all rows: the two-level windows split it
+    over many (host, chunk) groups and still equal a plain per-host window."""
+    from pyspark.sql import Window as W
+    from pagelake.sources.tables import read_table
+    e = read_table(spark, SF_SMALL, "events")
+    log = e.select("event_id", "ts", F.when(F.col("user_id") % 3 == 0, F.lit("hot.example.org"))
+                   .otherwise(F.concat(F.lit("h"), (F.col("user_id") % 50).cast("string"))).alias("host"),
+                   (1 + F.col("event_id") % 3).alias("weight"))
+    total = log.count()
+    hot = log.where("host = 'hot.example.org'").count()
+    assert hot * 4 > total  # about a third
+    chunked = {r.event_id: r.w for r in TL.window_weight(log, "host", "ts", "weight", 2 * TL.HOUR_US,
+                                                          chunk_us=TL.DAY_US, out="w").collect()}
+    t = log.withColumn("_t", TL.ts_us("ts", log))
+    w = W.partitionBy("host").orderBy("_t").rangeBetween(-(2 * TL.HOUR_US - 1), 0)
+    plain = {r.event_id: r.w for r in t.select("event_id", F.sum("weight").over(w).alias("w")).collect()}
+    assert chunked == plain
+    chunks = (t.where("host = 'hot.example.org'").select(F.floor(F.col("_t") / TL.DAY_US).alias("c"))
+              .distinct().count())
+    assert chunks >= 20  # the hot host's rows are sorted in >= 20 independent groups
+    q1 = {r.host: r.quiet_at_us for r in TL.quiet_period(log, "host", "ts", TL.HOUR_US, 10 ** 15, chunk_us=TL.DAY_US).collect()}
+    q2 = {r.host: r.quiet_at_us for r in TL.quiet_period(log, "host", "ts", TL.HOUR_US, 10 ** 15, chunk_us=10 ** 15).collect()}
+    assert q1 == q2
