@@ -49,6 +49,9 @@ def normalise_requests(requests: DataFrame) -> DataFrame:
     df = requests
     if "proxies" not in df.columns:
         df = df.withColumn("proxies", F.lit(None).cast("array<string>"))
+    elif df.schema["proxies"].dataType.simpleString() == "string":
+        # A single proxy string is a one-element list.
+        df = df.withColumn("proxies", F.when(F.col("proxies").isNotNull(), F.array(F.col("proxies"))))
     df = df.withColumn("proxies_norm", normalise_proxies("proxies"))
     reason = F.coalesce(_bound(df, "max_file_size_mb", L.MAX_FILE_MB),
                         _bound(df, "conversion_timeout", L.CONVERSION_TIMEOUT_S),

@@ -398,3 +398,34 @@ def test_hot_host_is_split_and_results_stay_exact(spark):
     q1 = {r.host: r.quiet_at_us for r in TL.quiet_period(log, "host", "ts", TL.HOUR_US, 10 ** 15, chunk_us=TL.DAY_US).collect()}
     q2 = {r.host: r.quiet_at_us for r in TL.quiet_period(log, "host", "ts", TL.HOUR_US, 10 ** 15, chunk_us=10 ** 15).collect()}
     assert q1 == q2
+
+
+def test_request_normalisation_cases(spark):
+    from pagelake.sources.requests import normalise_requests
+    rows = [
+        (1, ["none", " ", "NULL"]),            # only no-proxy markers -> NULL, valid
+        (2, [" 10.0.0.1:8080 ", "false"]),     # trimmed, markers dropped
+        (3, ["proxy.example.org:3128", "0", "h2:81"]),
+        (4, ["bad-proxy"]),                    # no colon
+        (5, ["h:port"]),                       # port not numeric
+        (6, [":80"]),                          # empty host
+        (7, []),                               # empty list -> NULL
+        (8, None),
+    ]
+    df = spark.createDataFrame(rows, "id long, proxies array<string>")
+    got = {r.id: r for r in normalise_requests(df).collect()}
+    assert got[1].proxies_norm is None and got[1].reject_reason is None
+    assert got[2].proxies_norm == ["10.0.0.1:8080"] and got[2].reject_reason is None
+    assert got[3].proxies_norm == ["proxy.example.org:3128", "h2:81"]
+    assert got[4].reject_reason == "Invalid proxy format: bad-proxy. Expected 'host:port'"
+    assert got[5].reject_reason == "Invalid proxy format: h:port. Port must be numeric"
+    assert got[6].reject_reason == "Invalid proxy format: :80. Host and port cannot be empty"
+    assert got[7].proxies_norm is None and got[8].proxies_norm is None
+    one = spark.createDataFrame([(1, "h:80"), (2, "string")], "id long, proxies string")
+    got = {r.id: r.proxies_norm for r in normalise_requests(one).collect()}
+    assert got == {1: ["h:80"], 2: None}
+    bounds = spark.createDataFrame([(1, 0, 60, 30), (2, 50, 9, 30), (3, 50, 60, 121), (4, 100, 300, 5)],
+                                   "id long, max_file_size_mb int, conversion_timeout int, timeout int")
+    got = {r.id: r.reject_reason for r in normalise_requests(bounds).collect()}
+    assert got[1].startswith("max_file_size_mb") and got[2].startswith("conversion_timeout")
+    assert got[3].startswith("timeout") and got[4] is None
