@@ -116,3 +116,54 @@ def test_cascade_result_is_a_candidate(spark, rows):
         else:
             best = max("abc", key=lambda k: (len(raw[k]), -"abc".index(k)))
             assert r.l.text == (raw[best] if len(raw[best]) > 0 else "")
+
+
+def test_error_page_stages_in_order(spark):
+    from pagelake.operators.classify import error_page
+    rows = [
+        (1, "<title>Access Denied</title><body>x</body>", "page not found here"),
+        (2, "<title>Home</title><body>x</body>", "Sorry: Page Not Found on this server, long text " * 3),
+        (3, "<title>Home</title><body>x</body>", "Checking your browser before accessing " * 5),
+        (4, "<title>Home</title><body>x</body>", "  Request blocked  "),
+        (5, '<title>Home</title><body><div class="box captcha">x</div></body>', "fine content " * 20),
+        (6, "<title>Home</title><body>x</body>", "fine content " * 20),
+        (7, "<title>Home</title><body>x</body>", "short but fine"),
+    ]
+    df = spark.createDataFrame(rows, "id long, html string, content string")
+    got = {r.id: (r.e.is_error_page, r.e.error_type) for r in df.select("id", error_page("html", "content").alias("e")).collect()}
+    assert got[1] == (True, "error_title_access denied")
+    assert got[2] == (True, "http_error_page_not_found")
+    assert got[3] == (True, "security_challenge_checking_your_browser")
+    assert got[4] == (True, "short_error_blocked")
+    assert got[5] == (True, "dom_error_captcha")
+    assert got[6] == (False, None) and got[7] == (False, None)
+
+
+def test_spa_scores(spark):
+    from pagelake.operators.classify import spa_indicators, spa_score, ultra_complex_score
+    rows = [
+        (1, "https://app.example.org/x", '<body><div id="root" data-reactroot="">JavaScript wird benötigt</div></body>'),
+        (2, "http://plain.example.org/", "<body><p>" + "words " * 200 + "</p></body>"),
+        (3, "http://v.example.org/", '<body><div data-v-="" class="loading spinner">Loading...</div></body>'),
+    ]
+    df = spark.createDataFrame(rows, "id long, url string, html string")
+    got = {r.id: r for r in df.select("id", spa_indicators("html").alias("i"), spa_score("html").alias("s"),
+                                      ultra_complex_score("html", "url").alias("u")).collect()}
+    assert got[1].i.frameworks == ["React"] and got[1].i.is_spa
+    # React marker +2, History API +1, #root +1
+    assert got[1].s.score == 4 and got[1].s.is_spa
+    # placeholder +3, https +1, 0 < text < 500 +2, app. host +1
+    assert got[1].u.score == 7 and got[1].u.is_ultra_complex
+    assert got[2].s.score == 1 and not got[2].s.is_spa and not got[2].u.is_ultra_complex
+    assert got[3].i.frameworks == ["Vue"] and got[3].i.score == 3
+    assert got[3].s.score == 2 + 1 + 1  # Vue attribute, History API, loading class
+
+
+def test_embedded_json_all_fields_and_cdata(spark):
+    from pagelake.operators.html_text import embedded_json_text
+    js = ('<!--//--><![CDATA[//><!--\n{"description":"<b>Viel</b>   Text","educationalLevel":"Sek I",'
+          '"typicalAgeRange":"10-12","attachments":[{"name":"A","tag":"x"},{"tag":"no name"}]}\n//--><!]]>')
+    html = f'<body><script id="embedded-topic">{js}</script></body>'
+    got = spark.createDataFrame([(html,)], "html string").select(embedded_json_text("html")).first()[0]
+    assert got == ("Beschreibung:\nViel Text\n\nBildungsstufe: Sek I\n\nAltersbereich: 10-12\n\n"
+                   "Anhänge und Ressourcen:\n- A (x)")
