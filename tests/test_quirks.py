@@ -167,3 +167,33 @@ def test_embedded_json_all_fields_and_cdata(spark):
     got = spark.createDataFrame([(html,)], "html string").select(embedded_json_text("html")).first()[0]
     assert got == ("Beschreibung:\nViel Text\n\nBildungsstufe: Sek I\n\nAltersbereich: 10-12\n\n"
                    "Anhänge und Ressourcen:\n- A (x)")
+
+
+def test_link_type_rule_order(spark):
+    html = ('<a href="/v/clip.mp4">Clip</a><a href="/about">About us</a><a href="/p1">Read more</a>'
+            '<a href="/p2" class="nav-link">Item</a><a href="/p3">Preview</a><a href="/p4" class="big button">Go</a>'
+            '<a href="https://twitter.com/x">T</a><a href="/p5">Plain</a>')
+    df = spark.createDataFrame([(1, "https://a.org/", html)], "page_id long, url string, html string")
+    got = {r.url.rsplit("/", 1)[-1]: r.link_type for r in LK.explode_links(LK.with_links(df)).collect()}
+    assert got == {"clip.mp4": "download", "about": "navigation", "p1": "content", "p2": "navigation",
+                   "p3": "content", "p4": "button", "x": "social", "p5": "content"}
+
+
+def test_backoff_outcomes(spark):
+    from pagelake.operators import timeline as TL
+    rows = [("a", 1, 503), ("a", 2, 503), ("a", 3, 200),
+            ("b", 1, 503), ("b", 2, 404),
+            ("c", 1, 503), ("c", 2, 429), ("c", 3, 500), ("c", 4, 502), ("c", 5, 200),
+            ("d", 1, 200)]
+    df = spark.createDataFrame(rows, "k string, n int, status int")
+    got = {r.k: (r.attempts_used, r.outcome, r.total_delay_s) for r in TL.backoff_outcome(df, "k", "n", "status").collect()}
+    assert got == {"a": (3, "success", 3.0), "b": (2, "fatal", 1.0), "c": (4, "exhausted", 7.0), "d": (1, "success", 0.0)}
+
+
+def test_hash_stability_window(spark):
+    from pagelake.operators import timeline as TL
+    seqs = {"a": "AAAA", "b": "ABBBB", "c": "AAABBBB", "d": "ABABABABBBB", "e": "AAA"}
+    rows = [(k, i + 1, c) for k, s in seqs.items() for i, c in enumerate(s)]
+    df = spark.createDataFrame(rows, "k string, poll int, content string")
+    got = {r.k: r.stable_at for r in TL.hash_stability(df, "k", "poll", "content").collect()}
+    assert got == {"a": 4, "b": 5, "c": 7, "d": None, "e": None}
