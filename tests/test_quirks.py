@@ -197,3 +197,35 @@ def test_hash_stability_window(spark):
     df = spark.createDataFrame(rows, "k string, poll int, content string")
     got = {r.k: r.stable_at for r in TL.hash_stability(df, "k", "poll", "content").collect()}
     assert got == {"a": 4, "b": 5, "c": 7, "d": None, "e": None}
+
+
+def test_best_snapshot_rules(spark):
+    from pagelake.operators.html_text import best_snapshot
+    rows = [("a", 1, "x" * 10), ("a", 2, "Loading... " + "y" * 2000), ("a", 3, "z" * 50), ("a", 4, "w" * 40),
+            ("b", 1, "s" * 1200), ("b", 2, "t" * 5000),                       # stops after poll 1
+            ("c", 1, "JavaScript wird benötigt")]
+    rows += [("d", i, "q" * i) for i in range(1, 30)]                            # capped at 20 polls
+    df = spark.createDataFrame(rows, "k string, poll int, text string")
+    got = {r.k: (len(r.best_text), r.best_poll, r.polls_used) for r in best_snapshot(df, "k", "poll", "text").collect()}
+    assert got == {"a": (50, 3, 4), "b": (1200, 1, 1), "c": (0, None, 1), "d": (20, 20, 20)}
+
+
+def test_quiet_period_and_significant(spark):
+    import datetime as dt
+    from pagelake.operators import timeline as TL
+    t0 = dt.datetime(2024, 1, 1)
+    ms = lambda m: t0 + dt.timedelta(milliseconds=m)
+    rows = [("a", ms(0), 10.0), ("a", ms(200), 60.0), ("a", ms(400), 10.0), ("a", ms(1200), 10.0),
+            ("b", ms(0), 60.0), ("b", ms(100), 70.0), ("b", ms(150), 80.0), ("b", ms(5000), 1.0)]
+    rows += [("c", ms(i * 400), 1.0) for i in range(100)]                       # never quiet within 35 s
+    df = spark.createDataFrame(rows, "k string, ts timestamp_ntz, added double")
+    q = {r.k: (r.quiet_at_us, r.timed_out) for r in TL.quiet_period(df, "k", "ts").collect()}
+    base = TL.ts_us(F.lit(t0).cast("timestamp_ntz"))
+    b = spark.range(1).select(base.alias("b")).first().b
+    assert q["a"] == (b + 900_000, False)      # 400 ms + 500 ms of quiet
+    assert q["b"] == (b + 650_000, False)
+    assert q["c"] == (None, True)
+    s = {r.k: (r.resolved_after_us, r.resolved_by) for r in TL.quiet_or_significant(df, "k", "ts", "added").collect()}
+    assert s["b"] == (150_000, "significant")  # third addition over 50 chars
+    assert s["a"] == (4_200_000, "quiet")       # one significant addition; 3 s quiet after 1.2 s
+    assert s["c"] == (15_000_000, "cap")
