@@ -229,3 +229,24 @@ def test_quiet_period_and_significant(spark):
     assert s["b"] == (150_000, "significant")  # third addition over 50 chars
     assert s["a"] == (4_200_000, "quiet")       # one significant addition; 3 s quiet after 1.2 s
     assert s["c"] == (15_000_000, "cap")
+
+
+def test_youtube_size_and_format_rules(spark):
+    urls = [("https://youtu.be/abc",), ("https://music.youtube.de/x",), ("https://www.youtube.com/watch?v=Q1&t=2",),
+            ("https://notyoutube.com/watch?v=1",), ("HTTPS://M.YOUTUBE.COM/watch?v=Z",)]
+    df = spark.createDataFrame(urls, "url string")
+    got = [(r.h, r.p, r.v) for r in df.select(FI.youtube_by_host("url").alias("h"), FI.youtube_by_pattern("url").alias("p"),
+                                              FI.youtube_video_id("url").alias("v")).collect()]
+    assert got == [(True, True, "abc"), (True, False, None), (True, True, "Q1"), (False, True, "1"), (True, True, "Z")]
+
+    mb = 1024 * 1024
+    sizes = spark.createDataFrame([(50 * mb,), (50 * mb + 1,), (3 * mb // 2,)], "b long")
+    g = [(r.g.file_size_mb, r.g.too_large) for r in sizes.select(FI.size_guard("b", 50).alias("g")).collect()]
+    assert g == [(50.0, False), (50.0, True), (1.5, False)]
+    assert sizes.select(FI.size_guard("b", 500).alias("g")).first().g.limit_mb == 100
+
+    cases = spark.createDataFrame([("unknown", "report.PDF"), ("", "tool.exe"), ("", ""), (".DOCX", None)],
+                                  "given string, name string")
+    r = [(x.r.format, x.r.error) for x in cases.select(FI.resolve_format("given", "name").alias("r")).collect()]
+    assert r == [("pdf", None), (None, "Unsupported format: exe"),
+                 (None, "Unable to determine file format for conversion"), ("docx", None)]
