@@ -62,7 +62,9 @@ def extract_links(html, base_url) -> Column:
     to the title, then the href; cut to 200 chars; duplicate URLs removed,
     first kept."""
     base = col(base_url)
-    anchors = F.filter(F.regexp_extract_all(col(html), F.lit(ANCHOR), 0), lambda a: a.rlike(HAS_HREF))
+    # Empty or NULL input gives an empty list, never NULL.
+    anchors = F.filter(F.regexp_extract_all(F.coalesce(col(html), F.lit("")), F.lit(ANCHOR), 0),
+                       lambda a: a.rlike(HAS_HREF))
     raw = F.transform(anchors, lambda a: F.struct(
         strip(decode_entities(F.concat(F.regexp_extract(a, HREF, 1), F.regexp_extract(a, HREF, 2),
                                        F.regexp_extract(a, HREF, 3)))).alias("href"),

@@ -250,3 +250,11 @@ def test_youtube_size_and_format_rules(spark):
     r = [(x.r.format, x.r.error) for x in cases.select(FI.resolve_format("given", "name").alias("r")).collect()]
     assert r == [("pdf", None), (None, "Unsupported format: exe"),
                  (None, "Unable to determine file format for conversion"), ("docx", None)]
+
+
+def test_links_of_empty_or_null_html(spark):
+    df = spark.createDataFrame([(1, "https://a.org/", None), (2, "https://a.org/", ""), (3, "https://a.org/", "<p>no links</p>")],
+                               "page_id long, url string, html string")
+    p = LK.with_links(df).select("page_id", "links", LK.link_stats("links").alias("s")).collect()
+    for r in p:
+        assert r.links == [] and r.s.total_links == 0 and r.s.internal_ratio == 0.0 and r.s.link_types == {}
