@@ -178,7 +178,7 @@ def mined_text(html) -> Column:
     """Quoted strings of small JSON objects in scripts, ``data-*``
     values over 10 chars, body comments over 20 chars; each piece followed
     by a space (untrimmed, as measured by B9)."""
-    h = col(html)
+    h = F.coalesce(col(html), F.lit(""))
     scripts = F.regexp_extract_all(h, F.lit(r"(?is)<script\b[^>]*>(.*?)</script\s*>"), 1)
     objs = F.filter(F.flatten(F.transform(scripts, lambda s: F.regexp_extract_all(s, F.lit(_SMALL_JSON), 0))),
                     lambda o: F.try_parse_json(o).isNotNull())
@@ -198,7 +198,7 @@ _STATE = r"window\.(?:__REDUX_STORE__|appState|applicationState|state|store|data
 def state_text(html) -> Column:
     """B15 (static form): quoted strings of ``window.<state> = {...}`` objects
     in scripts, joined by a space, each object followed by a space."""
-    objs = F.regexp_extract_all(col(html), F.lit(_STATE), 1)
+    objs = F.regexp_extract_all(F.coalesce(col(html), F.lit("")), F.lit(_STATE), 1)
     return F.array_join(F.transform(objs, lambda o: F.concat(_quoted_strings(o), F.lit(" "))), "")
 
 

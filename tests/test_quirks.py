@@ -258,3 +258,14 @@ def test_links_of_empty_or_null_html(spark):
     p = LK.with_links(df).select("page_id", "links", LK.link_stats("links").alias("s")).collect()
     for r in p:
         assert r.links == [] and r.s.total_links == 0 and r.s.internal_ratio == 0.0 and r.s.link_types == {}
+
+
+def test_text_builders_on_null_html(spark):
+    from pagelake.operators import html_text as H
+    df = spark.createDataFrame([(None,)], "html string")
+    r = df.select(H.body_text("html").alias("a"), H.visible_text("html").alias("b"), H.selector_text("html").alias("c"),
+                  H.readable_text("html").alias("d"), H.svg_text("html").alias("e"),
+                  H.embedded_json_text("html").alias("f"), H.mined_text("html").alias("g"),
+                  H.state_text("html").alias("h"), H.cascade_500("html").alias("i")).first()
+    assert (r.a, r.b, r.c, r.d, r.e, r.f, r.g, r.h) == ("",) * 8
+    assert r.i.text == "" and r.i.strategy == "full_content"
