@@ -83,7 +83,8 @@ def detect(docs: DataFrame, model: DataFrame, key: str = "doc_id", text: str = "
     m = _maybe_broadcast(model, max_broadcast_rows)
     s = (words.join(m, "word").groupBy(key, "lang")
          .agg((F.sum(F.col("n") * (F.col("logp") - F.col("unseen")))
-               + F.first("ntok") * F.first("unseen") + F.first("prior")).alias("score")))
+               # constant within the group (per document / per language): max, not first
+               + F.max("ntok") * F.max("unseen") + F.max("prior")).alias("score")))
     per = s.groupBy(key).agg(F.collect_list(F.struct((-F.col("score")).alias("neg"), "lang", "score")).alias("_c"))
     best = F.array_min("_c")
     z = F.aggregate("_c", F.lit(0.0), lambda acc, x: acc + F.exp((x["score"] - best["score"]) / 1000.0))
