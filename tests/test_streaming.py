@@ -46,3 +46,29 @@ def test_admission_stream_resumes_with_state(spark, tmp_path):
     f = seeded(spark, SF_SMALL, "fetch_log").select("event_id", "host", "ts", "weight")
     batch = {r.event_id: r.admitted for r in TL.admission(f, "host", "ts", "event_id", "weight", rates).collect()}
     assert streamed == batch
+
+
+def test_quiet_sessions_drop_rows_past_the_watermark(spark, tmp_path):
+    """S3: a file of old events that arrives after newer ones is behind the
+    watermark; its rows are dropped instead of re-opening closed sessions."""
+    src = tmp_path / "in"
+    src.mkdir()
+    t = pq.read_table(f"{SF_SMALL}/events.parquet")
+    cut = t["event_id"].to_pylist()[len(t) // 2]
+    newer = t.filter(pc.greater_equal(t["event_id"], cut))
+    older = t.filter(pc.less(t["event_id"], cut))
+    pq.write_table(newer, f"{src}/events-1.parquet")
+    base = str(tmp_path / "out")
+
+    def run():
+        ev = S.stream_table(spark, str(src), "events", S.EVENTS_SCHEMA).select("user_id", "ts")
+        return S.run_once(S.quiet_sessions(ev, "user_id", "ts", "2 hours", "1 hour"), "q", base=base)
+    first = run().count()
+    pq.write_table(older, f"{src}/events-2.parquet")
+    after = run()
+    assert after.count() >= first
+    # sessions only from the newer half: nothing starts before its first event
+    min_new = min(newer["ts"].to_pylist())
+    import datetime as dt
+    floor_us = int((min_new - dt.datetime(1970, 1, 1)).total_seconds() * 1_000_000)
+    assert after.agg({"start_us": "min"}).first()[0] >= floor_us
