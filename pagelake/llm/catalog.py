@@ -3,7 +3,7 @@ parameters, to the whole of its table."""
 
 from __future__ import annotations
 
-from . import byte_bpe, language_cnn, token_files, toxicity, wrapper
+from . import byte_bpe, language_cnn, pivot_topk, simhash, token_files, toxicity, wrapper
 from .common import read
 
 
@@ -12,11 +12,13 @@ def _documents(operator):
 
 
 QUERIES = {
+    "op1_pivot_topk": lambda spark, sf_dir: pivot_topk.nearest(read(spark, sf_dir, "embeddings")),
     "op2_token_files": _documents(token_files.digests),
     "op3_toxicity": lambda spark, sf_dir: toxicity.scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")),
     "op4_byte_bpe": _documents(byte_bpe.digests),
     "op5_wrapper": lambda spark, sf_dir: wrapper.main_texts(read(spark, sf_dir, "pages")),
     "op6_language_cnn": _documents(language_cnn.predictions),
+    "op10_simhash": _documents(simhash.classes),
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_pivot_topk": pivot_topk.ORACLE}
