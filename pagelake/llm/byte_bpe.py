@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 from .common import chunks, map_arrow, texts
 
 #: Cached cuts and pieces of one Python worker, each.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 250_000
 #: Memoised token pairs of one Python worker.
-MEMO_ENTRIES = 1_000_000
+MEMO_ENTRIES = 300_000
 
 # Unicode White_Space, as the tokenizers' ``\s`` sees it.
 _WS = "\t-\r \x85\xa0  -     　"
@@ -70,7 +70,7 @@ class Bpe:
         for t in usable:
             p = next((t[:n] for n in range(len(t) - 1, 0, -1) if t[:n] in known), None)
             self.shorter[self.ranks[t]] = None if p is None else self.ranks[p]
-        self.memo: dict[tuple[int, int], bool] = {}
+        self.memo: dict[int, bool] = {}
         self.cuts: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
@@ -100,11 +100,12 @@ class Bpe:
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether merging the bytes of both yields these two tokens."""
-        found = self.memo.get((left, right))
+        key = left << 32 | right
+        found = self.memo.get(key)
         if found is None:
             if len(self.memo) >= MEMO_ENTRIES:
                 self.memo.clear()
-            found = self.memo[left, right] = self._compatible(left, right)
+            found = self.memo[key] = self._compatible(left, right)
         return found
 
     def _compatible(self, a: int, b: int) -> bool:
@@ -215,7 +216,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
         for b in batches:
             bpe = _bpe(data.value, pattern)
             at = 0
-            for part in chunks(texts(b, 1), len, 4 << 20):
+            for part in chunks(texts(b, 1), len, 1 << 20):
                 ids = pa.array(bpe.encode_batch(part), pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(part)), ids], [id_col, "ids"])
                 at += len(part)
@@ -234,7 +235,7 @@ def decode(tokens: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_
         for b in batches:
             bpe = _bpe(data.value, pattern)
             at = 0
-            for part in chunks((x or b"" for x in b.column(1).to_pylist()), len):
+            for part in chunks((x.as_py() or b"" for x in b.column(1)), len, 4 << 20):
                 out = pa.array([bpe.decode(x) for x in part], pa.binary())
                 n = len(part)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, n), pa.array(part, pa.binary()), out], [id_col, "ids", "decoded"])

@@ -3,7 +3,7 @@ parameters, to the whole of its table."""
 
 from __future__ import annotations
 
-from . import byte_bpe, language_cnn, pivot_topk, simhash, token_files, toxicity, wrapper
+from . import byte_bpe, language_cnn, pivot_topk, simhash, suffix_dedup, token_files, toxicity, wrapper
 from .common import read
 
 
@@ -18,6 +18,7 @@ QUERIES = {
     "op4_byte_bpe": _documents(byte_bpe.digests),
     "op5_wrapper": lambda spark, sf_dir: wrapper.main_texts(read(spark, sf_dir, "pages")),
     "op6_language_cnn": _documents(language_cnn.predictions),
+    "op9_suffix_dedup": _documents(suffix_dedup.digests),
     "op10_simhash": _documents(simhash.classes),
 }
 

@@ -55,8 +55,11 @@ def lower_ascii(text: Column) -> Column:
             .otherwise(F.translate(text, upper, upper.lower()))
 
 
-def texts(batch: pa.RecordBatch, column: int) -> list[str]:
-    return [x or "" for x in batch.column(column).to_pylist()]
+def texts(batch: pa.RecordBatch, column: int, rows: int = 128) -> Iterator[str]:
+    """A column's texts (NULL: empty), of which few are Python objects at a time."""
+    for at in range(0, batch.num_rows, rows):
+        for x in batch.column(column).slice(at, rows).to_pylist():
+            yield x or ""
 
 
 def chunks(rows: Iterable, size_of, limit: int = OUT_BYTES) -> Iterator[list]:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, map_arrow, text_key
+from .common import chunks, map_arrow, text_key, texts
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -174,7 +174,7 @@ def predict(docs: DataFrame, network: Network | None, id_col: str = "doc_id", te
         tables = network.tables() if network else None
         for b in batches:
             at = 0
-            for part in chunks(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True), lambda r: WINDOW + len(r[0] or ""), BLOCK * WINDOW):
+            for part in chunks(zip(texts(b, 1), b.column(2).to_pylist(), strict=True), lambda r: WINDOW + len(r[0]), BLOCK * WINDOW):
                 names, scores = ["und"] * len(part), [0.0] * len(part)
                 data = [windows(_prepared(t)) if letters and network else None for t, letters in part]
                 known = [i for i, d in enumerate(data) if d is not None]

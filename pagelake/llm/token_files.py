@@ -40,7 +40,7 @@ from .simple8b import BLOCK, pack, unpack
 
 BLOB_IDS = 1 << 18
 #: Cached cuts and words of one Python worker, each.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 250_000
 MAGIC = b"TKS8"
 _HEAD = struct.Struct("<4sIQQ")
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, text_key, texts
+from .common import chunks, map_arrow, text_key, texts
 
 TOXIC_SAMPLE = 1500
 CLEAN_SAMPLE = 3000
@@ -234,8 +234,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches):
         automaton = model.automaton()
         for b in batches:
-            values = texts(b, 1)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.scores(model.features(values, automaton)), pa.float64())], [id_col, "score"])
+            found = [model.features(part, automaton) for part in chunks(texts(b, 1), len, 1 << 20)]
+            scores = model.scores(np.concatenate(found)) if found else np.empty(0)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64())], [id_col, "score"])
 
     src = docs.select(F.col(id_col), F.col(text_col).cast("string"))
     return map_arrow(src, run, f"`{id_col}` {src.schema[0].dataType.simpleString()}, score double")
