@@ -3,7 +3,7 @@ parameters, to the whole of its table."""
 
 from __future__ import annotations
 
-from . import byte_bpe, language_cnn, pivot_topk, simhash, suffix_dedup, token_files, toxicity, wrapper
+from . import byte_bpe, decontaminate, language_cnn, licenses, pivot_topk, simhash, suffix_dedup, token_files, toxicity, wrapper
 from .common import read
 
 
@@ -18,8 +18,10 @@ QUERIES = {
     "op4_byte_bpe": _documents(byte_bpe.digests),
     "op5_wrapper": lambda spark, sf_dir: wrapper.main_texts(read(spark, sf_dir, "pages")),
     "op6_language_cnn": _documents(language_cnn.predictions),
+    "op7_decontaminate": lambda spark, sf_dir: decontaminate.verdicts(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")),
+    "op8_licenses": _documents(licenses.scan),
     "op9_suffix_dedup": _documents(suffix_dedup.digests),
     "op10_simhash": _documents(simhash.classes),
 }
 
-ORACLES: dict[str, str] = {"op1_pivot_topk": pivot_topk.ORACLE}
+ORACLES: dict[str, str] = {"op1_pivot_topk": pivot_topk.ORACLE, "op8_licenses": licenses.ORACLE}
