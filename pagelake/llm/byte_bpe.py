@@ -246,12 +246,12 @@ def decode(tokens: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_
     return map_arrow(src, run, f"`{id_col}` {kind}, ids binary, decoded binary")
 
 
-def digests(docs: DataFrame) -> DataFrame:
+def digests(docs: DataFrame, with_ids: bool = False) -> DataFrame:
     """Encode and decode with the public 50k byte-level vocabulary; digests of
-    the ids and of the decoded bytes."""
+    the ids and of the decoded bytes, and the ids themselves if asked for."""
     import public_tokenizers as P
 
     path = P.path("byte_bpe_50k.tiktoken")
     back = decode(encode(docs, path, P.PATTERN), path, P.PATTERN)
-    return back.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+    return back.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), *(["ids"] if with_ids else []),
                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

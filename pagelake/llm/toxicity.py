@@ -242,6 +242,20 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return map_arrow(src, run, f"`{id_col}` {src.schema[0].dataType.simpleString()}, score double")
 
 
+def keep(docs: DataFrame, model: Model, below: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is below ``below``."""
+    def run(batches):
+        automaton = model.automaton()
+        for b in batches:
+            found = [model.features(part, automaton) for part in chunks(texts(b, b.num_columns - 1), len, 1 << 20)]
+            if found:
+                rows = pa.RecordBatch.from_arrays(list(b.columns[:-1]), schema=pa.schema(list(b.schema)[:-1]))
+                yield rows.filter(pa.array(model.scores(np.concatenate(found)) < below))
+
+    src = docs.select(*(F.col(f"`{c}`") for c in docs.columns), F.col(text_col).cast("string").alias("__text"))
+    return map_arrow(src, run, docs.schema)
+
+
 def held_out(doc_id: str):
     """Documents whose labels are kept from learning."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5 == 0
