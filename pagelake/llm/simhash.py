@@ -99,9 +99,11 @@ class _Sets:
         for k in np.flatnonzero(root[a] != root[b]):
             x, y = int(a[k]), int(b[k])
             while root[x] != x:
-                x = root[x] = root[root[x]]
+                root[x] = root[root[x]]
+                x = root[x]
             while root[y] != y:
-                y = root[y] = root[root[y]]
+                root[y] = root[root[y]]
+                y = root[y]
             if x != y:
                 root[max(x, y)] = min(x, y)
                 kept.append(k)
