@@ -149,7 +149,7 @@ def _topic_text(j: Column) -> Column:
                F.concat(F.lit("Fach: "), o["subject"], F.lit(" - Thema: "), o["topic"], F.lit("\n\n"))),
         _line("Bildungsstufe: ", o["educationalLevel"]),
         _line("Altersbereich: ", o["typicalAgeRange"]),
-        F.when(o["attachments"].isNotNull(),
+        F.when(F.size(o["attachments"]) > 0,
                F.concat(F.lit("Anhänge und Ressourcen:\n"), att_lines, F.lit("\n")))))
 
 
@@ -191,7 +191,7 @@ def mined_text(html) -> Column:
 
 
 # ---- B15: application-state strings ----
-_STATE = r"window\.(?:__REDUX_STORE__|appState|applicationState|state|store|data)\s*=\s*(\{[^;]*\})"
+_STATE = r"window\.(?:__REDUX_STORE__|appState|applicationState|state|store|data)\s*=\s*(\{[^;\"']*(?:\"(?:[^\"\\]|\\.)*\"[^;\"']*|'(?:[^'\\]|\\.)*'[^;\"']*)*\})"
 
 
 @expr_cache

@@ -94,19 +94,29 @@ def lexicon_frame(spark, lexicons=None) -> DataFrame:
     return spark.createDataFrame(rows, "category string, keyword string, is_phrase boolean")
 
 
+#: A user's lexicon is broadcast and its phrases become columns, so its size is bounded.
+LEXICON_MAX = 10_000
+
+
 def keyword_hits_joined(docs: DataFrame, lexicon: DataFrame, key: str = "doc_id",
-                        text: str = "text", lexicons=None) -> DataFrame:
+                        text: str = "text") -> DataFrame:
     """J2/G3 join form: tokens exploded and joined with the single-word part
-    of a lexicon table (broadcast: a fixed, small table of keywords),
+    of ``lexicon(category, keyword, is_phrase)``, at most ``LEXICON_MAX`` rows,
     phrases counted in-row by substring; summed per (key, category). Gives
-    the same counts as :func:`keyword_count`."""
-    lex = lexicons or L.LEXICONS
+    the same counts as :func:`keyword_count`. Tokens outside the lexicon are
+    filtered out in the row, before they are exploded."""
+    rows = lexicon.select("category", "keyword", "is_phrase").limit(LEXICON_MAX + 1).collect()
+    if len(rows) > LEXICON_MAX:
+        raise ValueError(f"a lexicon has at most {LEXICON_MAX} keywords")
+    known = sorted({r["keyword"] for r in rows if not r["is_phrase"]})
+    phrases = [(r["category"], r["keyword"]) for r in rows if r["is_phrase"]]
     low = docs.select(key, F.lower(strip(F.coalesce(F.col(text), F.lit("")))).alias("t"))
     words = F.broadcast(lexicon.where(~F.col("is_phrase")).select("category", "keyword"))
-    tok = low.select(key, F.explode_outer(tokens("t")).alias("keyword")).where(F.col("keyword").isNotNull())
+    hits = F.filter(tokens("t"), lambda x: x.isin(known)) if known else F.array().cast("array<string>")
+    tok = low.select(key, F.explode_outer(hits).alias("keyword")).where(F.col("keyword").isNotNull())
     w = tok.join(words, "keyword").groupBy(key, "category").agg(F.count("*").alias("hits"))
-    phrase_cols = [F.struct(F.lit(cat).alias("category"), count_substr("t", k).alias("hits"))
-                   for cat, ks in lex.items() for k in ks if len(k.split()) > 1]
-    p = (low.select(key, F.explode(F.array(*phrase_cols)).alias("x"))
-         .select(key, "x.category", "x.hits").where("hits > 0"))
-    return w.unionByName(p).groupBy(key, "category").agg(F.sum("hits").cast("bigint").alias("hits"))
+    if phrases:
+        counts = F.array(*[F.struct(F.lit(cat).alias("category"), count_substr("t", k).alias("hits")) for cat, k in phrases])
+        p = low.select(key, F.explode(counts).alias("x")).select(key, "x.category", "x.hits").where("hits > 0")
+        w = w.unionByName(p)
+    return w.groupBy(key, "category").agg(F.sum("hits").cast("bigint").alias("hits"))

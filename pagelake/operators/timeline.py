@@ -58,48 +58,68 @@ def item_weight(weight, base_weight: int = L.DEFAULT_BASE_WEIGHT) -> Column:
     return (w * F.lit(base_weight)).cast("bigint")
 
 
+#: A chunk of the timeline is so many times the longest interval.
+CHUNK_INTERVALS = 4
+
+
+def window_weights(log: DataFrame, key: str, ts: str, weight: str, intervals: dict[str, int],
+                   chunk_us: int | None = None) -> DataFrame:
+    """For each output name, the total weight per key within
+    ``(t - interval, t]`` for every row (RANGE frames, ties on ``t`` included).
+
+    Frames are computed per (key, time chunk). A row near the end of its chunk
+    is emitted a second time, as context of the next chunk, so the log is
+    scanned, dealt out and sorted once for any number of intervals. The chunk
+    follows the longest interval, so a busy key is split finely."""
+    longest = max(intervals.values())
+    chunk = max(chunk_us or CHUNK_INTERVALS * longest, longest)
+    t = log.withColumn("_t", ts_us(ts, log)).withColumn("_own", F.floor(F.col("_t") / chunk))
+    late = F.col("_t") > (F.col("_own") + 1) * chunk - longest
+    t = t.withColumn("_c", F.explode(F.when(late, F.array(F.col("_own"), F.col("_own") + 1)).otherwise(F.array(F.col("_own")))))
+    for name, interval in intervals.items():
+        t = t.withColumn(name, F.sum(weight).over(W.partitionBy(key, "_c").orderBy("_t").rangeBetween(-(interval - 1), 0)))
+    return t.where(F.col("_c") == F.col("_own")).drop("_t", "_c", "_own")
+
+
 def window_weight(log: DataFrame, key: str, ts: str, weight: str, interval_us: int,
                   chunk_us: int | None = None, out: str = "window_weight") -> DataFrame:
-    """Total weight per key within ``(t - interval, t]`` for every row
-    (RANGE frame, ties on ``t`` included), computed per (key, time chunk)."""
-    chunk = max(chunk_us or DAY_US, interval_us)
-    t = log.withColumn("_t", ts_us(ts, log)).withColumn("_c", F.floor(F.col("_t") / chunk))
-    ctx = (t.where(F.col("_t") >= (F.col("_c") + 1) * chunk - interval_us + 1)
-           .withColumn("_c", F.col("_c") + 1).withColumn("_own", F.lit(False)))
-    both = t.withColumn("_own", F.lit(True)).unionByName(ctx)
-    w = W.partitionBy(key, "_c").orderBy("_t").rangeBetween(-(interval_us - 1), 0)
-    return (both.withColumn(out, F.sum(weight).over(w)).where("_own").drop("_t", "_c", "_own"))
+    """:func:`window_weights` for one interval."""
+    return window_weights(log, key, ts, weight, {out: interval_us}, chunk_us)
 
 
 def violations_by_rules(log: DataFrame, key: str, ts: str, weight: str, rules: DataFrame,
-                        max_intervals: int = 32, **kw) -> DataFrame:
-    """W4 with per-key rules ``(key, limit, interval_us)``: a RANGE frame
-    needs a constant interval, so one sliding-window sum is computed per
-    distinct interval in the rules (a small set: it is counted first and
-    must stay under ``max_intervals`` before it is collected), then each
-    row is compared with its key's limit for that interval; ``violates`` is
-    their OR. Keys without rules never violate."""
-    iv = rules.select(F.col("interval_us").cast("long").alias("iv")).distinct()
-    if iv.count() > max_intervals:
-        raise ValueError(f"more than {max_intervals} distinct intervals in the rules")
-    intervals = sorted(r.iv for r in iv.collect())
-    out = log
-    cond = F.lit(False)
-    for i, interval in enumerate(intervals):
-        lim = (rules.where(F.col("interval_us") == interval).groupBy(key)
-               .agg(F.min(F.col("limit").cast("long")).alias(f"_lim_{i}")))
-        out = window_weight(out, key, ts, weight, interval, out=f"window_weight_{i}", **kw)
-        out = out.join(F.broadcast(lim) if lim.count() <= 1_000_000 else lim, key, "left")
-        cond = cond | F.coalesce(F.col(f"window_weight_{i}") > F.col(f"_lim_{i}"), F.lit(False))
-    return out.withColumn("violates", cond).drop(*[f"_lim_{i}" for i in range(len(intervals))])
+                        chunk_us: int = HOUR_US) -> DataFrame:
+    """W4 with per-key rules ``(key, limit, interval_us)``, any number of them:
+    ``violates`` is true if a row's window of any of its key's rules weighs
+    more than the rule's limit; keys without rules never violate.
+
+    A frame needs a constant interval, so windows are differences of one
+    running sum: S(t) - S(t - interval). Both are read off a timeline that
+    holds, per distinct (key, t), the weight at t and one empty point at
+    t - interval per rule; the sum runs per (key, time chunk), corrected by
+    the chunks before."""
+    t = log.withColumn("_t", ts_us(ts, log))
+    at = t.groupBy(key, "_t").agg(F.sum(weight).cast("long").alias("_w"))
+    lim = rules.select(key, F.col("limit").cast("long").alias("_limit"), F.col("interval_us").cast("long").alias("_iv"))
+    points = at.join(lim, key).select(key, F.col("_t").alias("_at"), (F.col("_t") - F.col("_iv")).alias("_p"), F.lit(0).cast("long").alias("_w"), "_limit")
+    line = (at.select(key, F.col("_t").alias("_at"), F.col("_t").alias("_p"), "_w", F.lit(None).cast("long").alias("_limit"))
+            .unionByName(points).withColumn("_c", F.floor(F.col("_p") / F.lit(chunk_us))))
+    inside = W.partitionBy(key, "_c").orderBy("_p").rangeBetween(W.unboundedPreceding, 0)
+    before = W.partitionBy(key).orderBy("_c").rowsBetween(W.unboundedPreceding, -1)
+    chunks = line.groupBy(key, "_c").agg(F.sum("_w").alias("_w")).select(key, "_c", F.coalesce(F.sum("_w").over(before), F.lit(0)).alias("_before"))
+    sums = line.withColumn("_s", F.sum("_w").over(inside)).join(chunks, [key, "_c"]).withColumn("_s", F.col("_s") + F.col("_before"))
+    # S(t) is the row without a limit; a rule is broken if S(t) - S(t - interval) > limit
+    broken = sums.groupBy(key, "_at").agg((F.max(F.when(F.col("_limit").isNull(), F.col("_s")))
+                                           > F.min(F.col("_s") + F.col("_limit"))).alias("violates"))
+    broken = broken.select(key, F.col("_at").alias("_t"), "violates")
+    return t.join(broken, [key, "_t"], "left").withColumn("violates", F.coalesce("violates", F.lit(False))).drop("_t")
 
 
 def violations(log: DataFrame, key: str, ts: str, weight: str, rates, **kw) -> DataFrame:
-    """W4 for a rate table: one ``window_weight_i``/``violates`` set per rate."""
-    out = log
+    """W4 for a rate table: one ``window_weight_i`` per rate, and ``violates``."""
+    out = window_weights(log, key, ts, weight, {f"window_weight_{i}": interval for i, (_, interval) in enumerate(rates)}, **kw)
     cond = F.lit(False)
-    for i, (limit, interval) in enumerate(rates):
-        out = window_weight(out, key, ts, weight, interval, out=f"window_weight_{i}", **kw)
+    for i, (limit, _) in enumerate(rates):
         cond = cond | (F.col(f"window_weight_{i}") > limit)
     return out.withColumn("violates", cond)
 
@@ -184,7 +204,7 @@ def rates_table(rules: DataFrame, key: str = "host", limit: str = "limit",
 
 def admission(log: DataFrame, key: str, ts: str, id_col: str, weight: str, rates,
               partitions: int | None = None, max_interval_us: int | None = None,
-              chunk_us: int = DAY_US, default_rates=None, max_broadcast_rules: int = 1_000_000) -> DataFrame:
+              chunk_us: int = DAY_US, default_rates=None) -> DataFrame:
     """One bucket per key; an item that would push any rate's window
     total over its limit is refused and takes no room.
 
@@ -192,8 +212,7 @@ def admission(log: DataFrame, key: str, ts: str, id_col: str, weight: str, rates
     rate strategy, a function from the key (host) to such a list, called
     when a bucket is created (then ``max_interval_us`` must bound every
     interval it returns); or a rules DataFrame ``(key, limit, interval_us)``
-    (:func:`rates_table`), joined to the log -- broadcast when a row count
-    proves it small -- with ``default_rates`` for keys without rules.
+    (:func:`rates_table`), joined to the log with ``default_rates`` for keys without rules.
 
     The decision is a fold over time, so it runs sequentially per key. A
     key's timeline is cut into independent segments wherever the gap
@@ -212,7 +231,6 @@ def admission(log: DataFrame, key: str, ts: str, id_col: str, weight: str, rates
         if default_rates is None:
             raise ValueError("default_rates is required with a rules DataFrame")
         rules = rates_table(rates, key)
-        rules = F.broadcast(rules) if rules.count() <= max_broadcast_rules else rules
         dflt = F.array(*[F.struct(F.lit(lim).cast("long").alias("limit"), F.lit(iv).cast("long").alias("interval_us"))
                          for lim, iv in default_rates])
         t = (t.join(rules, key, "left")

@@ -100,13 +100,12 @@ def hostname(u: str) -> str:
 
 
 def remove_dot_segments(p: str) -> str:
-    for _ in range(2):
-        p = f"regexp_replace({p}, '/\\./', '/', 'g')"
-    for _ in range(3):
-        p = f"regexp_replace({p}, {lit(r'/[^/?#]+/\.\./')}, '/', 'g')"
-    p = f"regexp_replace({p}, {lit(r'^/(?:\.\./)+')}, '/')"
-    p = f"regexp_replace(regexp_replace({p}, {lit(r'/\.$')}, '/'), {lit(r'/[^/?#]+/\.\.$')}, '/')"
-    return f"regexp_replace({p}, {lit(r'^/\.\.$')}, '/')"
+    folded = (f"list_reduce(list_prepend('', string_split({p}, '/')[2:]), lambda path, x: CASE "
+              f"WHEN x = '..' THEN CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE chr(1) END "
+              f"WHEN x = '.' THEN path WHEN path = chr(1) THEN x ELSE concat(path, '/', x) END)")
+    rooted = f"regexp_replace(concat('/', replace({folded}, chr(1), '')), '^//', '/')"
+    closed = f"concat({rooted}, CASE WHEN string_split({p}, '/')[-1] IN ('.', '..') AND {rooted} <> '/' THEN '/' ELSE '' END)"
+    return f"(CASE WHEN regexp_matches({p}, '/[.][.]?(/|$)') THEN {closed} ELSE {p} END)"
 
 
 def resolve(b: str, h: str) -> str:
@@ -114,13 +113,16 @@ def resolve(b: str, h: str) -> str:
     origin = f"regexp_extract({b}, {lit(r'^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)')}, 1)"
     path = f"regexp_extract({b}, {lit(r'^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)')}, 1)"
     directory = f"(CASE WHEN {path} = '' THEN '/' ELSE regexp_replace({path}, '[^/]*$', '') END)"
+    h = f"(CASE WHEN starts_with({h}, '///') THEN substr({h}, 3) ELSE {h} END)"
+    rest = f"regexp_extract({h}, '(?s)[?#].*$')"
+    joined = f"regexp_replace(concat({directory}, regexp_extract({h}, '^[^?#]*')), '/{{2,}}', '/', 'g')"
     return (f"(CASE WHEN regexp_matches({h}, {lit(r'^[a-zA-Z][a-zA-Z0-9+.-]*:')}) THEN {h} "
-            f"WHEN starts_with({h}, '//') THEN concat({scheme}, ':', {h}) "
-            f"WHEN starts_with({h}, '/') THEN concat({origin}, {remove_dot_segments(h)}) "
+            f"WHEN starts_with({h}, '//') AND NOT regexp_matches({h}, '^//([/?#]|$)') THEN concat({scheme}, ':', {h}) "
+            f"WHEN starts_with({h}, '/') THEN concat({origin}, {remove_dot_segments(f"regexp_extract({h}, '^[^?#]*')")}, {rest}) "
             f"WHEN starts_with({h}, '?') THEN concat(regexp_extract({b}, '^([^?#]*)', 1), {h}) "
             f"WHEN starts_with({h}, '#') THEN concat(regexp_extract({b}, '^([^#]*)', 1), {h}) "
             f"WHEN {h} = '' THEN {b} "
-            f"ELSE concat({origin}, {remove_dot_segments(f'concat({directory}, {h})')}) END)")
+            f"ELSE concat({origin}, {remove_dot_segments(joined)}, {rest}) END)")
 
 
 def is_internal(link: str, base: str) -> str:

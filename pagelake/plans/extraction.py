@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import __version__
 from ..functions.cascade import cascade_or_longest
 from ..functions.text import strip
 from ..operators import classify as C
@@ -23,7 +24,7 @@ from ..operators import links as LK
 from ..operators import quality as Q
 from ..sources.requests import normalise_requests
 
-VERSION = "0.2.0"
+VERSION = __version__
 LINK_TYPE = "array<struct<url:string,text:string,is_internal:boolean,link_type:string>>"
 QUALITY_TYPE = ("struct<character_length:bigint,content_category:string,confidence:double,"
                 "matched_keywords:struct<error_page:bigint,educational_content:bigint,educational_metadata:bigint>>")

@@ -51,7 +51,7 @@ _TOPIC = D.strip("concat_ws('', " + ", ".join([
     f"CASE WHEN coalesce({_js('subject')}, '') <> '' AND coalesce({_js('topic')}, '') <> '' THEN concat('Fach: ', {_js('subject')}, ' - Thema: ', {_js('topic')}, chr(10), chr(10)) END",
     _d_line("Bildungsstufe: ", _js("educationalLevel")),
     _d_line("Altersbereich: ", _js("typicalAgeRange")),
-    f"CASE WHEN json_extract({_J}, '$.attachments') IS NOT NULL AND json_type(json_extract({_J}, '$.attachments')) = 'ARRAY' THEN concat('Anhänge und Ressourcen:', chr(10), {_ATTL}, chr(10)) END",
+    f"CASE WHEN json_extract({_J}, '$.attachments') IS NOT NULL AND json_type(json_extract({_J}, '$.attachments')) = 'ARRAY' AND json_array_length(json_extract({_J}, '$.attachments')) > 0 THEN concat('Anhänge und Ressourcen:', chr(10), {_ATTL}, chr(10)) END",
 ]) + ")")
 _SCRIPTS = "flatten([" + ", ".join(f"regexp_extract_all(html, {D.lit(p)}, 1)" for p in H.EMBEDDED_PATTERNS) + "])"
 
@@ -97,7 +97,7 @@ fr AS (SELECT page_id, url, unnest(regexp_extract_all(html, {D.lit(r'(?is)<ifram
 tg AS (SELECT page_id, ipos, {D.resolve('url', D.strip(D.decode('src')))} AS target FROM fr),
 tx AS (SELECT url AS target, {D.text_content('body')} AS ttext FROM b),
 j AS (SELECT tg.page_id, tg.ipos, tx.ttext FROM tg LEFT JOIN tx ON tg.target = tx.target AND length(tx.ttext) > 50),
-a AS (SELECT page_id, string_agg(concat(ttext, ' '), '' ORDER BY ipos) AS iframe_text FROM j GROUP BY page_id)
+a AS (SELECT page_id, string_agg(concat(ttext, ' '), '' ORDER BY ipos) FILTER (ttext IS NOT NULL) AS iframe_text FROM j GROUP BY page_id)
 SELECT p.page_id, coalesce(a.iframe_text, '') AS iframe_text FROM seeded_pages p LEFT JOIN a ON p.page_id = a.page_id""")
 def q_iframe_text(spark, sf):
     """Body text of framed pages appended per page (left join on URL)."""

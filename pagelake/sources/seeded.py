@@ -25,22 +25,30 @@ SELECT p.page_id, p.url,
     WHEN 3 THEN concat('<a href="mailto:a@example.org">Mail</a><a href="tel:+491">Tel</a><a href="/f/report.pdf">Report</a><a href="/i/x.png">Pic</a><a href="https://github.com/x">Code</a><a href="#top">Top</a><a href="javascript:void(0)">JS</a><a href="/contact">Contact us</a><a href="/contact">Contact again</a><a href="/x1" class="btn">Go</a><a href="/x2" title="Titled"></a><a href="https://sub.', regexp_extract(p.url, '^[a-z]+://([^/?#]*)', 1), '/s">Sub</a>')
     WHEN 4 THEN '<svg><title>Raum</title><text>Koordinaten Achse</text></svg>'
     WHEN 5 THEN '<script id="embedded-topic" type="json">{"description":"<p>Eine Lektion</p>","summary":"Kurz","keywords":"a, b","subject":"Mathe","topic":"Achse","attachments":[{"name":"Blatt","tag":"pdf"},{"name":"Heft"}]}</script>'
-    WHEN 6 THEN concat('<iframe src="', coalesce(q.url, p.url), '"></iframe>')
+    WHEN 6 THEN concat('<iframe src="', p.url, '/frame/', CAST(p.page_id AS STRING), '"></iframe>')
     WHEN 7 THEN '<article>Lernen und Übungen in der Vorlesung. 5 ECTS pro Semester. Learning outcome.</article>'
     WHEN 8 THEN '<div data-content="hidden learning material"></div><!-- cached description of this lesson -->'
     WHEN 9 THEN '<p>Checking your browser. Ray ID 42.</p>'
     ELSE '' END)) AS html
-FROM pages p LEFT JOIN pages q ON q.page_id = p.page_id + 1""",
+FROM pages p
+UNION ALL
+SELECT -1 - page_id, concat(url, '/frame/', CAST(page_id AS STRING)),
+  concat('<html><body><p>A framed page with a lesson of its own, number ', CAST(page_id AS STRING), '.</p><p>', CASE WHEN page_id % 20 = 6 THEN '' ELSE url END, '</p></body></html>')
+FROM pages WHERE page_id % 10 = 6""",
     "seeded_documents": """
 SELECT doc_id, lang, CASE doc_id % 8
-  WHEN 0 THEN 'Fehler 404: Seite nicht gefunden. Try again.'
   WHEN 1 THEN concat(text, ' Lernen, Übungen und Kompetenzziele: 5 ECTS, Semester.')
   WHEN 2 THEN concat(text, ' Contact, duration, fee and schedule. Lecture.')
   WHEN 3 THEN concat(text, ' error error temporarily unavailable')
-  WHEN 4 THEN '   '
-  WHEN 5 THEN concat('# Head', chr(10), '**bold** and _it_ [link](http://x.org) `code`', chr(10), '- item', chr(10), '1. one')
+  WHEN 5 THEN concat(text, chr(10), '# Head', chr(10), '**bold** and _it_ [link](http://x.org) `code`', chr(10), '- item', chr(10), '1. one')
   ELSE text END AS text
-FROM documents""",
+FROM documents
+UNION ALL
+SELECT -1 - doc_id, lang, CASE doc_id % 8
+  WHEN 0 THEN 'Fehler 404: Seite nicht gefunden. Try again.'
+  WHEN 4 THEN '   '
+  ELSE concat('# Head', chr(10), '**bold** and _it_ [link](http://x.org) `code`', chr(10), '- item', chr(10), '1. one') END
+FROM documents WHERE doc_id % 8 IN (0, 4, 5)""",
     "fetch_log": """
 SELECT event_id, ts, concat('h', CAST(user_id % 20 AS STRING), '.example.org') AS host, 1 + event_id % 3 AS weight,
   concat('https://h', CAST(user_id % 20 AS STRING), '.example.org/p/', CAST(user_id AS STRING)) AS url,
@@ -61,13 +69,14 @@ FROM pages""",
 # valid in Spark and DuckDB).
 SEEDED_SQL.update({
     "video_urls": """
-SELECT page_id, CASE page_id % 6
+SELECT page_id, url FROM pages
+UNION ALL
+SELECT -1 - page_id, CASE page_id % 6
   WHEN 0 THEN concat('https://www.youtube.com/watch?v=', CAST(page_id AS STRING))
   WHEN 1 THEN concat('https://youtu.be/v', CAST(page_id AS STRING))
   WHEN 2 THEN concat('HTTPS://M.YOUTUBE.COM/watch?v=', CAST(page_id AS STRING), '&t=1')
   WHEN 3 THEN concat('https://music.youtube.de/embed/', CAST(page_id AS STRING))
-  WHEN 4 THEN concat('https://notyoutube.com/watch?v=', CAST(page_id AS STRING))
-  ELSE url END AS url
+  ELSE concat('https://notyoutube.com/watch?v=', CAST(page_id AS STRING)) END
 FROM pages""",
     "requests": """
 SELECT page_id AS request_id,
@@ -83,7 +92,7 @@ SELECT page_id AS request_id,
 FROM pages""",
 })
 
-_BASE = {"video_urls": ("pages",), "requests": ("pages",),"seeded_pages": ("pages",), "seeded_documents": ("documents",),
+_BASE = {"video_urls": ("pages",), "requests": ("pages",), "seeded_pages": ("pages",), "seeded_documents": ("documents",),
          "fetch_log": ("events",), "snapshots": ("events",), "file_urls": ("pages",)}
 
 

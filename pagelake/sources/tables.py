@@ -18,31 +18,11 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
-# Tables whose rows carry long text: per-row regex work dominates their cost.
-TEXT_TABLES = ("pages", "documents", "conversations", "benchmark")
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan that yields fewer partitions than the cluster has cores.
-
-    A small file with one row group is one task; text work on it would use
-    one core. Large inputs already arrive in many splits, and then this is a
-    no-op, so no shuffle is added at scale.
-    """
-    try:
-        want = df.sparkSession.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001  e.g. a Spark Connect session: leave the scan as is
-        return df
-    return df.repartition(want) if have < want else df
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One driver table as a DataFrame (text tables spread over all cores)."""
+    """One driver table as a DataFrame, as the scan splits it."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    df = spark.read.parquet(table_path(sf_dir, name))
-    return spread(df) if name in TEXT_TABLES else df
+    return spark.read.parquet(table_path(sf_dir, name))
 
 
 def register_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> None:

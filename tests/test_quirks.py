@@ -15,6 +15,8 @@ from pagelake.operators import files as FI
 from pagelake.operators import links as LK
 from pagelake.operators import quality as Q
 
+SF_SMALL = "/root/testdata/sf0.001"
+
 
 def test_phrase_and_its_last_word_both_count(spark):
     df = spark.createDataFrame([(1, "temporarily unavailable")], "id long, text string")
@@ -269,3 +271,71 @@ def test_text_builders_on_null_html(spark):
                   H.state_text("html").alias("h"), H.cascade_500("html").alias("i")).first()
     assert (r.a, r.b, r.c, r.d, r.e, r.f, r.g, r.h) == ("",) * 8
     assert r.i.text == "" and r.i.strategy == "full_content"
+
+
+def test_dot_segments_of_any_depth_resolve_like_urllib(spark):
+    import random
+    from urllib.parse import urljoin
+    from pagelake.functions.urls import resolve
+    r = random.Random(4)
+    cases = [("https://h.org/a/b/c/d/e/f", "../" * 10 + "z"), ("https://h.org/a", "./" * 6 + "q"), ("http://h.org/a/b?x=/..", "c?y=/../d"),
+             ("http://h.org/a/", ".."), ("http://h.org/a/b", "/../..//x"), ("http://h.org/a", "///b/../c")]
+    for _ in range(200):
+        cases.append(("https://h.org/" + "/".join(r.choice("ab") for _ in range(r.randint(0, 8))),
+                      "/".join(r.choice(["a", "b", "..", "."]) for _ in range(r.randint(1, 14)))))
+    got = [x.u for x in spark.createDataFrame(cases, "b string, h string").select(resolve("b", "h").alias("u")).collect()]
+    assert got == [urljoin(*c) for c in cases]
+
+
+def test_rate_windows_scan_the_log_once(spark):
+    import re
+    from pagelake.operators import timeline as TL
+    from pagelake.sources.seeded import seeded
+    f = seeded(spark, SF_SMALL, "fetch_log").select("event_id", "host", "ts", "weight")
+    counts = []
+    for n in (1, 8):
+        plan = TL.violations(f, "host", "ts", "weight", [(3, (i + 1) * TL.HOUR_US) for i in range(n)])._jdf.queryExecution().executedPlan().toString()
+        counts.append((len(re.findall("FileScan|Scan parquet", plan)), len(re.findall("Exchange hashpartitioning", plan))))
+    assert counts[0] == counts[1] == (1, 1)
+
+
+def test_rules_with_forty_intervals(spark):
+    from pagelake.operators import timeline as TL
+    from pagelake.sources.seeded import seeded
+    f = seeded(spark, SF_SMALL, "fetch_log").select("event_id", "host", "ts", "weight")
+    hosts = sorted(r.host for r in f.select("host").distinct().collect())
+    rules = [(h, 2 + i % 9, (1 + i) * 17 * TL.MINUTE_US) for j, h in enumerate(hosts[:-1]) for i in range(40) if (i + j) % 3]
+    got = {r.event_id: r.violates for r in TL.violations_by_rules(f, "host", "ts", "weight", spark.createDataFrame(rules, "host string, limit long, interval_us long")).collect()}
+    rows = [(r.event_id, r.host, r.t, r.weight) for r in f.withColumn("t", TL.ts_us("ts", f)).collect()]
+    want = {e: any(sum(w2 for _, h2, t2, w2 in rows if h2 == h and t - iv < t2 <= t) > lim for hh, lim, iv in rules if hh == h) for e, h, t, _ in rows}
+    assert got == want and any(want.values()) and not all(want.values())
+
+
+def test_user_lexicon_phrases_count(spark):
+    from pagelake.operators import quality as Q
+    docs = spark.createDataFrame([(1, "Big red bus and a big red bus; buses"), (2, "nothing"), (3, None)], "doc_id long, text string")
+    lex = spark.createDataFrame([("veh", "big red bus", True), ("veh", "buses", False), ("col", "red", False)], "category string, keyword string, is_phrase boolean")
+    assert sorted(map(tuple, Q.keyword_hits_joined(docs, lex).collect())) == [(1, "col", 2), (1, "veh", 3)]
+
+
+def test_embedded_json_without_attachments_and_state_with_semicolons(spark):
+    from pagelake.operators import html_text as H
+    page = '<script id="embedded-topic">{"summary":"Kurz","attachments":[]}</script><script>window.data = {"a":"x; y", "b": "z"};</script>'
+    r = spark.createDataFrame([(page,)], "html string").select(H.embedded_json_text("html").alias("e"), H.state_text("html").alias("s")).first()
+    assert r.e == "Zusammenfassung: Kurz" and "x; y" in r.s
+
+
+def test_shared_folder_is_required_off_a_local_session():
+    import pytest
+    from pagelake.session import ensure_checkpoint_dir
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Session:
+        conf = Conf()
+        sparkContext = type("C", (), {"master": "spark://host:7077"})()
+
+    with pytest.raises(ValueError):
+        ensure_checkpoint_dir(Session())
