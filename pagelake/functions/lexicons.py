@@ -68,6 +68,31 @@ PLACEHOLDER_TEXTS = ["JavaScript wird benötigt", "JavaScript is required",
                      "Loading...", "Wird geladen..."]
 COMPLEX_DOMAINS = ["kmap.eu", "app.", "dashboard.", "admin."]
 
+# ---- Fixed values: targeted main content (B10) ----
+TARGET_SELECTORS = [
+    "main", '[role="main"]', ".main-content", ".content-area", ".main-container", ".page-content", ".article-content",
+    ".content-wrapper", ".primary-content", ".main-section", ".content-body", ".page-body", ".article-body",
+    ".lesson-content", ".course-content", ".educational-content", ".learning-content", ".tutorial-content",
+    ".chapter-content", ".knowledge-map", ".concept-content", ".topic-content", "[data-content]", "[data-main]", ".app-content",
+]
+TARGET_CONTAINERS = ['div[class*="content"]', 'div[id*="content"]', 'section[class*="content"]', "article", 'div[class*="main"]', 'div[id*="main"]']
+TARGET_SKIP = ["nav", "header", ".nav", ".navigation", ".menu"]
+
+# ---- Fixed values: educational blocks (B11) ----
+EDU_SELECTORS = [
+    "p", 'div[class*="text"]', 'div[class*="description"]', 'div[class*="explanation"]', 'div[class*="definition"]',
+    "ul", "ol", "dl", "table", "h1", "h2", "h3", "h4", "h5", "h6", "canvas", "svg", "[data-interactive]", "textarea", 'input[type="text"]',
+]
+EDU_SKIP = ["nav", ".nav", ".navigation", ".menu", "header", "footer", ".sidebar"]
+EDU_MENU_WORD = "(?i)^(Home|Menu|Navigation|Login|Register|Search)$"
+EDU_DATA_ATTRIBUTES = ["data-content", "data-text", "data-description"]
+
+# ---- Fixed values: containers beside SVG text (B12) ----
+SVG_CONTAINERS = [
+    '[class*="content"]', '[class*="lesson"]', '[class*="concept"]', '[class*="definition"]', '[class*="explanation"]',
+    '[class*="description"]', '[id*="content"]', '[id*="main"]', '[id*="lesson"]',
+]
+
 # ---- Fixed values: educational content present (C8), SVG containers (B12) ----
 EDU_KEYWORDS = ["koordinaten", "achse", "punkt", "raum", "dimension"]
 

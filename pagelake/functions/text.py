@@ -55,12 +55,12 @@ def col(c) -> Column:
 
 
 def strip(c) -> Column:
-    """Python ``str.strip()`` for ASCII whitespace (Spark ``trim`` removes spaces only)."""
-    return F.regexp_replace(col(c), r"^\s+|\s+$", "")
+    """Python ``str.strip()``: all Unicode white space (Spark ``trim`` removes spaces only)."""
+    return F.regexp_replace(col(c), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
 
 def collapse_ws(c) -> Column:
-    return strip(F.regexp_replace(col(c), r"\s+", " "))
+    return strip(F.regexp_replace(col(c), r"(?U)[\s\x1c-\x1f]+", " "))
 
 
 def decode_entities(c) -> Column:
@@ -113,19 +113,6 @@ def title_text(html) -> Column:
     return collapse_ws(decode_entities(F.regexp_extract(col(html), r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)))
 
 
-def class_selector(name: str) -> str:
-    """Pattern for an element carrying CSS class ``name`` (double-quoted attribute)."""
-    return rf"<[a-zA-Z][^>]*\sclass\s*=\s*\"(?:[^\"]*\s)?{name}(?:\s[^\"]*)?\""
-
-
-def id_selector(name: str) -> str:
-    return rf"<[a-zA-Z][^>]*\sid\s*=\s*\"{name}\""
-
-
-def attr_selector(name: str) -> str:
-    return rf"<[a-zA-Z][^>]*\s{name}(?:\s*=|[\s/>])"
-
-
 def tokens(c) -> Column:
     """Word tokens as Python's Unicode ``\\w+`` sees them (letters, digits, _)."""
     return F.regexp_extract_all(col(c), F.lit(r"[\p{L}\p{N}_]+"), 0)

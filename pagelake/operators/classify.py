@@ -12,13 +12,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
-from ..functions.text import (attr_selector, body_html, class_selector, col, expr_cache,
-                              id_selector, strip, text_content, title_text)
+from ..functions.text import body_html, col, expr_cache, strip, text_content, title_text
 from ..functions.urls import hostname
-
-
-def _sel_pattern(sel: str) -> str:
-    return class_selector(sel[1:]) if sel[0] == "." else id_selector(sel[1:])
+from .nodes import any_match, is_a, let, nodes
 
 
 def _labelled(c: Column, pairs) -> Column:
@@ -33,12 +29,13 @@ def _labelled(c: Column, pairs) -> Column:
 @expr_cache
 def error_dom_label(html) -> Column:
     """C4 DOM stage alone: ``dom_error_x`` for the first error selector present."""
-    dom = None
-    for sel in reversed(L.ERROR_SELECTORS):
-        lab = F.lit("dom_error_" + sel.replace(".", "").replace("#", ""))
-        cond = col(html).rlike("(?s)" + _sel_pattern(sel))
-        dom = F.when(cond, lab) if dom is None else F.when(cond, lab).otherwise(dom)
-    return dom
+    def first(n):
+        label = F.lit(None).cast("string")
+        for sel in reversed(L.ERROR_SELECTORS):
+            name = "dom_error_" + sel.replace(".", "").replace("#", "")
+            label = F.when(F.exists(n, is_a(sel)), F.lit(name)).otherwise(label)
+        return label
+    return let(nodes(html), first)
 
 
 def error_page_parts(title, content, dom_label) -> Column:
@@ -94,8 +91,8 @@ def spa_indicators(html) -> Column:
                     (score >= 2).alias("is_spa"), chars.alias("characteristics"))
 
 
-def _present(html: Column, pattern: str) -> Column:
-    return html.rlike("(?s)" + pattern)
+def _has(n: Column, *selectors: str) -> Column:
+    return F.exists(n, lambda x: any_match(x, selectors))
 
 
 @expr_cache
@@ -103,18 +100,16 @@ def spa_score(html, window_react=None, window_vue=None, window_angular=None,
               window_ember=None, window_svelte=None, history_api=None) -> Column:
     """C6 (static DOM form): framework markers +2 each, History API +1,
     test ids / loading markers +1, app root +1; ``is_spa = score >= 2``."""
-    h = col(html)
     b = lambda c, d=False: F.coalesce(c, F.lit(d)) if c is not None else F.lit(d)
-    react = b(window_react) | _present(h, attr_selector("data-reactroot")) | _present(h, id_selector("root"))
-    vue = b(window_vue) | _present(h, attr_selector("data-v-"))
-    angular = b(window_angular) | _present(h, attr_selector("ng-app")) | h.rlike(r"(?i)<app-root\b")
-    dyn = (_present(h, attr_selector("data-testid")) | _present(h, attr_selector("data-cy"))
-           | _present(h, class_selector("loading")) | _present(h, class_selector("spinner")))
-    struct_ = _present(h, id_selector("app")) | _present(h, id_selector("root")) | _present(h, class_selector("app"))
-    parts = [(react, 2), (vue, 2), (angular, 2), (b(window_ember), 2), (b(window_svelte), 2),
-             (b(history_api, True), 1), (dyn, 1), (struct_, 1)]
-    score = sum((F.when(c, w).otherwise(0) for c, w in parts), F.lit(0)).cast("bigint")
-    return F.struct(score.alias("score"), (score >= 2).alias("is_spa"))
+
+    def total(n):
+        parts = [(b(window_react) | _has(n, "[data-reactroot]", "#root"), 2), (b(window_vue) | _has(n, "[data-v-]"), 2),
+                 (b(window_angular) | _has(n, "[ng-app]", "app-root"), 2), (b(window_ember), 2), (b(window_svelte), 2),
+                 (b(history_api, True), 1), (_has(n, "[data-testid]", "[data-cy]", ".loading", ".spinner"), 1),
+                 (_has(n, "#app", "#root", ".app"), 1)]
+        return sum((F.when(c, w).otherwise(0) for c, w in parts), F.lit(0)).cast("bigint")
+
+    return let(let(nodes(html), total), lambda score: F.struct(score.alias("score"), (score >= 2).alias("is_spa")))
 
 
 @expr_cache
@@ -133,7 +128,7 @@ def ultra_complex_score(html, url, react_devtools=None, window_react=None, vue_r
     domain = F.lit(False)
     for d in L.COMPLEX_DOMAINS:
         domain = domain | host.contains(d)
-    react = b(window_react) & (b(react_devtools) | _present(col(html), attr_selector("data-reactroot")))
+    react = b(window_react) & (b(react_devtools) | let(nodes(html), lambda n: _has(n, "[data-reactroot]")))
     parts = [(placeholder, 3), (react, 2), (b(vue_router), 2),
              (F.lower(col(url)).startswith("https:"), 1), (b(state_manager), 2),
              ((n > 0) & (n < 500), 2), (domain, 1)]

@@ -1,408 +1,194 @@
-"""One DOM pass per page.
-
-Pages are parsed once, inside ``mapInPandas`` (Arrow batches), with the
-standard-library HTML tokenizer into a light element tree; the pass returns
-one struct of text variants plus the page's content blocks. The HTML column
-is dropped right after this pass, before any shuffle. Block-level work that
-spans pages -- removing blocks repeated across a host's pages (menus,
-marketing text) -- is then a Spark ``groupBy`` + left anti join.
+"""Extractors over page nodes (B1, B2, B4, B10, B11, B12), as native columns.
+
+Pages are tokenised once (:mod:`.nodes`); each extractor here is a rule over
+the node array, and Catalyst drops those that a query does not use. Work that
+spans pages -- blocks repeated across a host's pages -- is a Spark aggregate
+over narrow rows: block texts stay in their page's row.
 """
 
 from __future__ import annotations
 
-import re
-from html.parser import HTMLParser
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import lexicons as L
-
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source",
-        "track", "wbr"}
-RAW = {"script", "style"}
-AUTO_CLOSE = {"p": {"p", "div", "ul", "ol", "table", "h1", "h2", "h3", "h4", "h5", "h6", "article", "section",
-                    "nav", "header", "footer", "aside", "main", "blockquote", "pre", "form"},
-              "li": {"li"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}}
-INLINE = {"b", "i", "em", "strong", "span", "a", "u", "small", "font", "code"}
-BLOCKS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "th", "pre", "blockquote", "dd", "dt"}
-BOILER_TAGS = {"nav", "header", "footer", "aside", "script", "style", "noscript", "form", "iframe", "svg",
-               "button", "select"}
-BOILER_WORDS = re.compile(r"(?:^|[\s_-])(ad|ads|advert\w*|menu|nav\w*|sidebar|footer|comments?|share|social|cookie\w*|banner)(?:$|[\s_-])", re.I)
-PREFERENCE_MIN = {"precision": 50, "none": 25, "recall": 10}
-
-
-class Node:
-    __slots__ = ("tag", "attrs", "children", "parent")
-
-    def __init__(self, tag, attrs, parent):
-        self.tag, self.attrs, self.children, self.parent = tag, attrs, [], parent
-
-    def classes(self):
-        return (self.attrs.get("class") or "").split()
-
-    def text(self, skip=None):
-        out = []
-        stack = [self]
-        while stack:
-            n = stack.pop()
-            if isinstance(n, str):
-                out.append(n)
-            elif skip is None or not skip(n):
-                stack.extend(reversed(n.children))
-        return "".join(out)
-
-    def iter(self):
-        stack = [self]
-        while stack:
-            n = stack.pop()
-            if isinstance(n, Node):
-                yield n
-                stack.extend(reversed(n.children))
-
-    def closest(self, pred):
-        n = self
-        while n is not None:
-            if pred(n):
-                return n
-            n = n.parent
-        return None
-
-
-class _Builder(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.root = Node("#document", {}, None)
-        self.cur = self.root
-        self.comments = []
-
-    def handle_starttag(self, tag, attrs):
-        # An open <p> (or li/td/tr) is closed by a block start tag, also
-        # through open inline elements such as an unclosed <b>.
-        n = self.cur
-        while n is not None and n.tag in INLINE:
-            n = n.parent
-        closes = AUTO_CLOSE.get(n.tag) if n is not None else None
-        if closes and tag in closes:
-            self.cur = n.parent or self.root
-        n = Node(tag, {k: (v or "") for k, v in attrs}, self.cur)
-        self.cur.children.append(n)
-        if tag not in VOID:
-            self.cur = n
-
-    def handle_startendtag(self, tag, attrs):
-        self.cur.children.append(Node(tag, {k: (v or "") for k, v in attrs}, self.cur))
-
-    def handle_endtag(self, tag):
-        n = self.cur
-        while n is not None and n.tag != tag:
-            n = n.parent
-        if n is not None and n.parent is not None:
-            self.cur = n.parent
-
-    def handle_data(self, data):
-        self.cur.children.append(data)
-
-    def handle_comment(self, data):
-        self.comments.append(data)
-
-
-def parse(html: str) -> tuple[Node, list[str]]:
-    b = _Builder()
-    try:
-        b.feed(html or "")
-        b.close()
-    except Exception:  # noqa: BLE001  malformed input: keep what was built
-        pass
-    return b.root, b.comments
-
-
-def _body(root: Node) -> Node:
-    for n in root.iter():
-        if n.tag == "body":
-            return n
-    return root
-
-
-def _ws(s: str) -> str:
-    return re.sub(r"\s+", " ", s).strip()
-
-
-def _matches(n: Node, sel: str) -> bool:
-    if sel.startswith("."):
-        return sel[1:] in n.classes()
-    if sel.startswith("#"):
-        return n.attrs.get("id") == sel[1:]
-    return n.tag == sel
-
-
-def _hidden(n: Node) -> bool:
-    st = (n.attrs.get("style") or "").replace(" ", "").lower()
-    return "display:none" in st or "visibility:hidden" in st or "hidden" in n.attrs
-
-
-def readable_text(root: Node) -> str:
-    """Text nodes outside the skip selectors, trimmed length >= 10,
-    parent not hidden (inline style / ``hidden``), joined by one space."""
-    body = _body(root)
-    parts = []
-
-    def walk(n: Node, hidden: bool):
-        if any(_matches(n, s) for s in L.READABLE_SKIP):
-            return
-        h = hidden or _hidden(n)
-        for c in n.children:
-            if isinstance(c, str):
-                t = c.strip()
-                if len(t) >= L.READABLE_MIN and not h:
-                    parts.append(t)
-            else:
-                walk(c, h)
-    walk(body, False)
-    return " ".join(parts).strip()
-
-
-def _boiler(n: Node) -> bool:
-    if n.tag in BOILER_TAGS:
-        return True
-    return bool(BOILER_WORDS.search(" ".join(n.classes()) + " " + (n.attrs.get("id") or "")))
-
-
-def content_blocks(root: Node, fmt: str = "text"):
-    """Content blocks in document order: ``(pos, tag, text, link_chars)``,
-    boilerplate subtrees skipped; markdown renders headings, list items and
-    bold text when ``fmt`` is markdown."""
-    body = _body(root)
-    out = []
-
-    def render(n: Node) -> str:
-        if fmt not in ("markdown", "raw_markdown"):
-            return _ws(n.text(skip=_boiler))
-        buf = []
-
-        def rec(x):
-            if isinstance(x, str):
-                buf.append(x)
-            elif not _boiler(x):
-                if x.tag in ("b", "strong"):
-                    buf.append("**" + _ws(x.text()) + "**")
-                elif x.tag in ("i", "em"):
-                    buf.append("*" + _ws(x.text()) + "*")
-                else:
-                    for c in x.children:
-                        rec(c)
-        for c in n.children:
-            rec(c)
-        return _ws("".join(buf))
-
-    def walk(n: Node):
-        if _boiler(n):
-            return
-        if n.tag == "tr":
-            cells = [render(c) for c in n.children if isinstance(c, Node) and c.tag in ("td", "th")]
-            cells = [c for c in cells if c]
-            if cells:
-                t = ("| " + " | ".join(cells) + " |") if fmt in ("markdown", "raw_markdown") else " ".join(cells)
-                out.append((len(out), "tr", t, 0))
-            return
-        if n.tag in BLOCKS:
-            t = render(n)
-            if t:
-                if fmt in ("markdown", "raw_markdown"):
-                    if n.tag[0] == "h" and n.tag[1:].isdigit():
-                        t = "#" * int(n.tag[1:]) + " " + t
-                    elif n.tag == "li":
-                        t = "- " + t
-                links = sum(len(_ws(a.text())) for a in n.iter() if a.tag == "a")
-                out.append((len(out), n.tag, t, links))
-            return
-        for c in n.children:
-            if isinstance(c, Node):
-                walk(c)
-            elif n.tag in ("div", "article", "main", "section", "body") and _ws(c):
-                out.append((len(out), "text", _ws(c), 0))
-    walk(body)
-    return out
-
-
-def main_text(blocks, preference: str = "none") -> str:
-    """B1: blocks long enough for the preference and not link lists."""
-    mn = PREFERENCE_MIN.get(preference, 25)
-    max_ld = 0.3 if preference == "precision" else 0.6 if preference == "none" else 0.9
-    keep = [t for _, tag, t, lc in blocks
-            if (len(t) >= mn or tag[0] == "h" or tag == "tr") and (lc / max(len(t), 1)) <= max_ld]
-    return "\n".join(keep).strip()
-
-
-MAIN_TARGETS = ["main", '[role="main"]', ".main-content", ".content-area", ".main-container", ".page-content",
-                ".article-content", ".content-wrapper", ".primary-content", ".main-section", ".content-body",
-                ".page-body", ".article-body", ".lesson-content", ".course-content", ".educational-content",
-                ".learning-content", ".tutorial-content", ".chapter-content", ".knowledge-map",
-                ".concept-content", ".topic-content", "[data-content]", "[data-main]", ".app-content"]
-
-
-def _sel(n: Node, sel: str) -> bool:
-    if sel.startswith("[") and "=" in sel:
-        k, v = sel[1:-1].split("=", 1)
-        return n.attrs.get(k) == v.strip('"')
-    if sel.startswith("["):
-        return sel[1:-1] in n.attrs
-    return _matches(n, sel)
-
-
-def targeted_text(root: Node) -> str:
-    """Text over 100 chars of each main-content selector match (in
-    selector order); if under 100 in total, content-ish containers outside
-    navigation with over 50 chars."""
-    nodes = list(root.iter())
-    content = ""
-    for sel in MAIN_TARGETS:
-        for n in nodes:
-            if _sel(n, sel):
-                t = n.text()
-                if len(t) > 100:
-                    content += t + " "
-    if len(content) < 100:
-        nav = lambda x: x.tag in ("nav", "header") or any(c in x.classes() for c in ("nav", "navigation", "menu"))
-        for n in nodes:
-            cls, nid = " ".join(n.classes()), n.attrs.get("id") or ""
-            ok = ((n.tag == "div" and ("content" in cls or "content" in nid or "main" in cls or "main" in nid))
-                  or (n.tag == "section" and "content" in cls) or n.tag == "article")
-            if ok and not n.closest(nav):
-                t = n.text()
-                if len(t) > 50:
-                    content += t + " "
-    return content.strip()
-
-
-EDU_SELECTORS = ["p", "div.text", "div.description", "div.explanation", "div.definition", "ul", "ol", "dl",
-                 "table", "h1", "h2", "h3", "h4", "h5", "h6", "canvas", "svg", "[data-interactive]", "textarea",
-                 "input.text"]
-_MENU_WORD = re.compile(r"^(Home|Menu|Navigation|Login|Register|Search)$", re.I)
-
-
-def _edu_match(n: Node, sel: str) -> bool:
-    if sel == "input.text":
-        return n.tag == "input" and n.attrs.get("type") == "text"
-    if "." in sel and not sel.startswith("."):
-        tag, word = sel.split(".", 1)
-        return n.tag == tag and word in (n.attrs.get("class") or "")
-    if sel.startswith("["):
-        return sel[1:-1] in n.attrs
-    return n.tag == sel
-
-
-def educational_text(root: Node, dedupe_nested: bool = False) -> str:
-    """Text of text-ish elements outside navigation (> 20 chars, not a
-    bare menu word); nested matches repeat their text unless
-    ``dedupe_nested``; if under 200 chars, parents of canvas/svg and
-    data-content/text/description values are added."""
-    nodes = list(root.iter())
-    navsel = lambda x: x.tag in ("nav", "header", "footer") or any(
-        c in x.classes() for c in ("nav", "navigation", "menu", "sidebar"))
-    content, taken = "", set()
-    for sel in EDU_SELECTORS:
-        for n in nodes:
-            if _edu_match(n, sel) and not n.closest(navsel):
-                if dedupe_nested and any(id(a) in taken for a in _ancestors(n)):
-                    continue
-                t = n.text()
-                if len(t) > 20 and not _MENU_WORD.match(t):
-                    content += t + " "
-                    taken.add(id(n))
-    if len(content) < 200:
-        for n in nodes:
-            if n.tag in ("canvas", "svg") and n.parent is not None:
-                t = n.parent.text()
-                if len(t) > 50:
-                    content += t + " "
-        for n in nodes:
-            v = n.attrs.get("data-content") or n.attrs.get("data-text") or n.attrs.get("data-description") or ""
-            if any(k in n.attrs for k in ("data-content", "data-text", "data-description")) and len(v) > 20:
-                content += v + " "
-    return content.strip()
-
-
-def _ancestors(n: Node):
-    p = n.parent
-    while p is not None:
-        yield p
-        p = p.parent
-
-
-DOM_SCHEMA = T.StructType([
-    T.StructField("page_id", T.LongType()),
-    T.StructField("title", T.StringType()),
-    T.StructField("main_text", T.StringType()),
-    T.StructField("full_text", T.StringType()),
-    T.StructField("readable_text", T.StringType()),
-    T.StructField("targeted_text", T.StringType()),
-    T.StructField("educational_text", T.StringType()),
-    T.StructField("blocks", T.ArrayType(T.StructType([
-        T.StructField("pos", T.IntegerType()), T.StructField("tag", T.StringType()),
-        T.StructField("text", T.StringType()), T.StructField("link_chars", T.IntegerType())]))),
-])
-
-
-def _dom_batches(output_format: str, preference: str, keep=()):
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for pid, h in zip(pdf["page_id"].values, pdf["html"].values):
-                root, _ = parse(h)
-                title = next((_ws(n.text()) for n in root.iter() if n.tag == "title"), "")
-                blocks = content_blocks(root, output_format)
-                mt = main_text(blocks, preference)
-                full = _ws(_body(root).text(skip=lambda n: n.tag in RAW))
-                rows.append((int(pid), title, mt, full, readable_text(root), targeted_text(root),
-                             educational_text(root),
-                             [{"pos": p, "tag": t, "text": x, "link_chars": lc} for p, t, x, lc in blocks]))
-            out = pd.DataFrame(rows, columns=[f.name for f in DOM_SCHEMA.fields])
-            for k in keep:
-                out[k] = pdf[k].values
-            yield out
-    return run
+from ..functions.text import collapse_ws, strip
+from . import nodes as N
+
+BLOCK_TAGS = ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "tr", "pre", "blockquote", "dd", "dt")
+LOOSE_PARENTS = ("div", "article", "main", "section", "body")
+BOILER_TAGS = ("nav", "header", "footer", "aside", "script", "style", "noscript", "form", "iframe", "svg", "button", "select")
+BOILER_WORDS = r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|menu|nav\w*|sidebar|footer|comments?|share|social|cookie\w*|banner)(?:$|[\s_-])"
+#: Least characters of a block and most of them in links, by preference.
+PREFERENCE = {"precision": (50, 0.3), "none": (25, 0.6), "recall": (10, 0.9)}
+
+
+def _boiler(n: Column, body: Column) -> Column:
+    """Boilerplate subtrees: by tag, or by a word in class or id if the subtree
+    holds at most half of the page's text (a page wrapper is no boilerplate)."""
+    size = F.length(F.array_join(N.texts_of(body), ""))
+    named = lambda x: F.concat_ws(" ", F.array_join(x["classes"], " "), x["id"]).rlike(BOILER_WORDS)
+    return N.let(size, lambda s: F.filter(body, lambda x: x["tag"].isin(*BOILER_TAGS) | (
+        ~x["tag"].isin("body", "main", "article", "#text") & named(x) & (2 * F.length(N.content(n, x)) <= s))))
+
+
+def _plain(n: Column, x: Column, boiler: Column, mark: bool) -> Column:
+    """A block's text without boilerplate inside it; bold and italics marked for markdown."""
+    def piece(t):
+        if not mark:
+            return t["text"]
+        return (F.when(t["ptag"].isin("b", "strong"), F.concat(F.lit("**"), collapse_ws(t["text"]), F.lit("**")))
+                .when(t["ptag"].isin("i", "em"), F.concat(F.lit("*"), collapse_ws(t["text"]), F.lit("*"))).otherwise(t["text"]))
+    kept = F.filter(N.part(n, x), lambda t: (t["tag"] == "#text") & ~N.within(t, boiler))
+    return collapse_ws(F.array_join(F.transform(kept, piece), ""))
+
+
+def content_blocks(nodes: Column, fmt: str = "text") -> Column:
+    """B1 blocks in page order: ``array<struct<pos, tag, text, link_chars>>`` of the
+    outermost block elements outside boilerplate, and of loose text in containers."""
+    markdown = fmt in ("markdown", "raw_markdown")
+
+    def render(n, x, boiler):
+        cells = F.filter(F.transform(F.filter(N.part(n, x), lambda c: c["tag"].isin("td", "th")),
+                                     lambda c: _plain(n, c, boiler, markdown)), lambda t: t != "")
+        row = F.array_join(cells, " | " if markdown else " ")
+        text = _plain(n, x, boiler, markdown)
+        if markdown:
+            row = F.when(F.size(cells) > 0, F.concat(F.lit("| "), row, F.lit(" |"))).otherwise(F.lit(""))
+            text = (F.when(text == "", text).when(x["tag"].rlike("^h[1-6]$"), F.concat(F.repeat(F.lit("#"), F.substring(x["tag"], 2, 1).cast("int")), F.lit(" "), text))
+                    .when(x["tag"] == "li", F.concat(F.lit("- "), text)).otherwise(text))
+        return F.when(x["tag"] == "tr", row).otherwise(text)
+
+    def links(n, x):
+        anchors = F.filter(N.part(n, x), lambda a: a["tag"] == "a")
+        return F.aggregate(F.transform(anchors, lambda a: F.length(collapse_ws(N.content(n, a)))), F.lit(0), lambda s, k: s + k)
+
+    def assembled(n, body, boiler):
+        blocks = F.filter(body, lambda x: x["tag"].isin(*BLOCK_TAGS) & ~N.within(x, boiler))
+        outer = N.let(blocks, lambda bs: F.filter(bs, lambda x: ~F.exists(bs, lambda y: (y["pos"] < x["pos"]) & (x["pos"] <= y["last"]))))
+        return N.let(outer, lambda os: F.array_sort(F.filter(F.concat(
+            F.transform(os, lambda x: F.struct(x["pos"].alias("pos"), x["tag"].alias("tag"), render(n, x, boiler).alias("text"),
+                                               F.when(x["tag"] == "tr", 0).otherwise(links(n, x)).alias("link_chars"))),
+            F.transform(F.filter(body, lambda t: (t["tag"] == "#text") & t["ptag"].isin(*LOOSE_PARENTS) & ~N.within(t, boiler) & ~N.within(t, os)),
+                        lambda t: F.struct(t["pos"].alias("pos"), F.lit("text").alias("tag"), collapse_ws(t["text"]).alias("text"), F.lit(0).alias("link_chars")))),
+            lambda b: b["text"] != "")))
+
+    return N.let(nodes, lambda n: N.let(N.body_nodes(n), lambda body: N.let(_boiler(n, body), lambda boiler: assembled(n, body, boiler))))
+
+
+def main_text(blocks: Column, preference: str = "none") -> Column:
+    """B1: the blocks that are long enough for the preference, headings or table
+    rows, and no link lists."""
+    least, links = PREFERENCE.get(preference, PREFERENCE["none"])
+    keep = F.filter(blocks, lambda b: ((F.length(b["text"]) >= least) | b["tag"].startswith("h") | (b["tag"] == "tr"))
+                    & (b["link_chars"] <= links * F.greatest(F.length(b["text"]), F.lit(1))))
+    return strip(F.array_join(F.transform(keep, lambda b: b["text"]), "\n"))
+
+
+def full_text(nodes: Column) -> Column:
+    """All text of the body outside scripts and styles."""
+    return N.let(nodes, lambda n: N.let(N.body_nodes(n), lambda body: collapse_ws(F.array_join(N.texts_of(
+        F.filter(body, lambda t: ~t["ptag"].isin("script", "style"))), ""))))
+
+
+def page_title(nodes: Column) -> Column:
+    return N.let(nodes, lambda n: F.coalesce(collapse_ws(N.content(n, F.get(F.filter(n, lambda x: x["tag"] == "title"), F.lit(0)))), F.lit("")))
+
+
+def readable_text(nodes: Column) -> Column:
+    """Trimmed text nodes of at least 10 characters outside the skip selectors
+    and outside elements hidden in the markup, joined by one space."""
+    style = lambda x: F.lower(F.regexp_replace(F.coalesce(F.element_at(x["attrs"], "style"), F.lit("")), r"\s", ""))
+    hidden = lambda x: style(x).rlike("display:none|visibility:hidden") | F.element_at(x["attrs"], "hidden").isNotNull()
+    return N.let(nodes, lambda n: N.let(N.body_nodes(n), lambda body: N.let(
+        F.filter(body, lambda x: (x["tag"] != "#text") & (N.any_match(x, L.READABLE_SKIP) | hidden(x))),
+        lambda skip: strip(F.array_join(F.filter(F.transform(N.texts_of(F.filter(body, lambda t: ~N.within(t, skip))), lambda t: strip(t)),
+                                                 lambda t: F.length(t) >= L.READABLE_MIN), " ")))))
+
+
+def selector_text(nodes: Column) -> Column:
+    """Text of the first existing main selector (by selector order), else of the body."""
+    def first(n, body):
+        def one_or(other):
+            return lambda x: F.when(x.isNotNull(), N.content(n, x)).otherwise(other)
+
+        out = F.array_join(N.texts_of(body), "")
+        for sel in reversed(L.MAIN_SELECTORS):
+            out = N.let(F.get(F.filter(body, N.is_a(sel)), F.lit(0)), one_or(out))
+        return strip(out)
+    return N.let(nodes, lambda n: N.let(N.body_nodes(n), lambda body: first(n, body)))
+
+
+def targeted_text(nodes: Column) -> Column:
+    """Texts over 100 characters of the main-content selectors, by selector and
+    then page order; if these are under 100 in all, also texts over 50 characters
+    of content containers outside navigation."""
+    def rule(n):
+        targets = F.concat(*[F.filter(n, N.is_a(s)) for s in L.TARGET_SELECTORS])
+        main = N.each_text(n, targets, lambda t: F.length(t) > 100)
+        nav = F.filter(n, lambda x: N.any_match(x, L.TARGET_SKIP))
+        boxes = N.let(nav, lambda v: F.filter(n, lambda x: N.any_match(x, L.TARGET_CONTAINERS) & ~N.within(x, v)))
+        return N.let(main, lambda m: strip(F.when(F.length(m) < 100, F.concat(m, N.each_text(n, boxes, lambda t: F.length(t) > 50))).otherwise(m)))
+    return N.let(nodes, rule)
+
+
+def educational_text(nodes: Column) -> Column:
+    """Texts over 20 characters of text-like elements outside navigation that
+    are no bare menu word, by selector and then page order (nested matches repeat
+    their text); if these are under 200 in all, also the texts around canvas and
+    svg elements and long data attributes."""
+    def rule(n):
+        nav = F.filter(n, lambda x: N.any_match(x, L.EDU_SKIP))
+        found = N.let(nav, lambda v: F.filter(F.concat(*[F.filter(n, N.is_a(s)) for s in L.EDU_SELECTORS]), lambda x: ~N.within(x, v)))
+        blocks = N.each_text(n, found, lambda t: (F.length(t) > 20) & ~t.rlike(L.EDU_MENU_WORD))
+        drawn = F.transform(F.filter(n, lambda x: x["tag"].isin("canvas", "svg") & (x["parent"] >= 0)), lambda x: F.get(n, x["parent"]))
+        around = N.each_text(n, drawn, lambda t: F.length(t) > 50)
+        values = F.transform(n, lambda x: F.coalesce(*[F.nullif(F.element_at(x["attrs"], a), F.lit("")) for a in L.EDU_DATA_ATTRIBUTES], F.lit("")))
+        data = F.array_join(F.transform(F.filter(values, lambda v: F.length(v) > 20), lambda v: F.concat(v, F.lit(" "))), "")
+        return N.let(blocks, lambda b: strip(F.when(F.length(b) < 200, F.concat(b, around, data)).otherwise(b)))
+    return N.let(nodes, rule)
+
+
+def container_text(nodes: Column) -> Column:
+    """B12, container half: texts between 50 and 2000 characters of the container
+    selectors that hold an educational keyword, by selector and then page order."""
+    def rule(n):
+        found = F.concat(*[F.filter(n, N.is_a(s)) for s in L.SVG_CONTAINERS])
+        keyword = "|".join(L.EDU_KEYWORDS)
+        return strip(N.each_text(n, found, lambda t: (F.length(t) > 50) & (F.length(t) < 2000) & F.lower(t).rlike(keyword)))
+    return N.let(nodes, rule)
 
 
 def dom_pass(pages: DataFrame, output_format: str = "text", preference: str = "none",
              keep: tuple[str, ...] = ()) -> DataFrame:
-    """Parse each page once; returns ``DOM_SCHEMA`` rows keyed by page_id.
-    ``keep`` names columns passed through unchanged (native columns computed
-    before the pass, e.g. links), so no join is needed to combine them."""
-    from ..session import ensure_shipped
-    ensure_shipped(pages.sparkSession)
-    schema = T.StructType(DOM_SCHEMA.fields + [pages.schema[k] for k in keep])
-    return pages.select("page_id", "html", *keep).mapInPandas(_dom_batches(output_format, preference, keep), schema)
-
-
-def main_text_dedup(pages: DataFrame, dom: DataFrame | None = None, min_pages: int = 3,
-                    preference: str = "none") -> DataFrame:
-    """B1 with cross-page boilerplate removal: a block whose text hash shows
-    up on at least ``min_pages`` distinct pages of the same host is dropped
-    (left anti join), the rest re-assembled in page order.
-
-    The block table feeds both the count and the anti join, so it is
-    checkpointed to the shared folder once instead of parsing HTML twice.
-    The count per (host, hash) is a partial aggregate over distinct
-    (host, hash, page) rows, so a host holding a third of all pages still
-    shuffles a bounded number of rows per task and key; the anti join on a
-    hot (host, hash) is split by AQE's skew handling.
-    """
+    """``page_id`` and all extractors' columns: ``title``, ``main_text``, ``full_text``,
+    ``readable_text``, ``targeted_text``, ``educational_text``, ``container_text``,
+    ``blocks``. Pages are tokenised once; columns that a query drops are not
+    computed. ``keep`` names columns passed on."""
+    d = pages.select("page_id", N.nodes("html").alias("_nodes"), *keep)
+    n = F.col("_nodes")
+    d = d.withColumn("blocks", content_blocks(n, output_format))
+    return d.select("page_id", page_title(n).alias("title"), main_text(F.col("blocks"), preference).alias("main_text"),
+                    full_text(n).alias("full_text"), readable_text(n).alias("readable_text"), targeted_text(n).alias("targeted_text"),
+                    educational_text(n).alias("educational_text"), container_text(n).alias("container_text"), "blocks", *keep)
+
+
+def main_text_dedup(pages: DataFrame, min_pages: int = 3, preference: str = "none") -> DataFrame:
+    """B1 with boilerplate found across pages: a block whose text is on at least
+    ``min_pages`` pages of the host is dropped. One row per page, also if
+    nothing is left of it.
+
+    Blocks are materialised once. Only (host, hash, page, place) is shuffled to
+    find the repeated ones; their places come back per page, and the page's
+    own block array is filtered in its row."""
     from ..functions.urls import hostname
     from ..session import materialise
-    mn = PREFERENCE_MIN.get(preference, 25)
-    d = dom if dom is not None else dom_pass(pages, "text", preference, keep=("url",))
-    b = (d.select("page_id", hostname("url").alias("host"), F.posexplode_outer("blocks").alias("_i", "b"))
-         .select("page_id", "host", "b.pos", "b.tag", "b.text", F.xxhash64("b.text").alias("h")))
-    b = materialise(b, "dom_blocks")
-    rep = (b.where(F.col("pos").isNotNull()).select("host", "h", "page_id").distinct()
-           .groupBy("host", "h").agg(F.count("*").alias("n"))
+    d = materialise(dom_pass(pages, "text", preference, keep=("url",)).select("page_id", hostname("url").alias("host"), "blocks"), "dom_blocks")
+    b = d.select("page_id", "host", F.explode("blocks").alias("b")).select("page_id", "host", "b.pos", F.xxhash64("b.text").alias("h"))
+    rep = (b.select("host", "h", "page_id").distinct().groupBy("host", "h").agg(F.count("*").alias("n"))
            .where(F.col("n") >= min_pages).select("host", "h"))
-    kept = b.join(rep, ["host", "h"], "left_anti")
-    keep_block = F.col("pos").isNotNull() & ((F.length("text") >= mn) | F.col("tag").startswith("h"))
-    agg = kept.groupBy("page_id").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.when(keep_block, F.struct("pos", "text")))), lambda s: s["text"]), "\n")
-        .alias("main_text"))
-    return agg.select("page_id", F.coalesce("main_text", F.lit("")).alias("main_text"))
+    drop = b.join(rep, ["host", "h"], "left_semi").groupBy("page_id").agg(F.collect_set("pos").alias("drop"))
+    left = F.filter("blocks", lambda x: ~F.array_contains(F.coalesce(F.col("drop"), F.array().cast("array<int>")), x["pos"]))
+    return d.join(drop, "page_id", "left").select("page_id", left.alias("blocks")) \
+            .select("page_id", main_text(F.col("blocks"), preference).alias("main_text"))
+

@@ -1,8 +1,9 @@
 """HTML -> text projections that are native Spark expressions.
 
-All functions return Columns over an ``html`` (or text) column; they stay in
-whole-stage codegen. The DOM-walking extractors (B1, B2, B4 with class
-skips, B10, B11) live in :mod:`pagelake.operators.dom`.
+All functions return Columns over an ``html`` (or text) column. Selectors and
+text nodes (B3, B4) are rules over the page's nodes (:mod:`.nodes`); the other
+extractors over nodes (B1, B2, B10, B11, containers of B12) are in
+:mod:`pagelake.operators.dom`.
 """
 
 from __future__ import annotations
@@ -13,11 +14,9 @@ from pyspark.sql import types as T
 
 from ..functions import lexicons as L
 from ..functions.cascade import cascade
-from ..functions.text import (COMMENT, RAW_OR_TAG, body_html, class_selector, col, collapse_ws,
-                              decode_entities, drop_blocks, element_html, expr_cache, has_element,
-                              id_selector, strip, text_content)
-
-SEP = "\u0001"
+from ..functions.text import body_html, col, collapse_ws, decode_entities, drop_blocks, expr_cache, strip, text_content
+from . import dom
+from .nodes import nodes
 
 
 @expr_cache
@@ -32,47 +31,18 @@ def visible_text(html) -> Column:
     return text_content(drop_blocks(body_html(html), "script", "style"))
 
 
-def _selector_inner(body: Column, sel: str) -> tuple[Column, Column]:
-    if sel.startswith((".", "#")):
-        opener = class_selector(sel[1:]) if sel[0] == "." else id_selector(sel[1:])
-        pat = rf"(?is){opener}[^>]*>(.*?)(?:</(?:div|section|main|article|span)\s*>|$)"
-        return body.rlike(rf"(?is){opener}"), F.regexp_extract(body, pat, 1)
-    return has_element(body, sel), element_html(body, sel)
-
-
 @expr_cache
 def selector_text(html) -> Column:
     """Text of the first existing of main, article, .content, #content,
     .main, #main, .post, .entry; else the body text. Stripped."""
-    body = body_html(html)
-    out = text_content(body)
-    for sel in reversed(L.MAIN_SELECTORS):
-        exists, inner = _selector_inner(body, sel)
-        out = F.when(exists, text_content(inner)).otherwise(out)
-    return strip(out)
-
-
-def text_nodes(fragment) -> Column:
-    """Text nodes of an HTML fragment, in document order, entity-decoded
-    (comments and tags split nodes; script/style bodies are single nodes)."""
-    marked = F.regexp_replace(F.regexp_replace(col(fragment), COMMENT, SEP),
-                              RAW_OR_TAG, f"{SEP}$1$2{SEP}")
-    return F.transform(F.split(marked, SEP), lambda x: decode_entities(x))
-
-
-_SKIP_CLASSES = "|".join(s[1:] for s in L.READABLE_SKIP if s.startswith("."))
+    return dom.selector_text(nodes(html))
 
 
 @expr_cache
 def readable_text(html) -> Column:
-    """B4 (native form): trimmed text nodes of at least 10 chars outside
-    nav/header/footer/aside and div blocks with a skip class, joined by one
-    space. Computed style is not available statically and is not applied."""
-    body = drop_blocks(body_html(html), *[s for s in L.READABLE_SKIP if not s.startswith(".")])
-    body = F.regexp_replace(
-        body, rf"(?is)<div\b[^>]*\sclass\s*=\s*\"(?:[^\"]*\s)?(?:{_SKIP_CLASSES})(?:\s[^\"]*)?\"[^>]*>.*?</div\s*>", "")
-    nodes = F.transform(text_nodes(body), lambda x: strip(x))
-    return strip(F.array_join(F.filter(nodes, lambda x: F.length(x) >= L.READABLE_MIN), " "))
+    """Trimmed text nodes of at least 10 chars outside the skip selectors
+    and hidden elements, joined by one space."""
+    return dom.readable_text(nodes(html))
 
 
 @expr_cache
@@ -204,21 +174,18 @@ def state_text(html) -> Column:
 
 # ---- B16: iframe text ----
 def iframe_sources(html) -> Column:
-    return F.regexp_extract_all(col(html), F.lit(r'(?is)<iframe\b[^>]*?\ssrc\s*=\s*"([^"]*)"'), 1)
+    return F.regexp_extract_all(col(html), F.lit(r"""(?is)<iframe\b[^>]*?\ssrc\s*=\s*["']?([^"'>]*)"""), 1)
 
 
-def iframe_text(pages: DataFrame, targets: DataFrame | None = None,
-                max_broadcast_targets: int = 1_000_000) -> DataFrame:
+def iframe_text(pages: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     """For each page, the body text (over 50 chars) of every iframe
     target, in iframe order, each followed by a space.
 
     ``pages(page_id, url, html)``; ``targets`` (default: ``pages``) supplies
-    ``(url, html)`` of the framed documents. The iframe rows are small; they
-    are checkpointed (shared folder) and their distinct targets counted. When
-    that count is under ``max_broadcast_targets`` the target table is
-    filtered by a broadcast semi join, so only framed pages are parsed and no
-    page row is shuffled; otherwise text is computed before a shuffle join,
-    so HTML still never moves.
+    ``(url, html)`` of the framed documents; of several with one URL the
+    longest text stands for it. Only targets that some page frames go on, as
+    text: HTML is never shuffled. Whether the narrow frame table is broadcast
+    is left to Spark, which knows its size from the written files.
     """
     from ..functions.urls import resolve
     from ..session import materialise
@@ -227,12 +194,9 @@ def iframe_text(pages: DataFrame, targets: DataFrame | None = None,
               .where(F.col("src").isNotNull())
               .select("page_id", "ipos", resolve(F.col("url"), strip(decode_entities(F.col("src")))).alias("target")))
     frames = materialise(frames, "iframes")
-    wanted = frames.select("target").distinct()
-    src = targets.select("url", "html")
-    if wanted.count() <= max_broadcast_targets:
-        src = src.join(F.broadcast(wanted), src["url"] == wanted["target"], "left_semi")
-    texts = (src.select(F.col("url").alias("target"), body_text("html").alias("ttext"))
-             .where(F.length("ttext") > 50))
+    texts = (targets.select(F.col("url").alias("target"), body_text("html").alias("ttext"))
+             .where(F.length("ttext") > 50).join(frames.select("target").distinct(), "target", "left_semi")
+             .groupBy("target").agg(F.max_by("ttext", F.struct(F.length("ttext"), "ttext")).alias("ttext")))
     joined = frames.join(texts, "target", "left")
     agg = (joined.groupBy("page_id")
            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ipos", "ttext"))),

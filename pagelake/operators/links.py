@@ -1,8 +1,8 @@
 """Link extraction, classification, ranking and statistics.
 
-Links are built inside the page row as an ``array<struct>``: anchors are
-found with ``regexp_extract_all``, resolved, classified and de-duplicated
-with higher-order functions. The whole link pipeline is therefore narrow
+Links are built inside the page row as an ``array<struct>``: anchors are the
+``a`` nodes of the page, resolved, classified and de-duplicated with
+higher-order functions. The whole link pipeline is therefore narrow
 (no shuffle), and ``html`` can be dropped right after it. Explode only when
 a long table is wanted.
 """
@@ -13,19 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
-from ..functions.text import COMMENT, TAG, col, decode_entities, expr_cache, strip
+from ..functions.text import col, expr_cache, strip
 from ..functions.urls import is_internal, resolve
-
-ANCHOR = r"(?is)<a\b[^>]*>.*?</a\s*>"
-HREF = r"""(?is)^<a\b[^>]*?\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-OPEN_TAG = r"(?is)^(<a\b[^>]*>)"
-INNER = r"(?is)^<a\b[^>]*>(.*)</a\s*>$"
-HAS_HREF = r"(?is)^<a\b[^>]*?\shref\b"
-
-
-def _attr(tag: Column, name: str) -> Column:
-    return strip(decode_entities(F.regexp_extract(tag, rf'(?is)\s{name}\s*=\s*"([^"]*)"', 1)))
-
+from .nodes import let, nodes, part, texts_of
 
 def _any_contains(c: Column, needles) -> Column:
     out = F.lit(False)
@@ -49,12 +39,6 @@ def link_type(url: Column, text: Column, classes: Column) -> Column:
             .otherwise("content"))
 
 
-def anchor_text(inner: Column) -> Column:
-    """``get_text(strip=True)``: stripped text nodes joined without separator."""
-    nodes = F.split(F.regexp_replace(inner, COMMENT, ""), TAG)
-    return F.array_join(F.transform(nodes, lambda x: strip(decode_entities(x))), "")
-
-
 @expr_cache
 def extract_links(html, base_url) -> Column:
     """D1-D4 as ``array<struct<url, text, is_internal, link_type>>``: every
@@ -62,15 +46,16 @@ def extract_links(html, base_url) -> Column:
     to the title, then the href; cut to 200 chars; duplicate URLs removed,
     first kept."""
     base = col(base_url)
-    # Empty or NULL input gives an empty list, never NULL.
-    anchors = F.filter(F.regexp_extract_all(F.coalesce(col(html), F.lit("")), F.lit(ANCHOR), 0),
-                       lambda a: a.rlike(HAS_HREF))
-    raw = F.transform(anchors, lambda a: F.struct(
-        strip(decode_entities(F.concat(F.regexp_extract(a, HREF, 1), F.regexp_extract(a, HREF, 2),
-                                       F.regexp_extract(a, HREF, 3)))).alias("href"),
-        anchor_text(F.regexp_extract(a, INNER, 1)).alias("atext"),
-        _attr(F.regexp_extract(a, OPEN_TAG, 1), "title").alias("title"),
-        F.regexp_replace(_attr(F.regexp_extract(a, OPEN_TAG, 1), "class"), r"\s+", " ").alias("classes")))
+    def anchor(n, x):
+        attr = lambda name: F.coalesce(strip(F.element_at(x["attrs"], name)), F.lit(""))
+        return F.struct(attr("href").alias("href"),
+                        F.array_join(F.transform(texts_of(part(n, x)), lambda t: strip(t)), "").alias("atext"),
+                        attr("title").alias("title"), F.array_join(x["classes"], " ").alias("classes"))
+
+    # Comments and scripts are nodes of their own, so no link is found in them;
+    # empty or NULL input gives an empty list, never NULL.
+    raw = let(nodes(html), lambda n: F.transform(
+        F.filter(n, lambda x: (x["tag"] == "a") & F.element_at(x["attrs"], "href").isNotNull()), lambda x: anchor(n, x)))
     kept = F.filter(raw, lambda x: (x["href"] != "") & ~x["href"].startswith("#")
                     & ~x["href"].startswith("javascript:"))
     full = F.transform(kept, lambda x: x.withField("url", resolve(base, x["href"])))

@@ -3,7 +3,7 @@
 Each helper writes, in DuckDB's dialect, the same semantics as the Spark
 helper of the same name. The oracle is an independent statement of the
 expected result (the driver runs it next to the Spark query); it shares
-only the fixed values and the regex patterns, never the execution.
+only the fixed values (word lists), not patterns, entity rules or execution.
 """
 
 from __future__ import annotations
@@ -16,12 +16,16 @@ def lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+# Unicode white space, which RE2's \\s does not hold.
+WS = "[\\s\\x{0B}\\x{1C}-\\x{1F}\\x{85}\\p{Z}]+"
+
+
 def strip(x: str) -> str:
-    return f"regexp_replace({x}, {lit(r'^\s+|\s+$')}, '', 'g')"
+    return f"regexp_replace({x}, {lit(f'^{WS}|{WS}$')}, '', 'g')"
 
 
 def collapse_ws(x: str) -> str:
-    return strip(f"regexp_replace({x}, {lit(r'\s+')}, ' ', 'g')")
+    return strip(f"regexp_replace({x}, {lit(WS)}, ' ', 'g')")
 
 
 def decode(x: str) -> str:

@@ -12,6 +12,13 @@ from .catalog import register
 
 SP = with_clause("seeded_pages")
 
+# The oracle's own reading of anchors, for pages as regular as the fixtures.
+ANCHOR = r"(?is)<a\b[^>]*>.*?</a\s*>"
+HREF = r"""(?is)^<a\b[^>]*?\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+OPEN_TAG = r"(?is)^(<a\b[^>]*>)"
+INNER = r"(?is)^<a\b[^>]*>(.*)</a\s*>$"
+HAS_HREF = r"(?is)^<a\b[^>]*?\shref\b"
+
 
 def _d_attr(tag: str, name: str) -> str:
     return D.strip(D.decode(f"regexp_extract({tag}, {D.lit(rf'(?is)\s{name}\s*=\s*\"([^\"]*)\"')}, 1)"))
@@ -30,20 +37,20 @@ def _d_link_type(u: str, t: str, c: str) -> str:
 
 
 def _href(n: int) -> str:
-    return f"regexp_extract(a, {D.lit(LK.HREF)}, {n})"
+    return f"regexp_extract(a, {D.lit(HREF)}, {n})"
 
 
-_OPEN = f"regexp_extract(a, {D.lit(LK.OPEN_TAG)}, 1)"
-_INNER = f"regexp_extract(a, {D.lit(LK.INNER)}, 1)"
+_OPEN = f"regexp_extract(a, {D.lit(OPEN_TAG)}, 1)"
+_INNER = f"regexp_extract(a, {D.lit(INNER)}, 1)"
 _ATEXT = (f"array_to_string(list_transform(regexp_split_to_array({D.drop_comments(_INNER)}, {D.lit(D.TAG)}), "
           f"lambda x: {D.strip(D.decode('x'))}), '')")
 
-LINKS_CTE = f"""a0 AS (SELECT page_id, url AS base, regexp_extract_all(html, {D.lit(LK.ANCHOR)}, 0) AS anchors FROM seeded_pages),
+LINKS_CTE = f"""a0 AS (SELECT page_id, url AS base, regexp_extract_all(html, {D.lit(ANCHOR)}, 0) AS anchors FROM seeded_pages),
 a1 AS (SELECT page_id, base, unnest(anchors) AS a, generate_subscripts(anchors, 1) AS apos FROM a0),
 a2 AS (SELECT page_id, base, apos, {D.strip(D.decode(f"concat({_href(1)}, {_href(2)}, {_href(3)})"))} AS href,
               {_ATEXT} AS atext, {_d_attr(_OPEN, 'title')} AS title,
               regexp_replace({_d_attr(_OPEN, 'class')}, {D.lit(r'\s+')}, ' ', 'g') AS classes
-       FROM a1 WHERE regexp_matches(a, {D.lit(LK.HAS_HREF)})),
+       FROM a1 WHERE regexp_matches(a, {D.lit(HAS_HREF)})),
 a3 AS (SELECT *, {D.resolve('base', 'href')} AS url,
               coalesce(nullif(atext, ''), nullif(title, ''), href) AS ltext
        FROM a2 WHERE href <> '' AND NOT starts_with(href, '#') AND NOT starts_with(href, 'javascript:')),

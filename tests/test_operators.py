@@ -147,16 +147,20 @@ def test_stream_extraction_equals_batch(spark):
     assert s == b
 
 
-def test_dom_main_text_keeps_article_drops_boilerplate():
+def _dom(spark, html, fmt="text", preference="none"):
+    return DM.dom_pass(spark.createDataFrame([(1, html)], "page_id long, html string"), fmt, preference).first()
+
+
+def test_dom_main_text_keeps_article_drops_boilerplate(spark):
     html = ('<html><head><title>T</title><script>var t="</p>";</script></head><body><nav><a href="/a">Menu item</a></nav>'
             '<div class="ad">Buy now buy now buy now buy now buy now</div><!-- ad 1 -->'
             '<article><h1>Heading</h1><p><b>First paragraph is long enough to keep here.<br>'
             '<p>Second paragraph also long enough to keep here.</p></article><footer>Footer text here</footer>')
-    root, _ = DM.parse(html)
-    mt = DM.main_text(DM.content_blocks(root))
+    row = _dom(spark, html)
+    mt = row.main_text
     assert "First paragraph" in mt and "Second paragraph" in mt and "Heading" in mt
     assert "Menu" not in mt and "Buy now" not in mt and "Footer" not in mt and "var t" not in mt
-    r = DM.readable_text(root)
+    r = row.readable_text
     assert "Footer" not in r and "Menu item" not in r
 
 
@@ -182,9 +186,12 @@ def test_decode_body_and_magic(spark):
 
 def test_native_queries_have_no_python_eval(spark):
     import __spark_entry__ as E
-    for name in ["links", "host_rollup", "quality", "error_page", "rate_window"]:
+    for name in ["quality", "rate_window", "body_text", "duplicates"]:
         plan = E.queries()[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
         assert "EvalPython" not in plan and "PythonUDF" not in plan, name
+    for name in ["links", "error_page", "cascade_500", "spa_score"]:  # one tokenising pass, rules are native
+        plan = E.queries()[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+        assert len(re.findall(r"ArrowEvalPython ", plan)) == len(re.findall("FileScan", plan)), (name, plan)
 
 
 def test_link_pipeline_is_narrow(spark):
@@ -239,6 +246,41 @@ def test_main_text_dedup_keeps_article_paragraphs(spark):
         assert first.split()[0] in art[pid]
 
 
+def test_page_rules_on_ordinary_html(spark):
+    """Nested elements, any quoting, comments, open tags, entities, wrappers."""
+    from pagelake.operators import classify as C
+    from pagelake.operators import links as LK2
+    page = ("<body class='comments-enabled page'><div class=content><div>one</div>two &uuml; &#8211; &hellip;</div><main-nav>no</main-nav>"
+            "<!-- <a href='/hidden'>x</a> <div class='captcha'></div> --><script>var a = '<a href=\"/script\">y</a>';</script>"
+            "<ul class='menu'><li>skip this menu entry</ul><a title='a > b' href='/real'></a><p class=blocked>Some readable words &amp; more<a href=/open>open end")
+    df = spark.createDataFrame([(1, "http://h.org/", page), (2, "http://h.org/", "<b>" * 3000 + "deep"), (3, "http://h.org/", None)], "page_id long, url string, html string")
+    rows = {r.page_id: r for r in LK2.with_links(df).select(
+        "page_id", "links", H.selector_text("html").alias("s"), H.readable_text("html").alias("r"), C.error_dom_label("html").alias("e")).collect()}
+    assert rows[1].s == "onetwo ü – …" and "skip this menu" not in rows[1].r and "Some readable words & more" in rows[1].r
+    assert [(x.url, x.text) for x in rows[1].links] == [("http://h.org/real", "a > b"), ("http://h.org/open", "open end")]
+    assert rows[1].e == "dom_error_blocked" and rows[2].s == "deep" and rows[3].links == []
+    m = _dom(spark, page)
+    assert "two ü – …" in m.full_text and "Some readable words & more" in m.main_text
+
+
+def test_targeted_educational_and_container_text(spark):
+    filler = "Ein Satz über die Achse und den Punkt im Raum. " * 3
+    html = (f'<body><nav><p>{filler}</p></nav><div class="my-content">{filler}</div><div class="lesson">{filler}</div><p>Home</p>'
+            f'<table><tr><td>{filler}</td></tr></table><div data-text="{filler}"></div></body>')
+    row = _dom(spark, html)
+    assert row.targeted_text == filler.strip()  # no main selector: content containers outside navigation
+    assert row.educational_text.count("Achse") == 6 and "Home" not in row.educational_text
+    assert row.container_text.count("Achse") == 6  # the content div and the lesson div
+    assert _dom(spark, f"<main>{filler}</main>").targeted_text == filler.strip()
+
+
+def test_main_text_dedup_returns_every_page(spark):
+    same = "<body><div class=x><p>The same long paragraph on every page of the host.</p></div></body>"
+    pages = [(i, f"http://h.org/{i}", same) for i in range(3)] + [(9, "http://h.org/9", "<p>A paragraph of its own, long enough to stay.</p>")]
+    got = {r.page_id: r.main_text for r in DM.main_text_dedup(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {0: "", 1: "", 2: "", 9: "A paragraph of its own, long enough to stay."}
+
+
 def test_simple_mode_records(spark):
     from pagelake.plans.extraction import simple_mode
     reqs = seeded(spark, SF_SMALL, "requests")
@@ -276,19 +318,17 @@ def test_browser_mode_records(spark):
                                                   "embedded_json_extraction"}
 
 
-def test_dom_markdown_tables_and_preference():
+def test_dom_markdown_tables_and_preference(spark):
     html = ('<body><article><h2>Title here</h2><p>Plain <b>bold words</b> and <i>italic</i> text of some length here.</p>'
             '<ul><li>First item with enough text</li></ul><table><tr><th>Name</th><th>Value</th></tr>'
             '<tr><td>ECTS</td><td>5</td></tr></table><p>Short one.</p>'
             '<p>See <a href="/a">link one</a> <a href="/b">link two</a> <a href="/c">link three x</a></p></article></body>')
-    root, _ = DM.parse(html)
-    md = DM.main_text(DM.content_blocks(root, "markdown"), "none")
+    md = _dom(spark, html, "markdown").main_text
     assert "## Title here" in md and "**bold words**" in md and "*italic*" in md
     assert "- First item with enough text" in md
     assert "| Name | Value |" in md and "| ECTS | 5 |" in md
-    txt = DM.content_blocks(root, "text")
-    recall = DM.main_text(txt, "recall")
-    precision = DM.main_text(txt, "precision")
+    recall = _dom(spark, html, preference="recall").main_text
+    precision = _dom(spark, html, preference="precision").main_text
     assert "Short one." in recall and "Short one." not in precision
     assert "link one" in recall and "link one" not in precision
 
