@@ -13,7 +13,12 @@ from pyspark.sql import functions as F
 def mode_parity(simple: DataFrame, browser: DataFrame, ratio: float = 0.8) -> DataFrame:
     """Inputs ``(url, success, text_length)``; parity when both succeed
     and browser length >= ratio x simple, when only browser succeeds, or
-    when both fail."""
+    when both fail. A URL that a run holds several times counts with its best
+    fetch (successful, then longest)."""
+    def once(run):
+        return run.groupBy("url").agg(F.max(F.struct("success", "text_length")).alias("r")).select("url", "r.*")
+
+    simple, browser = once(simple), once(browser)
     s = simple.select("url", F.col("success").alias("s_ok"), F.col("text_length").alias("s_len"))
     b = browser.select("url", F.col("success").alias("b_ok"), F.col("text_length").alias("b_len"))
     j = s.join(b, "url", "full_outer")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import col, expr_cache, strip, tokens
+from .nodes import let
 
 VOWELS = "[aeiouyäöüàâéèêëîïôûùœæáíóú]+"
 
@@ -86,16 +87,23 @@ def with_readability(df: DataFrame, text: str = "text", out: str = "readability"
 
 
 def lexical_stats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Type-token ratio, Guiraud's R and Shannon entropy (bits) per
-    document, by a two-level aggregate over exploded lower-cased tokens."""
-    tok = (docs.select(key, F.explode_outer(tokens(F.lower(F.coalesce(F.col(text), F.lit(""))))).alias("w"))
-           .where(F.col("w").isNotNull()).groupBy(key, "w").agg(F.count("*").alias("c")))
-    g = tok.groupBy(key).agg(F.count("*").alias("types"), F.sum("c").alias("tokens"),
-                             F.sum(F.col("c") * F.log2("c")).alias("_cl"))
-    return g.select(key, "types", "tokens",
-                    F.bround(F.col("types") / F.col("tokens"), 6).alias("ttr"),
-                    F.bround(F.col("types") / F.sqrt("tokens"), 6).alias("guiraud_r"),
-                    F.bround(F.log2("tokens") - F.col("_cl") / F.col("tokens"), 6).alias("entropy_bits"))
+    """Type-token ratio, Guiraud's R and Shannon entropy (bits) of every
+    document, in its row: the sorted tokens' runs are the types, so nothing is
+    exploded or shuffled. Without a token the ratios are NULL."""
+    def runs(s):
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return let(starts, lambda at: F.transform(at, lambda i, j: F.coalesce(F.get(at, j + 1), F.size(s)) - i))
+
+    toks = tokens(F.lower(F.coalesce(F.col(text), F.lit(""))))
+    counts = let(F.array_sort(toks), lambda s: F.when(F.size(s) > 0, runs(s)).otherwise(F.array().cast("array<int>")))
+    d = docs.select(key, let(counts, lambda c: F.struct(
+        F.size(c).cast("bigint").alias("types"), F.aggregate(c, F.lit(0).cast("bigint"), lambda n, x: n + x).alias("tokens"),
+        F.aggregate(c, F.lit(0.0), lambda n, x: n + x * F.log2(x)).alias("cl"))).alias("s")).select(key, "s.*")
+    some = F.col("tokens") > 0
+    return d.select(key, "types", "tokens",
+                    F.when(some, F.bround(F.col("types") / F.col("tokens"), 6)).alias("ttr"),
+                    F.when(some, F.bround(F.col("types") / F.sqrt("tokens"), 6)).alias("guiraud_r"),
+                    F.when(some, F.bround(F.log2("tokens") - F.col("cl") / F.col("tokens"), 6)).alias("entropy_bits"))
 
 
 @expr_cache

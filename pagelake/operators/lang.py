@@ -4,9 +4,9 @@ A multinomial naive Bayes over word tokens, trained on a labelled text
 table with Spark jobs: counts per (lang, word) by ``groupBy``, log
 probabilities as integer milli-nats (exact, engine-independent sums),
 scoring by a join of per-document word counts with the model and a
-``groupBy(doc, lang)`` sum. The model grows with the vocabulary, so it is
-broadcast only when a row count proves it small; otherwise the join
-shuffles (pre-aggregated word counts keep that shuffle small).
+``groupBy(doc, lang)`` sum. The model grows with the vocabulary; Spark decides
+from its written size whether to broadcast it or to shuffle the pre-aggregated
+word counts.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip, tokens
 
-BROADCAST_MAX_ROWS = 2_000_000
+UNKNOWN = "unknown"
 
 
 def _words(df: DataFrame, key: str, text: str, prefix: int | None) -> DataFrame:
@@ -53,20 +53,12 @@ def train(labelled: DataFrame, text: str = "text", label: str = "lang") -> DataF
         "prior")
 
 
-def _maybe_broadcast(model: DataFrame, max_rows: int) -> DataFrame:
-    """Checkpoint the model to the shared folder (it is reused and survives
-    executor loss without retraining), then broadcast it only when its row
-    count is under ``max_rows``."""
-    from ..session import materialise
-    model = materialise(model, "lang_model")
-    return F.broadcast(model) if model.count() <= max_rows else model
-
-
 def detect(docs: DataFrame, model: DataFrame, key: str = "doc_id", text: str = "text",
-           prefix: int | None = None, max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+           prefix: int | None = None) -> DataFrame:
     """``(key, lang, confidence, score)``; confidence is the softmax
     posterior of the best language among languages that share a word with
-    the document; ties go to the smaller language code.
+    the document; ties go to the smaller language code. Documents without a
+    known word are ``unknown`` with confidence 0.
 
     Three shuffles: (doc, word) counts with the document's token total
     carried along, (doc, lang) sums after the model join, and one row per
@@ -80,7 +72,10 @@ def detect(docs: DataFrame, model: DataFrame, key: str = "doc_id", text: str = "
     words = (toks.select(key, F.size("_toks").alias("ntok"), F.explode_outer("_toks").alias("word"))
              .where(F.col("word").isNotNull())
              .groupBy(key, "word", "ntok").agg(F.count("*").alias("n")))
-    m = _maybe_broadcast(model, max_broadcast_rows)
+    # Read back from the shared folder, the model has a size that Spark knows:
+    # it is broadcast if it is below the session's threshold.
+    from ..session import materialise
+    m = materialise(model, "lang_model")
     s = (words.join(m, "word").groupBy(key, "lang")
          .agg((F.sum(F.col("n") * (F.col("logp") - F.col("unseen")))
                # constant within the group (per document / per language): max, not first
@@ -88,8 +83,9 @@ def detect(docs: DataFrame, model: DataFrame, key: str = "doc_id", text: str = "
     per = s.groupBy(key).agg(F.collect_list(F.struct((-F.col("score")).alias("neg"), "lang", "score")).alias("_c"))
     best = F.array_min("_c")
     z = F.aggregate("_c", F.lit(0.0), lambda acc, x: acc + F.exp((x["score"] - best["score"]) / 1000.0))
-    return per.select(key, best["lang"].alias("lang"), F.bround(1.0 / z, 4).alias("confidence"),
-                      best["score"].alias("score"))
+    found = per.select(key, best["lang"].alias("lang"), F.bround(1.0 / z, 4).alias("confidence"), best["score"].alias("score"))
+    return docs.select(key).join(found, key, "left").select(
+        key, F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), "score")
 
 
 def label_with_threshold(lang: Column, confidence: Column, min_confidence: float = 0.5,

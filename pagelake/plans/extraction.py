@@ -21,6 +21,7 @@ from ..operators import dom as DM
 from ..operators import html_text as H
 from ..operators import lang as LG
 from ..operators import links as LK
+from ..operators import nodes as N
 from ..operators import quality as Q
 from ..sources.requests import normalise_requests
 
@@ -40,7 +41,7 @@ def _lang(df: DataFrame, text: str, model: DataFrame | None, target_language: st
                     model, "page_id", text, prefix=prefix)
     lang = F.col("d.lang") if threshold is None else LG.label_with_threshold(F.col("d.lang"), F.col("d.confidence"))
     return (df.join(det.alias("d"), "page_id", "left")
-            .withColumn("lang", F.coalesce(lang, F.lit(default))).drop("score", "confidence"))
+            .withColumn("lang", F.coalesce(F.nullif(lang, F.lit(LG.UNKNOWN)), F.lit(default))).drop("score", "confidence"))
 
 
 def _record(df: DataFrame, mode: str, include_links: bool, calculate_quality: bool,
@@ -72,6 +73,9 @@ def _materialise(df: DataFrame) -> DataFrame:
 def _join_requests(reqs: DataFrame, page_rows: DataFrame) -> DataFrame:
     """Requests ⟕ page results on URL; invalid, unmatched or empty -> error rows."""
     r = normalise_requests(reqs)
+    # of several fetches of one URL the latest page stands for it
+    columns = page_rows.columns
+    page_rows = page_rows.groupBy("_purl").agg(F.max_by(F.struct(*columns), "page_id").alias("_p")).select("_p.*")
     j = r.join(page_rows, r["url"] == page_rows["_purl"], "left")
     has = F.col("_purl").isNotNull() & (F.coalesce(F.col("text"), F.lit("")) != "")
     reason = F.when(F.col("reject_reason").isNull() & has, "success").otherwise("extraction_error")
@@ -110,7 +114,8 @@ def browser_mode(requests: DataFrame, pages: DataFrame, lang_model: DataFrame |
     """§3.2 over recorded pages: SPA score (C6) and ultra-complex score
     select the extractor -- embedded JSON first for kmap.eu hosts (B13,
     over 500 chars), the 11-strategy cascade for ultra-complex pages (B9),
-    else the 4-strategy cascade (B7) -- then the error-page test (C4),
+    else the 4-strategy cascade with main text first (B7), the fallback
+    reads for pages that stay empty (B8) -- then the error-page test (C4),
     links on the HTML, quality, and language on the first 1000 chars (more
     than 10 chars, default 'en'). ``extraction_method``, ``is_spa``,
     ``is_ultra_complex``, ``is_error_page`` and ``error_type`` are kept as
@@ -126,13 +131,14 @@ def browser_mode(requests: DataFrame, pages: DataFrame, lang_model: DataFrame |
         F.when(placeholder, F.lit("")).otherwise(body).alias("dynamic_content_polling"),
         H.state_text("html").alias("javascript_state_extraction"),
         H.mined_text("html").alias("aggressive_text_mining"),
-        H.cascade_500("html").alias("standard"),
+        H.cascade_500("html", DM.main_text(DM.content_blocks(N.nodes("html")))).alias("standard"),
+        H.cascade_50("html")["text"].alias("fallback"),
         C.error_dom_label("html").alias("dom_error"))
     if include_links:
         p = LK.with_links(p)
     keep = ("url", "is_spa", "is_ultra_complex", "embedded_json_extraction", "svg_interactive_extraction",
             "dynamic_content_polling", "javascript_state_extraction", "aggressive_text_mining", "standard",
-            "dom_error") + \
+            "fallback", "dom_error") + \
         (("links",) if include_links else ())
     d = DM.dom_pass(p, "text", "none", keep=keep)
     ultra = cascade_or_longest([
@@ -149,6 +155,7 @@ def browser_mode(requests: DataFrame, pages: DataFrame, lang_model: DataFrame |
     json_ok = F.length("embedded_json_extraction") > 500
     text = (F.when(kmap & json_ok, F.col("embedded_json_extraction"))
             .when(kmap | F.col("is_ultra_complex"), ultra["text"]).otherwise(F.col("standard.text")))
+    text = F.when(strip(F.coalesce(text, F.lit(""))) == "", F.col("fallback")).otherwise(text)  # B8
     method = (F.when(kmap & json_ok, "embedded_json_extraction").when(F.col("is_ultra_complex"), "ultra_complex_spa")
               .when(F.col("is_spa"), "spa_optimized").otherwise("standard_optimized"))
     rows = (d.select("page_id", F.col("url").alias("_purl"), text.alias("text"), method.alias("extraction_method"),

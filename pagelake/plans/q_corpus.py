@@ -99,7 +99,7 @@ def _language(spark, sf):
     return LG.detect(docs.select("doc_id", "text"), model, "doc_id", "text")
 
 
-@register("language", _LANG_SQL + "\nSELECT doc_id, lang, confidence, score FROM pred")
+@register("language", _LANG_SQL + "\nSELECT d.doc_id, coalesce(pred.lang, 'unknown') AS lang, coalesce(confidence, 0.0) AS confidence, score FROM d LEFT JOIN pred ON d.doc_id = pred.doc_id")
 def q_language(spark, sf):
     """Naive-Bayes language per document, trained on the labelled documents."""
     return _language(spark, sf)
@@ -148,8 +148,9 @@ def q_readability(spark, sf):
 WITH t AS (SELECT doc_id, unnest({D.tokens("lower(coalesce(text, ''))")}) AS w FROM documents),
 c AS (SELECT doc_id, w, count(*) AS c FROM t GROUP BY doc_id, w),
 g AS (SELECT doc_id, count(*) AS types, sum(c) AS tokens, sum(c * log2(c)) AS cl FROM c GROUP BY doc_id)
-SELECT doc_id, types, CAST(tokens AS BIGINT) AS tokens, round_even(types / tokens, 6) AS ttr, round_even(types / sqrt(tokens), 6) AS guiraud_r,
-  round_even(log2(tokens) - cl / tokens, 6) AS entropy_bits FROM g""")
+SELECT d.doc_id, coalesce(types, 0) AS types, CAST(coalesce(tokens, 0) AS BIGINT) AS tokens, round_even(types / tokens, 6) AS ttr,
+  round_even(types / sqrt(tokens), 6) AS guiraud_r, round_even(log2(tokens) - cl / tokens, 6) AS entropy_bits
+FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id""")
 def q_lexical_stats(spark, sf):
     """Type-token ratio, Guiraud's R and token entropy per document."""
     return X.lexical_stats(read_table(spark, sf, "documents"))
