@@ -10,7 +10,7 @@ by rank yields exactly these two tokens; that answer is memoised per pair.
 No position is left as a dead end twice, so the work is linear in the piece.
 
 Work per text: the text is cut at white space, each cut is looked up in a
-bounded per-worker cache of encoded cuts, and only unknown ones are split by
+bounded per-task cache of encoded cuts, and only unknown ones are split by
 the pattern and encoded.
 
 Defined cases: a NULL or empty text has no tokens (empty ``ids``); rows are
@@ -30,10 +30,10 @@ from pyspark.sql import functions as F
 
 from .common import chunks, map_arrow, texts
 
-#: Cached cuts and pieces of one Python worker, each.
-CACHE_ENTRIES = 250_000
+#: Cached cuts and pieces of one task, each.
+CACHE_ENTRIES = 100_000
 #: Memoised token pairs of one Python worker.
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 150_000
 
 # Unicode White_Space, as the tokenizers' ``\s`` sees it.
 _WS = "\t-\r \x85\xa0  -     　"
@@ -191,6 +191,11 @@ class Bpe:
             got = [new[c] if g is None else g for c, g in zip(cuts, got, strict=True)]
         return got
 
+    def forget(self) -> None:
+        """Empty the caches of texts at a task's end: the worker may go on with others."""
+        self.cuts.clear()
+        self.pieces.clear()
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, memoryview(ids).cast("I")))
 
@@ -220,6 +225,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                 ids = pa.array(bpe.encode_batch(part), pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(part)), ids], [id_col, "ids"])
                 at += len(part)
+        _bpe(data.value, pattern).forget()
 
     src = docs.select(F.col(id_col), F.col(text_col).cast("string"))
     kind = src.schema[0].dataType.simpleString()
@@ -246,12 +252,32 @@ def decode(tokens: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_
     return map_arrow(src, run, f"`{id_col}` {kind}, ids binary, decoded binary")
 
 
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col``, ``ids`` and ``decoded``: :func:`encode` and :func:`decode` in one
+    pass, so that a task keeps one Python worker with one set of tables."""
+    data = _file(docs.sparkSession, ranks_path)
+
+    def run(batches):
+        for b in batches:
+            bpe = _bpe(data.value, pattern)
+            at = 0
+            for part in chunks(texts(b, 1), len, 1 << 20):
+                ids = bpe.encode_batch(part)
+                back = [bpe.decode(x) for x in ids]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(part)), pa.array(ids, pa.binary()), pa.array(back, pa.binary())],
+                                                 [id_col, "ids", "decoded"])
+                at += len(part)
+        _bpe(data.value, pattern).forget()
+
+    src = docs.select(F.col(id_col), F.col(text_col).cast("string"))
+    return map_arrow(src, run, f"`{id_col}` {src.schema[0].dataType.simpleString()}, ids binary, decoded binary")
+
+
 def digests(docs: DataFrame, with_ids: bool = False) -> DataFrame:
     """Encode and decode with the public 50k byte-level vocabulary; digests of
     the ids and of the decoded bytes, and the ids themselves if asked for."""
     import public_tokenizers as P
 
-    path = P.path("byte_bpe_50k.tiktoken")
-    back = decode(encode(docs, path, P.PATTERN), path, P.PATTERN)
+    back = round_trip(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
     return back.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), *(["ids"] if with_ids else []),
                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,10 +25,28 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     return materialise(df, name)
 
 
+#: Rows in an Arrow batch that Spark hands to a task. Texts are long: at Spark's
+#: default of 10,000 rows the batches of one executor's tasks outgrow its memory.
+BATCH_ROWS = 1024
+_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
-    """``df.mapInArrow`` with this package available on the executors."""
+    """``df.mapInArrow`` with this package available on the executors, and with
+    the session's Arrow batches at most ``BATCH_ROWS`` rows long."""
     ensure_shipped(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    rows = int(df.sparkSession.conf.get(_BATCH_CONF))
+    if not 0 < rows <= BATCH_ROWS:
+        df.sparkSession.conf.set(_BATCH_CONF, str(BATCH_ROWS))
+    return df.mapInArrow(partial(_tidied, fn), schema)
+
+
+def _tidied(fn, batches):
+    """A task's result; Arrow's unused memory goes back before the worker's next task."""
+    try:
+        yield from fn(batches)
+    finally:
+        pa.default_memory_pool().release_unused()
 
 
 def table_bytes(df: DataFrame) -> int:
@@ -42,9 +61,10 @@ def broadcast_if_small(df: DataFrame, limit: int) -> DataFrame:
 
 
 def text_key(text: Column) -> list[Column]:
-    """128-bit identity of a text as two longs (NULL counts as empty)."""
+    """128-bit identity of a text as two longs (NULL counts as empty). The literal
+    comes first: its hash seeds that of the text, so the second is independent."""
     t = F.coalesce(text, F.lit(""))
-    return [F.xxhash64(t), F.xxhash64(t, F.lit("second"))]
+    return [F.xxhash64(t), F.xxhash64(F.lit("second"), t)]
 
 
 def lower_ascii(text: Column) -> Column:
