@@ -47,7 +47,7 @@ LENGTH = 200
 GRAM = 32  # a power of two
 #: Window starts that are handled at once.
 SLICE = 1 << 19
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 12 << 20
 HOT_CONTENTS = 4000
 _PLACE_BITS = 22
 _BYTE = np.random.default_rng(11).integers(0, 2**64, 256, dtype=np.uint64)
