@@ -254,11 +254,17 @@ def keep_one(docs: DataFrame, shingle_words: int = 3, distance: int = 3, id_col:
     the smallest id (NULL last), of equal ids one by the text's identity."""
     found = near_duplicates(docs, shingle_words, distance, id_col, text_col)
     first = F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("k1"), F.col("k2"))
-    kept = found.groupBy("root").agg(F.min(first).alias("s")).select(F.col(f"s.{id_col}").alias("__id"), F.col("s.k1").alias("__k1"), F.col("s.k2").alias("__k2"))
+    kept = found.groupBy("root").agg(F.min(first).alias("s")).select(
+        _id_key(F.col(f"s.{id_col}")).alias("__d0"), F.col("s.k1").alias("__d1"), F.col("s.k2").alias("__d2"))
     k1, k2 = text_key(F.col(text_col).cast("string"))
-    same = docs.withColumns({"__d1": k1, "__d2": k2})
-    same = same.join(kept, same[id_col].eqNullSafe(kept["__id"]) & (same["__d1"] == kept["__k1"]) & (same["__d2"] == kept["__k2"]), "left_semi")
-    return same.dropDuplicates(["__d1", "__d2"]).drop("__d1", "__d2")
+    keyed = docs.withColumns({"__d0": _id_key(F.col(id_col)), "__d1": k1, "__d2": k2})
+    # join and de-duplication share their keys, so texts are shuffled once
+    return keyed.join(kept, ["__d0", "__d1", "__d2"], "left_semi").dropDuplicates(["__d0", "__d1", "__d2"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def _id_key(id_):
+    """An id as a string that is never NULL."""
+    return F.when(id_.isNull(), F.lit("null")).otherwise(F.concat(F.lit("id "), id_.cast("string")))
 
 
 def classes(docs: DataFrame) -> DataFrame:
