@@ -1,12 +1,11 @@
 """Raw HTTP bodies and the result sink (A4, A5).
 
-The binary test is native (``substring`` on the binary column); only
-bodies that need gunzip or a fallback codec go through one Arrow UDF.
+Binary test, UTF-8 validation and the Latin-1 fallback are native columns; only
+gzip bodies reach Python, to be inflated.
 """
 
 from __future__ import annotations
 
-import gzip
 import zlib
 
 import pandas as pd
@@ -16,45 +15,58 @@ from pyspark.sql import types as T
 
 from ..functions.text import col
 
+#: Most bytes that a gzip body may inflate to; a larger one counts as broken.
+GUNZIP_MAX_BYTES = 256 << 20
+
+
+def _is_gzip(body: Column) -> Column:
+    return F.substring(body, 1, 2) == F.lit(bytearray(b"\x1f\x8b"))
+
 
 def is_binary(body) -> Column:
     """A4: gzip magic ``1f8b`` or a NUL byte within the first 1024 bytes."""
     head = F.substring(col(body), 1, 1024)
     nul = F.hex(head).rlike("^(?:[0-9A-F]{2})*?00")
-    return (F.substring(col(body), 1, 2) == F.lit(bytearray(b"\x1f\x8b"))) | nul
+    return _is_gzip(col(body)) | nul
 
 
-def _decode(b):
-    if b is None:
+def _inflate(body: bytes | None) -> bytes | None:
+    """All gzip members of a body, or None if it is broken or too large."""
+    if body is None:
         return None
-    b = bytes(b)
-    binary = b.startswith(b"\x1f\x8b") or b"\x00" in b[:1024]
-    if not binary:
-        return b.decode("utf-8", errors="replace")
+    out, rest = b"", bytes(body)
     try:
-        if b.startswith(b"\x1f\x8b"):
-            b = gzip.decompress(b)
-    except (OSError, EOFError, zlib.error):
-        return b.decode("utf-8", errors="replace")
-    for enc in ("utf-8", "latin1", "iso-8859-1", "cp1252"):
-        try:
-            return b.decode(enc)
-        except UnicodeDecodeError:
-            continue
-    return b.decode("utf-8", errors="replace")
+        while rest:
+            z = zlib.decompressobj(wbits=31)
+            out += z.decompress(rest, GUNZIP_MAX_BYTES - len(out) + 1)
+            if len(out) > GUNZIP_MAX_BYTES or not z.eof:
+                return None
+            rest = z.unused_data.lstrip(b"\0")
+    except zlib.error:
+        return None
+    return out
 
 
-@F.pandas_udf(T.StringType())
-def _decode_body_udf(body: pd.Series) -> pd.Series:
-    return body.map(_decode)
+@F.pandas_udf(T.BinaryType())
+def _inflate_udf(body: pd.Series) -> pd.Series:
+    return body.map(_inflate)
 
 
 def decode_body(body) -> Column:
-    """A4: bytes -> text; binary bodies are gunzipped and decoded utf-8,
-    then latin-1; others utf-8 with replacement characters."""
+    """A4: bytes -> text. Text bodies are UTF-8 with replacement characters;
+    binary ones are inflated if they are gzip, and read as UTF-8 if valid, else as
+    Latin-1. A gzip body that cannot be inflated counts as text."""
     from ..session import ensure_shipped
     ensure_shipped()
-    return _decode_body_udf(col(body))
+    b = col(body)
+
+    def utf8_or_latin1(x: Column) -> Column:
+        return F.when(F.is_valid_utf8(x.cast("string")), x.cast("string")).otherwise(F.decode(x, "ISO-8859-1"))
+
+    inflated = _inflate_udf(F.when(_is_gzip(b), b))
+    return (F.when(_is_gzip(b) & inflated.isNotNull(), utf8_or_latin1(inflated))
+            .when(is_binary(b) & ~_is_gzip(b), utf8_or_latin1(b))
+            .otherwise(F.make_valid_utf8(b.cast("string"))))
 
 
 def write_results(df: DataFrame, path: str, partition_by: str | None = "host_bucket",
