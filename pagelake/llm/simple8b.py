@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 
-BLOCK = 1024
+BLOCK = 512
 # Values in a word and bits of each, by selector.
 COUNT = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], np.int64)
 BITS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], np.uint64)
@@ -39,39 +39,43 @@ def pack(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray
     over = np.zeros((blocks, block + room + 1), np.int16)
     for s in range(14, -1, -1):  # the smallest selector that fits wins, so it comes last
         c = int(COUNT[s])
+        small = need[:, :block] <= max(s, 1)
+        if s < 14 and small.sum(axis=1, dtype=np.int16).max() < min(c, block):
+            continue  # no block has so many small values
         np.cumsum(need > max(s, 1), axis=1, out=over[:, 1:], dtype=np.int16)
         fits = over[:, c:c + block] == over[:, :block]
         choice[fits] = s
     lengths = np.full(blocks, block, np.int64)
     lengths[-1] = n - (blocks - 1) * block
     pos, lane = np.zeros(blocks, np.int64), np.arange(blocks)
-    words, owner = [], []
-    steps = np.arange(room)
-    while len(lane):
+    found = []
+    while len(lane):  # one word of every block that goes on
         p = pos[lane]
         s = choice[lane, p]
-        word = s.astype(np.uint64) << np.uint64(60)
-        for k in np.unique(s):
-            at = np.flatnonzero(s == k)
-            bits = BITS[k]
-            if bits and k != 15:
-                part = grid[lane[at, None], p[at, None] + steps[:int(COUNT[k])]]
-                word[at] |= np.bitwise_or.reduce(part << (bits * np.arange(int(COUNT[k]), dtype=np.uint64)), axis=1)
-            elif k == 15:
-                one = grid[lane[at], p[at]]
-                word[at] |= np.where(one > _MOST[15], _FULL, one)
-        words.append(word)
-        owner.append(lane)
-        escaped = word == _ESCAPE
-        if escaped.any():
-            words.append(grid[lane[escaped], p[escaped]])
-            owner.append(lane[escaped])
-        pos[lane] = p + COUNT[s]
-        lane = lane[pos[lane] < lengths[lane]]
-    words, owner = np.concatenate(words), np.concatenate(owner)
-    order = np.argsort(owner, kind="stable")
-    starts = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=blocks))])
-    return words[order], starts
+        found.append((lane, p, s))
+        pos[lane] = p = p + COUNT[s]
+        lane = lane[p < lengths[lane]]
+    lane, p, s = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(lane, kind="stable")
+    lane, p, s = lane[order], p[order], s[order]
+    words = s.astype(np.uint64) << np.uint64(60)
+    flat, at0 = grid.ravel(), lane * grid.shape[1] + p
+    for k in range(2, 15):
+        at = np.flatnonzero(s == k)
+        for j in range(int(COUNT[k]) if len(at) else 0):
+            words[at] |= flat[at0[at] + j] << (BITS[k] * np.uint64(j))
+    at = np.flatnonzero(s == 15)
+    one = flat[at0[at]]
+    big = one > _MOST[15]
+    words[at] |= np.where(big, _FULL, one)
+    width = np.ones(len(words), np.int64)
+    width[at[big]] = 2
+    place = np.cumsum(width) - width
+    out = np.zeros(int(width.sum()), np.uint64)
+    out[place] = words
+    out[place[at[big]] + 1] = one[big]
+    starts = np.concatenate([[0], np.cumsum(np.bincount(lane, weights=width, minlength=blocks).astype(np.int64))])
+    return out, starts
 
 
 def unpack(words: np.ndarray, starts: np.ndarray, n: int, block: int = BLOCK) -> np.ndarray:

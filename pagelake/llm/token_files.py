@@ -38,9 +38,9 @@ from pagelake.session import ensure_checkpoint_dir
 from .common import map_arrow, texts
 from .simple8b import BLOCK, pack, unpack
 
-BLOB_IDS = 1 << 18
-#: Cached cuts and words of one Python worker, each.
-CACHE_ENTRIES = 250_000
+BLOB_IDS = 1 << 19
+#: Cached cuts and words of one task, each.
+CACHE_ENTRIES = 200_000
 MAGIC = b"TKS8"
 _HEAD = struct.Struct("<4sIQQ")
 
@@ -61,47 +61,64 @@ class CachedTokenizer:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_str(data)
         spec = json.loads(data)
         kinds = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
         if kinds != ["NFC", "Replace", "Lowercase"] or spec["model"].get("end_of_word_suffix") != "</w>":
             raise ValueError("a lower-casing tokenizer that drops white space is needed")
-        self.plain = re.compile("([a-zA-Zà-öø-ÿÀ-ÖØ-Þß]+)([.,;:!?]*)")
-        self.byte_level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.ascii = re.compile(rb"([a-zA-Z]+)([.,;:!?]*)")
+        self.latin = re.compile("([a-zA-Zà-öø-ÿÀ-ÖØ-Þß]+)([.,;:!?]*)")
+        # byte-level alphabet: printable bytes stand for themselves, the others for what follows 255
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in shown]
+        self.byte_level = {b: 256 + n for n, b in enumerate(hidden)}
         self.cuts: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
 
-    def _word(self, word: str) -> bytes:
+    def _word(self, word: bytes) -> bytes:
+        """Ids of a lower-case word or run of punctuation, as UTF-8."""
         got = self.words.get(word)
         if got is None:
             if len(self.words) >= CACHE_ENTRIES:
                 self.words.clear()
-            mapped = word if word.isascii() else self.byte_level.pre_tokenize_str(word)[0][0]
+            mapped = word.decode("ascii") if word.isascii() else word.decode("latin-1").translate(self.byte_level)
             ids = [t.id for t in self.tokenizer.model.tokenize(mapped)]
             got = self.words[word] = struct.pack(f"<{len(ids)}I", *ids)
         return got
 
     def _cut(self, cut: bytes) -> bytes:
-        m = self.plain.fullmatch(text := cut.decode("utf-8"))
+        if cut.isalpha():  # of bytes: ASCII letters only
+            return self._word(cut.lower())
+        m = self.ascii.fullmatch(cut)
         if m:
-            ids = self._word(m[1].lower()) + (self._word(m[2]) if m[2] else b"")
-        else:
-            found = self.tokenizer.encode(text, add_special_tokens=False).ids
-            ids = struct.pack(f"<{len(found)}I", *found)
-        if len(cut) < 64:
-            if len(self.cuts) >= CACHE_ENTRIES:
-                self.cuts.clear()
-            self.cuts[cut] = ids
-        return ids
+            return self._word(m[1].lower()) + self._word(m[2])
+        text = cut.decode("utf-8")
+        m = self.latin.fullmatch(text)
+        if m:
+            return self._word(m[1].lower().encode("utf-8")) + (self._word(m[2].encode("ascii")) if m[2] else b"")
+        found = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(found)}I", *found)
+
+    def forget(self) -> None:
+        """Empty the caches at a task's end: the worker may go on with others."""
+        self.cuts.clear()
+        self.words.clear()
 
     def ids(self, text: str) -> bytes:
-        cuts = text.encode("utf-8").split()
-        got = list(map(self.cuts.get, cuts))
-        if None in got:
-            got = [self._cut(c) if g is None else g for c, g in zip(cuts, got, strict=True)]
-        return b"".join(got)
+        try:
+            text.encode("latin-1")
+            # lower case first where it is sure to be the tokenizer's, and makes no special token
+            cuts = (text if "<|" in text else text.lower()).encode("utf-8").split()
+        except UnicodeEncodeError:
+            cuts = text.encode("utf-8").split()
+        new = set(cuts).difference(self.cuts)
+        if new:
+            if len(self.cuts) + len(new) > CACHE_ENTRIES:
+                self.cuts.clear()
+                new = set(cuts)
+            self.cuts.update(zip(new, map(self._cut, new), strict=True))
+        return b"".join(map(self.cuts.__getitem__, cuts))
 
 
 @lru_cache(maxsize=2)
@@ -158,6 +175,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, shards:
                     yield blob()
         if doc_ids:
             yield blob()
+        _tokenizer(data.value).forget()
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ordered = src.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
