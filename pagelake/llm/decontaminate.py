@@ -52,6 +52,24 @@ def _shingles(w, k):
     return F.transform(F.sequence(F.lit(1), F.size(w) - k + 1), lambda i: F.array_join(F.slice(w, i, k), " "))
 
 
+def _let(value, rule):
+    """``rule(value)`` with ``value`` computed once per row: lambdas would otherwise
+    compute an array that they refer to for each of its elements."""
+    return F.element_at(F.transform(F.array(value), rule), 1)
+
+
+def _similarity(w, item, k):
+    """Jaccard similarity of the multisets of k-word shingles of two word arrays."""
+    def often(s, x):
+        return F.size(F.filter(x, lambda y: y == s))
+
+    def ratio(a, b):
+        both = F.aggregate(F.array_distinct(b), F.lit(0), lambda n, s: n + F.least(often(s, a), often(s, b)))
+        return _let(both, lambda n: n / (F.size(a) + F.size(b) - n))
+
+    return _let(_shingles(w, k), lambda a: _let(_shingles(item, k), lambda b: ratio(a, b)))
+
+
 def _simhash(w):
     """64-bit SimHash of an array of words, each occurrence one vote."""
     def bits(h):
@@ -61,7 +79,7 @@ def _simhash(w):
             return F.when(2 * ones > F.size(h), acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), b))).otherwise(acc)
         return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), bit)
 
-    return F.element_at(F.transform(F.array(F.transform(w, lambda x: F.xxhash64(x))), bits), 1)
+    return _let(F.transform(w, lambda x: F.xxhash64(x)), bits)
 
 
 def _block(fp, n):
@@ -110,14 +128,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_
     # of several equal blocks the first one stands for the pair
     earlier = reduce(lambda a, b: a & b, [(F.col("block") <= b) | (_block(differ, F.lit(b)) != 0) for b in range(_BLOCKS)])
     pairs = pairs.where((F.bit_count(differ) <= RADIUS) & earlier).select("k1", "k2", "k", "start", "ww", "item", "iw")
-    pairs = pairs.select("k1", "k2", "start", F.size("ww").alias("size"), "item", _shingles(F.col("ww"), F.col("k")).alias("a"), _shingles(F.col("iw"), F.col("k")).alias("b"))
-
-    def often(s, x):
-        return F.size(F.filter(x, lambda y: y == s))
-
-    both = F.aggregate(F.array_distinct("b"), F.lit(0), lambda acc, s: acc + F.least(often(s, F.col("a")), often(s, F.col("b"))))
-    near = pairs.withColumn("both", both).withColumn("similarity", F.col("both") / (F.size("a") + F.size("b") - F.col("both")))
-    return near.where(F.col("similarity") >= SIMILARITY).select("k1", "k2", "start", "size", "item", "similarity")
+    near = pairs.select("k1", "k2", "start", F.size("ww").alias("size"), "item", _similarity(F.col("ww"), F.col("iw"), F.col("k")).alias("similarity"))
+    return near.where(F.col("similarity") >= SIMILARITY)
 
 
 def verdicts(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
