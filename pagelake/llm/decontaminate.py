@@ -6,16 +6,15 @@ shingle similarity of at least ``SIMILARITY`` with it: the Jaccard similarity of
 their multisets of ``SHINGLE``-word shingles, each weighted by how often it
 occurs. An item of fewer words has one shingle, all of it.
 
-1. Windows. A similar window shares a shingle with its item, so windows start
-   where a shared shingle puts the item's first word: all shingle hashes of the
-   texts are joined to the items' shingles.
-2. Candidates. Every window gets a 64-bit SimHash of its words. Multi-index
-   blocks find the items of the window's size within ``RADIUS`` bits: of
-   ``RADIUS`` + 1 blocks one is equal, so items are joined on each block.
-3. Verification by the exact weighted similarity.
-
-One changed word changes up to ``SHINGLE`` shingles but one word hash, so windows
-that pass the similarity lie far inside the radius.
+1. Hits. All shingle hashes of the texts are joined to the items' shingles.
+2. Windows. A window of ``W`` shingles and an item of ``S`` are similar only if
+   ``SIMILARITY`` / (1 + ``SIMILARITY``) of ``S + W`` shingles are shared, so at least so
+   many places of the window are hits. Of the windows of a text and an item that
+   have them, the first one with the largest shared multiset (by 64-bit hashes) goes
+   on. Only windows that start with a hit, or end the text, need be looked at: any other
+   one loses nothing if it starts a word later.
+3. Candidates within ``RADIUS`` bits by the SimHash of the words.
+4. Verification by the exact weighted similarity, on words.
 
 Words are lower-case runs of letters and digits. Defined cases: NULL or empty
 texts and items without a word are never contaminated or contaminating;
@@ -36,8 +35,6 @@ from .common import broadcast_if_small, shared_table, text_key
 SHINGLE = 5
 SIMILARITY = 0.8
 RADIUS = 15
-_BLOCKS = RADIUS + 1
-_BLOCK_BITS = 64 // _BLOCKS
 BROADCAST_BYTES = 16 << 20
 
 
@@ -82,10 +79,6 @@ def _simhash(w):
     return _let(F.transform(w, lambda x: F.xxhash64(x)), bits)
 
 
-def _block(fp, n):
-    return F.call_function("shiftrightunsigned", fp, n * _BLOCK_BITS).bitwiseAND(F.lit((1 << _BLOCK_BITS) - 1).cast("long"))
-
-
 def _grams(named: DataFrame, k: int) -> DataFrame:
     """``k1``, ``k2``, ``n`` (words of the text), ``pos`` and ``h`` of all k-word shingles."""
     n = F.size("w") - (k - 1)
@@ -94,41 +87,69 @@ def _grams(named: DataFrame, k: int) -> DataFrame:
     return rows.select("k1", "k2", "n", "pos", F.xxhash64(*(F.col(f"g.w{i}") for i in range(k))).alias("h"))
 
 
+def _best_window(hits, n, m, k, shared, item_hashes):
+    """``shared`` (size of the shared multiset) and ``back`` (minus the start) of the best
+    window of ``m`` words with ``shared`` or more hits, or NULL. ``hits``: ``pos`` and ``h``
+    in order, ``n``: words of the text, ``item_hashes``: one for each of the item's shingles."""
+    last, reach = F.greatest(F.lit(0), n - m), m - k
+
+    def often(h, x):
+        return F.size(F.filter(x, lambda y: y == h))
+
+    def both(h):
+        once = F.size(F.array_distinct(item_hashes)) == F.size(item_hashes)
+        each = F.aggregate(F.array_distinct(h), F.lit(0), lambda c, x: c + F.least(often(x, h), often(x, item_hashes)))
+        return F.when(once, F.size(F.array_distinct(h))).otherwise(each)
+
+    def windows(p):
+        def at(x, i):
+            enough = (x["pos"] <= last) & (F.get(p, i + shared - 1)["pos"] <= x["pos"] + reach)
+            inside = F.transform(F.filter(F.slice(p, i + 1, reach + 1), lambda y: y["pos"] <= x["pos"] + reach), lambda y: y["h"])
+            return F.when(enough, F.struct(_let(inside, both).alias("shared"), (-x["pos"]).alias("back")))
+
+        end = F.transform(F.filter(p, lambda y: y["pos"] >= last), lambda y: y["h"])
+        final = F.when(F.get(p, F.size(p) - shared)["pos"] >= last, F.struct(_let(end, both).alias("shared"), (-last).alias("back")))
+        return F.array_max(F.concat(F.transform(p, at), F.array(final)))
+
+    return _let(hits, windows)
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """``k1``, ``k2`` (the text), ``start`` and ``size`` of the window, ``item`` and
-    ``similarity`` of every window that an item contaminates."""
+    ``similarity`` of the most similar window of each text and item that contaminates it."""
     items = benchmark.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()) \
                      .select(F.col(item_id).alias("item"), words(F.col(item_text).cast("string")).alias("iw")).where("size(iw) > 0").distinct() \
-                     .withColumns({"m": F.size("iw"), "k": F.least(F.size("iw"), F.lit(SHINGLE))})
-    items = shared_table(items.withColumn("ifp", _simhash(F.col("iw"))), "items")
+                     .withColumns({"m": F.size("iw"), "k": F.least(F.size("iw"), F.lit(SHINGLE)), "no": F.monotonically_increasing_id()})
+    items = shared_table(items, "items")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     k1, k2 = text_key(text)
-    named = docs.select(k1.alias("k1"), k2.alias("k2"), words(text).alias("w"))
+    raw = docs.select(k1.alias("k1"), k2.alias("k2"), text.alias("t"))
+    named = raw.select("k1", "k2", words(F.col("t")).alias("w"))
     sizes = [r["k"] for r in items.select("k").distinct().collect()]  # at most SHINGLE numbers
     if not sizes:
         return docs.sparkSession.createDataFrame([], "k1 bigint, k2 bigint, start int, size int, item bigint, similarity double")
     found = []
     for k in sorted(sizes):
-        seeds = _grams(items.where(F.col("k") == k).select(F.lit(0).alias("k1"), F.lit(0).alias("k2"), F.col("iw").alias("w")), k)
-        seeds = shared_table(seeds.select("h", F.col("n").alias("m"), F.col("pos").alias("ipos")).distinct(), "item-shingles")
-        hits = _grams(named, k).join(broadcast_if_small(seeds, BROADCAST_BYTES), "h")
-        start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("ipos"), F.col("n") - F.col("m")))
-        found.append(hits.select("k1", "k2", F.lit(k).alias("k"), "m", start.alias("start")).distinct())
-    windows = reduce(DataFrame.unionByName, found).groupBy("k1", "k2").agg(F.collect_set(F.struct("k", "m", "start")).alias("windows"))  # windows of one text
+        grams = _grams(items.where(F.col("k") == k).select(F.col("no").alias("k1"), F.lit(0).alias("k2"), F.col("iw").alias("w")), k)
+        grams = shared_table(grams.select("h", F.col("k1").alias("no"), F.col("n").alias("m")), "item-shingles")
+        hits = _grams(named, k).join(broadcast_if_small(grams.distinct(), BROADCAST_BYTES), "h")
+        hits = hits.groupBy("k1", "k2", "no").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.sort_array(F.collect_set(F.struct("pos", "h"))).alias("hits"))  # one text
+        both = F.least("n", "m") + F.col("m") - 2 * (k - 1)  # shingles of window and item
+        hits = hits.withColumn("least", F.ceil(both * F.lit(SIMILARITY / (1 + SIMILARITY)) - F.lit(1e-9)).cast("int")).where(F.size("hits") >= F.col("least"))
+        hashes = shared_table(grams.groupBy("no").agg(F.collect_list("h").alias("ih")), "item-hashes")  # one item
+        near = hits.join(broadcast_if_small(hashes, BROADCAST_BYTES), "no")
+        best = _best_window(F.col("hits"), F.col("n"), F.col("m"), k, F.col("least"), F.col("ih"))
+        near = near.select("k1", "k2", "no", "least", best.alias("best")).where(F.col("best.shared") >= F.col("least"))
+        found.append(near.select("k1", "k2", F.struct("no", (-F.col("best.back")).alias("start")).alias("x")))
+    windows = reduce(DataFrame.unionByName, found).groupBy("k1", "k2").agg(F.collect_list("x").alias("windows"))  # at most one for each item
     windows = broadcast_if_small(shared_table(windows, "item-windows"), BROADCAST_BYTES)
     # one copy of each text with a window goes on
-    texts = named.join(windows, ["k1", "k2"]).groupBy("k1", "k2").agg(F.first("w").alias("w"), F.first("windows").alias("windows"))
-    cut = texts.select("k1", "k2", "w", F.explode("windows").alias("x")).select("k1", "k2", "x.k", "x.m", "x.start", F.slice("w", F.col("x.start") + 1, F.col("x.m")).alias("ww"))
-    cut = shared_table(cut.where("size(ww) >= k").withColumn("fp", _simhash(F.col("ww"))), "window-fingerprints")
-    blocks = F.array(*(F.lit(b) for b in range(_BLOCKS)))
-    left = cut.withColumn("block", F.explode(blocks)).withColumn("part", _block(F.col("fp"), F.col("block")))
-    right = items.withColumn("block", F.explode(blocks)).withColumn("part", _block(F.col("ifp"), F.col("block")))
-    pairs = left.join(broadcast_if_small(shared_table(right, "item-blocks"), BROADCAST_BYTES), ["k", "m", "block", "part"])
-    differ = F.col("fp").bitwiseXOR(F.col("ifp"))
-    # of several equal blocks the first one stands for the pair
-    earlier = reduce(lambda a, b: a & b, [(F.col("block") <= b) | (_block(differ, F.lit(b)) != 0) for b in range(_BLOCKS)])
-    pairs = pairs.where((F.bit_count(differ) <= RADIUS) & earlier).select("k1", "k2", "k", "start", "ww", "item", "iw")
-    near = pairs.select("k1", "k2", "start", F.size("ww").alias("size"), "item", _similarity(F.col("ww"), F.col("iw"), F.col("k")).alias("similarity"))
+    texts = raw.join(windows, ["k1", "k2"]).groupBy("k1", "k2").agg(F.first("t").alias("t"), F.first("windows").alias("windows"))
+    cut = texts.select("k1", "k2", words(F.col("t")).alias("w"), "windows").select("k1", "k2", "w", F.explode("windows").alias("x")) \
+               .select("k1", "k2", "w", "x.no", "x.start").join(broadcast_if_small(items, BROADCAST_BYTES), "no") \
+               .withColumn("ww", F.slice("w", F.col("start") + 1, F.col("m")))
+    cut = cut.where(F.bit_count(_simhash(F.col("ww")).bitwiseXOR(_simhash(F.col("iw")))) <= RADIUS)
+    near = cut.select("k1", "k2", "start", F.size("ww").alias("size"), "item", _similarity(F.col("ww"), F.col("iw"), F.col("k")).alias("similarity"))
     return near.where(F.col("similarity") >= SIMILARITY)
 
 

@@ -247,6 +247,23 @@ def test_decontaminate_equals_brute_force(spark):
     assert decontaminate.verdicts(docs.limit(0), bench).count() == 0
 
 
+def test_decontaminate_swapped_halves_and_repeated_shingles(spark):
+    """Windows in which no shared shingle stands where it stands in its item."""
+    fill = lambda a, n: " ".join(f"{a}{i}" for i in range(n))
+    items = [(n, fill(f"i{n}w", n)) for n in (40, 48, 64, 23)] + [(9, "a b c d e " * 12), (10, fill("x", 20) + " a b c d e a b c d e a b c d e")]
+    texts = []
+    for n, item in items:
+        w = item.split()
+        swapped = " ".join(w[len(w) // 2:] + w[:len(w) // 2])
+        texts += [f"{fill('b', 30)} {swapped} {fill('c', 30)}", swapped, f"{fill('b', 30)} {swapped}", f"{item} {swapped} {item}", " ".join(w[:int(len(w) * 0.85)])]
+    docs = edge(spark, texts)
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    want = rows(docs, "doc_id", "text")
+    expected = sorted(((i, *c) for (i, _), c in zip(want, contaminated([t for _, t in want], items), strict=True)), key=str)
+    assert [c[0] for c in contaminated([texts[0], texts[5], texts[10]], items)] == [True] * 3
+    assert sorted(rows(decontaminate.verdicts(docs, bench), "doc_id", "contaminated", "n_items", "best_item", "similarity"), key=str) == expected
+
+
 def test_native_operators_run_no_python(spark):
     docs = documents(spark, ["released under the mit license", "one two three four five six"])
     bench = spark.createDataFrame([(1, "one two three four five six")], "item_id bigint, text string")
