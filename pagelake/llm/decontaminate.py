@@ -13,8 +13,10 @@ occurs. An item of fewer words has one shingle, all of it.
    have them, the first one with the largest shared multiset (by 64-bit hashes) goes
    on. Only windows that start with a hit, or end the text, need be looked at: any other
    one loses nothing if it starts a word later.
-3. Candidates within ``RADIUS`` bits by the SimHash of the words.
-4. Verification by the exact weighted similarity, on words.
+3. Verification by the exact weighted similarity, on words.
+
+Nothing else decides: a SimHash radius would drop windows that pass the similarity,
+since an item whose head or tail is cut differs in a ninth of its words.
 
 Words are lower-case runs of letters and digits. Defined cases: NULL or empty
 texts and items without a word are never contaminated or contaminating;
@@ -34,7 +36,6 @@ from .common import broadcast_if_small, shared_table, text_key
 
 SHINGLE = 5
 SIMILARITY = 0.8
-RADIUS = 15
 BROADCAST_BYTES = 16 << 20
 
 
@@ -67,18 +68,6 @@ def _similarity(w, item, k):
     return _let(_shingles(w, k), lambda a: _let(_shingles(item, k), lambda b: ratio(a, b)))
 
 
-def _simhash(w):
-    """64-bit SimHash of an array of words, each occurrence one vote."""
-    def bits(h):
-        def bit(acc, b):
-            # a word's hash without its lower b bits is odd if bit b is set
-            ones = F.size(F.filter(h, lambda x: F.expr("1L") == F.call_function("shiftrightunsigned", x, b).bitwiseAND(F.lit(1).cast("long"))))
-            return F.when(2 * ones > F.size(h), acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), b))).otherwise(acc)
-        return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), bit)
-
-    return _let(F.transform(w, lambda x: F.xxhash64(x)), bits)
-
-
 def _grams(named: DataFrame, k: int) -> DataFrame:
     """``k1``, ``k2``, ``n`` (words of the text), ``pos`` and ``h`` of all k-word shingles."""
     n = F.size("w") - (k - 1)
@@ -148,7 +137,6 @@ def matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_
     cut = texts.select("k1", "k2", words(F.col("t")).alias("w"), "windows").select("k1", "k2", "w", F.explode("windows").alias("x")) \
                .select("k1", "k2", "w", "x.no", "x.start").join(broadcast_if_small(items, BROADCAST_BYTES), "no") \
                .withColumn("ww", F.slice("w", F.col("start") + 1, F.col("m")))
-    cut = cut.where(F.bit_count(_simhash(F.col("ww")).bitwiseXOR(_simhash(F.col("iw")))) <= RADIUS)
     near = cut.select("k1", "k2", "start", F.size("ww").alias("size"), "item", _similarity(F.col("ww"), F.col("iw"), F.col("k")).alias("similarity"))
     return near.where(F.col("similarity") >= SIMILARITY)
 

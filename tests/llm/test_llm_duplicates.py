@@ -264,6 +264,17 @@ def test_decontaminate_swapped_halves_and_repeated_shingles(spark):
     assert sorted(rows(decontaminate.verdicts(docs, bench), "doc_id", "contaminated", "n_items", "best_item", "similarity"), key=str) == expected
 
 
+def test_decontaminate_keeps_no_cut_items(spark):
+    """Three of 36 words turn the majority in the item, and half of the bits of a word SimHash."""
+    head = "ba ab ab ba ba ba ab ba ab ab ba ba ab ba ab ab ab ba ba ab ba ab ba ab ab ba ba ab ab ba ba ab ab".split()
+    item, tail = " ".join([*head, "ba", "ba", "ba"]), " ".join([*head, "ab", "ab", "ab"])
+    docs = documents(spark, [tail, f"{tail} other words", "other words"])
+    got = rows(decontaminate.verdicts(docs, spark.createDataFrame([(1, item)], "item_id bigint, text string")), "doc_id", "contaminated", "n_items", "best_item", "similarity")
+    want = contaminated([tail, f"{tail} other words", "other words"], [(1, item)])
+    assert [w[0] for w in want] == [True, True, False]
+    assert [g[1:] for g in sorted(got)] == want
+
+
 def test_native_operators_run_no_python(spark):
     docs = documents(spark, ["released under the mit license", "one two three four five six"])
     bench = spark.createDataFrame([(1, "one two three four five six")], "item_id bigint, text string")
