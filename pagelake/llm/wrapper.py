@@ -71,19 +71,22 @@ class Tree:
     tags: list = field(default_factory=lambda: [""])
     symbols: list = field(default_factory=lambda: [""])
     names: list = field(default_factory=lambda: [frozenset()])
+    plain: list = field(default_factory=lambda: [False])  # a whole class, id or role of boilerplate words
     parent: list = field(default_factory=lambda: [-1])
     kids: list = field(default_factory=lambda: [[]])
     items: list = field(default_factory=lambda: [[]])  # texts and child numbers in order
     own: list = field(default_factory=list)
 
     def add(self, tag: str, attributes: str, parent: int) -> int:
-        names = frozenset()
+        names, plain = frozenset(), False
         if attributes:
             found = " ".join(a or b or c for _, a, b, c in _ATTRIBUTE.findall(attributes)).lower()
             names = frozenset(_NAMES.findall(found))
+            plain = bool(names & BOILERPLATE) and any(set(x) <= BOILERPLATE for x in map(_NAMES.findall, found.split()) if x)
         n = len(self.tags)
         self.tags.append(tag)
         self.names.append(names)
+        self.plain.append(plain)
         self.symbols.append(f"{tag}.{'.'.join(sorted(names))}" if names else tag)
         self.parent.append(parent)
         self.kids.append([])
@@ -202,13 +205,42 @@ def _content_roots(t: Tree, dropped: list) -> list[int]:
     return [0]
 
 
+def _by_name(t: Tree, template: frozenset[int], matched: dict[int, int]) -> list[bool]:
+    """Which nodes class, id or role drop. Not a node with most of the text of the page,
+    or of its articles and mains; and by a word of a longer name ("related-work") not
+    one with the h1, or whose text, outside links, mostly varies on the host."""
+    size = len(t.tags)
+    weight, articles, varies, linked, heads = ([0] * size for _ in range(5))
+    sums = (weight, articles, varies, linked, heads)
+    for n in range(size - 1, -1, -1):
+        tag, own = t.tags[n], len(t.own[n])
+        if tag in SKIP:
+            continue
+        weight[n] += own
+        varies[n] += own if n in matched and matched[n] not in template else 0
+        heads[n] += tag == "h1"
+        if tag == "a":
+            linked[n] = weight[n]
+        if tag == "main" or tag == "article" and not t.names[n] & BOILERPLATE:
+            articles[n] = weight[n]
+        if n:
+            for x in sums:
+                x[t.parent[n]] += x[n]
+    out = [False] * size
+    for n in range(1, size):
+        if t.names[n] & BOILERPLATE and t.tags[n] not in ("html", "body", "main"):
+            most = 2 * weight[n] > weight[0] or 2 * articles[n] > articles[0]
+            slot = bool(template) and 2 * varies[n] > weight[n] and 2 * linked[n] <= weight[n]
+            out[n] = not most and (t.plain[n] or not heads[n] and not slot)
+    return out
+
+
 def main_text(t: Tree, template: frozenset[int], matched: dict[int, int]) -> str:
     """Text of the content slots; ``template``: reference nodes whose text is constant."""
     dropped = [False] * len(t.tags)
+    named = _by_name(t, template, matched)
     for n in range(1, len(t.tags)):
-        tag = t.tags[n]
-        body = tag in ("html", "body", "article", "main")
-        dropped[n] = dropped[t.parent[n]] or tag in SKIP or (not body or tag == "article") and bool(t.names[n] & BOILERPLATE)
+        dropped[n] = dropped[t.parent[n]] or t.tags[n] in SKIP or named[n]
     roots = _content_roots(t, dropped)
     article = roots != [0]
     blocks: list[str] = []

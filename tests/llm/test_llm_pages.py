@@ -23,6 +23,20 @@ def test_no_article_uses_main_or_body_and_drops_link_blocks():
     assert text("<body><div>Out</div><main><p>In</p></main></body>") == "In"
 
 
+def test_names_do_not_drop_the_article_or_its_parts(spark):
+    assert text('<div class="content-sidebar-wrap"><main><p>Words of the page</p></main></div>') == "Words of the page"
+    assert text('<div id=page class="has-sidebar comments-open"><article><p>Words of the page</p></article></div><p>More words than those, but outside</p>') == "Words of the page"
+    assert text('<article><div class="article-header"><h1>Title</h1></div><p>Words of the page</p><div class="ad">Buy</div></article>') == "Title Words of the page"
+
+    def page(i):
+        return (f'<body><div id=top>Welcome to our site</div><article><p>Story number {i} with a text of its own that is long enough</p><section id="related-work"><p>Earlier {i} work</p></section>'
+                f'<h2 id="search-and-rescue">Rescue {i}</h2><div class="share-bar"><div>Share this</div></div></article></body>')
+
+    pages = spark.createDataFrame([(i, f"http://one.example/{i}", page(i)) for i in range(12)], "page_id bigint, url string, html string")
+    for i, t in rows(wrapper.main_texts(pages), "page_id", "text"):
+        assert t == f"Story number {i} with a text of its own that is long enough Earlier {i} work Rescue {i}"
+
+
 def test_broken_and_deep_html():
     assert text("") == "" and text("<") == "<" and text("plain & simple") == "plain & simple"
     assert text("<p title='a > b'>x</p><!-- never closed <p>y</p>") == "x"
