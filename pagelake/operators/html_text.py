@@ -205,6 +205,12 @@ def iframe_text(pages: DataFrame, targets: DataFrame | None = None) -> DataFrame
         "page_id", F.coalesce("iframe_text", F.lit("")).alias("iframe_text"))
 
 
+def with_iframe_text(rows: DataFrame, pages: DataFrame, name: str = "iframe_content_extraction") -> DataFrame:
+    """``rows`` with the iframe text of their ``page_id`` (empty if there is none)."""
+    found = iframe_text(pages).where(F.col("iframe_text") != "").dropDuplicates(["page_id"]).select("page_id", F.col("iframe_text").alias(name))
+    return rows.join(found, "page_id", "left").withColumn(name, F.coalesce(name, F.lit("")))
+
+
 # ---- B17: best snapshot ----
 def best_snapshot(polls: DataFrame, key: str, poll: str, text: str,
                   stop_len: int = 1000, max_polls: int = 20) -> DataFrame:

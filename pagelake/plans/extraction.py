@@ -140,14 +140,14 @@ def browser_mode(requests: DataFrame, pages: DataFrame, lang_model: DataFrame |
             "dynamic_content_polling", "javascript_state_extraction", "aggressive_text_mining", "standard",
             "fallback", "dom_error") + \
         (("links",) if include_links else ())
-    d = DM.dom_pass(p, "text", "none", keep=keep)
+    d = H.with_iframe_text(DM.dom_pass(p, "text", "none", keep=keep), pages)
     ultra = cascade_or_longest([
         ("embedded_json_extraction", F.col("embedded_json_extraction")),
         ("svg_interactive_extraction", F.col("svg_interactive_extraction")),
         ("main_content_targeting", F.col("targeted_text")),
         ("educational_content_extraction", F.col("educational_text")),
         ("react_fiber_extraction", F.lit("")), ("vue_component_extraction", F.lit("")),
-        ("shadow_dom_extraction", F.lit("")), ("iframe_content_extraction", F.lit("")),
+        ("shadow_dom_extraction", F.lit("")), ("iframe_content_extraction", F.col("iframe_content_extraction")),
         ("dynamic_content_polling", F.col("dynamic_content_polling")),
         ("javascript_state_extraction", F.col("javascript_state_extraction")),
         ("aggressive_text_mining", F.col("aggressive_text_mining"))], 500)

@@ -468,3 +468,24 @@ def test_request_normalisation_cases(spark):
     got = {r.id: r.reject_reason for r in normalise_requests(bounds).collect()}
     assert got[1].startswith("max_file_size_mb") and got[2].startswith("conversion_timeout")
     assert got[3].startswith("timeout") and got[4] is None
+
+
+def test_ultra_cascade_reads_iframes(spark, monkeypatch):
+    """A page whose main text stands in a frame gets the frame's text, once per row."""
+    from pagelake.plans import q_dom
+    frame = "The text of the framed document is long. " * 20
+    data = [(1, "https://a.example/1", '<html><body><iframe src="/f"></iframe></body></html>'),
+            (2, "https://a.example/f", f"<html><body><p>{frame}</p></body></html>"), (3, "https://a.example/3", "<html><body><p>No frame</p></body></html>")]
+    pages = spark.createDataFrame(data, "page_id bigint, url string, html string")
+    monkeypatch.setattr(q_dom, "_pages", lambda spark, sf: pages)
+    got = q_dom.q_ultra_cascade(spark, "").collect()
+    assert len(got) == 3
+    by = {r["page_id"]: r for r in got}
+    assert by[1]["strategy"] == "iframe_content_extraction" and by[1]["text"].strip() == frame.strip()
+    assert by[3]["strategy"] != "iframe_content_extraction"
+
+    from pagelake.plans.extraction import browser_mode
+    kmap = pages.selectExpr("page_id", "replace(url, 'a.example', 'kmap.eu') as url", "html")
+    reqs = kmap.selectExpr("page_id as request_id", "url", "'browser' as method", "200 as status")
+    text = {r["url"]: r["text"] for r in browser_mode(reqs, kmap, include_links=False, calculate_quality=False).collect()}
+    assert text["https://kmap.eu/1"].strip() == frame.strip()
