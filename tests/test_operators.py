@@ -6,7 +6,7 @@ import urllib.parse
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from sf_paths import SF_SMALL
 from pagelake.functions import lexicons as L
 from pagelake.functions.urls import resolve
 from pagelake.operators import dom as DM

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from sf_paths import SF_SMALL
 
 ORACLES = E.oracle_sql()
 PAGE_QUERIES = ["request_results", "iframe_text", "mode_parity", "host_rollup", "link_graph", "link_type_counts", "main_text",

@@ -4,7 +4,7 @@ runs give the batch result, each input exactly once."""
 import pyarrow.parquet as pq
 import pyarrow.compute as pc
 
-from conftest import SF_SMALL
+from sf_paths import SF_SMALL
 from pagelake.operators import timeline as TL
 from pagelake.sources.seeded import seeded
 from pagelake.sources.tables import read_table
