@@ -53,11 +53,13 @@ HEAD, END = "### ", "</turn>"
 PART_CHARS = 1 << 16
 
 Turn = tuple[str, str]
-_CONTROL = re.compile(r"(\\*)(###|</turn>)")
-_ESCAPED = re.compile(r"\\(\\*)(###|</turn>)")
+# a run of backslashes is looked at from its start only: long runs stay linear
+_CONTROL = re.compile(r"(?<!\\)(\\*)(###|</turn>)")
+_ESCAPED = re.compile(r"(?<!\\)\\(\\*)(###|</turn>)")
 #: What ends or breaks a role in the template's first line, and the backslash itself.
 _ROLE = re.compile(r"[\\:\n]|###|</turn>")
 _ROLE_ESCAPED = re.compile(r"\\(n|[\\:]|###|</turn>)")
+_ROLE_LINE = re.compile(r"((?:\\(?:[n\\:]|###|</turn>)|(?!###|</turn>)[^\\:\n])*+):\n")
 
 
 def escape_text(text: str) -> str:
@@ -91,19 +93,17 @@ def parse(formatted: str) -> Iterator[tuple[str, str, int, int]]:
     while at < len(formatted):
         if not formatted.startswith(HEAD, at):
             raise Ungrammatical(turn)
-        line = formatted.find("\n", at)
-        role = formatted[at + len(HEAD):line]
-        odd = len(role) - len(role.rstrip(":")) != 1 or any(not m[1] for m in _CONTROL.finditer(role))
-        if line < 0 or odd or (len(role) - 1 - len(role[:-1].rstrip("\\"))) % 2 or re.search(r"(?<!\\)(?:\\\\)*:", role[:-1]):
+        role = _ROLE_LINE.match(formatted, at + len(HEAD))
+        if role is None:
             raise Ungrammatical(turn)
-        start = line + 1
+        start = role.end()
         mark = next((m for m in _CONTROL.finditer(formatted, start) if not m[1]), None)
         if mark is None or mark[2] != END or mark.start() == start or formatted[mark.start() - 1] != "\n" or not formatted.startswith("\n", mark.end()):
             raise Ungrammatical(turn)
         end = mark.start() - 1
         if end < start:
             raise Ungrammatical(turn)
-        yield unescape_role(role[:-1]), unescape_text(formatted[start:end]), start, end
+        yield unescape_role(role[1]), unescape_text(formatted[start:end]), start, end
         at, turn = mark.end() + 1, turn + 1
 
 
@@ -121,12 +121,15 @@ def render(turns: list[Turn]) -> tuple[str, list[tuple[str, str, int, int]]]:
         if [f[:2] for f in found] == turns:
             return formatted, found
         # a turn that does not come back alone conflicts with the grammar, whatever stands around it
+        before = list(escaped)
         for i, (piece, turn) in enumerate(zip(pieces, turns, strict=True)):
             if not escaped[i]:
                 try:
                     escaped[i] = [f[:2] for f in parse(piece)] != [turn]
                 except Ungrammatical:
                     escaped[i] = True
+        if escaped == before:
+            raise Ungrammatical(len(found))
 
 
 _SCHEMA = "conv_id bigint, part bigint, whole boolean, formatted string, loss array<struct<start:bigint,end:bigint>>"
