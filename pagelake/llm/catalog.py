@@ -3,10 +3,15 @@ parameters, to the whole of its table."""
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, language_cnn, licenses, pivot_topk, simhash, suffix_dedup, token_files, toxicity, wrapper
+from . import (byte_bpe, chat_format, decontaminate, language_cnn, licenses, merkle, pivot_topk, prefix_trie, simhash, suffix_dedup, token_files,
+               toxicity, wrapper)
 from .common import read
 
 
+def _conversations(operator):
+    return lambda spark, sf_dir: operator(read(spark, sf_dir, "conversations"))
+
+
 def _documents(operator):
     return lambda spark, sf_dir: operator(read(spark, sf_dir, "documents"))
 
@@ -22,6 +27,9 @@ QUERIES = {
     "op8_licenses": _documents(licenses.scan),
     "op9_suffix_dedup": _documents(suffix_dedup.digests),
     "op10_simhash": _documents(simhash.classes),
+    "op11_merkle": _documents(merkle.digests),
+    "op12_chat_format": _conversations(chat_format.digests),
+    "op13_prefix_trie": _conversations(prefix_trie.nodes),
 }
 
-ORACLES: dict[str, str] = {"op1_pivot_topk": pivot_topk.ORACLE, "op8_licenses": licenses.ORACLE}
+ORACLES: dict[str, str] = {"op1_pivot_topk": pivot_topk.ORACLE, "op8_licenses": licenses.ORACLE, "op12_chat_format": chat_format.ORACLE}

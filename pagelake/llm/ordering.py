@@ -63,6 +63,48 @@ def ranked(table: DataFrame, group: str, order: list[str]) -> DataFrame:
                  .withColumn("rank", F.col("_pos") + F.coalesce("base", F.lit(0))).drop("_pid", "_pos", "base")
 
 
+def running(table: DataFrame, group: str, order: str, masks: dict[str, int | None]) -> DataFrame:
+    """``table`` with ``sum_<c>`` for each column ``c`` of ``masks``: the sum of ``c``
+    over the group's rows up to this one by ``order`` (unique in the group), cut
+    to the bits of the mask if there is one. Columns with a mask hold values within
+    it, of at most 32 bits; ``group`` is never NULL."""
+    cut = lambda x, mask: x if mask is None else x & mask
+
+    def sums(batches):
+        pid, last, held = TaskContext.get().partitionId(), None, dict.fromkeys(masks, 0)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            values = b.column(b.schema.get_field_index(group)).to_numpy(zero_copy_only=False)
+            at = np.arange(b.num_rows)
+            first = np.maximum.accumulate(np.where(run_starts(values, last), at, -1))
+            found = []
+            for c, mask in masks.items():
+                v = b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False)
+                total = np.cumsum(v)
+                s = cut(total - np.where(first >= 0, total[first] - v[first], -held[c]), mask)
+                held[c] = int(s[-1])
+                found.append(pa.array(s.astype(np.int64)))
+            last = values[-1]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, pid, np.int32)), *found],
+                                             [*b.schema.names, "_pid", *(f"_{c}" for c in masks)])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema.fields)
+    dealt = table.repartitionByRange(shuffle_partitions(table), group, order).sortWithinPartitions(group, order)
+    summed = shared_table(map_arrow(dealt, sums, f"{schema}, _pid int, " + ", ".join(f"`_{c}` bigint" for c in masks)), "running")
+    ends = summed.groupBy("_pid").agg(F.min(group).alias("lo"), F.max(group).alias("hi"))
+    border = ends.select(F.explode(F.array("lo", "hi")).alias(group)).distinct()  # two rows per partition at most
+    parts = summed.join(F.broadcast(border), group, "left_semi").groupBy(group, "_pid").agg(*[F.sum(c).alias(c) for c in masks])
+    before = Window.partitionBy(group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    base = parts.select(group, "_pid", *[F.sum(c).over(before).alias(f"base_{c}") for c in masks])
+    base = shared_table(base.where(F.col(f"base_{next(iter(masks))}").isNotNull()), "bases")
+    out = summed.join(F.broadcast(base), [group, "_pid"], "left")
+    for c, mask in masks.items():
+        s = F.col(f"_{c}") + F.coalesce(f"base_{c}", F.lit(0))
+        out = out.withColumn(f"sum_{c}", s if mask is None else s.bitwiseAND(F.lit(mask)))
+    return out.drop("_pid", *(f"_{c}" for c in masks), *(f"base_{c}" for c in masks))
+
+
 def sha256_of_parts(parts: DataFrame, keys: list[str], order: str, columns: list[str], sep: str = "") -> DataFrame:
     """``keys`` and, for each of ``columns``, the sha256 (hex) of a key's strings
     joined by ``sep`` in the order of ``order``. A digest is one sequential
