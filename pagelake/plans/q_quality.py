@@ -64,9 +64,10 @@ def host_rollup(pages):
     """Flagship: pages -> selector text -> links -> quality -> per-host roll-up.
     Narrow up to the aggregate; the aggregate is partial before the shuffle,
     so a host holding a third of all pages still sends one row per task."""
-    p = (LK.with_links(pages.select("page_id", "url", "html"))
-         .select("page_id", hostname("url").alias("host"), H.selector_text("html").alias("text"),
-                 LK.link_stats("links").alias("ls")))
+    # the text below the links: the other way round, Catalyst copies all of the
+    # links' expressions into each of their readers
+    p = pages.select("page_id", "url", "html", H.selector_text("html").alias("text"))
+    p = LK.with_links(p).select("page_id", hostname("url").alias("host"), "text", LK.link_stats("links").alias("ls"))
     p = Q.with_quality(p, "text", "q")
     cats = ["error_page", "educational_content", "educational_metadata", "other"]
     g = p.groupBy("host").agg(

@@ -97,3 +97,10 @@ def test_time_queries_ignore_session_time_zone(spark, duck, name):
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
     assert _rows(s) == _rows(duck.execute(ORACLES[name]).df())
+
+
+@pytest.mark.parametrize("name", ["host_rollup", "error_page"])
+def test_plan_stays_small(spark, name):
+    """An array of the node pass that is read many times is not copied into each reader."""
+    sdf = E.queries()[name](spark, SF_SMALL)
+    assert len(sdf._jdf.queryExecution().executedPlan().toString()) < 150_000
