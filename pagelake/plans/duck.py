@@ -2,8 +2,9 @@
 
 Each helper writes, in DuckDB's dialect, the same semantics as the Spark
 helper of the same name. The oracle is an independent statement of the
-expected result (the driver runs it next to the Spark query); it shares
-only the fixed values (word lists), not patterns, entity rules or execution.
+expected result (the driver runs it next to the Spark query) but for the fixed
+values (word lists) and the patterns of comments, tags and entities, which it
+imports: an error in these would not show in a comparison.
 """
 
 from __future__ import annotations
