@@ -1,10 +1,11 @@
-"""Exact repeated substrings by a depth-limited radix sort (operator 9).
+"""Exact repeated substrings by hash groups of limited depth (operator 9).
 
 A window is a string of ``length`` bytes inside one text. Windows that occur at
 two places anywhere are repeated; every byte that a repeated window covers is
 removed. Sorting all suffixes by their first ``length`` bytes would put equal
-windows into equal groups. This does it digit by digit, the most significant
-first, and each pass hands on only what shares its digits with something else:
+windows into equal groups. This makes the same groups without ordering any
+suffix: hashes stand for the digits of radix passes, and each pass hands on only
+what shares its hash with something else:
 
 1. Each window's first digit is its rarest-looking gram: of all ``GRAM``-byte
    strings in it, the one with the smallest hash (the leftmost, if equal). Equal
