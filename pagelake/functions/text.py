@@ -1,4 +1,4 @@
-"""Native text helpers over HTML and plain-text columns.
+"""Native helpers over plain-text columns (HTML is read as nodes, see operators/nodes.py).
 
 Everything here builds Catalyst expressions (``regexp_replace``,
 ``regexp_extract``, ``replace``), so it runs inside whole-stage codegen.
@@ -36,20 +36,6 @@ def expr_cache(fn):
         return cache[key]
     return wrap
 
-# Entity replacements applied in this order, '&amp;' last so
-# that '&amp;lt;' decodes to the text '&lt;' and not to '<'.
-ENTITIES = (
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-    ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"),
-)
-
-TAG = r"</?[a-zA-Z!?][^>]*>"
-COMMENT = r"(?s)<!--.*?-->"
-# Raw-text elements: their content is text in the DOM, not markup.
-RAW_OR_TAG = (r"(?is)<script\b[^>]*>(.*?)</script\s*>|<style\b[^>]*>(.*?)</style\s*>|"
-              + TAG)
-
-
 def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -63,56 +49,6 @@ def collapse_ws(c) -> Column:
     return strip(F.regexp_replace(col(c), r"(?U)[\s\x1c-\x1f]+", " "))
 
 
-def decode_entities(c) -> Column:
-    out = col(c)
-    for ent, ch in ENTITIES:
-        out = F.replace(out, F.lit(ent), F.lit(ch))
-    return out
-
-
-def drop_comments(c) -> Column:
-    return F.regexp_replace(col(c), COMMENT, "")
-
-
-def drop_blocks(c, *tags: str) -> Column:
-    """Remove whole ``<tag>...</tag>`` blocks (script, style, nav...)."""
-    out = col(c)
-    for t in tags:
-        out = F.regexp_replace(out, rf"(?is)<{t}\b[^>]*>.*?(?:</{t}\s*>|$)", "")
-    return out
-
-
-def text_content(c) -> Column:
-    """DOM ``textContent`` of an HTML fragment: comments dropped, tags
-    removed without separator, script/style bodies kept as raw text,
-    entities decoded."""
-    return decode_entities(F.regexp_replace(drop_comments(c), RAW_OR_TAG, "$1$2"))
-
-
-def body_html(html) -> Column:
-    """Inner HTML of ``<body>``; tolerant of a missing ``</body>``. Without a
-    body tag, the document minus ``<head>`` (as a browser would build it)."""
-    h = col(html)
-    inner = F.regexp_replace(F.regexp_extract(h, r"(?is)<body\b[^>]*>(.*)", 1),
-                             r"(?is)</body\s*>.*", "")
-    headless = F.regexp_replace(h, r"(?is)<head\b.*?</head\s*>", "")
-    return F.when(h.rlike(r"(?i)<body\b"), inner).otherwise(F.coalesce(headless, F.lit("")))
-
-
-def element_html(html, tag: str) -> Column:
-    """Inner HTML of the first ``<tag>`` element (to its close or end of input)."""
-    return F.regexp_extract(col(html), rf"(?is)<{tag}\b[^>]*>(.*?)(?:</{tag}\s*>|$)", 1)
-
-
-def has_element(html, tag: str) -> Column:
-    return col(html).rlike(rf"(?i)<{tag}\b")
-
-
-def title_text(html) -> Column:
-    """``document.title``: first ``<title>``, entities decoded, whitespace collapsed."""
-    return collapse_ws(decode_entities(F.regexp_extract(col(html), r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)))
-
-
 def tokens(c) -> Column:
     """Word tokens as Python's Unicode ``\\w+`` sees them (letters, digits, _)."""
     return F.regexp_extract_all(col(c), F.lit(r"[\p{L}\p{N}_]+"), 0)

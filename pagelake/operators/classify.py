@@ -12,8 +12,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
-from ..functions.text import body_html, col, expr_cache, strip, text_content, title_text
+from ..functions.text import col, expr_cache, strip
 from ..functions.urls import hostname
+from .dom import body_text, page_title
 from .nodes import any_match, is_a, let, nodes
 
 
@@ -61,7 +62,7 @@ def error_page_parts(title, content, dom_label) -> Column:
 def error_page(html, content) -> Column:
     """C4: ``struct<is_error_page, error_type>`` from the page HTML and its
     extracted content."""
-    return error_page_parts(title_text(html), content, error_dom_label(html))
+    return error_page_parts(page_title(nodes(html)), content, error_dom_label(html))
 
 
 def spa_indicators(html) -> Column:
@@ -118,7 +119,7 @@ def ultra_complex_score(html, url, react_devtools=None, window_react=None, vue_r
     """Placeholder text +3, complex React +2, Vue router +2, service
     worker (secure context) +1, state manager +2, 0 < body text < 500 +2,
     complex host +1; ``is_ultra_complex = score >= 4``."""
-    body = text_content(body_html(html))
+    body = body_text(nodes(html))
     b = lambda c: F.coalesce(c, F.lit(False)) if c is not None else F.lit(False)
     placeholder = F.lit(False)
     for p in L.PLACEHOLDER_TEXTS:
@@ -139,9 +140,9 @@ def ultra_complex_score(html, url, react_devtools=None, window_react=None, vue_r
 @expr_cache
 def educational_present(html) -> Column:
     """At least 2 of 5 keywords in the lower-cased body text, or at least 5 svg."""
-    low = F.lower(text_content(body_html(html)))
+    low = F.lower(body_text(nodes(html)))
     kw = sum((F.when(low.contains(k), 1).otherwise(0) for k in L.EDU_KEYWORDS), F.lit(0)).cast("bigint")
-    svg = F.size(F.regexp_extract_all(col(html), F.lit(r"(?i)<svg\b"), 0)).cast("bigint")
+    svg = let(nodes(html), lambda n: F.size(F.filter(n, is_a("svg")))).cast("bigint")
     return F.struct(kw.alias("keyword_count"), svg.alias("svg_count"),
                     ((kw >= 2) | (svg >= 5)).alias("has_educational_content"))
 

@@ -13,33 +13,22 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions.text import collapse_ws, strip
+from . import marks as M
 from . import nodes as N
 
-BLOCK_TAGS = ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "tr", "pre", "blockquote", "dd", "dt")
 LOOSE_PARENTS = ("div", "article", "main", "section", "body")
-BOILER_TAGS = ("nav", "header", "footer", "aside", "script", "style", "noscript", "form", "iframe", "svg", "button", "select")
-BOILER_WORDS = r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|menu|nav\w*|sidebar|footer|comments?|share|social|cookie\w*|banner)(?:$|[\s_-])"
 #: Least characters of a block and most of them in links, by preference.
 PREFERENCE = {"precision": (50, 0.3), "none": (25, 0.6), "recall": (10, 0.9)}
 
 
-def _boiler(n: Column, body: Column) -> Column:
-    """Boilerplate subtrees: by tag, or by a word in class or id if the subtree
-    holds at most half of the page's text (a page wrapper is no boilerplate)."""
-    size = F.length(F.array_join(N.texts_of(body), ""))
-    named = lambda x: F.concat_ws(" ", F.array_join(x["classes"], " "), x["id"]).rlike(BOILER_WORDS)
-    return N.let(size, lambda s: F.filter(body, lambda x: x["tag"].isin(*BOILER_TAGS) | (
-        ~x["tag"].isin("body", "main", "article", "#text") & named(x) & (2 * F.length(N.content(n, x)) <= s))))
-
-
-def _plain(n: Column, x: Column, boiler: Column, mark: bool) -> Column:
+def _plain(n: Column, x: Column, mark: bool) -> Column:
     """A block's text without boilerplate inside it; bold and italics marked for markdown."""
     def piece(t):
         if not mark:
             return t["text"]
         return (F.when(t["ptag"].isin("b", "strong"), F.concat(F.lit("**"), collapse_ws(t["text"]), F.lit("**")))
                 .when(t["ptag"].isin("i", "em"), F.concat(F.lit("*"), collapse_ws(t["text"]), F.lit("*"))).otherwise(t["text"]))
-    kept = F.filter(N.part(n, x), lambda t: (t["tag"] == "#text") & ~N.within(t, boiler))
+    kept = F.filter(N.part(n, x), lambda t: (t["tag"] == "#text") & ~N.inside(t, M.BOILER))
     return collapse_ws(F.array_join(F.transform(kept, piece), ""))
 
 
@@ -48,11 +37,11 @@ def content_blocks(nodes: Column, fmt: str = "text") -> Column:
     outermost block elements outside boilerplate, and of loose text in containers."""
     markdown = fmt in ("markdown", "raw_markdown")
 
-    def render(n, x, boiler):
+    def render(n, x):
         cells = F.filter(F.transform(F.filter(N.part(n, x), lambda c: c["tag"].isin("td", "th")),
-                                     lambda c: _plain(n, c, boiler, markdown)), lambda t: t != "")
+                                     lambda c: _plain(n, c, markdown)), lambda t: t != "")
         row = F.array_join(cells, " | " if markdown else " ")
-        text = _plain(n, x, boiler, markdown)
+        text = _plain(n, x, markdown)
         if markdown:
             row = F.when(F.size(cells) > 0, F.concat(F.lit("| "), row, F.lit(" |"))).otherwise(F.lit(""))
             text = (F.when(text == "", text).when(x["tag"].rlike("^h[1-6]$"), F.concat(F.repeat(F.lit("#"), F.substring(x["tag"], 2, 1).cast("int")), F.lit(" "), text))
@@ -63,17 +52,16 @@ def content_blocks(nodes: Column, fmt: str = "text") -> Column:
         anchors = F.filter(N.part(n, x), lambda a: a["tag"] == "a")
         return F.aggregate(F.transform(anchors, lambda a: F.length(collapse_ws(N.content(n, a)))), F.lit(0), lambda s, k: s + k)
 
-    def assembled(n, body, boiler):
-        blocks = F.filter(body, lambda x: x["tag"].isin(*BLOCK_TAGS) & ~N.within(x, boiler))
-        outer = N.let(blocks, lambda bs: F.filter(bs, lambda x: ~F.exists(bs, lambda y: (y["pos"] < x["pos"]) & (x["pos"] <= y["last"]))))
-        return N.let(outer, lambda os: F.array_sort(F.filter(F.concat(
-            F.transform(os, lambda x: F.struct(x["pos"].alias("pos"), x["tag"].alias("tag"), render(n, x, boiler).alias("text"),
-                                               F.when(x["tag"] == "tr", 0).otherwise(links(n, x)).alias("link_chars"))),
-            F.transform(F.filter(body, lambda t: (t["tag"] == "#text") & t["ptag"].isin(*LOOSE_PARENTS) & ~N.within(t, boiler) & ~N.within(t, os)),
-                        lambda t: F.struct(t["pos"].alias("pos"), F.lit("text").alias("tag"), collapse_ws(t["text"]).alias("text"), F.lit(0).alias("link_chars")))),
-            lambda b: b["text"] != "")))
+    def assembled(n, body):
+        blocks = F.filter(body, lambda x: N.outermost(x, M.BLOCK) & ~N.inside(x, M.BOILER))
+        loose = F.filter(body, lambda t: (t["tag"] == "#text") & t["ptag"].isin(*LOOSE_PARENTS) & ~N.inside(t, M.BOILER | M.BLOCK))
+        return F.array_sort(F.filter(F.concat(
+            F.transform(blocks, lambda x: F.struct(x["pos"].alias("pos"), x["tag"].alias("tag"), render(n, x).alias("text"),
+                                                   F.when(x["tag"] == "tr", 0).otherwise(links(n, x)).alias("link_chars"))),
+            F.transform(loose, lambda t: F.struct(t["pos"].alias("pos"), F.lit("text").alias("tag"), collapse_ws(t["text"]).alias("text"), F.lit(0).alias("link_chars")))),
+            lambda b: b["text"] != ""))
 
-    return N.let(nodes, lambda n: N.let(N.body_nodes(n), lambda body: N.let(_boiler(n, body), lambda boiler: assembled(n, body, boiler))))
+    return N.let(nodes, lambda n: N.let(N.body_nodes(n), lambda body: assembled(n, body)))
 
 
 def main_text(blocks: Column, preference: str = "none") -> Column:
@@ -85,6 +73,45 @@ def main_text(blocks: Column, preference: str = "none") -> Column:
     return strip(F.array_join(F.transform(keep, lambda b: b["text"]), "\n"))
 
 
+def body_text(nodes: Column) -> Column:
+    """``textContent`` of the body, scripts and styles included."""
+    return N.let(nodes, lambda n: F.array_join(N.texts_of(N.body_nodes(n)), ""))
+
+
+def visible_text(nodes: Column) -> Column:
+    """``textContent`` of the body without its script and style elements."""
+    return N.let(nodes, lambda n: F.array_join(N.texts_of(F.filter(N.body_nodes(n), lambda t: ~t["ptag"].isin("script", "style"))), ""))
+
+
+def svg_text(nodes: Column) -> Column:
+    """B12, svg half: trimmed texts over 2 characters of the text, tspan, title and desc
+    elements of each svg element, in page order (a nested one repeats its text), joined by a space."""
+    def rule(n):
+        drawn = F.flatten(F.transform(F.filter(N.body_nodes(n), lambda x: x["tag"] == "svg"),
+                                      lambda s: F.filter(N.part(n, s), lambda x: x["tag"].isin("text", "tspan", "title", "desc"))))
+        return strip(F.array_join(F.filter(F.transform(drawn, lambda x: strip(N.content(n, x))), lambda t: F.length(t) > 2), " "))
+    return N.let(nodes, rule)
+
+
+def data_values(nodes: Column) -> Column:
+    """All ``data-*`` values over 10 characters, in page order and then by place in the element."""
+    return N.let(nodes, lambda n: F.filter(F.flatten(F.transform(
+        F.filter(n, lambda x: F.size(x["attrs"]) > 0),
+        lambda x: F.map_values(F.map_filter(x["attrs"], lambda k, v: k.startswith("data-"))))), lambda v: F.length(v) > 10))
+
+
+def comments(nodes: Column) -> Column:
+    """Comments over 20 characters in the body, but such that hold another's start."""
+    return N.let(nodes, lambda n: F.transform(F.filter(N.body_nodes(n), lambda x: (x["tag"] == "#comment") & (F.length(x["text"]) > 20) & ~x["text"].contains("<!--")),
+                                              lambda x: x["text"]))
+
+
+def frame_sources(nodes: Column) -> Column:
+    """``src`` of the iframe elements, in page order (none from comments and scripts)."""
+    return N.let(nodes, lambda n: F.filter(F.transform(F.filter(n, lambda x: x["tag"] == "iframe"), lambda x: F.element_at(x["attrs"], "src")),
+                                           lambda v: v.isNotNull()))
+
+
 def full_text(nodes: Column) -> Column:
     """All text of the body outside scripts and styles."""
     return N.let(nodes, lambda n: N.let(N.body_nodes(n), lambda body: collapse_ws(F.array_join(N.texts_of(
@@ -98,12 +125,9 @@ def page_title(nodes: Column) -> Column:
 def readable_text(nodes: Column) -> Column:
     """Trimmed text nodes of at least 10 characters outside the skip selectors
     and outside elements hidden in the markup, joined by one space."""
-    style = lambda x: F.lower(F.regexp_replace(F.coalesce(F.element_at(x["attrs"], "style"), F.lit("")), r"\s", ""))
-    hidden = lambda x: style(x).rlike("display:none|visibility:hidden") | F.element_at(x["attrs"], "hidden").isNotNull()
-    return N.let(nodes, lambda n: N.let(N.body_nodes(n), lambda body: N.let(
-        F.filter(body, lambda x: (x["tag"] != "#text") & (N.any_match(x, L.READABLE_SKIP) | hidden(x))),
-        lambda skip: strip(F.array_join(F.filter(F.transform(N.texts_of(F.filter(body, lambda t: ~N.within(t, skip))), lambda t: strip(t)),
-                                                 lambda t: F.length(t) >= L.READABLE_MIN), " ")))))
+    return N.let(nodes, lambda n: strip(F.array_join(F.filter(
+        F.transform(N.texts_of(F.filter(N.body_nodes(n), lambda t: ~N.inside(t, M.SKIP))), lambda t: strip(t)),
+        lambda t: F.length(t) >= L.READABLE_MIN), " ")))
 
 
 def selector_text(nodes: Column) -> Column:
@@ -126,8 +150,7 @@ def targeted_text(nodes: Column) -> Column:
     def rule(n):
         targets = F.concat(*[F.filter(n, N.is_a(s)) for s in L.TARGET_SELECTORS])
         main = N.each_text(n, targets, lambda t: F.length(t) > 100)
-        nav = F.filter(n, lambda x: N.any_match(x, L.TARGET_SKIP))
-        boxes = N.let(nav, lambda v: F.filter(n, lambda x: N.any_match(x, L.TARGET_CONTAINERS) & ~N.within(x, v)))
+        boxes = F.filter(n, lambda x: N.any_match(x, L.TARGET_CONTAINERS) & ~N.inside(x, M.TARGET_SKIP))
         return N.let(main, lambda m: strip(F.when(F.length(m) < 100, F.concat(m, N.each_text(n, boxes, lambda t: F.length(t) > 50))).otherwise(m)))
     return N.let(nodes, rule)
 
@@ -138,8 +161,7 @@ def educational_text(nodes: Column) -> Column:
     their text); if these are under 200 in all, also the texts around canvas and
     svg elements and long data attributes."""
     def rule(n):
-        nav = F.filter(n, lambda x: N.any_match(x, L.EDU_SKIP))
-        found = N.let(nav, lambda v: F.filter(F.concat(*[F.filter(n, N.is_a(s)) for s in L.EDU_SELECTORS]), lambda x: ~N.within(x, v)))
+        found = F.filter(F.concat(*[F.filter(n, N.is_a(s)) for s in L.EDU_SELECTORS]), lambda x: ~N.inside(x, M.EDU_SKIP))
         blocks = N.each_text(n, found, lambda t: (F.length(t) > 20) & ~t.rlike(L.EDU_MENU_WORD))
         drawn = F.transform(F.filter(n, lambda x: x["tag"].isin("canvas", "svg") & (x["parent"] >= 0)), lambda x: F.get(n, x["parent"]))
         around = N.each_text(n, drawn, lambda t: F.length(t) > 50)

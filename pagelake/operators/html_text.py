@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions import lexicons as L
 from ..functions.cascade import cascade
-from ..functions.text import body_html, col, collapse_ws, decode_entities, drop_blocks, expr_cache, strip, text_content
+from ..functions.text import col, collapse_ws, expr_cache, strip
 from . import dom
 from .nodes import nodes
 
@@ -22,13 +22,13 @@ from .nodes import nodes
 @expr_cache
 def body_text(html) -> Column:
     """``document.body.textContent`` (includes script/style text)."""
-    return text_content(body_html(html))
+    return dom.body_text(nodes(html))
 
 
 @expr_cache
 def visible_text(html) -> Column:
     """Body text after removing ``script`` and ``style`` elements."""
-    return text_content(drop_blocks(body_html(html), "script", "style"))
+    return dom.visible_text(nodes(html))
 
 
 @expr_cache
@@ -66,17 +66,11 @@ def cascade_50(html) -> Column:
 
 
 # ---- B12: SVG text ----
-_SVG_TEXT = r"(?is)<(?:text|tspan|title|desc)\b[^>]*>(.*?)</(?:text|tspan|title|desc)\s*>"
-
-
 @expr_cache
 def svg_text(html) -> Column:
-    """B12 (SVG part): text of svg text/tspan/title/desc elements longer than
-    2 chars after trimming, joined by a space."""
-    svgs = F.regexp_extract_all(body_html(html), F.lit(r"(?is)<svg\b.*?</svg\s*>"), 0)
-    parts = F.flatten(F.transform(svgs, lambda s: F.regexp_extract_all(s, F.lit(_SVG_TEXT), 1)))
-    texts = F.transform(parts, lambda p: strip(text_content(p)))
-    return strip(F.array_join(F.filter(texts, lambda t: F.length(t) > 2), " "))
+    """B12 (SVG part): texts of svg text/tspan/title/desc elements longer than
+    2 chars after trimming, joined by a space; a nested one repeats its text."""
+    return dom.svg_text(nodes(html))
 
 
 # ---- B13: embedded JSON ----
@@ -152,10 +146,8 @@ def mined_text(html) -> Column:
     scripts = F.regexp_extract_all(h, F.lit(r"(?is)<script\b[^>]*>(.*?)</script\s*>"), 1)
     objs = F.filter(F.flatten(F.transform(scripts, lambda s: F.regexp_extract_all(s, F.lit(_SMALL_JSON), 0))),
                     lambda o: F.try_parse_json(o).isNotNull())
-    data = F.filter(F.transform(F.regexp_extract_all(h, F.lit(r'(?is)<[a-z][^>]*?\sdata-[a-z0-9_.:-]+\s*=\s*"([^"]*)"'), 1),
-                                decode_entities), lambda v: F.length(v) > 10)
-    comments = F.filter(F.regexp_extract_all(body_html(h), F.lit(r"(?s)<!--(.*?)-->"), 1),
-                        lambda c: (F.length(c) > 20) & ~c.contains("<!--"))
+    data = dom.data_values(nodes(h))
+    comments = dom.comments(nodes(h))
     pieces = F.concat(F.transform(objs, _quoted_strings), data, comments)
     return F.array_join(F.transform(pieces, lambda p: F.concat(p, F.lit(" "))), "")
 
@@ -174,7 +166,7 @@ def state_text(html) -> Column:
 
 # ---- B16: iframe text ----
 def iframe_sources(html) -> Column:
-    return F.regexp_extract_all(col(html), F.lit(r"""(?is)<iframe\b[^>]*?\ssrc\s*=\s*["']?([^"'>]*)"""), 1)
+    return dom.frame_sources(nodes(html))
 
 
 def iframe_text(pages: DataFrame, targets: DataFrame | None = None) -> DataFrame:
@@ -192,7 +184,7 @@ def iframe_text(pages: DataFrame, targets: DataFrame | None = None) -> DataFrame
     targets = pages if targets is None else targets
     frames = (pages.select("page_id", "url", F.posexplode_outer(iframe_sources("html")).alias("ipos", "src"))
               .where(F.col("src").isNotNull())
-              .select("page_id", "ipos", resolve(F.col("url"), strip(decode_entities(F.col("src")))).alias("target")))
+              .select("page_id", "ipos", resolve(F.col("url"), strip("src")).alias("target")))
     frames = materialise(frames, "iframes")
     texts = (targets.select(F.col("url").alias("target"), body_text("html").alias("ttext"))
              .where(F.length("ttext") > 50).join(frames.select("target").distinct(), "target", "left_semi")

@@ -6,8 +6,10 @@
     parent, ptag   place and tag of the parent element (-1, "" at the top)
     tag            lower-case tag, "#text" or "#comment"
     id, classes, attrs, text
+    chars          length of its textContent
+    inside, outer  sets (:mod:`.marks`) it stands in, and those whose outermost member it is
 
-so "inside" is a range test on places. Character references are decoded,
+so a subtree is a slice, and "inside" a test of places or bits. Character references are decoded,
 comments and script/style bodies are nodes of their own, attributes may be
 quoted in any way, and tags that authors leave open are closed where HTML
 closes them. The pass is a loop over tags: no depth breaks it.
@@ -28,9 +30,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.text import col
+from . import marks
 
 NODE_TYPE = ("array<struct<pos:int,last:int,parent:int,ptag:string,tag:string,id:string,"
-             "classes:array<string>,attrs:map<string,string>,text:string>>")
+             "classes:array<string>,attrs:map<string,string>,text:string,chars:int,inside:int,outer:int>>")
+#: Characters of HTML whose nodes one task holds as Python objects at a time (one longer page stands alone).
+PARSE_CHARS = 4 << 20
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style".split())
@@ -113,7 +118,23 @@ def _list_array(sizes, values):
 
 
 def _arrow_nodes(pages: pa.Array) -> pa.Array:
-    found = [parse(p or "") for p in pages.to_pylist()]
+    """Nodes of a batch of pages, some at a time: only their Arrow form is held for the whole batch."""
+    done, some, size = [], [], 0
+    for i in range(len(pages)):
+        page = pages[i].as_py() or ""
+        if some and size + len(page) > PARSE_CHARS:
+            done.append(_nodes_of(some))
+            some, size = [], 0
+        some.append(page)
+        size += len(page)
+    done.append(_nodes_of(some))
+    return pa.concat_arrays(done)
+
+
+def _nodes_of(pages: list[str]) -> pa.Array:
+    found = [parse(p) for p in pages]
+    chars = [marks.lengths(page) for page in found]
+    marked = [marks.mark(page, sizes) for page, sizes in zip(found, chars, strict=True)]
     rows = [(i, n, page) for page in found for i, n in enumerate(page)]
     strings = lambda v: pa.array(v, pa.string())
     ints = lambda v: pa.array(v, pa.int32())
@@ -125,8 +146,9 @@ def _arrow_nodes(pages: pa.Array) -> pa.Array:
         [ints([i for i, _, _ in rows]), ints([n[0] for _, n, _ in rows]), ints([n[1] for _, n, _ in rows]),
          strings([page[n[1]][2] if n[1] >= 0 else "" for _, n, page in rows]), strings([n[2] for _, n, _ in rows]),
          strings([n[3].get("id", "") for _, n, _ in rows]),
-         _list_array([len(c) for c in classes], strings([x for c in classes for x in c])), attrs, strings([n[4] for _, n, _ in rows])],
-        names=["pos", "last", "parent", "ptag", "tag", "id", "classes", "attrs", "text"])
+         _list_array([len(c) for c in classes], strings([x for c in classes for x in c])), attrs, strings([n[4] for _, n, _ in rows]),
+         ints([c for sizes in chars for c in sizes]), ints([b for inside, _ in marked for b in inside]), ints([b for _, outer in marked for b in outer])],
+        names=["pos", "last", "parent", "ptag", "tag", "id", "classes", "attrs", "text", "chars", "inside", "outer"])
     return _list_array([len(p) for p in found], struct)
 
 
@@ -178,9 +200,14 @@ def any_match(x: Column, selectors) -> Column:
     return reduce(lambda a, b: a | b, [matches(x, s) for s in selectors])
 
 
-def within(x: Column, ranges: Column) -> Column:
-    """``x`` is one of the nodes ``ranges`` or inside one."""
-    return F.exists(ranges, lambda r: (r["pos"] <= x["pos"]) & (x["pos"] <= r["last"]))
+def inside(x: Column, mark: int) -> Column:
+    """``x`` is a member of a set of :mod:`.marks`, or stands in one."""
+    return x["inside"].bitwiseAND(F.lit(mark)) != 0
+
+
+def outermost(x: Column, mark: int) -> Column:
+    """``x`` is a member of a set and stands in no other member."""
+    return x["outer"].bitwiseAND(F.lit(mark)) != 0
 
 
 def part(n: Column, x: Column) -> Column:
@@ -200,7 +227,7 @@ def content(n: Column, x: Column) -> Column:
 def body_nodes(n: Column) -> Column:
     """The nodes of the body; without a body element, all outside the head."""
     return let(F.filter(n, lambda x: x["tag"] == "body"), lambda b: F.when(F.size(b) > 0, part(n, b[0])).otherwise(
-        let(F.filter(n, lambda x: x["tag"] == "head"), lambda h: F.filter(n, lambda x: ~within(x, h)))))
+        F.filter(n, lambda x: ~inside(x, marks.HEAD))))
 
 
 def each_text(n: Column, found: Column, keep) -> Column:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
-from ..functions.text import title_text
 from ..operators import classify as C
 from ..operators import html_text as H
+from ..operators.dom import page_title
+from ..operators.nodes import nodes
 from ..sources import requests as R
 from ..sources.seeded import seeded, with_clause
 from . import duck as D
@@ -49,7 +50,7 @@ SELECT page_id, error_type IS NOT NULL AS is_error_page, error_type FROM e""")
 def q_error_page(spark, sf):
     """C4: error-page test on title, extracted content and DOM markers."""
     # all that reads the html stands below its readers, so none of it is copied into each of them
-    p = seeded(spark, sf, "seeded_pages").select("page_id", title_text("html").alias("title"), H.cascade_500("html")["text"].alias("content"),
+    p = seeded(spark, sf, "seeded_pages").select("page_id", page_title(nodes("html")).alias("title"), H.cascade_500("html")["text"].alias("content"),
                                                  C.error_dom_label("html").alias("dom_label"))
     return p.select("page_id", C.error_page_parts("title", "content", "dom_label").alias("e")).select(
         "page_id", "e.is_error_page", "e.error_type")

@@ -12,8 +12,9 @@ from .q_html import BODY_CTE
 
 SP = with_clause("seeded_pages")
 
+_SVG_PART = r"(?is)<(?:text|tspan|title|desc)\b[^>]*>(.*?)</(?:text|tspan|title|desc)\s*>"
 _SVGT = (f"list_transform(flatten(list_transform(regexp_extract_all(body, {D.lit(r'(?is)<svg\b.*?</svg\s*>')}, 0), "
-         f"lambda s: regexp_extract_all(s, {D.lit(H._SVG_TEXT)}, 1))), lambda p: {D.strip(D.text_content('p'))})")
+         f"lambda s: regexp_extract_all(s, {D.lit(_SVG_PART)}, 1))), lambda p: {D.strip(D.text_content('p'))})")
 
 
 @register("svg_text", SP + f""", {BODY_CTE}

@@ -15,7 +15,8 @@ from pyspark.sql import types as T
 
 from ..functions.text import col
 
-#: Most bytes that a gzip body may inflate to; a larger one counts as broken.
+#: Most bytes that a gzip body may inflate to by default; the text of a larger one
+#: is NULL and :func:`is_oversized` marks it.
 GUNZIP_MAX_BYTES = 256 << 20
 
 
@@ -30,45 +31,58 @@ def is_binary(body) -> Column:
     return _is_gzip(col(body)) | nul
 
 
-def _inflate(body: bytes | None) -> bytes | None:
-    """All gzip members of a body, or None if it is broken or too large."""
+def _inflate(body: bytes | None, limit: int) -> tuple[bytes | None, bool]:
+    """All gzip members of a body (None if it is broken or too large), and whether it is too large."""
     if body is None:
-        return None
-    out, rest = b"", bytes(body)
+        return None, False
+    out, rest = bytearray(), bytes(body)
     try:
         while rest:
             z = zlib.decompressobj(wbits=31)
-            out += z.decompress(rest, GUNZIP_MAX_BYTES - len(out) + 1)
-            if len(out) > GUNZIP_MAX_BYTES or not z.eof:
-                return None
+            out += z.decompress(rest, limit - len(out) + 1)
+            if len(out) > limit:
+                return None, True
+            if not z.eof:
+                return None, False
             rest = z.unused_data.lstrip(b"\0")
     except zlib.error:
-        return None
-    return out
+        return None, False
+    return bytes(out), False
 
 
-@F.pandas_udf(T.BinaryType())
-def _inflate_udf(body: pd.Series) -> pd.Series:
-    return body.map(_inflate)
+@F.pandas_udf(T.StructType([T.StructField("body", T.BinaryType()), T.StructField("oversized", T.BooleanType())]))
+def _inflate_udf(body: pd.Series, limit: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([_inflate(b, int(most)) for b, most in zip(body, limit, strict=True)], columns=["body", "oversized"])
 
 
-def decode_body(body) -> Column:
-    """A4: bytes -> text. Text bodies are UTF-8 with replacement characters;
-    binary ones are inflated if they are gzip, and read as UTF-8 if valid, else as
-    Latin-1. A gzip body that cannot be inflated counts as text."""
+def _inflated(body: Column, max_bytes: int) -> Column:
     from ..session import ensure_shipped
     ensure_shipped()
+    return _inflate_udf(F.when(_is_gzip(body), body), F.lit(max_bytes))
+
+
+def decode_body(body, max_bytes: int = GUNZIP_MAX_BYTES) -> Column:
+    """A4: bytes -> text. Text bodies are UTF-8 with replacement characters;
+    binary ones are inflated if they are gzip, and read as UTF-8 if valid, else as
+    Latin-1. A broken gzip body counts as text; one that inflates to over
+    ``max_bytes`` has no text (NULL, see :func:`is_oversized`)."""
     b = col(body)
 
     def utf8_or_latin1(x: Column) -> Column:
         return F.when(F.is_valid_utf8(x.cast("string")), x.cast("string")).otherwise(F.decode(x, "ISO-8859-1"))
 
-    inflated = _inflate_udf(F.when(_is_gzip(b), b))
-    return (F.when(_is_gzip(b) & inflated.isNotNull(), utf8_or_latin1(inflated))
+    inflated = _inflated(b, max_bytes)
+    return (F.when(inflated["oversized"], F.lit(None).cast("string"))
+            .when(_is_gzip(b) & inflated["body"].isNotNull(), utf8_or_latin1(inflated["body"]))
             .when(is_binary(b) & ~_is_gzip(b), utf8_or_latin1(b))
             .otherwise(F.make_valid_utf8(b.cast("string"))))
 
 
+def is_oversized(body, max_bytes: int = GUNZIP_MAX_BYTES) -> Column:
+    """Whether a gzip body inflates to over ``max_bytes``."""
+    return F.coalesce(_inflated(col(body), max_bytes)["oversized"], F.lit(False))
+
+
 def write_results(df: DataFrame, path: str, partition_by: str | None = "host_bucket",
                   buckets: int = 64, fmt: str = "parquet") -> None:
     """A5: one flat record per page. With ``partition_by='host_bucket'`` the

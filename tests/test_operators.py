@@ -184,12 +184,25 @@ def test_decode_body_and_magic(spark):
     assert got[4].g == "pdf" and got[5].g == "rtf" and got[6].g is None and got[2].g == "txt"
 
 
+def test_gzip_bodies_over_the_limit_are_null_and_flagged(spark, monkeypatch):
+    limit = 1000
+    bodies = [gzip.compress(b"a" * limit), gzip.compress(b"a" * (limit + 1)), gzip.compress(b"b" * 600) + gzip.compress(b"b" * 600),
+              gzip.compress(b"c" * 50)[:-9], b"plain", None, b""]
+    assert [B._inflate(b, limit)[1] for b in bodies[:4]] == [False, True, True, False]
+    df = spark.createDataFrame(list(enumerate(bodies)), "id long, body binary")
+    got = {r.id: r for r in df.select("id", B.decode_body("body", limit).alias("t"), B.is_oversized("body", limit).alias("over")).collect()}
+    assert got[0].t == "a" * limit and not got[0].over
+    assert got[1].t is None and got[1].over and got[2].t is None and got[2].over
+    assert got[3].t is not None and not got[3].over      # broken: read as text, as any other body
+    assert got[4].t == "plain" and got[5].t is None and got[6].t == "" and not (got[4].over or got[5].over or got[6].over)
+
+
 def test_native_queries_have_no_python_eval(spark):
     import __spark_entry__ as E
-    for name in ["quality", "rate_window", "body_text", "duplicates"]:
+    for name in ["quality", "rate_window", "state_text", "duplicates"]:
         plan = E.queries()[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
         assert "EvalPython" not in plan and "PythonUDF" not in plan, name
-    for name in ["links", "error_page", "cascade_500", "spa_score"]:  # one tokenising pass, rules are native
+    for name in ["links", "error_page", "cascade_500", "spa_score", "body_text", "svg_text", "mined_text"]:  # one tokenising pass, rules are native
         plan = E.queries()[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
         assert len(re.findall(r"ArrowEvalPython ", plan)) == len(re.findall("FileScan", plan)), (name, plan)
 
