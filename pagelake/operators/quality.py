@@ -3,12 +3,14 @@
 Single-word keywords are matched on word tokens (Python's Unicode ``\\b``
 equals ``[\\p{L}\\p{N}_]+`` tokenisation), phrases by non-overlapping
 substring counts. For a fixed lexicon the test is an ``IN`` list inside a
-lambda, so no join is needed; :func:`keyword_hits_joined` is the broadcast
-join form for user-supplied lexicons.
+lambda, so no join is needed; :func:`keyword_hits_joined` is the join form for
+user-supplied lexicons of any size.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -94,29 +96,53 @@ def lexicon_frame(spark, lexicons=None) -> DataFrame:
     return spark.createDataFrame(rows, "category string, keyword string, is_phrase boolean")
 
 
-#: A user's lexicon is broadcast and its phrases become columns, so its size is bounded.
-LEXICON_MAX = 10_000
+#: White space, as a character class's inside.
+SPACES = r"\s\x0b\x1c-\x1f\x85\p{Z}"
 
 
 def keyword_hits_joined(docs: DataFrame, lexicon: DataFrame, key: str = "doc_id",
                         text: str = "text") -> DataFrame:
-    """J2/G3 join form: tokens exploded and joined with the single-word part
-    of ``lexicon(category, keyword, is_phrase)``, at most ``LEXICON_MAX`` rows,
-    phrases counted in-row by substring; summed per (key, category). Gives
-    the same counts as :func:`keyword_count`. Tokens outside the lexicon are
-    filtered out in the row, before they are exploded."""
-    rows = lexicon.select("category", "keyword", "is_phrase").limit(LEXICON_MAX + 1).collect()
-    if len(rows) > LEXICON_MAX:
-        raise ValueError(f"a lexicon has at most {LEXICON_MAX} keywords")
-    known = sorted({r["keyword"] for r in rows if not r["is_phrase"]})
-    phrases = [(r["category"], r["keyword"]) for r in rows if r["is_phrase"]]
-    low = docs.select(key, F.lower(strip(F.coalesce(F.col(text), F.lit("")))).alias("t"))
-    words = F.broadcast(lexicon.where(~F.col("is_phrase")).select("category", "keyword"))
-    hits = F.filter(tokens("t"), lambda x: x.isin(known)) if known else F.array().cast("array<string>")
-    tok = low.select(key, F.explode_outer(hits).alias("keyword")).where(F.col("keyword").isNotNull())
-    w = tok.join(words, "keyword").groupBy(key, "category").agg(F.count("*").alias("hits"))
-    if phrases:
-        counts = F.array(*[F.struct(F.lit(cat).alias("category"), count_substr("t", k).alias("hits")) for cat, k in phrases])
-        p = low.select(key, F.explode(counts).alias("x")).select(key, "x.category", "x.hits").where("hits > 0")
-        w = w.unionByName(p)
-    return w.groupBy(key, "category").agg(F.sum("hits").cast("bigint").alias("hits"))
+    """J2/G3 join form: hits per (key, category) of ``lexicon(category, keyword)``,
+    which may have any size. The same counts as :func:`keyword_count`: words are
+    whole tokens, phrases (keywords that hold white space) are substrings counted
+    without overlap. Keywords are trimmed; empty, NULL and repeated ones count
+    once or not at all; a text without hits has no row.
+
+    Nothing of the lexicon is collected but the distinct lengths of the phrases'
+    first words and the longest phrase. Words are an equi-join on tokens. A phrase
+    can only start where as many characters as its first word has stand before
+    white space, so for each such length these places of a text are cut out, as
+    long as the longest phrase, and joined on first word, white space and the
+    character after it; the cut then has to start with the phrase. Spark
+    broadcasts a lexicon that is small by its size, and shuffles otherwise (AQE
+    splits frequent words). Only phrases that can overlap themselves and have
+    two hits in a text are counted again in that text."""
+    from ..session import materialise
+    lex = (lexicon.select("category", strip("keyword").alias("keyword")).where(F.col("keyword") != "").distinct()
+           .withColumn("_first", F.length(F.regexp_extract("keyword", f"^([^{SPACES}]+)[{SPACES}]", 1))))
+    low = docs.select(key, F.lower(strip(F.coalesce(F.col(text), F.lit("")))).alias("_t"))
+    words = (low.select(key, F.explode(tokens("_t")).alias("keyword"))
+             .join(lex.where("_first = 0").select("category", "keyword"), "keyword")
+             .groupBy(key, "category").agg(F.count("*").alias("hits")))
+    phrases = lex.where("_first > 0")
+    shape = phrases.agg(F.array_sort(F.collect_set("_first")).alias("firsts"), F.max(F.length("keyword")).alias("longest")).first()
+    found = [words]
+    if shape["firsts"]:
+        most, longest = shape["firsts"][-1], shape["longest"]
+        # one cut per word that white space follows: its end, as long as any first word, and what comes after it
+        ends = F.regexp_extract_all("_t", F.lit(rf"(?s)(?<![^{SPACES}])[^{SPACES}]*?(?=([^{SPACES}]{{1,{most}}}[{SPACES}].{{0,{longest}}}))[^{SPACES}]+"), 1)
+        firsts = F.array(*map(F.lit, shape["firsts"]))
+        words_ends = low.select(key, F.explode(ends).alias("c")).withColumn("at", F.length(F.regexp_extract("c", f"^[^{SPACES}]+", 0)))
+        places = (words_ends.select(key, "c", "at", F.explode(F.filter(firsts, lambda n: n <= F.col("at"))).alias("n"))
+                  .select(key, F.substring("c", F.col("at") - F.col("n") + 1, F.col("n") + 2).alias("start"),
+                          F.substring("c", F.col("at") - F.col("n") + 1, F.lit(longest)).alias("cut")))
+        starts = phrases.withColumn("start", F.substring("keyword", F.lit(1), F.col("_first") + 2))
+        # read twice; as a table its size is known, so its few self-overlapping phrases are no reason to shuffle texts
+        once = materialise(places.join(starts, "start").where(F.startswith("cut", "keyword"))
+                           .groupBy(key, "category", "keyword").agg(F.count("*").alias("hits")), "phrase_hits")
+        k = F.col("keyword")
+        overlaps = (F.col("hits") > 1) & F.exists(F.sequence(F.lit(1), F.length(k) - 1), lambda i: F.left(k, i) == F.right(k, i))
+        again = (once.where(overlaps).join(low, key)
+                 .select(key, "category", ((F.length("_t") - F.length(F.replace("_t", k, F.lit("")))) / F.length(k)).cast("bigint").alias("hits")))
+        found += [once.where(~overlaps).select(key, "category", "hits"), again]
+    return reduce(DataFrame.unionByName, found).groupBy(key, "category").agg(F.sum("hits").cast("bigint").alias("hits"))

@@ -54,8 +54,8 @@ k AS (SELECT doc_id, {D.keyword_count('t', L.ERROR_PAGE)} AS error_page,
 SELECT doc_id, category, hits FROM k
 UNPIVOT (hits FOR category IN (error_page, educational_content, educational_metadata)) WHERE hits > 0""")
 def q_keyword_hits(spark, sf):
-    """Keyword hits per (document, category) by a broadcast join of
-    tokens with the lexicon table."""
+    """Keyword hits per (document, category) by a join of tokens and of
+    phrase starts with the lexicon table."""
     docs = seeded(spark, sf, "seeded_documents")
     return Q.keyword_hits_joined(docs, Q.lexicon_frame(spark), "doc_id", "text")
 

@@ -1,9 +1,16 @@
-"""Catalog entries for the streaming jobs (S1-S3). Each runs the stream
+"""Catalog entries for the streaming jobs (S1-S3, X1, J2). Each runs the stream
 over all available input with an ``availableNow`` trigger into a parquet
 sink and returns the sink table."""
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..functions.text import tokens
+from ..session import ensure_checkpoint_dir
+from ..sources.tables import read_table
 from ..streaming import jobs as S
 from . import duck as D
 from .catalog import register
@@ -51,3 +58,34 @@ def q_stream_quiet_sessions(spark, sf):
     """S3: quiet periods per user as 2-hour-gap sessions (watermark 1 hour)."""
     ev = S.stream_table(spark, sf, "events", S.EVENTS_SCHEMA).select("user_id", "ts")
     return S.run_once(S.quiet_sessions(ev, "user_id", "ts", "2 hours", "1 hour"), "quiet")
+
+
+# All documents are within 1,000 days of arrival time of each other, so one row stays per content.
+@register("stream_duplicates", f"""
+SELECT DISTINCT sha256(lower(regexp_replace(coalesce(text, ''), {D.lit(r'\s+')}, ' ', 'g'))) AS content_hash FROM documents""")
+def q_stream_duplicates(spark, sf):
+    """Contents of a stream of documents, each once (arrival time: one second per doc_id)."""
+    docs = S.stream_table(spark, sf, "documents", S.DOCUMENTS_SCHEMA).withColumn("ts", F.timestamp_seconds("doc_id"))
+    return S.run_once(S.first_copies(docs, within="1000 days"), "copies").select("content_hash")
+
+
+# The lexicon: the first word and the first two words of every benchmark item, in three categories.
+@register("stream_keyword_hits", f"""
+WITH w AS (SELECT item_id, regexp_extract_all(lower(text), {D.lit(r"[\p{L}\p{N}_]+")}) AS ws FROM benchmark),
+lex AS (SELECT DISTINCT concat('c', CAST(item_id % 3 AS VARCHAR)) AS category, unnest([ws[1], concat(ws[1], ' ', ws[2])]) AS keyword FROM w WHERE len(ws) > 1),
+low AS (SELECT doc_id, lower({D.strip("coalesce(text, '')")}) AS t FROM documents),
+tok AS (SELECT doc_id, unnest(regexp_extract_all(t, {D.lit(r"[\p{L}\p{N}_]+")})) AS keyword FROM low),
+h AS (SELECT doc_id, category, count(*) AS hits FROM tok JOIN lex USING (keyword) GROUP BY doc_id, category
+      UNION ALL
+      SELECT doc_id, category, CAST(sum((length(t) - length(replace(t, keyword, ''))) // length(keyword)) AS BIGINT)
+      FROM low JOIN lex ON contains(keyword, ' ') AND contains(t, keyword) GROUP BY doc_id, category)
+SELECT doc_id AS id, category, CAST(sum(hits) AS BIGINT) AS hits, CAST(1 AS BIGINT) AS version FROM h GROUP BY doc_id, category""")
+def q_stream_keyword_hits(spark, sf):
+    """Arriving documents joined with the newest version of a lexicon table
+    (published here: first word and first two words of every benchmark item)."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/lexicons/{uuid.uuid4().hex[:8]}"
+    ws = tokens(F.lower("text"))
+    words = read_table(spark, sf, "benchmark").select(F.concat(F.lit("c"), (F.col("item_id") % 3).cast("string")).alias("category"), ws.alias("ws")).where(F.size("ws") > 1)
+    S.publish_lexicon(words.select("category", F.explode(F.array(F.col("ws")[0], F.concat_ws(" ", F.col("ws")[0], F.col("ws")[1]))).alias("keyword")), path, 1)
+    docs = S.stream_table(spark, sf, "documents", S.DOCUMENTS_SCHEMA)
+    return S.keyword_hits_stream(docs.select(F.col("doc_id").alias("id"), "text"), path)

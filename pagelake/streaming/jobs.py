@@ -1,10 +1,13 @@
-"""Structured Streaming forms of the continuous behaviours.
+"""Structured Streaming forms of the continuous behaviours.
 
 * S1 page arrivals -> extraction rows: stateless projections, append mode.
 * S2 admission per host: ``applyInPandasWithState`` holding, per host, only
   the admitted items still inside the longest rate interval.
 * S3 quiet periods: ``session_window`` with a watermark; a session's end is
   the moment the page went quiet.
+* X1 repeated documents: ``dropDuplicatesWithinWatermark`` on the content hash.
+* J2 page arrivals joined with a lexicon that changes while the stream runs:
+  every micro-batch reads the lexicon's newest version.
 
 Sinks are parquet tables with a checkpoint under ``spark.checkpoint.dir``
 (exactly-once file sink), so a restarted query resumes where it stopped.
@@ -29,6 +32,7 @@ from ..session import ensure_checkpoint_dir
 
 PAGES_SCHEMA = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()),
                              T.StructField("html", T.StringType())])
+DOCUMENTS_SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])
 EVENTS_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
     T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()),
@@ -132,6 +136,59 @@ def quiet_sessions(mutations: DataFrame, key: str, ts: str, gap: str, watermark:
                     F.unix_micros(F.col("s.end")).alias("quiet_at_us"), "mutations")
 
 
+# ---- X1 ----
+def first_copies(docs: DataFrame, ts: str = "ts", within: str = "1 day", key: str = "doc_id", text: str = "text") -> DataFrame:
+    """X1 over a stream: one row ``(content_hash, key, ts)`` for the first arriving document of
+    each content; copies that come within ``within`` of it in event time are
+    dropped, in whatever micro-batch. State is one hash per content and leaves
+    once the watermark has passed that time, so it is bounded by the arrivals of
+    the period. Rows later than the watermark, or without a time, are dropped. Which of
+    several copies in one micro-batch stands for them is not defined."""
+    from ..operators.corpus import content_hash
+    from ..operators.timeline import as_instant
+    t = docs.select(content_hash(text).alias("content_hash"), key, as_instant(ts, docs).alias(ts))
+    return t.where(F.col(ts).isNotNull()).withWatermark(ts, within).dropDuplicatesWithinWatermark(["content_hash"])
+
+
+# ---- J2 ----
+LEXICON_SCHEMA = "category string, keyword string, version long"
+
+
+def publish_lexicon(lexicon: DataFrame, path: str, version: int) -> None:
+    """Write ``lexicon(category, keyword)`` as a version of its own; a stream takes the newest at its next micro-batch."""
+    lexicon.select("category", "keyword").write.mode("overwrite").parquet(f"{path.rstrip('/')}/version={version}")
+
+
+def newest_lexicon(spark: SparkSession, path: str) -> tuple[int | None, DataFrame]:
+    """The newest version's number and rows (None and no rows if there is none)."""
+    every = spark.read.schema(LEXICON_SCHEMA).option("basePath", path).parquet(path)
+    version = every.agg(F.max("version")).first()[0]   # of the folders' names and footers
+    return version, every.where(F.col("version") == F.lit(version)).drop("version")
+
+
+def keyword_hits_stream(texts: DataFrame, lexicon_path: str, base: str | None = None) -> DataFrame:
+    """J2 over a stream of ``(id, text)``: hits per (id, category), with the version of
+    the lexicon that the text's micro-batch was joined with.
+
+    A plain static table is listed once, when a stream's plan is made; here
+    each micro-batch reads the newest version. A batch is written to a folder
+    of its own number, replacing what a failed attempt left there, so a
+    restart on the same ``base`` repeats nothing and loses nothing."""
+    spark = texts.sparkSession
+    base = base or f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/keywords-{uuid.uuid4().hex[:8]}"
+
+    def join(batch: DataFrame, batch_id: int) -> None:
+        version, lexicon = newest_lexicon(batch.sparkSession, lexicon_path)
+        hits = Q.keyword_hits_joined(batch, lexicon, "id", "text")
+        hits.withColumn("version", F.lit(version).cast("bigint")).write.mode("overwrite").parquet(f"{base}/data/batch={batch_id}")
+
+    q = (texts.writeStream.foreachBatch(join).option("checkpointLocation", f"{base}/_checkpoint")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return (spark.read.schema("id long, category string, hits long, version long, batch long")
+            .option("basePath", f"{base}/data").parquet(f"{base}/data").drop("batch"))
+
+
 def fetch_log_cols():
     """The ``fetch_log`` projection of the seeded views, for a stream of events."""
     return ["event_id", "ts",
