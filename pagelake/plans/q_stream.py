@@ -64,8 +64,8 @@ def q_stream_quiet_sessions(spark, sf):
 @register("stream_duplicates", f"""
 SELECT DISTINCT sha256(lower(regexp_replace(coalesce(text, ''), {D.lit(r'\s+')}, ' ', 'g'))) AS content_hash FROM documents""")
 def q_stream_duplicates(spark, sf):
-    """Contents of a stream of documents, each once (arrival time: one second per doc_id)."""
-    docs = S.stream_table(spark, sf, "documents", S.DOCUMENTS_SCHEMA).withColumn("ts", F.timestamp_seconds("doc_id"))
+    """Contents of a stream of documents, each once (arrival time: one second per doc_id from 2024 on)."""
+    docs = S.stream_table(spark, sf, "documents", S.DOCUMENTS_SCHEMA).withColumn("ts", F.timestamp_seconds(F.col("doc_id") + 1_704_067_200))
     return S.run_once(S.first_copies(docs, within="1000 days"), "copies").select("content_hash")
 
 

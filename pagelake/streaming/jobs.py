@@ -142,8 +142,8 @@ def first_copies(docs: DataFrame, ts: str = "ts", within: str = "1 day", key: st
     each content; copies that come within ``within`` of it in event time are
     dropped, in whatever micro-batch. State is one hash per content and leaves
     once the watermark has passed that time, so it is bounded by the arrivals of
-    the period. Rows later than the watermark, or without a time, are dropped. Which of
-    several copies in one micro-batch stands for them is not defined."""
+    the period. Rows later than the watermark (a stream's first one is 1970), or without a
+    time, are dropped. Which of several copies in one micro-batch stands for them is not defined."""
     from ..operators.corpus import content_hash
     from ..operators.timeline import as_instant
     t = docs.select(content_hash(text).alias("content_hash"), key, as_instant(ts, docs).alias(ts))
