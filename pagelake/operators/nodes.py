@@ -22,10 +22,12 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,8 +36,8 @@ from . import marks
 
 NODE_TYPE = ("array<struct<pos:int,last:int,parent:int,ptag:string,tag:string,id:string,"
              "classes:array<string>,attrs:map<string,string>,text:string,chars:int,inside:int,outer:int>>")
-#: Characters of HTML whose nodes one task holds as Python objects at a time (one longer page stands alone).
-PARSE_CHARS = 4 << 20
+#: Characters of HTML whose nodes one task holds at a time, as Python objects and in Arrow form (one longer page stands alone).
+PARSE_CHARS = 1 << 19
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style".split())
@@ -117,22 +119,32 @@ def _list_array(sizes, values):
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), values)
 
 
+def _parts(pages: pa.Array) -> Iterator[pa.Array]:
+    """Nodes of a batch of pages, some at a time."""
+    start, size = 0, 0
+    for i, chars in enumerate(pc.utf8_length(pages)):
+        n = chars.as_py() or 0
+        if i > start and size + n > PARSE_CHARS:
+            yield _nodes_of(pages[start:i])
+            start, size = i, 0
+        size += n
+    yield _nodes_of(pages[start:])
+
+
 def _arrow_nodes(pages: pa.Array) -> pa.Array:
-    """Nodes of a batch of pages, some at a time: only their Arrow form is held for the whole batch."""
-    done, some, size = [], [], 0
-    for i in range(len(pages)):
-        page = pages[i].as_py() or ""
-        if some and size + len(page) > PARSE_CHARS:
-            done.append(_nodes_of(some))
-            some, size = [], 0
-        some.append(page)
-        size += len(page)
-    done.append(_nodes_of(some))
-    return pa.concat_arrays(done)
-
-
-def _nodes_of(pages: list[str]) -> pa.Array:
-    found = [parse(p) for p in pages]
+    """Nodes of a batch of pages."""
+    return pa.concat_arrays(_parts(pages))
+
+
+def _streamed_nodes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Each part leaves for Spark before the next one is parsed, so that a worker
+    never holds the nodes of a whole batch of pages, in whatever form."""
+    for pages in batches:
+        yield from _parts(pages)
+
+
+def _nodes_of(pages: pa.Array) -> pa.Array:
+    found = [parse(p.as_py() or "") for p in pages]
     chars = [marks.lengths(page) for page in found]
     marked = [marks.mark(page, sizes) for page, sizes in zip(found, chars, strict=True)]
     rows = [(i, n, page) for page in found for i, n in enumerate(page)]
@@ -161,7 +173,7 @@ def nodes(html) -> Column:
     from ..session import ensure_shipped
     ensure_shipped()
     if _NODES_UDF is None:
-        _NODES_UDF = F.arrow_udf(_arrow_nodes, NODE_TYPE)
+        _NODES_UDF = F.arrow_udf(_streamed_nodes, NODE_TYPE)
     return _NODES_UDF(col(html))
 
 

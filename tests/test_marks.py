@@ -102,6 +102,38 @@ def test_batches_are_cut_by_size(monkeypatch):
     assert len(N._arrow_nodes(pages.slice(0, 0))) == 0
 
 
+def test_nodes_leave_a_worker_in_parts(monkeypatch):
+    import pyarrow as pa
+    monkeypatch.setattr(N, "PARSE_CHARS", 1000)
+    pages = pa.array(["<p>some words</p>" * 10] * 100 + [None, "<p>" + "x" * 5000])
+    seen = []
+
+    def batches():
+        for _ in range(2):
+            seen.append("in")
+            yield pages
+
+    parts = []
+    for part in N._streamed_nodes(batches()):
+        seen.append("out")
+        parts.append(part)
+    assert max(part.nbytes for part in parts) < N._arrow_nodes(pages).nbytes / 10
+    assert seen[:3] == ["in", "out", "out"] and seen.count("in") == 2   # parts leave before the next batch is read
+    assert pa.concat_arrays(parts).equals(pa.concat_arrays([N._arrow_nodes(pages)] * 2))
+
+
+def test_nodes_of_many_batches_stay_with_their_pages(spark, monkeypatch):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = spark.range(0, 500, 1, 3).selectExpr("id", "CASE WHEN id % 5 > 0 THEN concat('<p id=\"', id, '\">', repeat('<b>w</b>', CAST(id * 7 AS INT)), '</p>') END AS html")
+        rows = df.select("id", N.nodes("html").alias("n")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(rows) == 500
+    for r in rows:
+        assert (len(r.n), [x.id for x in r.n[:1]]) == ((1 + 14 * r.id, [str(r.id)]) if r.id % 5 else (0, []))
+
+
 def test_long_pages_take_linear_time(spark):
     def page(blocks):
         unit = '<div class="menu"><p>menu</p></div><div><p>some words of a paragraph that is long enough to be kept here</p></div>loose '
