@@ -113,13 +113,15 @@ def keyword_hits_joined(docs: DataFrame, lexicon: DataFrame, key: str = "doc_id"
     can only start where as many characters as its first word has stand before
     white space, so for each such length these places of a text are cut out, as
     long as the longest phrase, and joined on first word, white space and the
-    character after it; the cut then has to start with the phrase. Spark
-    broadcasts a lexicon that is small by its size, and shuffles otherwise (AQE
-    splits frequent words). Only phrases that can overlap themselves and have
-    two hits in a text are counted again in that text."""
+    character after it; the cut then has to start with the phrase. Before that, the
+    three characters around a word's end have to be those of some phrase, which
+    most words' are not. The lexicon is written first, as Spark knows the size of a
+    table: it broadcasts one that is small, so that no text or word is shuffled,
+    and shuffles otherwise (AQE splits frequent words). Only phrases that can
+    overlap themselves and have two hits in a text are counted again in that text."""
     from ..session import materialise
-    lex = (lexicon.select("category", strip("keyword").alias("keyword")).where(F.col("keyword") != "").distinct()
-           .withColumn("_first", F.length(F.regexp_extract("keyword", f"^([^{SPACES}]+)[{SPACES}]", 1))))
+    lex = materialise(lexicon.select("category", strip("keyword").alias("keyword")).where(F.col("keyword") != "").distinct()
+                      .withColumn("_first", F.length(F.regexp_extract("keyword", f"^([^{SPACES}]+)[{SPACES}]", 1))), "lexicon")
     low = docs.select(key, F.lower(strip(F.coalesce(F.col(text), F.lit("")))).alias("_t"))
     words = (low.select(key, F.explode(tokens("_t")).alias("keyword"))
              .join(lex.where("_first = 0").select("category", "keyword"), "keyword")
@@ -132,17 +134,19 @@ def keyword_hits_joined(docs: DataFrame, lexicon: DataFrame, key: str = "doc_id"
         # one cut per word that white space follows: its end, as long as any first word, and what comes after it
         ends = F.regexp_extract_all("_t", F.lit(rf"(?s)(?<![^{SPACES}])[^{SPACES}]*?(?=([^{SPACES}]{{1,{most}}}[{SPACES}].{{0,{longest}}}))[^{SPACES}]+"), 1)
         firsts = F.array(*map(F.lit, shape["firsts"]))
-        words_ends = low.select(key, F.explode(ends).alias("c")).withColumn("at", F.length(F.regexp_extract("c", f"^[^{SPACES}]+", 0)))
+        around = phrases.select(F.substring("keyword", F.col("_first"), F.lit(3)).alias("around")).distinct()
+        words_ends = (low.select(key, F.explode(ends).alias("c")).withColumn("around", F.regexp_extract("c", f"(?s)[^{SPACES}][{SPACES}].", 0))
+                      .join(around, "around", "left_semi").withColumn("at", F.length(F.regexp_extract("c", f"^[^{SPACES}]+", 0))))
         places = (words_ends.select(key, "c", "at", F.explode(F.filter(firsts, lambda n: n <= F.col("at"))).alias("n"))
                   .select(key, F.substring("c", F.col("at") - F.col("n") + 1, F.col("n") + 2).alias("start"),
                           F.substring("c", F.col("at") - F.col("n") + 1, F.lit(longest)).alias("cut")))
         starts = phrases.withColumn("start", F.substring("keyword", F.lit(1), F.col("_first") + 2))
-        # read twice; as a table its size is known, so its few self-overlapping phrases are no reason to shuffle texts
+        # read twice, and its few self-overlapping phrases are a table of their own, whose size is known: no reason to shuffle texts
         once = materialise(places.join(starts, "start").where(F.startswith("cut", "keyword"))
                            .groupBy(key, "category", "keyword").agg(F.count("*").alias("hits")), "phrase_hits")
         k = F.col("keyword")
         overlaps = (F.col("hits") > 1) & F.exists(F.sequence(F.lit(1), F.length(k) - 1), lambda i: F.left(k, i) == F.right(k, i))
-        again = (once.where(overlaps).join(low, key)
+        again = (materialise(once.where(overlaps), "overlapping_hits").join(low, key)
                  .select(key, "category", ((F.length("_t") - F.length(F.replace("_t", k, F.lit("")))) / F.length(k)).cast("bigint").alias("hits")))
         found += [once.where(~overlaps).select(key, "category", "hits"), again]
     return reduce(DataFrame.unionByName, found).groupBy(key, "category").agg(F.sum("hits").cast("bigint").alias("hits"))

@@ -57,3 +57,11 @@ def test_two_hundred_thousand_phrases(spark):
         if c:
             expected[f"c{i % 3}"] = expected.get(f"c{i % 3}", 0) + c
     assert got == set(expected.items())
+
+
+def test_a_small_lexicon_shuffles_no_words(spark):
+    docs = spark.createDataFrame([(i, "page not found, try again " * 3) for i in range(50)], "doc_id long, text string")
+    hits = Q.keyword_hits_joined(docs, Q.lexicon_frame(spark))
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    assert hits.count() == 50
