@@ -3,10 +3,9 @@
 A multinomial naive Bayes over word tokens, trained on a labelled text
 table with Spark jobs: counts per (lang, word) by ``groupBy``, log
 probabilities as integer milli-nats (exact, engine-independent sums),
-scoring by a join of per-document word counts with the model and a
-``groupBy(doc, lang)`` sum. The model grows with the vocabulary; Spark decides
-from its written size whether to broadcast it or to shuffle the pre-aggregated
-word counts.
+scoring by a join of the documents' words with the model and a
+``groupBy(doc, lang)`` sum. The model grows with the vocabulary; a bounded part of
+it, its common words, is broadcast, and only the other words are shuffled.
 """
 
 from __future__ import annotations
@@ -17,14 +16,8 @@ from pyspark.sql import functions as F
 from ..functions.text import strip, tokens
 
 UNKNOWN = "unknown"
-
-
-def _words(df: DataFrame, key: str, text: str, prefix: int | None) -> DataFrame:
-    t = F.lower(strip(F.coalesce(F.col(text), F.lit(""))))
-    if prefix:
-        t = F.left(t, F.lit(prefix))
-    return (df.select(key, F.explode_outer(tokens(t)).alias("word")).where(F.col("word").isNotNull())
-            .groupBy(key, "word").agg(F.count("*").alias("n")))
+#: Most words of a model that are broadcast, whatever its size.
+COMMON_WORDS = 500_000
 
 
 def train(labelled: DataFrame, text: str = "text", label: str = "lang") -> DataFrame:
@@ -60,24 +53,31 @@ def detect(docs: DataFrame, model: DataFrame, key: str = "doc_id", text: str = "
     the document; ties go to the smaller language code. Documents without a
     known word are ``unknown`` with confidence 0.
 
-    Three shuffles: (doc, word) counts with the document's token total
-    carried along, (doc, lang) sums after the model join, and one row per
-    document whose per-language array (bounded by the label set) yields
-    the arg-max and the softmax in-row.
+    Common words -- each with at least one in ``COMMON_WORDS`` of the model's
+    occurrences, so there are at most that many -- are broadcast with their model rows, and
+    their sums leave a task as one row per document and language. Only the
+    other words' occurrences are shuffled to the model, and none of these words
+    is frequent enough to be skewed. One more shuffle adds up the (doc, lang) sums; the
+    per-language array (bounded by the label set) yields the arg-max and the
+    softmax in the document's row.
     """
     t = F.lower(strip(F.coalesce(F.col(text), F.lit(""))))
     if prefix:
         t = F.left(t, F.lit(prefix))
     toks = docs.select(key, tokens(t).alias("_toks"))
     words = (toks.select(key, F.size("_toks").alias("ntok"), F.explode_outer("_toks").alias("word"))
-             .where(F.col("word").isNotNull())
-             .groupBy(key, "word", "ntok").agg(F.count("*").alias("n")))
-    # Read back from the shared folder, the model has a size that Spark knows:
-    # it is broadcast if it is below the session's threshold.
+             .where(F.col("word").isNotNull()))
+    # The model and the list of common words are tables in the shared folder: read several times, computed once.
     from ..session import materialise
     m = materialise(model, "lang_model")
-    s = (words.join(m, "word").groupBy(key, "lang")
-         .agg((F.sum(F.col("n") * (F.col("logp") - F.col("unseen")))
+    seen = F.sum(F.exp((F.col("logp") - F.col("unseen")) / 1000.0))   # occurrences, smoothed
+    common = materialise(m.groupBy("word").agg(seen.alias("seen"))
+                         .where(F.col("seen") * COMMON_WORDS >= m.select(seen).scalar()).select("word"), "lang_common")
+    by_common = words.join(F.broadcast(m.join(F.broadcast(common), "word")), "word")
+    by_rest = (words.join(F.broadcast(common), "word", "left_anti")
+               .join(m.join(F.broadcast(common), "word", "left_anti"), "word"))
+    s = (by_common.unionByName(by_rest).groupBy(key, "lang")
+         .agg((F.sum(F.col("logp") - F.col("unseen"))
                # constant within the group (per document / per language): max, not first
                + F.max("ntok") * F.max("unseen") + F.max("prior")).alias("score")))
     per = s.groupBy(key).agg(F.collect_list(F.struct((-F.col("score")).alias("neg"), "lang", "score")).alias("_c"))
