@@ -21,6 +21,15 @@ _FULL = np.uint64((1 << 60) - 1)
 _MOST = (np.uint64(1) << BITS) - np.uint64(1)
 _MOST[-1] = _FULL - np.uint64(1)
 _ESCAPE = np.uint64(15 << 60) | _FULL
+#: The least selector for a value below 2 ** 16.
+_NEED = np.searchsorted(_MOST[1:], np.arange(1 << 16, dtype=np.uint64), side="left").astype(np.uint8) + np.uint8(1)
+
+
+def _need(values: np.ndarray) -> np.ndarray:
+    """The least selector that holds each value; 16: escape."""
+    if values.max() < len(_NEED):
+        return _NEED[values.astype(np.int64)]
+    return np.searchsorted(_MOST[1:], values, side="left").astype(np.uint8) + np.uint8(1)
 
 
 def pack(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
@@ -34,17 +43,18 @@ def pack(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray
     flat = np.zeros(blocks * block, np.uint64)
     flat[:n] = values
     grid[:, :block] = flat.reshape(blocks, block)
-    need = np.searchsorted(_MOST[1:], grid, side="left").astype(np.uint8) + 1  # 16: escape
+    need = np.ones((blocks, block + room), np.uint8)
+    need[:, :block] = _need(flat).reshape(blocks, block)
     choice = np.full((blocks, block), 15, np.uint8)
-    over = np.zeros((blocks, block + room + 1), np.int16)
+    most, width = need, 1  # the largest need of so many values from each place on
     for s in range(14, -1, -1):  # the smallest selector that fits wins, so it comes last
-        c = int(COUNT[s])
-        small = need[:, :block] <= max(s, 1)
-        if s < 14 and small.sum(axis=1, dtype=np.int16).max() < min(c, block):
-            continue  # no block has so many small values
-        np.cumsum(need > max(s, 1), axis=1, out=over[:, 1:], dtype=np.int16)
-        fits = over[:, c:c + block] == over[:, :block]
-        choice[fits] = s
+        c = int(COUNT[s])  # at most twice the count before
+        size = block + room - c + 1
+        most, width = np.maximum(most[:, :size], most[:, c - width:c - width + size]), c
+        fits = most[:, :block] <= max(s, 1)
+        if not fits.any():
+            break  # the next selectors hold more and smaller values
+        np.putmask(choice, fits, s)
     lengths = np.full(blocks, block, np.int64)
     lengths[-1] = n - (blocks - 1) * block
     pos, lane = np.zeros(blocks, np.int64), np.arange(blocks)

@@ -39,8 +39,8 @@ from .common import map_arrow, texts
 from .simple8b import BLOCK, pack, unpack
 
 BLOB_IDS = 1 << 19
-#: Cached cuts and words of one task, each.
-CACHE_ENTRIES = 200_000
+#: Cached cuts of one task, words among them.
+CACHE_ENTRIES = 400_000
 MAGIC = b"TKS8"
 _HEAD = struct.Struct("<4sIQQ")
 
@@ -73,18 +73,30 @@ class CachedTokenizer:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         self.byte_level = {b: 256 + n for n, b in enumerate(hidden)}
+        self.model = self.tokenizer.model
         self.cuts: dict[bytes, bytes] = {}
-        self.words: dict[bytes, bytes] = {}
+        self.punctuation: dict[bytes, bytes] = {b"": b""}
 
-    def _word(self, word: bytes) -> bytes:
+    def _model_ids(self, word: bytes) -> bytes:
         """Ids of a lower-case word or run of punctuation, as UTF-8."""
-        got = self.words.get(word)
+        mapped = word.decode("ascii") if word.isascii() else word.decode("latin-1").translate(self.byte_level)
+        ids = [t.id for t in self.model.tokenize(mapped)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _word(self, word: bytes) -> bytes:
+        """Ids of a lower-case word, which is a cut of its own elsewhere."""
+        got = self.cuts.get(word)
+        if got is None:
+            got = self.cuts[word] = self._model_ids(word)
+        return got
+
+    def _marks(self, marks: bytes) -> bytes:
+        """Ids of a run of punctuation."""
+        got = self.punctuation.get(marks)
         if got is None:
-            if len(self.words) >= CACHE_ENTRIES:
-                self.words.clear()
-            mapped = word.decode("ascii") if word.isascii() else word.decode("latin-1").translate(self.byte_level)
-            ids = [t.id for t in self.tokenizer.model.tokenize(mapped)]
-            got = self.words[word] = struct.pack(f"<{len(ids)}I", *ids)
+            if len(self.punctuation) >= 10_000:
+                self.punctuation = {b"": b""}
+            got = self.punctuation[marks] = self._model_ids(marks)
         return got
 
     def _cut(self, cut: bytes) -> bytes:
@@ -92,18 +104,17 @@ class CachedTokenizer:
             return self._word(cut.lower())
         m = self.ascii.fullmatch(cut)
         if m:
-            return self._word(m[1].lower()) + self._word(m[2])
+            return self._word(m[1].lower()) + self._marks(m[2])
         text = cut.decode("utf-8")
         m = self.latin.fullmatch(text)
         if m:
-            return self._word(m[1].lower().encode("utf-8")) + (self._word(m[2].encode("ascii")) if m[2] else b"")
+            return self._word(m[1].lower().encode("utf-8")) + self._marks(m[2].encode("ascii"))
         found = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(found)}I", *found)
 
     def forget(self) -> None:
         """Empty the caches at a task's end: the worker may go on with others."""
         self.cuts.clear()
-        self.words.clear()
 
     def ids(self, text: str) -> bytes:
         try:
@@ -112,13 +123,18 @@ class CachedTokenizer:
             cuts = (text if "<|" in text else text.lower()).encode("utf-8").split()
         except UnicodeEncodeError:
             cuts = text.encode("utf-8").split()
-        new = set(cuts).difference(self.cuts)
-        if new:
-            if len(self.cuts) + len(new) > CACHE_ENTRIES:
-                self.cuts.clear()
-                new = set(cuts)
-            self.cuts.update(zip(new, map(self._cut, new), strict=True))
-        return b"".join(map(self.cuts.__getitem__, cuts))
+        got = list(map(self.cuts.get, cuts))
+        if None in got:
+            if len(self.cuts) > CACHE_ENTRIES:
+                self.cuts.clear()  # what was found stays in ``got``
+            for i, ids in enumerate(got):
+                if ids is None:
+                    cut = cuts[i]
+                    ids = self.cuts.get(cut)  # met above, in this text
+                    if ids is None:
+                        ids = self.cuts[cut] = self._cut(cut)
+                    got[i] = ids
+        return b"".join(got)
 
 
 @lru_cache(maxsize=2)

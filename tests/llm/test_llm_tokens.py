@@ -94,6 +94,32 @@ def test_cached_tokenizer_equals_the_library():
         assert np.frombuffer(own.ids(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
+def test_tokenizer_is_asked_once_per_word_of_a_task():
+    """Words of one task outnumber 200,000; one before punctuation is the cut without it."""
+    own = token_files.CachedTokenizer(open(P.path("word_bpe_49k.json"), encoding="utf-8").read())
+    word = lambda n: "x" + "".join("abcdefghij"[int(d)] for d in str(n))
+    for start in (0, 110_000):
+        own.ids(" ".join(word(n) for n in range(start, start + 110_000)))
+    assert word(0).encode() in own.cuts and len(own.cuts) == 220_000
+    assert own.ids("Solitary,") == own.cuts[b"solitary"] + own.ids(",")
+
+
+def test_pack_chooses_the_smallest_selector_that_fits():
+    """The words of a plain greedy pass, value by value."""
+    r = np.random.default_rng(4)
+    v = np.concatenate([r.integers(0, 1 << r.integers(1, 61), r.integers(1, 400)) for _ in range(60)]).astype(np.uint64)
+    want, at = [], 0
+    for start in range(0, len(v), 512):
+        block = [int(x) for x in v[start:start + 512]]
+        at = 0
+        while at < len(block):
+            s = next(s for s in range(16) if all(x <= int(simple8b._MOST[s]) for x in block[at:at + int(simple8b.COUNT[s])]))
+            want.append(s)
+            at += int(simple8b.COUNT[s])
+    words, starts = simple8b.pack(v)
+    assert (words >> np.uint64(60)).tolist() == want and (simple8b.unpack(words, starts, len(v)) == v).all()
+
+
 def test_token_files_edge_rows(spark):
     library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
     docs = edge(spark, ["Zebra words here.", "a b c"]).orderBy("text")
