@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import chunks, map_arrow, texts
 
 #: Cached cuts and pieces of one task, each.
-CACHE_ENTRIES = 100_000
+CACHE_ENTRIES = 300_000
 #: Memoised token pairs of one Python worker.
 MEMO_ENTRIES = 150_000
 
@@ -184,8 +184,9 @@ class Bpe:
                 self._encode_new(fresh)
             if len(self.cuts) > CACHE_ENTRIES:
                 self.cuts.clear()
+            pieces = self.pieces
             for c, ps in split.items():
-                new[c] = b"".join([self.pieces[p] for p in ps])
+                new[c] = pieces[ps[0]] if len(ps) == 1 else b"".join([pieces[p] for p in ps])
                 if len(c) < 64:
                     self.cuts[c] = new[c]
             got = [new[c] if g is None else g for c, g in zip(cuts, got, strict=True)]

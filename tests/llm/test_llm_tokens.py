@@ -50,6 +50,16 @@ def test_caches_may_be_cleared(reference, monkeypatch):
         assert np.frombuffer(small.encode_batch([text])[0], "<u4").tolist() == reference.encode_ordinary(text)
 
 
+def test_caches_hold_the_distinct_words_of_a_task(bpe):
+    """A task of 16 MB meets some 300,000 pieces; those met first are not encoded again."""
+    bpe.forget()
+    word = lambda n: "x" + "".join("abcdefghij"[int(d)] for d in str(n))
+    for start in (0, 60_000):
+        bpe.encode_batch([" ".join(word(n) for n in range(start, start + 60_000))])
+    assert word(0) in bpe.pieces and len(bpe.pieces) == 120_000
+    bpe.forget()
+
+
 def test_small_vocabulary_backtracks():
     ranks = {bytes([b]): b for b in range(256)} | {b"ab": 256, b"bc": 257, b"abc": 258, b"cd": 259}
     own = tiktoken.Encoding("own", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})
