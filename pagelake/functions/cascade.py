@@ -1,9 +1,9 @@
 """Cascade builders (B7-B9, user hook for strategy lists).
 
-A strategy list becomes one native expression: an array of candidate
-structs, then ``filter(...)[0]`` or ``array_max``. Keep every candidate
-native (or every candidate inside one Arrow pass); a Python UDF inside a
-``when`` is evaluated for every row anyway.
+A strategy list becomes one native expression: a chain of candidates, each
+bound to a lambda variable and evaluated only if none before it was taken.
+Keep every candidate native (a Python UDF cannot stand in a lambda; bind its
+result first).
 """
 
 from __future__ import annotations
@@ -14,54 +14,39 @@ from pyspark.sql import functions as F
 from .text import strip
 
 
-def _cands(candidates):
-    return F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(name).alias("name"),
-                              F.coalesce(c, F.lit("")).alias("text"))
-                     for i, (name, c) in enumerate(candidates)])
+def let(value: Column, rule) -> Column:
+    """``rule(value)`` with ``value`` computed once."""
+    return F.element_at(F.transform(F.array(value), rule), 1)
+
+
+def _chosen(text: Column, name: Column) -> Column:
+    return F.struct(text.alias("text"), name.alias("strategy"))
 
 
 def cascade(candidates: list[tuple[str, Column]], threshold: int,
             fallback: Column | None = None, fallback_name: str = "fallback") -> Column:
     """First candidate whose stripped text is longer than ``threshold``,
     returned stripped, as ``struct<text, strategy>``; else ``fallback``
-    (stripped; default the last candidate) named ``fallback_name``.
-
-    One ``aggregate`` fold: every candidate is evaluated once per row (a
-    filtered array referenced several times would be re-evaluated each time).
-    """
-    arr = F.transform(_cands(candidates), lambda x: x.withField("text", strip(x["text"])))
-    zero = F.struct(F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("strategy"),
-                    F.lit("").alias("last"))
-
-    def merge(acc, x):
-        take = acc["text"].isNull() & (F.length(x["text"]) > threshold)
-        return F.struct(F.when(take, x["text"]).otherwise(acc["text"]).alias("text"),
-                        F.when(take, x["name"]).otherwise(acc["strategy"]).alias("strategy"),
-                        x["text"].alias("last"))
-
-    def finish(acc):
-        fb = strip(fallback) if fallback is not None else acc["last"]
-        return F.when(acc["text"].isNull(), F.struct(fb.alias("text"), F.lit(fallback_name).alias("strategy"))
-                      ).otherwise(F.struct(acc["text"].alias("text"), acc["strategy"].alias("strategy")))
-    return F.aggregate(arr, zero, merge, finish)
+    (stripped; default the last candidate) named ``fallback_name``."""
+    def rest(i, last):
+        if i == len(candidates):
+            return _chosen(last if fallback is None else strip(fallback), F.lit(fallback_name))
+        name, c = candidates[i]
+        return let(strip(F.coalesce(c, F.lit(""))),
+                   lambda t: F.when(F.length(t) > threshold, _chosen(t, F.lit(name))).otherwise(rest(i + 1, t)))
+    return rest(0, F.lit(""))
 
 
 def cascade_or_longest(candidates: list[tuple[str, Column]], threshold: int) -> Column:
     """First candidate longer than ``threshold`` (unstripped length), else the
     longest one; ties keep the earlier. ``strategy`` is 'none' when all are
-    empty. One ``aggregate`` fold over the candidates."""
-    zero = F.struct(F.lit(None).cast("string").alias("hit"), F.lit(None).cast("string").alias("hit_name"),
-                    F.lit("").alias("best"), F.lit("none").alias("best_name"))
-
-    def merge(acc, x):
-        take = acc["hit"].isNull() & (F.length(x["text"]) > threshold)
-        longer = F.length(x["text"]) > F.length(acc["best"])
-        return F.struct(F.when(take, x["text"]).otherwise(acc["hit"]).alias("hit"),
-                        F.when(take, x["name"]).otherwise(acc["hit_name"]).alias("hit_name"),
-                        F.when(longer, x["text"]).otherwise(acc["best"]).alias("best"),
-                        F.when(longer, x["name"]).otherwise(acc["best_name"]).alias("best_name"))
-
-    def finish(acc):
-        return F.when(acc["hit"].isNotNull(), F.struct(acc["hit"].alias("text"), acc["hit_name"].alias("strategy"))
-                      ).otherwise(F.struct(acc["best"].alias("text"), acc["best_name"].alias("strategy")))
-    return F.aggregate(_cands(candidates), zero, merge, finish)
+    empty."""
+    def rest(i, best):
+        if i == len(candidates):
+            return best
+        name, c = candidates[i]
+        return let(F.coalesce(c, F.lit("")),
+                   lambda t: F.when(F.length(t) > threshold, _chosen(t, F.lit(name))).otherwise(
+                       let(F.when(F.length(t) > F.length(best["text"]), _chosen(t, F.lit(name))).otherwise(best),
+                           lambda b: rest(i + 1, b))))
+    return rest(0, _chosen(F.lit(""), F.lit("none")))

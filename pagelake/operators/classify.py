@@ -15,7 +15,7 @@ from ..functions import lexicons as L
 from ..functions.text import col, expr_cache, strip
 from ..functions.urls import hostname
 from .dom import body_text, page_title
-from .nodes import any_match, is_a, let, nodes
+from .nodes import any_match, candidates, is_a, let, nodes
 
 
 def _labelled(c: Column, pairs) -> Column:
@@ -28,7 +28,7 @@ def _labelled(c: Column, pairs) -> Column:
 
 
 @expr_cache
-def error_dom_label(html) -> Column:
+def error_dom_label(html, parsed=None) -> Column:
     """C4 DOM stage alone: ``dom_error_x`` for the first error selector present."""
     def first(n):
         label = F.lit(None).cast("string")
@@ -36,7 +36,7 @@ def error_dom_label(html) -> Column:
             name = "dom_error_" + sel.replace(".", "").replace("#", "")
             label = F.when(F.exists(n, is_a(sel)), F.lit(name)).otherwise(label)
         return label
-    return let(nodes(html), first)
+    return let(candidates(nodes(html, parsed), L.ERROR_SELECTORS), first)
 
 
 def error_page_parts(title, content, dom_label) -> Column:
@@ -44,18 +44,18 @@ def error_page_parts(title, content, dom_label) -> Column:
     it can run after HTML has been dropped: ``struct<is_error_page, error_type>``;
     title -> content phrases -> security phrases -> short content -> DOM,
     first match wins."""
-    t = F.lower(F.coalesce(col(title), F.lit("")))
-    raw = F.coalesce(col(content), F.lit(""))
-    c = F.lower(raw)
-    has = raw != ""
-    short = has & (F.length(strip(raw)) < L.SHORT_CONTENT_MAX)
+    def of_content(raw, c):
+        return F.when(raw != "", F.coalesce(
+            _labelled(c, [(n, "http_error_" + n.replace(" ", "_")) for n in L.HTTP_ERRORS]),
+            _labelled(c, [(n, "security_challenge_" + n.replace(" ", "_")) for n in L.SECURITY_INDICATORS]),
+            F.when(F.length(strip(raw)) < L.SHORT_CONTENT_MAX, _labelled(c, [(n, f"short_error_{n}") for n in L.SHORT_CONTENT_ERRORS]))))
+
     etype = F.coalesce(
-        _labelled(t, [(n, f"error_title_{n}") for n in L.ERROR_TITLES]),
-        F.when(has, _labelled(c, [(n, "http_error_" + n.replace(" ", "_")) for n in L.HTTP_ERRORS])),
-        F.when(has, _labelled(c, [(n, "security_challenge_" + n.replace(" ", "_")) for n in L.SECURITY_INDICATORS])),
-        F.when(short, _labelled(c, [(n, f"short_error_{n}") for n in L.SHORT_CONTENT_ERRORS])),
+        let(F.lower(F.coalesce(col(title), F.lit(""))), lambda t: _labelled(t, [(n, f"error_title_{n}") for n in L.ERROR_TITLES])),
+        # lower-cased once, not once for every phrase
+        let(F.coalesce(col(content), F.lit("")), lambda raw: let(F.lower(raw), lambda c: of_content(raw, c))),
         col(dom_label))
-    return F.struct(etype.isNotNull().alias("is_error_page"), etype.alias("error_type"))
+    return let(etype, lambda e: F.struct(e.isNotNull().alias("is_error_page"), e.alias("error_type")))
 
 
 @expr_cache
@@ -98,7 +98,7 @@ def _has(n: Column, *selectors: str) -> Column:
 
 @expr_cache
 def spa_score(html, window_react=None, window_vue=None, window_angular=None,
-              window_ember=None, window_svelte=None, history_api=None) -> Column:
+              window_ember=None, window_svelte=None, history_api=None, parsed=None) -> Column:
     """C6 (static DOM form): framework markers +2 each, History API +1,
     test ids / loading markers +1, app root +1; ``is_spa = score >= 2``."""
     b = lambda c, d=False: F.coalesce(c, F.lit(d)) if c is not None else F.lit(d)
@@ -110,16 +110,16 @@ def spa_score(html, window_react=None, window_vue=None, window_angular=None,
                  (_has(n, "#app", "#root", ".app"), 1)]
         return sum((F.when(c, w).otherwise(0) for c, w in parts), F.lit(0)).cast("bigint")
 
-    return let(let(nodes(html), total), lambda score: F.struct(score.alias("score"), (score >= 2).alias("is_spa")))
+    return let(let(candidates(nodes(html, parsed), ["app-root"]), total), lambda score: F.struct(score.alias("score"), (score >= 2).alias("is_spa")))
 
 
 @expr_cache
 def ultra_complex_score(html, url, react_devtools=None, window_react=None, vue_router=None,
-                        state_manager=None) -> Column:
+                        state_manager=None, parsed=None) -> Column:
     """Placeholder text +3, complex React +2, Vue router +2, service
     worker (secure context) +1, state manager +2, 0 < body text < 500 +2,
     complex host +1; ``is_ultra_complex = score >= 4``."""
-    body = body_text(nodes(html))
+    body = body_text(nodes(html, parsed))
     b = lambda c: F.coalesce(c, F.lit(False)) if c is not None else F.lit(False)
     placeholder = F.lit(False)
     for p in L.PLACEHOLDER_TEXTS:
@@ -129,7 +129,7 @@ def ultra_complex_score(html, url, react_devtools=None, window_react=None, vue_r
     domain = F.lit(False)
     for d in L.COMPLEX_DOMAINS:
         domain = domain | host.contains(d)
-    react = b(window_react) & (b(react_devtools) | let(nodes(html), lambda n: _has(n, "[data-reactroot]")))
+    react = b(window_react) & (b(react_devtools) | let(nodes(html, parsed), lambda n: _has(n, "[data-reactroot]")))
     parts = [(placeholder, 3), (react, 2), (b(vue_router), 2),
              (F.lower(col(url)).startswith("https:"), 1), (b(state_manager), 2),
              ((n > 0) & (n < 500), 2), (domain, 1)]

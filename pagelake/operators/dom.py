@@ -137,9 +137,13 @@ def selector_text(nodes: Column) -> Column:
             return lambda x: F.when(x.isNotNull(), N.content(n, x)).otherwise(other)
 
         out = F.array_join(N.texts_of(body), "")
-        for sel in reversed(L.MAIN_SELECTORS):
-            out = N.let(F.get(F.filter(body, N.is_a(sel)), F.lit(0)), one_or(out))
-        return strip(out)
+
+        def choose(found):
+            text = out
+            for sel in reversed(L.MAIN_SELECTORS):
+                text = N.let(F.get(F.filter(found, N.is_a(sel)), F.lit(0)), one_or(text))
+            return strip(text)
+        return N.let(N.candidates(body, L.MAIN_SELECTORS), choose)
     return N.let(nodes, lambda n: N.let(N.body_nodes(n), lambda body: first(n, body)))
 
 
@@ -148,9 +152,10 @@ def targeted_text(nodes: Column) -> Column:
     then page order; if these are under 100 in all, also texts over 50 characters
     of content containers outside navigation."""
     def rule(n):
-        targets = F.concat(*[F.filter(n, N.is_a(s)) for s in L.TARGET_SELECTORS])
+        some = N.candidates(n, [*L.TARGET_SELECTORS, *L.TARGET_CONTAINERS])
+        targets = N.let(some, lambda c: F.concat(*[F.filter(c, N.is_a(s)) for s in L.TARGET_SELECTORS]))
         main = N.each_text(n, targets, lambda t: F.length(t) > 100)
-        boxes = F.filter(n, lambda x: N.any_match(x, L.TARGET_CONTAINERS) & ~N.inside(x, M.TARGET_SKIP))
+        boxes = F.filter(some, lambda x: N.any_match(x, L.TARGET_CONTAINERS) & ~N.inside(x, M.TARGET_SKIP))
         return N.let(main, lambda m: strip(F.when(F.length(m) < 100, F.concat(m, N.each_text(n, boxes, lambda t: F.length(t) > 50))).otherwise(m)))
     return N.let(nodes, rule)
 
@@ -161,7 +166,8 @@ def educational_text(nodes: Column) -> Column:
     their text); if these are under 200 in all, also the texts around canvas and
     svg elements and long data attributes."""
     def rule(n):
-        found = F.filter(F.concat(*[F.filter(n, N.is_a(s)) for s in L.EDU_SELECTORS]), lambda x: ~N.inside(x, M.EDU_SKIP))
+        found = N.let(F.filter(N.candidates(n, L.EDU_SELECTORS), lambda x: ~N.inside(x, M.EDU_SKIP)),
+                      lambda c: F.concat(*[F.filter(c, N.is_a(s)) for s in L.EDU_SELECTORS]))
         blocks = N.each_text(n, found, lambda t: (F.length(t) > 20) & ~t.rlike(L.EDU_MENU_WORD))
         drawn = F.transform(F.filter(n, lambda x: x["tag"].isin("canvas", "svg") & (x["parent"] >= 0)), lambda x: F.get(n, x["parent"]))
         around = N.each_text(n, drawn, lambda t: F.length(t) > 50)

@@ -16,13 +16,13 @@ from ..functions import lexicons as L
 from ..functions.cascade import cascade
 from ..functions.text import col, collapse_ws, expr_cache, strip
 from . import dom
-from .nodes import nodes
+from .nodes import let, nodes
 
 
 @expr_cache
-def body_text(html) -> Column:
+def body_text(html, parsed=None) -> Column:
     """``document.body.textContent`` (includes script/style text)."""
-    return dom.body_text(nodes(html))
+    return dom.body_text(nodes(html, parsed))
 
 
 @expr_cache
@@ -46,31 +46,32 @@ def readable_text(html) -> Column:
 
 
 @expr_cache
-def cascade_500(html, main_text: Column | None = None) -> Column:
-    """First of (main text), selector, readable, full text with more than
-    500 stripped chars; else full text. ``struct<text, strategy>``."""
-    full = body_text(html)
-    cands = ([("trafilatura", main_text)] if main_text is not None else []) + [
-        ("text_content", selector_text(html)),
-        ("readable_content", readable_text(html)),
-        ("full_content", full)]
-    return cascade(cands, 500, fallback_name="full_content")
+def cascade_500(html, main_text=None, parsed=None) -> Column:
+    """First of (main text, a rule over the nodes), selector, readable, full text
+    with more than 500 stripped chars; else full text. ``struct<text, strategy>``."""
+    def first(n):
+        cands = ([("trafilatura", main_text(n))] if main_text is not None else []) + [
+            ("text_content", dom.selector_text(n)),
+            ("readable_content", dom.readable_text(n)),
+            ("full_content", dom.body_text(n))]
+        return cascade(cands, 500, fallback_name="full_content")
+    return let(nodes(html, parsed), first)
 
 
 @expr_cache
-def cascade_50(html) -> Column:
+def cascade_50(html, parsed=None) -> Column:
     """Fallback strategies; the four static body reads are all
     ``textContent``, so the first one decides. Threshold 50."""
-    full = body_text(html)
+    full = body_text(html, parsed)
     return cascade([("networkidle_wait", full)], 50, fallback=F.lit(""), fallback_name="fallback_failed")
 
 
 # ---- B12: SVG text ----
 @expr_cache
-def svg_text(html) -> Column:
+def svg_text(html, parsed=None) -> Column:
     """B12 (SVG part): texts of svg text/tspan/title/desc elements longer than
     2 chars after trimming, joined by a space; a nested one repeats its text."""
-    return dom.svg_text(nodes(html))
+    return dom.svg_text(nodes(html, parsed))
 
 
 # ---- B13: embedded JSON ----
@@ -138,7 +139,7 @@ def _quoted_strings(j: Column) -> Column:
 
 
 @expr_cache
-def mined_text(html) -> Column:
+def mined_text(html, parsed=None) -> Column:
     """Quoted strings of small JSON objects in scripts, ``data-*``
     values over 10 chars, body comments over 20 chars; each piece followed
     by a space (untrimmed, as measured by B9)."""
@@ -146,8 +147,8 @@ def mined_text(html) -> Column:
     scripts = F.regexp_extract_all(h, F.lit(r"(?is)<script\b[^>]*>(.*?)</script\s*>"), 1)
     objs = F.filter(F.flatten(F.transform(scripts, lambda s: F.regexp_extract_all(s, F.lit(_SMALL_JSON), 0))),
                     lambda o: F.try_parse_json(o).isNotNull())
-    data = dom.data_values(nodes(h))
-    comments = dom.comments(nodes(h))
+    data = dom.data_values(nodes(h, parsed))
+    comments = dom.comments(nodes(h, parsed))
     pieces = F.concat(F.transform(objs, _quoted_strings), data, comments)
     return F.array_join(F.transform(pieces, lambda p: F.concat(p, F.lit(" "))), "")
 
@@ -175,18 +176,28 @@ def iframe_text(pages: DataFrame, targets: DataFrame | None = None) -> DataFrame
 
     ``pages(page_id, url, html)``; ``targets`` (default: ``pages``) supplies
     ``(url, html)`` of the framed documents; of several with one URL the
-    longest text stands for it. Only targets that some page frames go on, as
-    text: HTML is never shuffled. Whether the narrow frame table is broadcast
-    is left to Spark, which knows its size from the written files.
+    longest text stands for it. Pages that are their own targets are tokenised
+    once, for both.
     """
+    from ..session import materialise
+    both = targets is None
+    p = materialise(pages.select("page_id", "url", iframe_sources("html").alias("frame_sources"),
+                                 *([body_text("html").alias("body")] if both else [])), "framing_pages")
+    return framed_text(p, p if both else targets.select("url", body_text("html").alias("body")))
+
+
+def framed_text(pages: DataFrame, targets: DataFrame) -> DataFrame:
+    """:func:`iframe_text` of tokenised pages: ``pages(page_id, url, frame_sources)`` and
+    ``targets(url, body)``. Only targets that some page frames go on, as text: HTML is
+    never shuffled. Whether the narrow frame table is broadcast is left to Spark,
+    which knows its size from the written files."""
     from ..functions.urls import resolve
     from ..session import materialise
-    targets = pages if targets is None else targets
-    frames = (pages.select("page_id", "url", F.posexplode_outer(iframe_sources("html")).alias("ipos", "src"))
+    frames = (pages.select("page_id", "url", F.posexplode_outer("frame_sources").alias("ipos", "src"))
               .where(F.col("src").isNotNull())
               .select("page_id", "ipos", resolve(F.col("url"), strip("src")).alias("target")))
     frames = materialise(frames, "iframes")
-    texts = (targets.select(F.col("url").alias("target"), body_text("html").alias("ttext"))
+    texts = (targets.select(F.col("url").alias("target"), F.col("body").alias("ttext"))
              .where(F.length("ttext") > 50).join(frames.select("target").distinct(), "target", "left_semi")
              .groupBy("target").agg(F.max_by("ttext", F.struct(F.length("ttext"), "ttext")).alias("ttext")))
     joined = frames.join(texts, "target", "left")
@@ -197,9 +208,10 @@ def iframe_text(pages: DataFrame, targets: DataFrame | None = None) -> DataFrame
         "page_id", F.coalesce("iframe_text", F.lit("")).alias("iframe_text"))
 
 
-def with_iframe_text(rows: DataFrame, pages: DataFrame, name: str = "iframe_content_extraction") -> DataFrame:
-    """``rows`` with the iframe text of their ``page_id`` (empty if there is none)."""
-    found = iframe_text(pages).where(F.col("iframe_text") != "").dropDuplicates(["page_id"]).select("page_id", F.col("iframe_text").alias(name))
+def with_iframe_text(rows: DataFrame, name: str = "iframe_content_extraction") -> DataFrame:
+    """``rows(page_id, url, frame_sources, body, ...)``, written already, with the iframe text
+    of their ``page_id`` (empty if there is none). The rows are the targets, too."""
+    found = framed_text(rows, rows).where(F.col("iframe_text") != "").dropDuplicates(["page_id"]).select("page_id", F.col("iframe_text").alias(name))
     return rows.join(found, "page_id", "left").withColumn(name, F.coalesce(name, F.lit("")))
 
 

@@ -40,7 +40,7 @@ def link_type(url: Column, text: Column, classes: Column) -> Column:
 
 
 @expr_cache
-def extract_links(html, base_url) -> Column:
+def extract_links(html, base_url, parsed=None) -> Column:
     """D1-D4 as ``array<struct<url, text, is_internal, link_type>>``: every
     ``<a href>`` except empty, ``#...`` and ``javascript:...``; text falls back
     to the title, then the href; cut to 200 chars; duplicate URLs removed,
@@ -54,7 +54,7 @@ def extract_links(html, base_url) -> Column:
 
     # Comments and scripts are nodes of their own, so no link is found in them;
     # empty or NULL input gives an empty list, never NULL.
-    raw = let(nodes(html), lambda n: F.transform(
+    raw = let(nodes(html, parsed), lambda n: F.transform(
         F.filter(n, lambda x: (x["tag"] == "a") & F.element_at(x["attrs"], "href").isNotNull()), lambda x: anchor(n, x)))
     kept = F.filter(raw, lambda x: (x["href"] != "") & ~x["href"].startswith("#")
                     & ~x["href"].startswith("javascript:"))
@@ -80,10 +80,10 @@ def _dedupe_sorted(sorted_links) -> Column:
                        lambda z: z["l"])
 
 
-def with_links(pages: DataFrame, html: str = "html", url: str = "url", out: str = "links") -> DataFrame:
+def with_links(pages: DataFrame, html: str = "html", url: str = "url", out: str = "links", parsed=None) -> DataFrame:
     """Add ``links`` (D1-D4, G8: first link per URL kept) to each page row.
     Narrow, no shuffle: de-duplication sorts inside the row, O(n log n)."""
-    keyed = F.transform(extract_links(html, url),
+    keyed = F.transform(extract_links(html, url, parsed),
                         lambda x, i: F.struct(x["url"].alias("u"), i.alias("p"), x.alias("l")))
     return (pages.withColumn("_sorted_links", F.array_sort(keyed))
             .withColumn(out, _dedupe_sorted("_sorted_links")).drop("_sorted_links"))

@@ -31,6 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.cascade import let
 from ..functions.text import col
 from . import marks
 
@@ -50,6 +51,7 @@ BARRIER = frozenset("ul ol dl table div section article main aside nav header fo
 INLINE = frozenset("a abbr b bdi code em font i label mark q s small span strong sub sup u".split())
 
 _MARKUP = re.compile(r"<!--(?P<comment>.*?)(?:-->|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+_NO_ATTRS: dict = {}
 _ATTR = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 
@@ -80,36 +82,41 @@ def parse(page: str) -> list[list]:
         m = _MARKUP.search(page, at)
         text = page[at:m.start()] if m else page[at:]
         if text:
-            add("#text", {}, html_lib.unescape(text) if "&" in text else text)
+            add("#text", _NO_ATTRS, html_lib.unescape(text) if "&" in text else text)
         if m is None:
             break
         at = m.end()
-        if m["comment"] is not None:
-            add("#comment", {}, m["comment"])
+        comment, closing, tag, written = m.groups()
+        if comment is not None:
+            add("#comment", _NO_ATTRS, comment)
             continue
-        if m["tag"] is None:
+        if tag is None:
             continue
-        tag = m["tag"].lower()
-        if m["close"]:
-            close((tag,), BARRIER - {tag} if tag in INLINE else frozenset())
+        tag = tag.lower()
+        if closing:
+            if stack and out[stack[-1]][2] == tag:
+                out[stack.pop()][0] = len(out) - 1
+            else:
+                close((tag,), BARRIER - {tag} if tag in INLINE else frozenset())
             continue
         if tag in CLOSES_P:
             close(("p",), BARRIER)
         if tag in CLOSES:
             close(CLOSES[tag], BARRIER)
-        attrs = {}
-        for name, a, b, c in _ATTR.findall(m["attrs"]):
-            attrs.setdefault(name.lower(), html_lib.unescape(a or b or c))
+        attrs = {} if written else _NO_ATTRS
+        for name, a, b, c in _ATTR.findall(written):
+            value = a or b or c
+            attrs.setdefault(name.lower(), html_lib.unescape(value) if "&" in value else value)
         n = add(tag, attrs, None)
         if tag in RAW or tag in RCDATA:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             body = page[at:end.start() if end else len(page)]
             stack.append(n)
             if body:
-                add("#text", {}, html_lib.unescape(body) if tag in RCDATA else body)
+                add("#text", _NO_ATTRS, html_lib.unescape(body) if tag in RCDATA else body)
             pop_to(len(stack) - 1)
             at = end.end() if end else len(page)
-        elif tag not in VOID and not m["attrs"].endswith("/"):
+        elif tag not in VOID and not written.endswith("/"):
             stack.append(n)
     pop_to(0)
     return out
@@ -150,14 +157,14 @@ def _nodes_of(pages: pa.Array) -> pa.Array:
     rows = [(i, n, page) for page in found for i, n in enumerate(page)]
     strings = lambda v: pa.array(v, pa.string())
     ints = lambda v: pa.array(v, pa.int32())
-    classes = [n[3].get("class", "").split() for _, n, _ in rows]
+    classes = [n[3].get("class", "").split() if n[3] else () for _, n, _ in rows]
     keys = [k for _, n, _ in rows for k in n[3]]
     attrs = pa.MapArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(n[3]) for _, n, _ in rows])]).astype(np.int32)),
                                     strings(keys), strings([v for _, n, _ in rows for v in n[3].values()]))
     struct = pa.StructArray.from_arrays(
         [ints([i for i, _, _ in rows]), ints([n[0] for _, n, _ in rows]), ints([n[1] for _, n, _ in rows]),
          strings([page[n[1]][2] if n[1] >= 0 else "" for _, n, page in rows]), strings([n[2] for _, n, _ in rows]),
-         strings([n[3].get("id", "") for _, n, _ in rows]),
+         strings([n[3].get("id", "") if n[3] else "" for _, n, _ in rows]),
          _list_array([len(c) for c in classes], strings([x for c in classes for x in c])), attrs, strings([n[4] for _, n, _ in rows]),
          ints([c for sizes in chars for c in sizes]), ints([b for inside, _ in marked for b in inside]), ints([b for _, outer in marked for b in outer])],
         names=["pos", "last", "parent", "ptag", "tag", "id", "classes", "attrs", "text", "chars", "inside", "outer"])
@@ -167,8 +174,10 @@ def _nodes_of(pages: pa.Array) -> pa.Array:
 _NODES_UDF = None
 
 
-def nodes(html) -> Column:
-    """The nodes of a page (NULL html: none)."""
+def nodes(html, parsed=None) -> Column:
+    """The nodes of a page (NULL html: none); ``parsed``, if a page's row has them already."""
+    if parsed is not None:
+        return col(parsed)
     global _NODES_UDF
     from ..session import ensure_shipped
     ensure_shipped()
@@ -178,11 +187,6 @@ def nodes(html) -> Column:
 
 
 # ---- rules ----
-def let(value: Column, rule) -> Column:
-    """``rule(value)`` with ``value`` computed once."""
-    return F.element_at(F.transform(F.array(value), rule), 1)
-
-
 _SELECTOR = re.compile(r'([a-z][a-z0-9-]*)?(?:\.([\w-]+)|#([\w-]+)|\[([\w-]+)(?:(\*?=)"([^"]*)")?\])?')
 
 
@@ -208,6 +212,13 @@ def is_a(selector: str):
     return lambda x: matches(x, selector)
 
 
+def candidates(n: Column, selectors) -> Column:
+    """The nodes that can match one of the selectors, in order: those with attributes, and those
+    with the tag of a selector that asks for no attribute. Most nodes are neither."""
+    tags = [s for s in selectors if re.fullmatch("[a-z][a-z0-9-]*", s)]
+    return F.filter(n, lambda x: (F.size(x["attrs"]) > 0) | x["tag"].isin(tags) if tags else F.size(x["attrs"]) > 0)
+
+
 def any_match(x: Column, selectors) -> Column:
     return reduce(lambda a, b: a | b, [matches(x, s) for s in selectors])
 
@@ -223,8 +234,8 @@ def outermost(x: Column, mark: int) -> Column:
 
 
 def part(n: Column, x: Column) -> Column:
-    """Node ``x`` and all nodes inside it."""
-    return F.slice(n, x["pos"] + 1, x["last"] - x["pos"] + 1)
+    """Node ``x`` and all nodes inside it, taken by place: a slice would read the whole page for each part."""
+    return F.transform(F.sequence(x["pos"], x["last"]), lambda i: F.get(n, i))
 
 
 def texts_of(some: Column) -> Column:

@@ -63,11 +63,11 @@ def _record(df: DataFrame, mode: str, include_links: bool, calculate_quality: bo
         *extra)
 
 
-def _materialise(df: DataFrame) -> DataFrame:
+def _materialise(df: DataFrame, name: str = "page_results") -> DataFrame:
     """Checkpoint the per-page results (shared folder): downstream steps read
     them more than once, and the DOM pass must not run twice."""
     from ..session import materialise
-    return materialise(df, "page_results")
+    return materialise(df, name)
 
 
 def _join_requests(reqs: DataFrame, page_rows: DataFrame) -> DataFrame:
@@ -109,6 +109,37 @@ def simple_mode(requests: DataFrame, pages: DataFrame, lang_model: DataFrame | N
     return _record(j, "simple", include_links, calculate_quality)
 
 
+def _page_main_text(nodes: Column) -> Column:
+    return DM.main_text(DM.content_blocks(nodes))
+
+
+def ultra_parts(html: str, parsed: str, embedded_json: Column, body: Column) -> tuple[Column, Column]:
+    """B9 but the iframe strategy: the cascades of the strategies before and after it.
+    Strategies that need live JavaScript objects (React fibre, Vue, shadow DOM) yield empty text."""
+    n = F.col(parsed)
+    placeholder = body.contains("JavaScript wird benötigt") | body.contains("Loading...")
+    before = cascade_or_longest([
+        ("embedded_json_extraction", embedded_json),
+        ("svg_interactive_extraction", H.svg_text(html, parsed)),
+        ("main_content_targeting", DM.targeted_text(n)),
+        ("educational_content_extraction", DM.educational_text(n)),
+        ("react_fiber_extraction", F.lit("")), ("vue_component_extraction", F.lit("")),
+        ("shadow_dom_extraction", F.lit(""))], 500)
+    after = cascade_or_longest([
+        ("dynamic_content_polling", F.when(placeholder, F.lit("")).otherwise(body)),
+        ("javascript_state_extraction", H.state_text(html)),
+        ("aggressive_text_mining", H.mined_text(html, parsed))], 500)
+    return before, after
+
+
+def ultra_cascade(before: Column, iframe: Column, after: Column) -> Column:
+    """B9 from its parts (:func:`ultra_parts`) and the iframe text: ``struct<text, strategy>`` of the
+    first strategy over 500 chars, else the longest. The best of a run of strategies stands for it."""
+    r = cascade_or_longest([("before", before["text"]), ("iframe_content_extraction", iframe), ("after", after["text"])], 500)
+    return N.let(r, lambda x: F.struct(x["text"].alias("text"), F.when(x["strategy"] == "before", before["strategy"])
+                                       .when(x["strategy"] == "after", after["strategy"]).otherwise(x["strategy"]).alias("strategy")))
+
+
 def browser_mode(requests: DataFrame, pages: DataFrame, lang_model: DataFrame | None = None,
                  include_links: bool = True, calculate_quality: bool = True) -> DataFrame:
     """§3.2 over recorded pages: SPA score (C6) and ultra-complex score
@@ -119,44 +150,37 @@ def browser_mode(requests: DataFrame, pages: DataFrame, lang_model: DataFrame |
     links on the HTML, quality, and language on the first 1000 chars (more
     than 10 chars, default 'en'). ``extraction_method``, ``is_spa``,
     ``is_ultra_complex``, ``is_error_page`` and ``error_type`` are kept as
-    columns (the reference only logs them)."""
-    body = H.body_text("html")
-    placeholder = body.contains("JavaScript wird benötigt") | body.contains("Loading...")
-    p = pages.select(
-        "page_id", "url", "html",
-        C.spa_score("html")["is_spa"].alias("is_spa"),
-        C.ultra_complex_score("html", "url")["is_ultra_complex"].alias("is_ultra_complex"),
-        H.embedded_json_text("html").alias("embedded_json_extraction"),
-        H.svg_text("html").alias("svg_interactive_extraction"),
-        F.when(placeholder, F.lit("")).otherwise(body).alias("dynamic_content_polling"),
-        H.state_text("html").alias("javascript_state_extraction"),
-        H.mined_text("html").alias("aggressive_text_mining"),
-        H.cascade_500("html", DM.main_text(DM.content_blocks(N.nodes("html")))).alias("standard"),
-        H.cascade_50("html")["text"].alias("fallback"),
-        C.error_dom_label("html").alias("dom_error"))
+    columns (the reference only logs them).
+
+    A page is tokenised once: its scores, texts, links and frames are read from
+    the same nodes, and a page goes through the extractor that its scores select."""
+    p = pages.select("page_id", "url", "html", N.nodes("html").alias("_nodes"))
+    p = p.select("*", H.body_text("html", "_nodes").alias("body"), C.spa_score("html", parsed="_nodes")["is_spa"].alias("is_spa"),
+                 C.ultra_complex_score("html", "url", parsed="_nodes")["is_ultra_complex"].alias("is_ultra_complex"))
+    kmap = F.coalesce(F.lower(F.col("url")).contains("kmap.eu"), F.lit(False))
+    special = kmap | F.col("is_ultra_complex")
+    p = p.withColumn("embedded_json_extraction", F.when(special, H.embedded_json_text("html")))
+    json = F.col("embedded_json_extraction")
+    by_json = kmap & (F.length(json) > 500)
     if include_links:
-        p = LK.with_links(p)
-    keep = ("url", "is_spa", "is_ultra_complex", "embedded_json_extraction", "svg_interactive_extraction",
-            "dynamic_content_polling", "javascript_state_extraction", "aggressive_text_mining", "standard",
-            "fallback", "dom_error") + \
-        (("links",) if include_links else ())
-    d = H.with_iframe_text(DM.dom_pass(p, "text", "none", keep=keep), pages)
-    ultra = cascade_or_longest([
-        ("embedded_json_extraction", F.col("embedded_json_extraction")),
-        ("svg_interactive_extraction", F.col("svg_interactive_extraction")),
-        ("main_content_targeting", F.col("targeted_text")),
-        ("educational_content_extraction", F.col("educational_text")),
-        ("react_fiber_extraction", F.lit("")), ("vue_component_extraction", F.lit("")),
-        ("shadow_dom_extraction", F.lit("")), ("iframe_content_extraction", F.col("iframe_content_extraction")),
-        ("dynamic_content_polling", F.col("dynamic_content_polling")),
-        ("javascript_state_extraction", F.col("javascript_state_extraction")),
-        ("aggressive_text_mining", F.col("aggressive_text_mining"))], 500)
-    kmap = F.lower(F.col("url")).contains("kmap.eu")
-    json_ok = F.length("embedded_json_extraction") > 500
-    text = (F.when(kmap & json_ok, F.col("embedded_json_extraction"))
-            .when(kmap | F.col("is_ultra_complex"), ultra["text"]).otherwise(F.col("standard.text")))
-    text = F.when(strip(F.coalesce(text, F.lit(""))) == "", F.col("fallback")).otherwise(text)  # B8
-    method = (F.when(kmap & json_ok, "embedded_json_extraction").when(F.col("is_ultra_complex"), "ultra_complex_spa")
+        p = LK.with_links(p, parsed="_nodes")
+    before, after = ultra_parts("html", "_nodes", json, F.col("body"))
+    fallback = H.cascade_50("html", "_nodes")["text"]  # B8
+
+    def or_fallback(text, other):
+        return N.let(text, lambda t: F.when(strip(t) == "", other).otherwise(t))
+
+    standard = H.cascade_500("html", _page_main_text, "_nodes")["text"]
+    d = _materialise(p.select(
+        "page_id", "url", "body", "is_spa", "is_ultra_complex", "embedded_json_extraction",
+        F.when(special & ~by_json, before).alias("before"), F.when(special & ~by_json, after).alias("after"),
+        F.when(special, fallback).alias("fallback"), F.when(~special, or_fallback(standard, fallback)).alias("standard"),
+        DM.page_title(F.col("_nodes")).alias("title"), C.error_dom_label("html", "_nodes").alias("dom_error"),
+        DM.frame_sources(F.col("_nodes")).alias("frame_sources"), *(["links"] if include_links else [])), "page_parts")
+    d = H.with_iframe_text(d)
+    ultra = ultra_cascade(F.col("before"), F.col("iframe_content_extraction"), F.col("after"))["text"]
+    text = F.when(by_json, json).when(special, or_fallback(ultra, F.col("fallback"))).otherwise(F.col("standard"))
+    method = (F.when(by_json, "embedded_json_extraction").when(F.col("is_ultra_complex"), "ultra_complex_spa")
               .when(F.col("is_spa"), "spa_optimized").otherwise("standard_optimized"))
     rows = (d.select("page_id", F.col("url").alias("_purl"), text.alias("text"), method.alias("extraction_method"),
                      "is_spa", "is_ultra_complex", "title", "dom_error", *(["links"] if include_links else []))
