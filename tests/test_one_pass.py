@@ -56,7 +56,7 @@ def test_browser_mode_of_odd_pages(spark):
 
 def test_cascades_in_runs_are_one_cascade(spark):
     rng = random.Random(7)
-    rows = [tuple("x" * rng.choice([0, 0, 1, 2, 499, 500, 501, 700]) if rng.random() < 0.9 else None for _ in range(5)) for _ in range(300)]
+    rows = [tuple("x" * rng.choice([0, 0, 1, 2, 499, 500, 501, 700]) if rng.random() < 0.9 else None for _ in range(5)) for _ in range(300)] + [(None,) * 5]
     names = list("abcde")
     df = spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names))
     of = lambda some: cascade_or_longest([(n, F.col(n)) for n in some], 500)
